@@ -73,6 +73,8 @@ def encoded(column: pa.Array) -> list[bytes]:
 #: The white space of the operators' word rule: space and 0x09 to 0x0D.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: The same, and ASCII punctuation and control characters.
+_BREAKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -96,10 +98,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash of each lower-cased word, the index of its text, the joined bytes); words never cross texts."""
+def word_hashes(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each lower-cased word, the index of its text, the joined bytes); words never cross texts.
+    `bare`: ASCII punctuation parts words like white space."""
     data = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
+    space = (_BREAKS if bare else _SPACE)[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))

@@ -24,7 +24,7 @@ _ROUND_ROWS = 192
 
 
 def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, feature id), each pair once, in order."""
+    """(index of the text, feature id), each pair once, in order. A word that follows itself is one feature, whatever the word."""
     half = BITS - 1
     h, owner, data = word_hashes(texts)
     seen = np.zeros((len(texts), 1 << BITS), dtype=bool)
@@ -32,7 +32,7 @@ def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat[(owner << BITS) + (h >> np.uint64(64 - half)).astype(np.int64)] = True
     if len(h) > 1:
         same = owner[1:] == owner[:-1]
-        pairs = mix(h[:-1] * np.uint64(3) + h[1:]) >> np.uint64(64 - half)
+        pairs = mix(np.where(h[:-1] == h[1:], np.uint64(1), h[:-1] * np.uint64(3) + h[1:])) >> np.uint64(64 - half)
         flat[(owner[1:][same] << BITS) + pairs[same].astype(np.int64)] = True
     sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     offsets = np.concatenate(([0], np.cumsum(sizes + 1)))

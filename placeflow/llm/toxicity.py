@@ -19,7 +19,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def gram_ids(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(feature id, index of its text), repeats included: words, pairs of neighbours and pairs with one word skipped."""
-    h, owner, _ = word_hashes(texts)
+    h, owner, _ = word_hashes(texts, bare=True)
     ids, owners = [h], [owner]
     for gap, salt in ((1, 0x1B873593), (2, 0x85EBCA6B)):
         same = owner[gap:] == owner[:-gap] if len(owner) > gap else np.zeros(0, dtype=bool)
@@ -40,8 +40,11 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary())], schema=_ROWS)
 
 
-def ftrl(rows: list[tuple[int, np.ndarray]], size: int, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, float]:
-    """(weights, bias) by FTRL-proximal: a rate for each coordinate from its squared gradients, zero within `l1`."""
+def ftrl(rows: list[tuple[int, np.ndarray]], size: int, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4, least: int = 4) -> tuple[np.ndarray, float]:
+    """(weights, bias) by FTRL-proximal: a rate for each coordinate from its squared gradients, zero within `l1`.
+    Coordinates enter once `least` rows have them, so that words of a single row can't carry its label."""
+    seen = np.bincount(np.concatenate([x for _, x in rows]), minlength=size) if rows else np.zeros(size)
+    rows = [(y, x[seen[x] >= least]) for y, x in rows]
     z, n = np.zeros(size), np.zeros(size)
     bz = bn = 0.0
     order = np.random.default_rng(7).permutation(len(rows))
