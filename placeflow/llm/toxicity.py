@@ -11,7 +11,7 @@ from placeflow.llm.common import encoded, id_bucket, mix, table, text_rounds, wo
 from placeflow.llm.training import labelled_sample
 
 BITS = 20
-#: A third of this many labelled rows' word features fit easily in the driver; the bound of the fit.
+#: The bound of the fit: the sample's features come to some 50 MB in the driver.
 MAX_TRAIN = 8000
 _ROWS = pa.schema([("label", pa.int32()), ("features", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -40,7 +40,7 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary())], schema=_ROWS)
 
 
-def ftrl(rows: list[tuple[int, np.ndarray]], size: int, alpha: float = 0.2, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4, least: int = 4) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[tuple[int, np.ndarray]], size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0, epochs: int = 3, least: int = 4) -> tuple[np.ndarray, float]:
     """(weights, bias) by FTRL-proximal: a rate for each coordinate from its squared gradients, zero within `l1`.
     Coordinates enter once `least` rows have them, so that words of a single row can't carry its label."""
     seen = np.bincount(np.concatenate([x for _, x in rows]), minlength=size) if rows else np.zeros(size)
