@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from placeflow.llm import linededup, ogg, pii, quality, toxicity
+from placeflow.llm import linededup, ogg, pii, quality, simhash, toxicity
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op2_pii": pii.query,
     "op3_toxicity": toxicity.query,
     "op4_ogg": ogg.query,
