@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from placeflow.llm import linededup, ogg, pii, quality, simhash, toxicity
+from placeflow.llm import linededup, ogg, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_pii": pii.query,
     "op3_toxicity": toxicity.query,
     "op4_ogg": ogg.query,
+    "op5_warc": warc.query,
     "op7_quality": quality.query,
+    "op9_packing": packing.query,
     "op10_line_dedup": linededup.query,
 }
 ORACLE_SQL = {"op10_line_dedup": linededup.ORACLE}
