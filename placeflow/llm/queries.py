@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeflow.llm import linededup, ogg, packing, pii, quality, simhash, toxicity, warc
+from placeflow.llm import linededup, lm, ogg, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ogg": ogg.query,
     "op5_warc": warc.query,
     "op7_quality": quality.query,
+    "op8_ctw": lm.query,
     "op9_packing": packing.query,
     "op10_line_dedup": linededup.query,
 }
