@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from placeflow.llm.common import encoded, id_bucket, materialize, shuffle_partitions, table, text_rounds, word_hashes
 
-DEPTH = 3
+DEPTH = 4
 #: Words in the frequent list at most, and documents (about) that are looked at to choose them.
 FREQUENT, LOOKED_AT = 1 << 16, 2000
 #: Distinct (context, byte) pairs up to which their log-probabilities are broadcast (16 bytes each and room); joined beyond.
@@ -166,7 +166,8 @@ def code_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         mixed, top = subtree(codes, n, depth)
         kind = np.concatenate([np.zeros(len(codes), dtype=np.int32), np.ones(len(top), dtype=np.int32)])
         key = np.concatenate([codes, top[:, 0].astype(np.int64)])
-        values = pa.array([*mixed.tolist(), *top[:, 1:].tolist()], _TREES.field("v").type)
+        ends = np.concatenate([np.arange(0, 8 * len(codes) + 1, 8), 8 * len(codes) + 3 * np.arange(1, len(top) + 1)])
+        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([mixed.reshape(-1), top[:, 1:].reshape(-1)])))
         return pa.Table.from_arrays([pa.array(kind), pa.array(key), values], schema=_TREES)
 
     recent = F.shiftright("code", 8).bitwiseAND(255).alias("recent")
@@ -181,7 +182,7 @@ def code_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     def finish(batches):
         for batch in batches:
             codes = batch.column(0).to_numpy(zero_copy_only=False)
-            mixed = np.array(batch.column(1).to_pylist()).reshape(-1, 8)
+            mixed = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
             total = np.zeros(len(codes))
             for k in range(8):
                 node = (1 << k) | ((codes & 255) >> (8 - k))

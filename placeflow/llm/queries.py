@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeflow.llm import linededup, lm, ogg, packing, pii, quality, simhash, toxicity, warc
+from placeflow.llm import decontaminate, linededup, lm, ogg, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_ogg": ogg.query,
     "op5_warc": warc.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_quality": quality.query,
     "op8_ctw": lm.query,
     "op9_packing": packing.query,
