@@ -18,7 +18,6 @@ from placeflow.llm.common import encoded, materialize, table
 
 WHITE = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("positions", pa.list_(pa.int32()))])
-_KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -60,19 +59,20 @@ def _cut(batches):
             texts.append(b"\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else text)
             lines.append(len(parts))
             dropped.append(len(gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], schema=_KEPT)
+        arrays = [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), *batch.columns[3:]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_lines", "n_dropped", *batch.schema.names[3:]])
 
 
-def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(doc_id, text without the lines found in at least `min_docs` documents, n_lines, n_dropped).
+def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text without the lines found in at least `min_docs` documents, n_lines, n_dropped, the columns `keep`).
 
     A null or empty text is one empty line; keys shorter than `min_chars` code points are never
     dropped, so it stays. A line repeated inside one document counts once. Rows that share a doc_id
     (null included) are one document when counting, and each row still gets its own result.
-    Other columns are ignored. An empty table gives an empty table.
+    Columns not in `keep` are ignored. An empty table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = materialize(docs.mapInArrow(_line_rows(min_chars), "doc_id long, text_hash long, h1 long, h2 long, positions array<int>"), "lines")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
+    lines = materialize(docs.select("doc_id", "text").mapInArrow(_line_rows(min_chars), "doc_id long, text_hash long, h1 long, h2 long, positions array<int>"), "lines")
     shared = (
         lines.select("h1", "h2", "doc_id").distinct()
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -82,8 +82,9 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
         lines.join(shared, ["h1", "h2"]).groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"))
         .agg(F.flatten(F.collect_list("positions")).alias("gone"))
     )
+    schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
     same = docs["doc_id"].eqNullSafe(cuts["cut_id"]) & (F.xxhash64(docs["text"]) == cuts["cut_hash"])
-    return docs.join(cuts, same, "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_dropped long")
+    return docs.join(cuts, same, "left").select("doc_id", "text", "gone", *keep).mapInArrow(_cut, schema)
 
 
 def _digest(batches):

@@ -32,22 +32,35 @@ _CELLS = pa.schema([("cell", pa.int64()), ("held", pa.int64()), ("fp", pa.int64(
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """Majority bits of the XXH64 (seed 42) of the lower-cased word shingles, repeats included; 0 without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the lower-cased word shingles, repeats included; of the whole sequence if it is shorter."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - 1).tolist()
     k = min(width, len(words))
     stops = (ends[k - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=False)], dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """Majority bits of the shingles' hashes; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    return int(majority(hashes[:, None])[0]) if len(hashes) else 0
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of the rows of `hashes` (rows, 64-bit words)."""
+    n, words = hashes.shape
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, n, 255 * 128):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255 * 128]).view(np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255  # sums of 255 bits fit in a byte
+        counts += bits[:whole].reshape(-1, 255, 64 * words).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > n, bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -192,5 +205,140 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, blocks: in
     return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# Wide fingerprints, for copies that were edited more
+
+
+WORDS = 4
+_WIDE = pa.schema([("doc_id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(WORDS))])
+_ROWS = pa.schema([("cell", pa.int64()), ("id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(WORDS))])
+_SALTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
+
+
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, f0 to f3): 256 majority bits of the word shingles; all zero without words."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                prints = np.zeros((part.num_rows, WORDS), dtype="<u8")
+                for i, text in enumerate(encoded(part.column(1))):
+                    hashes = shingle_hashes(text, width)
+                    if len(hashes):
+                        prints[i] = majority(mix(hashes[:, None] ^ _SALTS[None, :]))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(prints[:, i].view(np.int64)) for i in range(WORDS))], schema=_WIDE)
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(run, _sql(_WIDE))
+
+
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} long" for f in schema)
+
+
+def _tables(key_bits: int, tables: int):
+    """Rows (cell, id, print): in each table the cell is `key_bits` bits of the print. A bit is the difference of
+    the distances to two reference prints, the empty one and the one with that bit alone."""
+    rng = np.random.default_rng(5)
+    chosen = [np.sort(rng.choice(64 * WORDS, key_bits, replace=False)) for _ in range(tables)]
+
+    def run(batches):
+        weights = np.uint64(1) << np.arange(key_bits, dtype=np.uint64)
+        for batch in batches:
+            prints = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(WORDS)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").astype(np.uint64)
+            for t, places in enumerate(chosen):
+                cell = mix(bits[:, places] @ weights + (np.uint64(t + 1) << np.uint64(key_bits)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *batch.columns], schema=_ROWS)
+
+    return run
+
+
+def _similar(most: int, few: int = 32):
+    """Links within cells: all similar pairs of cells of up to `few` prints, stars of larger ones."""
+
+    def star(prints: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
+        u, v, free = [], [], np.argsort(ids, kind="stable")
+        while len(free):
+            root, free = ids[free[0]], free
+            frontier, free = free[:1], free[1:]
+            while len(frontier) and len(free):
+                hit = np.zeros(len(free), dtype=bool)
+                for f in frontier:
+                    left = np.flatnonzero(~hit)
+                    hit[left] = np.bitwise_count(prints[free[left]] ^ prints[f]).sum(axis=1, dtype=np.int64) <= most
+                frontier, free = free[hit], free[~hit]
+                u += ids[frontier].tolist()
+                v += [int(root)] * len(frontier)
+        return u, v
+
+    def settle(cells: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        cuts = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]))
+        size = np.repeat(np.diff(cuts), np.diff(cuts))
+        u, v = [], []
+        small = size <= few
+        for shift in range(1, few):
+            a = np.flatnonzero(small[:-shift] & (cells[shift:] == cells[:-shift]))
+            if not len(a):
+                break
+            near = np.bitwise_count(prints[a] ^ prints[a + shift]).sum(axis=1, dtype=np.int64) <= most
+            u.append(ids[a[near]])
+            v.append(ids[a[near] + shift])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > few:
+                x, y = star(prints[a:b], ids[a:b])
+                u.append(np.array(x, dtype=np.int64))
+                v.append(np.array(y, dtype=np.int64))
+        u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (u, v))
+        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], schema=_LINKS)
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)
+            if rest is not None:
+                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last cell may go on
+            if cut:
+                yield settle(*(x[:cut] for x in now))
+            rest = tuple(x[cut:] for x in now)
+        if rest is not None and len(rest[0]):
+            yield settle(*rest)
+
+    return run
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_rows: int = 4096) -> DataFrame:
+    """(doc_id, component_id) over links of SimHash similarity, cos(pi * differing share of 256 bits), of at least
+    `similarity`, on five-word shingles.
+
+    Equal prints meet first. Candidates share a cell of one of several tables; the number of bits of a
+    cell grows with the logarithm of the prints and the number of tables with it, so that cells stay
+    small and copies of similarity 0.89 (four fifths of their shingles in common) are found with a
+    chance of over 0.95. A cell above `cell_rows` is dealt into parts that all hold its smallest ids, so
+    it never meets in one task. Rows with a null doc_id are in no group.
+    """
+    prints = materialize(wide_fingerprints(docs, width), "wide")
+    words = [f"f{i}" for i in range(WORDS)]
+    first = materialize(prints.filter("doc_id IS NOT NULL").groupBy(*words).agg(F.min("doc_id").alias("id")).select("id", *words), "wide-first")
+    n = first.count()
+    key_bits = int(min(40, max(12, round(np.log2(max(n, 2))) - 2)))
+    tables = int(np.ceil(3 / 0.85**key_bits))
+    rows = first.mapInArrow(_tables(key_bits, tables), _sql(_ROWS))
+    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
+    cells = rows.join(sizes, "cell")
+    large = F.col("n") > cell_rows
+    parts = F.ceil(F.col("n") / cell_rows)
+    salt = F.when(large & (F.col("id") == F.col("low")), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.when(large, F.pmod(F.xxhash64("id"), parts)).otherwise(F.lit(0)).cast("long")))
+    dealt = cells.select(F.explode(salt).alias("salt"), "cell", "id", *words).select(F.xxhash64("cell", "salt").alias("cell"), "id", *words)
+    most = int(np.floor(np.arccos(similarity) / np.pi * 64 * WORDS))
+    edges = dealt.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_similar(most), "u long, v long")
+    roots = components(edges)
+    grouped = first.join(roots, first["id"] == roots["node"], "left").select(*words, F.coalesce("root", "id").alias("component_id"))
+    return prints.join(grouped, words).select("doc_id", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

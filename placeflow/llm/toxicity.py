@@ -78,23 +78,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
     return ids, w[ids], bias
 
 
+class _Scorer:
+    """Probabilities of texts under (ids, weights, bias); one per task."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, float]):
+        ids, weights, self.bias = model
+        self.dense = np.zeros(1 << BITS)
+        self.dense[ids] = weights
+        self.used = self.dense != 0
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        found, owner = gram_ids(texts)
+        keep = self.used[found]
+        pairs = np.unique(owner[keep] * (1 << BITS) + found[keep])
+        margin = np.bincount(pairs >> BITS, weights=self.dense[pairs & ((1 << BITS) - 1)], minlength=len(texts)) + self.bias
+        return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+
+
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns, that score below `threshold`."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        scorer = _Scorer(sent.value)
+        for batch in text_rounds(batches):
+            yield batch.filter(pa.array(scorer(encoded(batch.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """(doc_id, score from 0 to 1). A null or empty text gets the bias alone; every row gives a row."""
-    ids, weights, bias = model
-    sent = docs.sparkSession.sparkContext.broadcast((ids, weights.astype(np.float64), bias))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # the non-zero weights, at most 2**BITS
 
     def run(batches):
-        ids, weights, bias = sent.value
-        dense = np.zeros(1 << BITS)
-        dense[ids] = weights
-        used = dense != 0
+        scorer = _Scorer(sent.value)
         for batch in text_rounds(batches):
-            texts = encoded(batch.column(1))
-            found, owner = gram_ids(texts)
-            keep = used[found]
-            pairs = np.unique(owner[keep] * (1 << BITS) + found[keep])
-            margin = np.bincount(pairs >> BITS, weights=dense[pairs & ((1 << BITS) - 1)], minlength=len(texts)) + bias
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], schema=_SCORED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(encoded(batch.column(1))))], schema=_SCORED)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, score double")
