@@ -14,7 +14,7 @@ from placeflow.functions import decode
 from placeflow.operators import discover
 
 #: The grouped record of a collection, as far as readers need it; unknown fields are dropped.
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "name string, place_id string, hex_id string, ftid string, data_id string, cid string, "
     "contact struct<phone: string, website: string, google_maps_url: string, emails: array<string>, social_links: map<string, string>, contact_status: string>, "
     "address struct<full: string, street: string, city: string, state: string, postal_code: string, country: string>, "
@@ -31,8 +31,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """Records of JSON lines with their file; lines that aren't JSON are skipped."""
-    schema = T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
+    rows = spark.read.schema(f"{RECORD}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.select("*", F.col("_metadata.file_name").alias("file")).filter("_bad IS NULL").drop("_bad")
 
 
