@@ -80,3 +80,21 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.floor(F.col("c_custkey") / 20).cast("long")
     pages = p.select(page.alias("page"), F.struct("c_custkey", entry.alias("e")).alias("x")).groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return pages.select("page", F.concat(F.lit(")]}'\n[[\"q\",[\"meta\","), F.array_join(F.transform("xs", lambda x: x["e"]), ","), F.lit("]]]")).alias("raw"))
+
+
+def grid_pages(spark: SparkSession, sf_dir: str, cell_km: float = 5.0) -> DataFrame:
+    """Recorded pages of a grid over BOX and of its children: a place is shown by its cell of each size, twenty a page
+    and six pages a cell at most, and every ninth place also by the next cell to the east."""
+    from placeflow.functions import geo
+    from placeflow.operators import grid
+
+    rows = None
+    dlat, dlon = grid.steps(BOX, cell_km)
+    for half in (1, 2):
+        a, o = dlat / half, dlon / half
+        own = places(spark, sf_dir).select("c_custkey", F.col("place_id").alias("key"), "lat", "lon", F.floor((F.col("lat") - BOX[0]) / a).alias("i"), F.floor((F.col("lon") - BOX[1]) / o).alias("j"))
+        own = own.unionByName(own.filter("c_custkey % 9 = 0").withColumn("j", F.col("j") + 1))
+        keyed = own.withColumn("cell_key", geo.cell_key(BOX[0] + (F.col("i") + 0.5) * a, BOX[1] + (F.col("j") + 0.5) * o))
+        rows = keyed if rows is None else rows.unionByName(keyed)
+    n = F.row_number().over(Window.partitionBy("cell_key").orderBy("c_custkey")) - 1
+    return rows.withColumn("n", n).filter("n < 120").select("cell_key", F.floor(F.col("n") / 20).cast("int").alias("page"), F.pmod("n", F.lit(20)).cast("int").alias("rank"), "key", "lat", "lon")

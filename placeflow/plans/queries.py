@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeflow.functions import contacts, decode, geo, keys, pb
-from placeflow.operators import discover, enrich, grid, metrics, parse, quality
+from placeflow.operators import collect, discover, enrich, grid, metrics, parse, quality
 from placeflow.plans import bindings as b
+from placeflow.streaming import collect as streaming
 from placeflow.plans.bindings import BOX, FENCE, GEOMETRY, HOLE, PLACES, SITES, occurrences, occurrences_sql, places, responses, sites, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,6 +239,43 @@ def split_decisions(spark, sf_dir):
     return cells.select("cell", "raw", "full_pages", "kept", saturated.alias("saturated"), splits.alias("splits"))
 
 
+_COLLECT = collect.Settings(max_results=1_000_000)
+
+
+@query()
+def collect_levels(spark, sf_dir):
+    """The production collection: frontier and recorded pages joined level by level, saturated cells split."""
+    return collect.collect(b.grid_pages(spark, sf_dir), BOX, settings=_COLLECT).places.select("key", "cell_key", "depth", "page", "rank")
+
+
+@query()
+def collect_manifest(spark, sf_dir):
+    got = collect.collect(b.grid_pages(spark, sf_dir), BOX, settings=_COLLECT)
+    return got.manifest().select("status", F.array_join("reasons", ";").alias("reasons"), "cells_total", "cells_subdivided", "cells_saturated", "requests", "raw", "kept", "duplicates", "outside_boundary", "outside_footprint")
+
+
+@query(f"""WITH e AS (SELECT user_id, min(ts) AS first_ts, min(event_id) AS n FROM events GROUP BY user_id) SELECT user_id AS key, count(*) AS n FROM e GROUP BY user_id""")
+def stream_dedup(spark, sf_dir):
+    """Events as a stream, deduplicated by user, run to the end of what is there."""
+    return _streamed(spark, sf_dir, lambda s: streaming.first_seen(s.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), "key", "ts", "10000 days"), "append").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2")
+def stream_counts(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, lambda s: streaming.windowed_counts(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ("event_type",)), "append")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Run a stream over the events table and read back what it wrote."""
+    path = f"{collect._shared(spark)}-stream"
+    table(spark, sf_dir, "events").write.parquet(f"{path}/in")
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{path}/in")
+    out = transform(source)
+    out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
 # Enrichment and contacts
 
 
