@@ -8,14 +8,13 @@ runs at most `max_depth` + 1 times whatever the data, and each level is written
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeflow.functions import geo
-from placeflow.operators import discover, grid, metrics
+from placeflow.operators import discover, grid, metrics, shared
 
 #: Columns of recorded pages: cell_key, page, rank, key, lat, lon and whatever else describes a place.
 PAGES = ("cell_key", "page", "rank", "key", "lat", "lon")
@@ -53,21 +52,6 @@ class Collected:
         return metrics.completeness(rows).withColumn("status", F.when(F.col("complete"), "complete").otherwise("incomplete"))
 
 
-def _shared(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
-
-        path = f"file://{tempfile.mkdtemp(prefix='placeflow-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/collect-{uuid.uuid4().hex}"
-
-
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def seeds(spark: SparkSession, box: grid.Box, inside: Column | None, settings: Settings) -> DataFrame:
     """The first frontier: fenced cells of the grid, or all if the fence holds none."""
     cells = grid.generate_cells(spark, box, settings.cell_km)
@@ -92,34 +76,34 @@ def collect(pages: DataFrame, box: grid.Box, inside: Column | None = None, setti
     """
     spark, settings = pages.sparkSession, settings or Settings()
     inside = inside if inside is not None else geo.in_box(F.col("lat"), F.col("lon"), box)
-    path = _shared(spark)
+    path = shared.folder(spark, "collect")
     pages = pages.filter(F.col("page") < settings.page_cap)
     frontier, places, cells = seeds(spark, box, inside, settings), None, None
     for depth in range(settings.max_depth + 1):
         level = frontier.withColumn("cell_key", geo.cell_key(F.col("lat"), F.col("lon"))).withColumnsRenamed({"lat": "cell_lat", "lon": "cell_lon"})
         if completed is not None:
             level = discover.resume(level, completed)
-        level = _kept(level, f"{path}/frontier-{depth}")
+        level = shared.kept(level, f"{path}/frontier-{depth}")
         rows = pages.join(level, "cell_key").withColumn("cell", F.col("cell_key"))
         fits = geo.haversine(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")) <= geo.accept_radius(F.col("cell_km"), settings.buffer)
         rows = rows.withColumn("in_fence", F.coalesce(inside, F.lit(False))).withColumn("good", F.col("in_fence") & F.coalesce(fits, F.lit(False)))
         novel = discover.page_novelty(rows.filter("good"), "key").withColumnRenamed("n", "n_good")
         sizes = rows.groupBy("cell", "page").agg(F.count(F.lit(1)).alias("n")).join(novel, ["cell", "page"], "left")
         stop = sizes.groupBy("cell").agg(F.min(F.when((F.col("n") < settings.full_page) | (F.coalesce("new", F.lit(0)) == 0), F.col("page"))).alias("stop"))
-        read = _kept(rows.join(stop, "cell").filter(F.col("stop").isNull() | (F.col("page") <= F.col("stop"))).drop("stop"), f"{path}/read-{depth}")
+        read = shared.kept(rows.join(stop, "cell").filter(F.col("stop").isNull() | (F.col("page") <= F.col("stop"))).drop("stop"), f"{path}/read-{depth}")
         known = None if places is None else places.select("key")
         if seen is not None:
             known = seen.select("key") if known is None else known.union(seen.select("key"))
         fresh = read.filter("good")
         if known is not None:
             fresh = fresh.join(known.distinct(), "key", "left_anti")
-        fresh = _kept(discover.first_wins(fresh, "key", ("cell", "page", "rank")), f"{path}/places-{depth}")
+        fresh = shared.kept(discover.first_wins(fresh, "key", ("cell", "page", "rank")), f"{path}/places-{depth}")
         full = read.groupBy("cell_key", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("in_fence")).alias("b"), F.count_if(F.col("in_fence") & ~F.col("good")).alias("f"))
         stats = full.groupBy("cell_key").agg(F.count(F.lit(1)).alias("requests"), F.sum("n").alias("raw"), F.sum("b").alias("outside_boundary"), F.sum("f").alias("outside_footprint"), F.count_if(F.col("n") >= settings.full_page).alias("full_pages"))
         kept = fresh.groupBy("cell_key").agg(F.count(F.lit(1)).alias("kept"))
         done = level.join(stats, "cell_key", "left").join(kept, "cell_key", "left").na.fill(0, ["requests", "raw", "outside_boundary", "outside_footprint", "full_pages", "kept"])
         saturated, splits = discover.split_decision(settings.full_page, settings.area_cap, settings.page_cap, settings.max_depth, settings.min_cell_km, settings.max_zoom)
-        done = _kept(done.withColumn("saturated", saturated).withColumn("splits", splits), f"{path}/cells-{depth}")
+        done = shared.kept(done.withColumn("saturated", saturated).withColumn("splits", splits), f"{path}/cells-{depth}")
         places = fresh if places is None else places.unionByName(fresh)
         cells = done if cells is None else cells.unionByName(done)
         frontier = _children(done.filter("splits").withColumnsRenamed({"cell_lat": "lat", "cell_lon": "lon"}))
@@ -139,15 +123,13 @@ def gap_fill(pages: DataFrame, found: DataFrame, box: grid.Box, cell_km: float =
     fresh = discover.first_wins(rows.filter(near).withColumn("cell", F.struct("i", "j")), "key")
     per_cell = keyed.join(fresh.groupBy("cell_key").agg(F.count(F.lit(1)).alias("kept")), "cell_key", "left").na.fill(0, ["kept"])
     width = grid._centres(box[1], box[3], grid.steps(box, cell_km)[1])
-    dense = _dense(per_cell, F.col("i") * width + F.col("j"))
+    dense = dense_ranks(per_cell, F.col("i") * width + F.col("j"))
     tried = discover.empty_streak(dense, most=streak)
     return fresh.join(tried.select("cell_key"), "cell_key", "left_semi").drop("cell")
 
 
-def _dense(cells: DataFrame, order: Column, block: int = 4096) -> DataFrame:
+def dense_ranks(cells: DataFrame, order: Column, block: int = 4096) -> DataFrame:
     """With `seq`, the cells' rank in `order`, from counts by block: no window over all rows."""
-    from pyspark.sql import Window
-
     own = cells.withColumn("_o", order).withColumn("_g", F.floor(F.col("_o") / block))
     counts = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_c")).withColumn("_h", F.floor(F.col("_g") / block))
     inner = counts.withColumn("_b", F.sum("_c").over(Window.partitionBy("_h").orderBy("_g")) - F.col("_c"))

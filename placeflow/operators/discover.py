@@ -81,7 +81,7 @@ def empty_streak(cells: DataFrame, kept: str = "kept", seq: str = "seq", most: i
     run = Window.partitionBy("_block").orderBy(seq).rowsBetween(-(most - 1), 0)
     streak = spread.withColumn("_n", F.count(F.lit(1)).over(run)).withColumn("_kept", F.sum(kept).over(run))
     stop = streak.filter((F.col("_n") == most) & (F.col("_kept") == 0)).agg(F.min(seq).alias("_stop"))  # one row
-    return cells.crossJoin(F.broadcast(stop)).filter(F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop"))).drop("_stop")
+    return cells.filter(F.coalesce(F.col(seq) <= stop.scalar(), F.lit(True)))
 
 
 def resume(planned: DataFrame, completed: DataFrame, key: str = "cell_key") -> DataFrame:

@@ -115,6 +115,6 @@ def uncovered_cells(cells: DataFrame, places: DataFrame, radius_km: float, box:
 
 def fence_with_fallback(cells: DataFrame, inside: Column) -> DataFrame:
     """The cells inside the fence, or all of them if none is."""
-    marked = cells.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    any_in = marked.agg(F.coalesce(F.bool_or("_in"), F.lit(False)).alias("_any"))  # one row
-    return marked.crossJoin(F.broadcast(any_in)).filter("_in OR NOT _any").drop("_in", "_any")
+    inside = F.coalesce(inside, F.lit(False))
+    any_in = cells.agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("any_in"))  # one row
+    return cells.filter(inside | ~any_in.scalar())

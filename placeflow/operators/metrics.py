@@ -46,8 +46,8 @@ def recall(runs: DataFrame, group: str = "city", run: str = "run", key: str = "k
 def policy_summary(policies: DataFrame, baseline: str, policy: str = "policy") -> DataFrame:
     """Adds unique_per_request and its multiple of the baseline policy's, from retained and requests."""
     rows = policies.withColumn("unique_per_request", ratio(F.col("retained"), F.col("requests"), None))
-    base = rows.filter(F.col(policy) == baseline).agg(F.max("unique_per_request").alias("_base"))
-    return rows.crossJoin(F.broadcast(base)).withColumn("vs_baseline", ratio(F.col("unique_per_request"), F.col("_base"), None)).drop("_base")
+    base = rows.filter(F.col(policy) == baseline).agg(F.max("unique_per_request").alias("base"))  # one row
+    return rows.withColumn("vs_baseline", ratio(F.col("unique_per_request"), base.scalar(), None))
 
 
 def footprint_leak(dropped: DataFrame, retained: DataFrame, key: str = "key") -> DataFrame:

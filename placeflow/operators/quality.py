@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placeflow.operators import parse
+from placeflow.operators import parse, shared
 
 #: The least coverage of a healthy batch.
 LEAST = {"name": 0.90, "place_id": 0.90, "coords": 0.80}
@@ -60,7 +60,9 @@ def rederive(entries: DataFrame, labels: DataFrame, entry: str = "entry", label:
     holds one of its identifying texts; of several places of a value the first in list order counts; ties
     between paths go to the one of the smallest label. Values meet leaves in an equi-join, never all pairs.
     """
-    leaves = leaf_paths(entries, (entry,))
+    spark = entries.sparkSession
+    entries = shared.kept(entries.select(entry, "pd"), shared.folder(spark, "entries"))  # decoded once
+    leaves = shared.kept(leaf_paths(entries, (entry,)), shared.folder(spark, "leaves"))
     texts = leaves.filter("kind = 'STRING'").select(entry, "path", F.concat(F.lit("s:"), "text").alias("v"))
     numbers = leaves.filter("kind != 'STRING' AND kind != 'BOOLEAN' AND number IS NOT NULL").select(entry, "path", F.concat(F.lit("n:"), F.round(F.col("number") * 1e6).cast("long").cast("string")).alias("v"))
     known = labels.select(label, "field", F.coalesce(F.concat(F.lit("n:"), F.round(F.col("number") * 1e6).cast("long").cast("string")), F.concat(F.lit("s:"), "value")).alias("v"))

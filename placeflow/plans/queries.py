@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeflow.functions import contacts, decode, geo, keys, pb
-from placeflow.operators import collect, discover, enrich, grid, metrics, parse, quality
+from placeflow.operators import collect, discover, enrich, grid, metrics, parse, quality, shared
 from placeflow.plans import bindings as b
 from placeflow.streaming import collect as streaming
 from placeflow.plans.bindings import BOX, FENCE, GEOMETRY, HOLE, PLACES, SITES, occurrences, occurrences_sql, places, responses, sites, table
@@ -176,21 +176,8 @@ def global_cap(spark, sf_dir):
 r AS (SELECT *, sum(kept) OVER w AS k, count(*) OVER w AS n FROM c WINDOW w AS (ORDER BY seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
 s AS (SELECT min(seq) AS stop FROM r WHERE n = 12 AND k = 0) SELECT seq, CAST(kept AS INTEGER) AS kept FROM c, s WHERE stop IS NULL OR seq <= stop""")
 def empty_streak_stop(spark, sf_dir):
-    cells = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("seq")).agg(F.when((F.sum("o_totalprice") > 1000000) & (F.col("seq") % 3 == 0), 1).otherwise(0).alias("kept"))
-    rows = _numbered_streak(cells)
-    return rows.select("seq", "kept")
-
-
-def _numbered_streak(cells: DataFrame) -> DataFrame:
-    """Sequence numbers without gaps are what blocks need; customers have gaps, so rank them by counts below."""
-    size = 4096
-    own = cells.withColumn("_g", F.floor(F.col("seq") / size))
-    counts = own.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.alias("x").join(counts.alias("y"), F.col("y._g") < F.col("x._g"), "left").groupBy(F.col("x._g").alias("_g")).agg(F.coalesce(F.sum("y._c"), F.lit(0)).alias("_b"))
-    from pyspark.sql import Window
-
-    dense = own.join(before, "_g").withColumn("_n", F.col("_b") + F.row_number().over(Window.partitionBy("_g").orderBy("seq")) - 1)
-    return discover.empty_streak(dense, seq="_n")
+    cells = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.when((F.sum("o_totalprice") > 1000000) & (F.col("custkey") % 3 == 0), 1).otherwise(0).alias("kept"))
+    return discover.empty_streak(collect.dense_ranks(cells, F.col("custkey")).withColumnsRenamed({"seq": "_n"}).withColumn("seq", F.col("custkey")), seq="_n").select("seq", "kept")
 
 
 @query("WITH c AS (SELECT DISTINCT o_orderkey % 500 AS cell_key FROM orders), d AS (SELECT DISTINCT o_orderkey % 500 AS cell_key FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 500 % 7 < 3) SELECT cell_key FROM c WHERE cell_key NOT IN (SELECT cell_key FROM d)")
@@ -268,7 +255,7 @@ def stream_counts(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run a stream over the events table and read back what it wrote."""
-    path = f"{collect._shared(spark)}-stream"
+    path = shared.folder(spark, "stream")
     table(spark, sf_dir, "events").write.parquet(f"{path}/in")
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{path}/in")
     out = transform(source)
@@ -622,3 +609,55 @@ def csv_projection(spark, sf_dir):
 @query()
 def grouped_json(spark, sf_dir):
     return parse.grouped(parse.parse_places(_entries(spark, sf_dir))).select(F.to_json("record", {"ignoreNullFields": "true"}).alias("record"))
+
+
+# The engine's own relational operators, over the same tables
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+def pricing_summary(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+def _totals(groups) -> DataFrame:
+    return groups.agg(F.count(F.lit(1)).alias("n")).select(F.coalesce(F.col("city").cast("string"), F.lit("*")).alias("city"), F.coalesce("category", F.lit("*")).alias("category"), "n")
+
+
+@query("SELECT coalesce(city, '*') AS city, coalesce(category, '*') AS category, count(*) AS n FROM (SELECT CAST(c_nationkey AS VARCHAR) AS city, c_mktsegment AS category FROM customer) GROUP BY ROLLUP (city, category)")
+def coverage_rollup(spark, sf_dir):
+    return _totals(places(spark, sf_dir).rollup("city", "category"))
+
+
+@query("SELECT coalesce(city, '*') AS city, coalesce(category, '*') AS category, count(*) AS n FROM (SELECT CAST(c_nationkey AS VARCHAR) AS city, c_mktsegment AS category FROM customer) GROUP BY CUBE (city, category)")
+def coverage_cube(spark, sf_dir):
+    return _totals(places(spark, sf_dir).cube("city", "category"))
+
+
+@query("SELECT r_name, count(DISTINCT c_custkey) AS places, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def region_totals(spark, sf_dir):
+    """Orders are counted by customer before they meet the dimensions."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("t"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    where = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(where, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("orders"), F.round(F.sum("t"), 2).alias("total"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
+def top_orders(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT user_id, session, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY user_id, session")
+def sessions(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    e = table(spark, sf_dir, "events").withColumn("s", seconds).withColumn("gap", F.col("s") - F.lag("s").over(w))
+    new = F.when(F.col("gap").isNull() | (F.col("gap") > 3600), 1).otherwise(0)
+    return e.withColumn("session", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
