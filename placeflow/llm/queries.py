@@ -16,4 +16,4 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_line_dedup": linededup.query,
 }
-ORACLE_SQL = {"op10_line_dedup": linededup.ORACLE}
+ORACLE_SQL = {"op5_warc": warc.ORACLE, "op10_line_dedup": linededup.ORACLE}
