@@ -1,4 +1,4 @@
-"""python -m placeflow search|grid|place|reviews: recorded tables in, JSON lines or CSV out."""
+"""python -m placeflow search|grid|collect|place|reviews: recorded tables in, JSON lines, CSV or a collection out."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from placeflow.sources import recorded
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="placeflow")
-    parser.add_argument("command", choices=("search", "grid", "place", "reviews"))
+    parser.add_argument("command", choices=("search", "grid", "collect", "place", "reviews"))
     parser.add_argument("--tables", required=True, help="folder of recorded Parquet tables")
     parser.add_argument("--out", required=True)
     parser.add_argument("--format", choices=("json", "csv"), default="json")
@@ -23,6 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--id", default="")
     parser.add_argument("--bbox", default="", help="min_lat,min_lon,max_lat,max_lon")
     parser.add_argument("--cell-size", type=float, default=0.5)
+    parser.add_argument("--resume", action="store_true")
     parser.add_argument("--max-results", type=int, default=500)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("placeflow").getOrCreate()
@@ -31,13 +32,17 @@ def main(argv: list[str] | None = None) -> None:
         df = spark.read.parquet(f"{args.tables.rstrip('/')}/{name}.parquet")
         return df.withColumn("response", F.try_parse_json("response")) if "response" in df.columns else df
 
-    need = {"search": "responses", "grid": "grid_pages", "place": "details", "reviews": "reviews"}[args.command]
+    need = {"search": "responses", "grid": "grid_pages", "collect": "grid_pages", "place": "details", "reviews": "reviews"}[args.command]
     places = Places({need: table(need)})
     if args.command == "search":
         rows = places.search(args.query, max_results=min(20, args.max_results))
-    elif args.command == "grid":
+    elif args.command in ("grid", "collect"):
         box = tuple(float(x) for x in args.bbox.split(","))
-        rows = places.grid_search(box, in_box(F.col("lat"), F.col("lon"), box), collect.Settings(cell_km=args.cell_size, max_results=args.max_results)).places
+        inside, settings = in_box(F.col("lat"), F.col("lon"), box), collect.Settings(cell_km=args.cell_size, max_results=args.max_results)
+        if args.command == "collect":
+            places.collect(args.out, args.query, box, inside, settings, args.resume)
+            return
+        rows = places.grid_search(box, inside, settings).places
     elif args.command == "place":
         rows = places.get(args.id)
     else:

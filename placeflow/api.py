@@ -39,7 +39,37 @@ class Places:
     def grid_search(self, box: grid.Box, inside: Column | None = None, settings: collect.Settings | None = None) -> collect.Collected:
         return collect.collect(self.tables["grid_pages"], box, inside, settings)
 
-    collect = grid_search
+    def collect(self, out: str, query: str, box: grid.Box, inside: Column | None = None, settings: collect.Settings | None = None, resume: bool = False) -> DataFrame:
+        """Collect an area into the folder `out` (places, cells, manifest); the manifest, one row.
+
+        An existing collection is refused without `resume`, and with it if it was for another query. A
+        resumed run skips finished cells and known keys and appends; its manifest counts all runs.
+        """
+        spark = self.tables["grid_pages"].sparkSession
+        before = self._manifest(spark, out)
+        if before is not None and not resume:
+            raise ValueError(f"{out} holds a collection; resume it or choose another folder")
+        if before is not None and before["query"] != query:
+            raise ValueError(f"{out} was collected for {before['query']!r}")
+        done = seen = None
+        if before is not None:
+            done, seen = spark.read.parquet(f"{out}/cells").filter("NOT splits").select("cell_key"), spark.read.parquet(f"{out}/places").select("key")
+        got = collect.collect(self.tables["grid_pages"], box, inside, settings, done, seen)
+        got.places.write.mode("append").parquet(f"{out}/places")
+        got.cells.write.mode("append").parquet(f"{out}/cells")
+        everything = collect.Collected(spark.read.parquet(f"{out}/places"), spark.read.parquet(f"{out}/cells"), got.settings)
+        row = everything.manifest().withColumn("query", F.lit(query)).withColumn("schema_version", F.lit(1))
+        row.write.mode("overwrite").json(f"{out}/manifest")
+        return row
+
+    @staticmethod
+    def _manifest(spark, out: str):
+        from pyspark.errors import AnalysisException
+
+        try:
+            return spark.read.schema("query string").json(f"{out}/manifest").first()
+        except AnalysisException:
+            return None
 
     def get(self, place_id: str) -> DataFrame:
         """The details of a place; no row if none is recorded."""

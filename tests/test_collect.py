@@ -69,3 +69,25 @@ def test_contacts_and_reviews(spark):
     assert [rows[p]["contact_status"] for p in ("P1", "P2", "P3")] == ["completed", "not_eligible_no_website", "failed"]
     reviews = spark.createDataFrame([("h", n, f'[null,[null,"t"],[["r{n}",null,[[{n}]]]]]') for n in range(3)], "hex_id string, page int, r string").withColumn("response", F.parse_json("r"))
     assert [r["rating"] for r in Places({"reviews": reviews}).reviews("h", max_reviews=2).collect()] == [0, 1]
+
+
+def test_collection_refuses_and_resumes(world, tmp_path):
+    pages, settings = world
+    small = collect.Settings(**(settings.__dict__ | {"max_depth": 0}))
+    api, out = Places({"grid_pages": pages}), f"file://{tmp_path}/c"
+    assert api.collect(out, "q", BOX, settings=small).first()["kept"] == 120
+    with pytest.raises(ValueError):
+        api.collect(out, "q", BOX, settings=small)
+    with pytest.raises(ValueError):
+        api.collect(out, "other", BOX, settings=small, resume=True)
+    again = api.collect(out, "q", BOX, settings=small, resume=True).first()
+    assert (again["kept"], again["requests"]) == (120, 6)
+
+
+def test_command_line(world, tmp_path):
+    from placeflow.__main__ import main
+
+    pages, _ = world
+    pages.write.parquet(f"{tmp_path}/t/grid_pages.parquet")
+    main(["grid", "--tables", f"file://{tmp_path}/t", "--out", f"file://{tmp_path}/o", "--bbox", "0,0,0.09,0.09", "--cell-size", "10"])
+    assert pages.sparkSession.read.json(f"file://{tmp_path}/o").count() == 121
