@@ -9,8 +9,8 @@ of the corpus, so scoring a text is a sum of look-ups.
 
 The unigram base needs the count of every word. Words of a bounded list of frequent ones are
 counted apart and looked up where the texts are read; all others travel as (word hash, document,
-count) blocks to their hash's partition, which counts them and returns sums by document. Which
-words are in the list never changes a result, only the path a count takes.
+count) blocks to their hash's partition, which counts them and returns blocks of sums by document.
+Both kinds of blocks hold at most an entry for each (document, word) pair of the texts. Which words are in the list never changes a result, only the path a count takes.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeflow.llm.common import encoded, id_bucket, materialize, shuffle_partitions, table, text_rounds, word_hashes
+from placeflow.llm.common import encoded, id_bucket, materialize, mix, shuffle_partitions, table, text_rounds, word_hashes
 
 DEPTH = 4
 #: Words in the frequent list at most, and documents (about) that are looked at to choose them.
@@ -31,6 +32,7 @@ FREQUENT, LOOKED_AT = 1 << 16, 2000
 MOST_CODES = 4_000_000
 _COUNTS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
+_PARTS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("known", pa.binary()), ("sums", pa.binary()), ("distinct", pa.int64())])
 _SUMS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64())])
 _TREES = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("v", pa.list_(pa.float64()))])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64())])
@@ -270,7 +272,8 @@ def rare_sums(docs: DataFrame, words: np.ndarray) -> DataFrame:
     (1, null, distinct training words, 0), both to be summed."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(words)
-    bits = max(4, (4 * shuffle_partitions(spark) - 1).bit_length())
+    targets = shuffle_partitions(spark)
+    bits = max(4, (4 * targets - 1).bit_length())
 
     def send(batches):
         held: list[tuple] = []
@@ -317,11 +320,26 @@ def rare_sums(docs: DataFrame, words: np.ndarray) -> DataFrame:
         docs_, at = np.unique(doc, return_inverse=True)
         n_known = np.bincount(at, weights=often * (known[place] > 0)).astype(np.int64)
         sums = np.bincount(at, weights=often * logs)
-        n = len(docs_)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, 1]), pa.int32()), pa.array([*(None if x == -(1 << 63) else x for x in docs_.tolist()), None], pa.int64()), pa.array([*n_known.tolist(), int((known > 0).sum())], pa.int64()), pa.array([*sums.tolist(), 0.0], pa.float64())], schema=_SUMS)
+        bucket = (mix(docs_.view(np.uint64)) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(targets + 1))
+        pairs = [(t, order[a:b]) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in pairs], pa.int32()), *(pa.array([x[o].tobytes() for _, o in pairs], pa.binary()) for x in (docs_, n_known, sums)), pa.array([int((known > 0).sum())] + [0] * (len(pairs) - 1), pa.int64())], schema=_PARTS)
+
+    def join(batches):
+        parts, distinct = [], 0
+        for batch in batches:
+            distinct += pc.sum(batch.column(4)).as_py() or 0
+            parts += [tuple(np.frombuffer(x, dtype=k) for x, k in zip(row, (np.int64, np.int64, np.float64), strict=True)) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        if parts:
+            doc, known, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+            docs_, at = np.unique(doc, return_inverse=True)
+            n = len(docs_)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, 1]), pa.int32()), pa.array([*(None if x == -(1 << 63) else x for x in docs_.tolist()), None], pa.int64()), pa.array([*np.bincount(at, weights=known).astype(np.int64).tolist(), distinct], pa.int64()), pa.array([*np.bincount(at, weights=total).tolist(), 0.0], pa.float64())], schema=_SUMS)
 
     sent_blocks = docs.select("doc_id", "text", "train").mapInArrow(send, "bucket int, words binary, docs binary, counts binary")
-    return sent_blocks.repartition(shuffle_partitions(spark), "bucket").mapInArrow(settle, "kind int, doc_id long, n_known long, sum_log double")
+    settled = sent_blocks.repartition(targets, "bucket").mapInArrow(settle, "bucket int, docs binary, known binary, sums binary, distinct long")
+    return settled.repartition(targets, "bucket").mapInArrow(join, "kind int, doc_id long, n_known long, sum_log double")
 
 
 # Both
