@@ -194,7 +194,7 @@ def write_deduplicated(resolved: DataFrame) -> DataFrame:
 def deduplicate(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Headers read back from deduplicated archives of the pages. Every row gives a record; rows that repeat the
     smallest page_id of their payload are all responses. An empty table gives no archive and no rows."""
-    headers = read_headers(write_archives(pages))
+    headers = materialize(read_headers(write_archives(pages)), "warc-headers")  # read once, and of known size when joined
     return read_headers(write_deduplicated(resolve_revisits(headers, min_bytes)))
 
 
