@@ -116,6 +116,3 @@ def word_hashes(texts: list[bytes], bare: bool = False) -> tuple[np.ndarray, np.
     owner = np.searchsorted(offsets, starts, side="right") - 1
     return hashes, owner, data
 
-
-def sparse_sum(ids: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
-    return np.bincount(ids, weights=weights, minlength=n)

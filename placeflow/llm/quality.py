@@ -19,21 +19,33 @@ BITS = 17
 MAX_TRAIN = 6000
 _ROWS = pa.schema([("label", pa.int32()), ("features", pa.binary())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+#: Added to a row's squared length, so that the few indicators of a short text don't outweigh the bias.
+_DAMP = 100.0
+#: Lengths of repeating stretches that are features of their own.
+_RUNS = 12
 #: Texts in a round: the round's indicator table has this many rows of 2**BITS bytes.
 _ROUND_ROWS = 192
 
 
 def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, feature id), each pair once, in order. A word that follows itself is one feature, whatever the word."""
+    """(index of the text, feature id), each pair once, in order."""
     half = BITS - 1
-    h, owner, data = word_hashes(texts)
+    h, owner, _ = word_hashes(texts)
     seen = np.zeros((len(texts), 1 << BITS), dtype=bool)
     flat = seen.reshape(-1)
     flat[(owner << BITS) + (h >> np.uint64(64 - half)).astype(np.int64)] = True
     if len(h) > 1:
         same = owner[1:] == owner[:-1]
-        pairs = mix(np.where(h[:-1] == h[1:], np.uint64(1), h[:-1] * np.uint64(3) + h[1:])) >> np.uint64(64 - half)
+        pairs = mix(h[:-1] * np.uint64(3) + h[1:]) >> np.uint64(64 - half)
         flat[(owner[1:][same] << BITS) + pairs[same].astype(np.int64)] = True
+    for gap in range(1, 4):  # a stretch that repeats with this period is a feature for each of its lengths, whatever its words
+        same = (h[gap:] == h[:-gap]) & (owner[gap:] == owner[:-gap])
+        run = same
+        for length in range(_RUNS):
+            if not run.any():
+                break
+            flat[(owner[: len(run)][run] << BITS) + (1 << half) - 1 - gap * _RUNS - length] = True
+            run = run[:-1] & same[length + 1 :]
     sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
     raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8).astype(np.uint32)  # as written: case is a sign of quality
@@ -70,26 +82,23 @@ def log_count_ratio(rows: list[tuple[int, np.ndarray]], size: int, smooth: float
     return np.log(counts[1] / counts[0])
 
 
-def dual_descent(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, c: float = 0.1, epochs: int = 15, tolerance: float = 1e-3) -> np.ndarray:
-    """Weights of the hinge-loss model over rows scaled to unit length; the last weight is the bias's.
-    The rarer class weighs as much as the other in total."""
+def dual_descent(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray, c: float = 1.0, epochs: int = 15, tolerance: float = 1e-3) -> np.ndarray:
+    """Weights of the hinge-loss model over rows of damped length; the last weight is the bias's."""
     size = len(ratio)
     w = np.zeros(size + 1)
-    share = np.bincount([y for y, _ in rows], minlength=2) / len(rows)
     xs = []
     for y, ids in rows:
         v = ratio[ids]
-        norm = np.sqrt((v * v).sum()) or 1.0
-        xs.append((1 if y else -1, np.append(ids, size), np.append(v / norm, 1.0), c * 0.5 / max(share[y], 1e-9)))
+        xs.append((1 if y else -1, np.append(ids, size), np.append(v / np.sqrt((v * v).sum() + _DAMP), 1.0)))
     alpha = np.zeros(len(xs))
-    square = [float((v * v).sum()) for _, _, v, _ in xs]
+    square = [float((v * v).sum()) for _, _, v in xs]
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(xs)):
-            y, ids, v, cap = xs[i]
+            y, ids, v = xs[i]
             g = y * float(w[ids] @ v) - 1
-            new = min(max(alpha[i] - g / square[i], 0.0), cap)
+            new = min(max(alpha[i] - g / square[i], 0.0), c)
             if new != alpha[i]:
                 w[ids] += (new - alpha[i]) * y * v
                 most = max(most, abs(new - alpha[i]))
@@ -142,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
 
 def _margin(ids: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> float:
     v = ratio[ids]
-    return float(w[ids] @ v) / (float(np.sqrt((v * v).sum())) or 1.0) + float(w[-1])
+    return float(w[ids] @ v) / float(np.sqrt((v * v).sum() + _DAMP)) + float(w[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float, float]) -> DataFrame:
@@ -155,8 +164,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float, fl
         for batch in _rounds(batches):
             texts = encoded(batch.column(1))
             owner, ids = indicators(texts)
-            norm = np.sqrt(np.bincount(owner, weights=squared[ids], minlength=len(texts)))
-            margin = np.bincount(owner, weights=scaled[ids], minlength=len(texts)) / np.where(norm > 0, norm, 1) + bias
+            norm = np.sqrt(np.bincount(owner, weights=squared[ids], minlength=len(texts)) + _DAMP)
+            margin = np.bincount(owner, weights=scaled[ids], minlength=len(texts)) / norm + bias
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(slope * margin + offset, -35, 35))))], schema=_SCORED)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
