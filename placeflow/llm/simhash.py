@@ -178,7 +178,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, blocks: int = 4, cell_
         shape = blocks if level == 0 else radius + 1
         cells = rows.mapInArrow(_cells(shape, radius), "cell long, held long, fp long")
         sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        cells = materialize(cells.join(sizes, "cell"), "cells")
+        cells = materialize(cells.join(sizes.hint("merge"), "cell"), "cells")  # Spark can't see how many cells there are
         last = level == 3
         small = cells if last else cells.filter(F.col("n") <= cell_rows)
         found = small.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(_links(radius), "u long, v long")
