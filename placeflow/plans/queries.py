@@ -460,7 +460,9 @@ def adaptive_timeout_p90(spark, sf_dir):
     return metrics.adaptive_timeout(table(spark, sf_dir, "events"), "value", ("event_type",), 12.0)
 
 
-@query()
+@query("""SELECT user_id, list_reduce(list(struct_pack(d := 0.0::DOUBLE, s := 0, b := value > 95) ORDER BY ts, event_id), lambda a, x: struct_pack(
+  d := CASE WHEN x.b THEN least(8.0, round(a.d * 2.0, 4)) WHEN a.s + 1 >= 5 THEN greatest(0.4, round(a.d - 0.1, 4)) ELSE a.d END,
+  s := CASE WHEN x.b OR a.s + 1 >= 5 THEN 0 ELSE a.s + 1 END, b := x.b), struct_pack(d := 1.5::DOUBLE, s := 0, b := false)).d AS delay FROM events GROUP BY user_id""")
 def aimd_delay(spark, sf_dir):
     """The delay of each user's request log, folded in time order."""
     signals = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 95).alias("blocked")))).alias("xs"))
@@ -606,7 +608,15 @@ def csv_projection(spark, sf_dir):
     return recorded.csv_rows(rows).select("name", "place_id", "emails", "socials")
 
 
-@query()
+_RATING = "concat_ws(',', CASE WHEN c_custkey % 50 <> 0 THEN '\"rating\":' || CAST((c_custkey % 50) / 10.0 AS DOUBLE) END, CASE WHEN c_custkey % 300 <> 0 THEN '\"review_count\":' || c_custkey % 300 END)"
+_WHERE = "concat_ws(',', CASE WHEN a <> 0 THEN '\"latitude\":' || CAST(a AS DOUBLE) END, CASE WHEN b <> 0 THEN '\"longitude\":' || CAST(b AS DOUBLE) END)"
+
+
+@query(f"""WITH {PLACES} SELECT '{{"name":"' || name || '"' || CASE WHEN c_custkey % 25 <> 0 THEN ',"place_id":"' || place_id || '"' ELSE '' END
+ || ',"hex_id":"0x' || c_custkey || '","data_id":"D' || c_custkey || '","cid":"0x' || c_custkey || '","contact":{{"website":"https://shop' || c_custkey || '.com"'
+ || CASE WHEN c_custkey % 25 <> 0 THEN ',"google_maps_url":"{parse.PLACE_URL}' || place_id || '"' ELSE '' END || '}},"address":{{"full":"' || category || ' street"}}'
+ || CASE WHEN {_RATING} <> '' THEN ',"rating":{{' || {_RATING} || '}}' ELSE '' END || CASE WHEN {_WHERE} <> '' THEN ',"location":{{' || {_WHERE} || '}}' ELSE '' END
+ || ',"business":{{"categories":["' || category || '"]}}}}' AS record FROM places""")
 def grouped_json(spark, sf_dir):
     return parse.grouped(parse.parse_places(_entries(spark, sf_dir))).select(F.to_json("record", {"ignoreNullFields": "true"}).alias("record"))
 
