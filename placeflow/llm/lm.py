@@ -3,8 +3,8 @@
 Context-tree weighting: each byte is eight binary decisions; every node (the last d bytes, the
 decisions so far) has Krichevsky-Trofimov counts, and a node's probability is half its own estimate
 and half the product of its children's, mixed over all depths 0 to `depth`. The counts are summed
-by Spark; the trees are weighted bottom-up in groups of one most recent byte, which are whole
-subtrees; the root joins them. The result is one log-probability for each distinct (context, byte)
+by Spark; the trees are weighted bottom-up in partitions by the two most recent bytes, which hold
+whole subtrees; the few nodes above join them. The result is one log-probability for each distinct (context, byte)
 of the corpus, so scoring a text is a sum of look-ups.
 
 The unigram base needs the count of every word. Words of a bounded list of frequent ones are
@@ -129,9 +129,9 @@ def _weighted(own: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.logaddexp(own, below) + np.log(0.5)
 
 
-def subtree(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For codes of one most recent byte: (their eight decisions' probabilities as mixed over depths 1 to `depth`,
-    rows (decisions so far, zeros, ones, log of the weighted probability) of the depth-1 nodes)."""
+def subtree(codes: np.ndarray, counts: np.ndarray, depth: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all codes of some choices of the `floor` most recent bytes: (their eight decisions' probabilities as mixed over depths
+    `floor` to `depth`, rows (parent, zeros, ones, log of the weighted probability) of the nodes at depth `floor`)."""
     byte = codes & 255
     context = codes >> 8
     mixed = np.zeros((len(codes), 8))
@@ -140,7 +140,7 @@ def subtree(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarr
         so_far = (1 << k) | (byte >> (8 - k))
         bit = (byte >> (7 - k)) & 1
         below, below_parent, p = None, None, None
-        for d in range(depth, 0, -1):
+        for d in range(depth, floor - 1, -1):
             keys, place = np.unique((context & ((1 << 8 * d) - 1)) * 256 + so_far, return_inverse=True)
             ones = np.bincount(place, weights=counts * bit, minlength=len(keys))
             zeros = np.bincount(place, weights=counts * (1 - bit), minlength=len(keys))
@@ -153,33 +153,50 @@ def subtree(codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarr
                 weighted = _weighted(own, children)
                 share = np.exp(own + np.log(0.5) - weighted)[place]
                 p = share * estimate + (1 - share) * p
-            below = weighted
-            below_parent = ((keys >> 8) & ((1 << 8 * (d - 1)) - 1)) * 256 + (keys & 255)
+            below, below_parent = weighted, _parent(keys, d)
         mixed[:, k] = p
-        top += [(int(key & 255), z, o, w) for key, z, o, w in zip(keys, zeros, ones, weighted, strict=True)]
+        top += list(zip(below_parent.tolist(), zeros.tolist(), ones.tolist(), weighted.tolist(), strict=True))
     return mixed, np.array(top)
 
 
+def _parent(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The node without its oldest byte, of a node at `depth`."""
+    return ((keys >> 8) & ((1 << 8 * (depth - 1)) - 1)) * 256 + (keys & 255)
+
+
 def code_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(code, log10 of its byte's probability after its context) for every code of `counts` (code, n)."""
+    floor = min(2, depth)
 
-    def grow(group: pa.Table) -> pa.Table:
-        codes, n = group["code"].to_numpy(), group["n"].to_numpy().astype(float)
-        mixed, top = subtree(codes, n, depth)
-        kind = np.concatenate([np.zeros(len(codes), dtype=np.int32), np.ones(len(top), dtype=np.int32)])
-        key = np.concatenate([codes, top[:, 0].astype(np.int64)])
-        ends = np.concatenate([np.arange(0, 8 * len(codes) + 1, 8), 8 * len(codes) + 3 * np.arange(1, len(top) + 1)])
-        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([mixed.reshape(-1), top[:, 1:].reshape(-1)])))
-        return pa.Table.from_arrays([pa.array(kind), pa.array(key), values], schema=_TREES)
-
-    recent = F.shiftright("code", 8).bitwiseAND(255).alias("recent")
-    grown = materialize(counts.groupBy(recent).applyInArrow(grow, "kind int, code long, v array<double>"), "trees")
-    root = grown.filter("kind = 1").groupBy("code").agg(*(F.sum(F.col("v")[i]).alias(c) for i, c in enumerate(("zeros", "ones", "below")))).collect()  # 255 nodes
-    share, estimate = np.zeros(256), np.full((256, 2), 0.5)
-    for r in root:
-        own = log_kt(np.array([r["zeros"]]), np.array([r["ones"]]))
-        share[r["code"]] = np.exp(own + np.log(0.5) - _weighted(own, np.array([r["below"]])))[0]
-        estimate[r["code"]] = (np.array([r["zeros"], r["ones"]]) + 0.5) / (r["zeros"] + r["ones"] + 1)
+    def grow(batches):
+        """All subtrees of a partition at once: their nodes differ in the most recent bytes, so none is shared."""
+        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if parts:
+            codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mixed, top = subtree(codes, n.astype(float), depth, floor)
+            kind = np.concatenate([np.zeros(len(codes), dtype=np.int32), np.ones(len(top), dtype=np.int32)])
+            key = np.concatenate([codes, top[:, 0].astype(np.int64)])
+            ends = np.concatenate([np.arange(0, 8 * len(codes) + 1, 8), 8 * len(codes) + 3 * np.arange(1, len(top) + 1)])
+            values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([mixed.reshape(-1), top[:, 1:].reshape(-1)])))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), values], schema=_TREES)
+
+    recent = F.shiftright("code", 8).bitwiseAND((1 << 8 * floor) - 1)
+    dealt = counts.select("code", "n").repartition(shuffle_partitions(counts.sparkSession), recent)
+    grown = materialize(dealt.mapInArrow(grow, "kind int, code long, v array<double>"), "trees")
+    nodes = grown.filter("kind = 1").groupBy("code").agg(*(F.sum(F.col("v")[i]).alias(c) for i, c in enumerate(("zeros", "ones", "below")))).toArrow()
+    # At most 256 * 255 nodes of one recent byte, or 255 of none: the levels above the groups.
+    keys, zeros, ones, below = (nodes[c].to_numpy() for c in ("code", "zeros", "ones", "below"))
+    levels = []
+    for d in range(floor - 1, -1, -1):
+        own = log_kt(zeros, ones)
+        weighted = _weighted(own, below)
+        share, estimate = np.zeros(1 << 8 * (d + 1)), np.full((1 << 8 * (d + 1), 2), 0.5)
+        share[keys] = np.exp(own + np.log(0.5) - weighted)
+        estimate[keys] = np.stack([zeros, ones], axis=1) + 0.5
+        estimate[keys] /= estimate[keys].sum(axis=1, keepdims=True)
+        levels.append((d, share, estimate))
+        keys, place = np.unique(_parent(keys, d) if d else keys, return_inverse=True)
+        zeros, ones, below = (np.bincount(place, weights=x, minlength=len(keys)) for x in (zeros, ones, weighted))
 
     def finish(batches):
         for batch in batches:
@@ -187,8 +204,11 @@ def code_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             mixed = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8)
             total = np.zeros(len(codes))
             for k in range(8):
-                node = (1 << k) | ((codes & 255) >> (8 - k))
-                total += np.log10(share[node] * estimate[node, (codes >> (7 - k)) & 1] + (1 - share[node]) * mixed[:, k])
+                p = mixed[:, k]
+                for d, share, estimate in levels:
+                    node = ((codes >> 8) & ((1 << 8 * d) - 1)) * 256 + ((1 << k) | ((codes & 255) >> (8 - k)))
+                    p = share[node] * estimate[node, (codes >> (7 - k)) & 1] + (1 - share[node]) * p
+                total += np.log10(p)
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(total)], names=["code", "logp"])
 
     return grown.filter("kind = 0").select("code", "v").mapInArrow(finish, "code long, logp double")
