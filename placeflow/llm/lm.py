@@ -219,7 +219,7 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 def lookup_table(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
     """(slots' codes, slots' values, bits, codes and values that found their slot taken, sorted)."""
-    bits = max(4, int(np.ceil(np.log2(4 * len(codes) + 1))))
+    bits = max(4, int(np.ceil(np.log2(2 * len(codes) + 1))))  # 32 to 64 bytes a code
     slot = (codes.view(np.uint64) * _SPREAD) >> np.uint64(64 - bits)
     _, first = np.unique(slot, return_index=True)
     at, held = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits)
