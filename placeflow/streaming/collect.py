@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -18,19 +19,17 @@ def windowed_counts(occurrences: DataFrame, time: str, by: tuple[str, ...], wind
 
 
 def collect(occurrences: DataFrame, path: str, checkpoint: str, inside: Column, key: str = "key") -> StreamingQuery:
-    """Append each batch's new places to `path`, fenced and deduplicated against what is there already.
+    """Append each batch's new places to `path`, fenced and deduplicated against earlier batches.
 
-    The batch id is a column of the written rows, and a batch first drops rows of its own id from what
-    it compares with and skips if its folder is committed, so a batch that runs twice writes once.
+    Each batch owns the folder batch=<id>, compares with folders of smaller ids only and overwrites its own, so a
+    batch that runs twice gives the same rows once.
     """
 
     def batch(rows: DataFrame, n: int) -> None:
-        spark = rows.sparkSession
         kept = rows.filter(inside).groupBy(key).agg(F.min(F.struct("cell", "page", "rank")).alias("at")).select(key, "at.*")
-        earlier = [f"{path}/batch={i}" for i in range(n)]
-        if earlier:
-            known = spark.read.schema(kept.schema).option("ignoreMissingFiles", "true").parquet(*earlier).select(key)
-            kept = kept.join(known, key, "left_anti")
+        if n:
+            earlier = rows.sparkSession.read.schema(T.StructType([*kept.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+            kept = kept.join(earlier.filter(F.col("batch") < n).select(key), key, "left_anti")
         kept.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return occurrences.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
