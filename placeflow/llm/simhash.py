@@ -328,7 +328,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     tables = int(np.ceil(3 / 0.85**key_bits))
     rows = first.mapInArrow(_tables(key_bits, tables), _sql(_ROWS))
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
-    cells = rows.join(sizes, "cell")
+    cells = rows.join(sizes.hint("merge"), "cell")  # Spark can't see how many cells there are
     large = F.col("n") > cell_rows
     parts = F.ceil(F.col("n") / cell_rows)
     salt = F.when(large & (F.col("id") == F.col("low")), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.when(large, F.pmod(F.xxhash64("id"), parts)).otherwise(F.lit(0)).cast("long")))
