@@ -11,7 +11,6 @@ and offset; ranks come from salted counts, so no length's pieces meet in one tas
 
 from __future__ import annotations
 
-import base64
 import re
 import zlib
 from collections import Counter
@@ -37,29 +36,38 @@ _OTHER = re.compile(f"[^\\t-\\r\\x20-\\x7e{_LETTERS}]")
 _PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 
 
+#: Pieces of more characters than this are encoded each time, so that what is remembered stays small.
+_LONGEST = 64
+
+
 class Tokenizer:
-    """Byte-level BPE over the published ranks of the same vocabulary; pieces of text are remembered as id bytes."""
+    """The published tokenizer; the ids of short pieces of text are remembered as bytes."""
 
     def __init__(self, name: str = "byte_bpe_50k", most: int = 400_000):
         import public_tokenizers
-        import tiktoken
+        import tokenizers
 
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tokenizers.Tokenizer.from_file(str(public_tokenizers.path(f"{name}.json")))
+        self.added = tuple(t.content for t in self.encoding.get_added_tokens_decoder().values())
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.most = most
 
         class Memory(dict):
-            def __missing__(memory, piece, encode=self.encoding.encode_ordinary):
-                got = np.array(encode(piece), dtype="<u4").tobytes()
-                memory[piece] = got
+            def __missing__(memory, piece, encode=self.encode):
+                got = encode(piece)
+                if len(piece) <= _LONGEST:
+                    memory[piece] = got
                 return got
 
         self.memory = Memory()
 
+    def encode(self, text: str) -> bytes:
+        return np.array(self.encoding.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def id_bytes(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
+        """The ids as little-endian unsigned 32-bit numbers. A text that spells an added token is encoded whole."""
+        if any(t in text for t in self.added):
+            return self.encode(text)
         if len(self.memory) > self.most:
             self.memory.clear()
         pieces = (self.pattern if _OTHER.search(text) else _PLAIN).findall(text)
