@@ -67,12 +67,13 @@ def ftrl(rows: list[tuple[int, np.ndarray]], size: int, alpha: float = 1.0, beta
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
-    """(ids of the non-zero weights, the weights, bias), from at most `max_train` labelled rows; no rows give score 0.5."""
+    """(ids of the non-zero weights, the weights, bias), from at most `max_train` labelled rows; without rows nothing
+    speaks for toxicity, and every score is next to 0."""
     sample = labelled_sample(docs, labels, label, modulus, held_out, max_train)
     got = sample.select("doc_id", "text", "label").mapInArrow(_feature_rows, "label int, features binary").toArrow()
     rows = sorted(zip(got["label"].to_pylist(), got["features"].to_pylist(), strict=True))
     if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
+        return np.zeros(0, dtype=np.int64), np.zeros(0), -35.0
     w, bias = ftrl([(y, np.frombuffer(x, dtype="<i4")) for y, x in rows], 1 << BITS)
     ids = np.flatnonzero(w)
     return ids, w[ids], bias

@@ -47,3 +47,22 @@ def test_run_packs_the_documents_that_brute_force_keeps(spark, documents, texts,
         assert sum(p["length"] for p in parts) == len(ids)
         for p in parts:
             assert zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
+
+
+def test_stages_on_odd_and_empty_rows(spark, odd):
+    """Nulls, empty texts, repeated rows, no rows, and columns named like the operators' own."""
+    sf_dir = "/root/testdata/sf0.001"
+    clashing = ("component_id", "gone", "n_dropped", "cut_id", "cut_hash", "f0", "id", "fp", "salt", "key", "label", "train")
+    docs = odd.withColumn("doc_id", odd["doc_id"] + 1_000_000)  # no labels for these
+    docs = docs.selectExpr("*", "'en' AS lang", "'web' AS source", "CAST(length(text) AS long) AS n_chars", *(f"7 AS {c}" for c in clashing))
+    for given in (docs, docs.limit(0)):
+        n, now = given.count(), given
+        for name, stage in pipeline.STAGES:
+            now = stage(spark, now, sf_dir)
+            rows = [r.asDict() for r in now.collect()]
+            if name != "packing":
+                assert now.columns == docs.columns
+                assert all(r["cut_id"] == 7 and r["n_lines"] == 1 and r["fingerprint"] == "x" for r in rows)
+            if name == "simhash_near_dedup" and n:  # 2 copies 1; 4 and 7 have no words, like 3; a repeated row stays once
+                assert sorted((r["doc_id"] is not None, (r["doc_id"] or 0) % 1_000_000) for r in rows) == [(False, 0), (True, 1), (True, 3), (True, 5), (True, 6)]
+            assert bool(rows) == bool(n)
