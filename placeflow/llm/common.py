@@ -82,7 +82,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64, for i below n."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 2 * ROUND_BYTES)
+        size = max(n, ROUND_BYTES + ROUND_BYTES // 4)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, factor in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, factor, dtype=np.uint64)

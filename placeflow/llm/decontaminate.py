@@ -50,28 +50,26 @@ class Words(dict):
         name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and bare.isalpha()
         start = NUMBER if number else LITERAL
         row = (xxhash.xxh64_intdigest(low.encode(), _TOKEN_SEED), xxhash.xxh64_intdigest(low.encode(), _VALUE_SEED), start, NAME if name and not number else start, word[-1] in ".!?:" or word.endswith(('."', ".'", '?"', '!"')), low in UNITS, not bare)
-        self.rows.append(row)
-        self[word] = len(self.rows) - 1
+        self.new.append(row)
+        self[word] = len(self)
         return self[word]
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple] = []
-        self.tables: list[np.ndarray] = []
+        self.new: list[tuple] = []
+        self.tables = [np.zeros(0, dtype=k) for k in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool)]
 
     def columns(self) -> list[np.ndarray]:
-        """The rows as arrays; rebuilt when words were added."""
-        if not self.tables or len(self.tables[0]) < len(self.rows):
-            kinds = (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool)
-            done = len(self.tables[0]) if self.tables else 0
-            new = list(zip(*self.rows[done:], strict=True))
-            more = [np.array(c, dtype=k) for c, k in zip(new, kinds, strict=True)]
-            self.tables = [np.concatenate(x) for x in zip(self.tables, more, strict=True)] if done else more
+        """The rows as arrays; rows of words added since move there, as tuples take ten times the memory."""
+        if self.new:
+            more = zip(*self.new, strict=True)
+            self.tables = [np.concatenate([t, np.array(c, dtype=t.dtype)]) for t, c in zip(self.tables, more, strict=True)]
+            self.new = []
         return self.tables
 
 
 #: Words remembered at most; then the memory starts anew.
-_MOST_WORDS = 400_000
+_MOST_WORDS = 200_000
 
 
 class Canonical:

@@ -43,7 +43,7 @@ _LONGEST = 64
 class Tokenizer:
     """The published tokenizer; the ids of short pieces of text are remembered as bytes."""
 
-    def __init__(self, name: str = "byte_bpe_50k", most: int = 400_000):
+    def __init__(self, name: str = "byte_bpe_50k", most: int = 250_000):
         import public_tokenizers
         import tokenizers
 
