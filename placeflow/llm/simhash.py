@@ -12,6 +12,7 @@ until a cell cannot hold more fingerprints than its free bits allow.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeflow.llm.common import encoded, materialize, mix, table
+from placeflow.llm.common import encoded, materialize, mix, table, text_rounds, word_hashes
 from placeflow.llm.components import components
 
 SEED = 42
@@ -205,139 +206,212 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, blocks: in
     return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Wide fingerprints, for copies that were edited more
+# Sets of shingles, for copies that were edited more
 
 
-WORDS = 4
-_WIDE = pa.schema([("doc_id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(WORDS))])
-_ROWS = pa.schema([("cell", pa.int64()), ("id", pa.int64()), *((f"f{i}", pa.int64()) for i in range(WORDS))])
-_SALTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
+#: Buckets of shingle counts, by which rare shingles come first, and the parts in which they are summed.
+BUCKETS, PARTS = 1 << 20, 64
+_COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("size", pa.int32()), ("shingles", pa.binary())])
+_ROWS = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("size", pa.int32())])
+_MET = _ROWS.append(pa.field("low", pa.int64())).append(pa.field("low_size", pa.int32()))
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, f0 to f3): 256 majority bits of the word shingles; all zero without words."""
+def _sql(schema: pa.Schema) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                prints = np.zeros((part.num_rows, WORDS), dtype="<u8")
-                for i, text in enumerate(encoded(part.column(1))):
-                    hashes = shingle_hashes(text, width)
-                    if len(hashes):
-                        prints[i] = majority(mix(hashes[:, None] ^ _SALTS[None, :]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(prints[:, i].view(np.int64)) for i in range(WORDS))], schema=_WIDE)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, _sql(_WIDE))
+def _id_text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _sql(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} long" for f in schema)
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The distinct hashes of each text's lower-cased word shingles, sorted; of its whole sequence if it is shorter."""
+    words, owner, _ = word_hashes(texts)
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
 
+    def hashes(tokens: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(max(0, len(tokens) - k + 1), k, dtype=np.uint64)
+        for i in range(k):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + len(h)])
+        return h
 
-def _tables(key_bits: int, tables: int):
-    """Rows (cell, id, print): in each table the cell is `key_bits` bits of the print. A bit is the difference of
-    the distances to two reference prints, the empty one and the one with that bit alone."""
-    rng = np.random.default_rng(5)
-    chosen = [np.sort(rng.choice(64 * WORDS, key_bits, replace=False)) for _ in range(tables)]
+    whole = hashes(words, width)
+    return [np.unique(whole[a : b - width + 1] if b - a >= width else hashes(words[a:b], b - a) if b > a else whole[:0]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def run(batches):
-        weights = np.uint64(1) << np.arange(key_bits, dtype=np.uint64)
+
+def _rounds(batches, width: int):
+    """(ids, sets) of some texts at a time."""
+    for part in text_rounds(batches):
+        yield part.column(0), shingle_sets(encoded(part.column(1)), width)
+
+
+def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How many texts' shingles fall in each of BUCKETS buckets: a fixed size, whatever the corpus."""
+
+    def count(batches):
+        total = np.zeros(BUCKETS, dtype="<i8")
+        for _, sets in _rounds(batches, width):
+            total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        parts = [(i, x.tobytes()) for i, x in enumerate(np.split(total, PARTS)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], f.type) for i, f in enumerate(_COUNTS)], schema=_COUNTS)
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            prints = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(WORDS)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").astype(np.uint64)
-            for t, places in enumerate(chosen):
-                cell = mix(bits[:, places] @ weights + (np.uint64(t + 1) << np.uint64(key_bits)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *batch.columns], schema=_ROWS)
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                totals[i] = totals.get(i, 0) + np.frombuffer(x, dtype="<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], schema=_COUNTS)
+
+    counts = np.zeros((PARTS, BUCKETS // PARTS), dtype="<i8")
+    for r in _id_text(docs).mapInArrow(count, _sql(_COUNTS)).repartition("part").mapInArrow(add, _sql(_COUNTS)).collect():  # 8 MB at most
+        counts[r["part"]] = np.frombuffer(r["counts"], dtype="<i8")
+    return counts.ravel()
 
-    return run
 
+def _sets(docs: DataFrame, width: int, counts: np.ndarray | None = None, share: Fraction | None = None) -> DataFrame:
+    """(doc_id, 128 bits that stand for the set, its size, shingles): all shingles of the set, or with `counts` the
+    rarest, so many that two sets of a Jaccard similarity of `share` have one of them in common."""
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
-def _similar(most: int, few: int = 32):
-    """Links within cells: all similar pairs of cells of up to `few` prints, stars of larger ones."""
-
-    def star(prints: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
-        u, v, free = [], [], np.argsort(ids, kind="stable")
-        while len(free):
-            root, free = ids[free[0]], free
-            frontier, free = free[:1], free[1:]
-            while len(frontier) and len(free):
-                hit = np.zeros(len(free), dtype=bool)
-                for f in frontier:
-                    left = np.flatnonzero(~hit)
-                    hit[left] = np.bitwise_count(prints[free[left]] ^ prints[f]).sum(axis=1, dtype=np.int64) <= most
-                frontier, free = free[hit], free[~hit]
-                u += ids[frontier].tolist()
-                v += [int(root)] * len(frontier)
-        return u, v
-
-    def settle(cells: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        cuts = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]))
-        size = np.repeat(np.diff(cuts), np.diff(cuts))
-        u, v = [], []
-        small = size <= few
-        for shift in range(1, few):
-            a = np.flatnonzero(small[:-shift] & (cells[shift:] == cells[:-shift]))
-            if not len(a):
-                break
-            near = np.bitwise_count(prints[a] ^ prints[a + shift]).sum(axis=1, dtype=np.int64) <= most
-            u.append(ids[a[near]])
-            v.append(ids[a[near] + shift])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > few:
-                x, y = star(prints[a:b], ids[a:b])
-                u.append(np.array(x, dtype=np.int64))
-                v.append(np.array(y, dtype=np.int64))
-        u, v = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (u, v))
-        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0) if len(u) else np.zeros((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], schema=_LINKS)
+    def rarest(x: np.ndarray) -> np.ndarray:
+        most = len(x) - -(-len(x) * share.numerator // share.denominator) + 1 if len(x) else 0
+        return x[np.lexsort((x, sent.value[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:most]]
+
+    def run(batches):
+        for ids, sets in _rounds(batches, width):
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), dtype="<i8").reshape(-1, 2)
+            held = [(rarest(x) if share else x).tobytes() for x in sets]
+            columns = [ids, pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SETS)
+
+    return _id_text(docs).mapInArrow(run, _sql(_SETS))
+
+
+def _spread(batches):
+    """(cell, id, size): a row for each shingle of each set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            sets = [np.frombuffer(x, dtype="<i8") for x in part.column(2).to_pylist()]
+            lengths = [len(x) for x in sets]
+            ids, sizes = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), lengths) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(ids), pa.array(sizes)], schema=_ROWS)
+
+
+def _met(batches):
+    """The rows of cells of two or more, each with the first of its cell; rows come sorted by (cell, id)."""
+    cell, first, alone = None, None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells, ids, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if cell is not None:  # the cell before goes on with its first row
+            cells, ids, sizes = (np.concatenate(([x], y)) for x, y in zip((cell, *first), (cells, ids, sizes), strict=True))
+        starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+        length = np.diff(np.concatenate((starts, [len(cells)])))
+        lows = np.repeat(starts, length)
+        keep = np.repeat(length > 1, length)
+        if cell is not None and not alone:
+            keep[0] = False  # it was sent with an earlier batch
+        last = starts[-1]
+        alone = bool(length[-1] == 1) and (last > 0 or cell is None or alone)
+        cell, first = cells[last], (ids[last], sizes[last])
+        columns = cells[keep], ids[keep], sizes[keep].astype(np.int32), ids[lows][keep], sizes[lows][keep].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_MET)
+
+
+def _pairs(share: Fraction):
+    """(u, v): the rows of a cell that are of different roots and whose sizes allow the similarity; none with the cell's
+    first row, which all were compared with. Between two blocks of a cell only pairs of one with the other."""
+
+    def settle(ids, sizes, roots, blocks, low):
+        a, b = (np.flatnonzero(blocks == x) for x in (blocks.min(), blocks.max()))
+        same = blocks.min() == blocks.max()
+        for at in range(0, len(a), 256):
+            i = a[at : at + 256]
+            small, large = np.minimum(sizes[i][:, None], sizes[b][None, :]), np.maximum(sizes[i][:, None], sizes[b][None, :])
+            fit = (roots[i][:, None] != roots[b][None, :]) & (small * share.denominator >= large * share.numerator)
+            fit &= (ids[i] != low)[:, None] & (ids[b] != low)[None, :]
+            if same:
+                fit &= ids[i][:, None] > ids[b][None, :]
+            x, y = np.nonzero(fit)
+            if len(x):
+                u, v = ids[i[x]], ids[b[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], schema=_LINKS)
 
     def run(batches):
         rest = None
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            now = columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64)
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
-                now = tuple(np.concatenate(x) for x in zip(rest, now, strict=True))
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last cell may go on
-            if cut:
-                yield settle(*(x[:cut] for x in now))
-            rest = tuple(x[cut:] for x in now)
+                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+            cells = now[0]
+            cuts = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1)) if len(cells) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield from settle(*(x[a:b] for x in now[1:5]), now[5][a])
+            rest = [x[cuts[-1] :] for x in now]  # the last cell may go on
         if rest is not None and len(rest[0]):
-            yield settle(*rest)
+            yield from settle(*rest[1:5], rest[5][0])
 
     return run
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """Those of the distinct `pairs` (u, v) whose sets have a Jaccard similarity of `share` or more."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    sets = materialize(_sets(_id_text(docs).join(wanted, "doc_id", "left_semi"), width).select("doc_id", "shingles"), "sets")
+    u, v = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
+
+    def run(batches):
+        for batch in batches:
+            hit = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype="<u8") for c in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * share.denominator >= (len(x) + len(y) - both) * share.numerator:
+                    hit.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit, pa.int64())) for c in (0, 1)], schema=_LINKS)
+
+    met = pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "u_set", "v_set")
+    return materialize(met.mapInArrow(run, "u long, v long"), "links")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_rows: int = 4096) -> DataFrame:
-    """(doc_id, component_id) over links of SimHash similarity, cos(pi * differing share of 256 bits), of at least
-    `similarity`, on five-word shingles.
-
-    Equal prints meet first. Candidates share a cell of one of several tables; the number of bits of a
-    cell grows with the logarithm of the prints and the number of tables with it, so that cells stay
-    small and copies of similarity 0.89 (four fifths of their shingles in common) are found with a
-    chance of over 0.95. A cell above `cell_rows` is dealt into parts that all hold its smallest ids, so
-    it never meets in one task. Rows with a null doc_id are in no group.
+    """(doc_id, component_id) over links of texts whose sets of `width`-word shingles have a Jaccard similarity of at
+    least `similarity`; no link is missed and every link is verified on the sets.
+
+    Equal sets meet first. In any order of all shingles, two such sets share one of the first n - ceil(similarity * n)
+    + 1 of each; rare shingles come first, so that cells of texts with one in common stay small. Within a cell all are
+    compared with the smallest id, and then all that are not yet linked with each other; a cell above `cell_rows` is
+    dealt into blocks, and each block meets each other one in a task of its own. Texts without words are linked to each
+    other only. Rows with a null doc_id are in no group.
     """
-    prints = materialize(wide_fingerprints(docs, width), "wide")
-    words = [f"f{i}" for i in range(WORDS)]
-    first = materialize(prints.filter("doc_id IS NOT NULL").groupBy(*words).agg(F.min("doc_id").alias("id")).select("id", *words), "wide-first")
-    n = first.count()
-    key_bits = int(min(40, max(12, round(np.log2(max(n, 2))) - 2)))
-    tables = int(np.ceil(3 / 0.85**key_bits))
-    rows = first.mapInArrow(_tables(key_bits, tables), _sql(_ROWS))
-    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
-    cells = rows.join(sizes.hint("merge"), "cell")  # Spark can't see how many cells there are
-    large = F.col("n") > cell_rows
-    parts = F.ceil(F.col("n") / cell_rows)
-    salt = F.when(large & (F.col("id") == F.col("low")), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.when(large, F.pmod(F.xxhash64("id"), parts)).otherwise(F.lit(0)).cast("long")))
-    dealt = cells.select(F.explode(salt).alias("salt"), "cell", "id", *words).select(F.xxhash64("cell", "salt").alias("cell"), "id", *words)
-    most = int(np.floor(np.arccos(similarity) / np.pi * 64 * WORDS))
-    edges = dealt.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_similar(most), "u long, v long")
-    roots = components(edges)
-    grouped = first.join(roots, first["id"] == roots["node"], "left").select(*words, F.coalesce("root", "id").alias("component_id"))
-    return prints.join(grouped, words).select("doc_id", "component_id")
+    share = Fraction(str(similarity))
+    counts = bucket_counts(docs, width)
+    prints = materialize(_sets(docs, width, counts, share), "prefixes")
+    first = prints.filter("doc_id IS NOT NULL").groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("shingles").alias("shingles"))
+    first = materialize(first, "prefixes-first")
+    rows = first.select("id", "size", "shingles").mapInArrow(_spread, _sql(_ROWS))
+    cells = materialize(rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_met, _sql(_MET)), "cells")
+    fits = F.least("size", "low_size") * F.lit(share.denominator) >= F.greatest("size", "low_size") * F.lit(share.numerator)
+    links = _verified(docs, cells.filter((F.col("id") != F.col("low")) & fits).select(F.col("id").alias("u"), F.col("low").alias("v")), width, share)
+    roots = components(links)
+    rooted = cells.join(roots, cells["id"] == roots["node"], "left").select("cell", "id", "size", "low", F.coalesce("root", "id").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    open_cells = rooted.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("n > 2 AND a != b")
+    blocks = F.ceil(F.col("n") / cell_rows).cast("long")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = rooted.join(open_cells.select("cell", blocks.alias("blocks")).hint("merge"), "cell").withColumn("block", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "id", "size", "root", "block", "low")
+    more = dealt.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_pairs(share), "u long, v long")
+    more = _verified(docs, more, width, share)
+    roots = components(links.union(more))
+    grouped = first.join(roots, first["id"] == roots["node"], "left").select("d0", "d1", F.coalesce("root", "id").alias("component_id"))
+    return prints.join(grouped, ["d0", "d1"]).select("doc_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

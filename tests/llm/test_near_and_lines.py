@@ -99,6 +99,38 @@ def test_similar_documents_of_odd_rows(odd, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def by_jaccard(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    return union([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
+
+
+@pytest.mark.parametrize("cell_rows", [4096, 7])
+def test_similar_documents_of_a_dense_cell_match_brute_force(spark, cell_rows):
+    """Copies in several groups around one text of which only some are similar to each other, and none to the smallest id."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(0, " ".join(base[:60] + [f"z{i}" for i in range(40)]))]
+    for group in range(1, 13):
+        words = list(base)
+        for k in rng.sample(range(120), 5):
+            words[k] = f"g{group}x{k}"
+        for copy in range(8):
+            own = list(words)
+            own[rng.randrange(120)] = f"c{group}y{copy}"
+            rows.append((group * 100 + rng.randrange(100), " ".join(own)))
+    rows = list({i: (i, t) for i, t in rows}.values())
+    want = by_jaccard(rows)
+    assert 3 < len(set(want.values())) < len(rows)
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=cell_rows).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
+
+
 def brute_lines(rows, least):
     keys = {}
     for i, t in rows:
