@@ -131,6 +131,23 @@ def test_similar_documents_of_a_dense_cell_match_brute_force(spark, cell_rows):
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
 
 
+def test_pairs_at_the_threshold_are_all_found(spark):
+    """Pairs of two texts of a Jaccard similarity from 0.7 to 0.9: those of 0.8 or more, and no others."""
+    rng = random.Random(6)
+    rows = []
+    for pair in range(300):
+        words = [f"p{pair}w{i}" for i in range(rng.randrange(60, 200))]
+        other = list(words)
+        for _ in range(max(1, len(words) // 45)):
+            other[rng.randrange(len(words))] = f"p{pair}o"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+    want = by_jaccard(rows)
+    linked = sum(want[2 * p] == want[2 * p + 1] for p in range(300))
+    assert 100 < linked < 300
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def brute_lines(rows, least):
     keys = {}
     for i, t in rows:
