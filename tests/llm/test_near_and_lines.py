@@ -148,6 +148,12 @@ def test_pairs_at_the_threshold_are_all_found(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_short_texts_are_no_copies_of_a_text_without_words(spark):
+    rows = [(0, ""), (1, None), *((i, " ".join(f"s{i}w{k}" for k in range(6))) for i in range(2, 600))]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 2 else i for i, _ in rows}
+
+
 def brute_lines(rows, least):
     keys = {}
     for i, t in rows:
