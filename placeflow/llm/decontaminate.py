@@ -5,12 +5,15 @@ lower-case words. Windows of five template tokens are hash-joined with the bench
 one alignment (document position minus item position) must be consistent: equal slot values of the
 item stand for equal values of the document. A document is contaminated by a template of which its
 consistent matches cover `coverage` or more of the windows, so questions with other numbers or names
-are caught as well as verbatim ones.
+are caught as well as verbatim ones. What a word is doesn't depend on what stands before it; where a
+capital may be that of a name or of a sentence, windows are cut for both.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ MOST_SENT = 2_000_000
 # Unit words and symbols after numbers.
 UNITS = frozenset("km m cm mm mi mile miles ft feet foot inch inches yard yards kg g mg lb lbs oz ton tons l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros pound pounds cent cents usd eur gbp mph kph km/h m/s degree degrees c f kb mb gb tb w kw v hz khz mhz ghz".split())
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+#: Words that are no name, though they often start a sentence.
+COMMON = frozenset("a about above after again all also although always an and another any are as at be because been before below besides between both but by can compare compute could describe did do does during each either every everyone explain find finally first for from give given had has have he hence her here his how however i if in instead into is it its last later let like list many more most much my name neither never next no nor not now of often on once one only or other our out over please she should since so solve some sometimes soon state still such suppose than that the their them then there therefore these they this those though through thus to today together tomorrow too under unless until up us use very was we were what when whenever where whether which while who whom whose why with within without would write yesterday yet you your".split())
 _NUMBER = re.compile(r"[+\-−]?[$€£¥]?[0-9][0-9.,:/]*(?:[%€$£¥]|st|nd|rd|th)?$")
 _QUANTITY = re.compile(r"[+\-−]?[$€£¥]?([0-9][0-9.,]*)([a-z/%]+)$")
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»…–—"
@@ -35,21 +40,21 @@ _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _SLOT = [0, *(int(x) for x in mix(np.array([11, 12, 13], dtype=np.uint64)))]
 _TOKEN_SEED, _VALUE_SEED = 1, 2
+_ALONE, _VERBATIM = 16, 32  # seeds of windows that are whole texts, and of words as they are
 _WINDOWS = pa.schema([("w", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("at", pa.int32()), ("value", pa.int64())])))])
-_TEMPLATES = pa.schema([("item_id", pa.int64()), ("template", pa.int64()), ("n_windows", pa.int64())]).append(pa.field("windows", pa.list_(pa.struct([("w", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("at", pa.int32()), ("number", pa.int32())])))]))))
+_TEMPLATES = pa.schema([("item_id", pa.int64()), ("template", pa.int64()), ("width", pa.int32()), ("n_windows", pa.int64())]).append(pa.field("windows", pa.list_(pa.struct([("w", pa.int64()), ("base", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("at", pa.int32()), ("number", pa.int32())])))]))))
 
 
 class Words(dict):
-    """What each word can be, worked out once: (bare word's hash, value's hash, kind at a sentence's start, kind
-    elsewhere, ends a sentence, is a unit's word, is empty)."""
+    """What each word can be, worked out once: (bare word's hash, value's hash, kind, ends a sentence, is a
+    unit's word, is empty)."""
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(_EDGES)
         low = bare.lower()
         number = low in NUMBERS or bool(_NUMBER.match(word.strip("()[]{}\"'!?,.;:"))) or bool(_QUANTITY.match(low) and _QUANTITY.match(low)[2] in UNITS)
-        name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and bare.isalpha()
-        start = NUMBER if number else LITERAL
-        row = (xxhash.xxh64_intdigest(low.encode(), _TOKEN_SEED), xxhash.xxh64_intdigest(low.encode(), _VALUE_SEED), start, NAME if name and not number else start, word[-1] in ".!?:" or word.endswith(('."', ".'", '?"', '!"')), low in UNITS, not bare)
+        name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and bare.isalpha() and low not in COMMON
+        row = (xxhash.xxh64_intdigest(low.encode(), _TOKEN_SEED), xxhash.xxh64_intdigest(low.encode(), _VALUE_SEED), NUMBER if number else NAME if name else LITERAL, word[-1] in ".!?:" or word.endswith(('."', ".'", '?"', '!"')), low in UNITS, not bare)
         self.new.append(row)
         self[word] = len(self)
         return self[word]
@@ -57,7 +62,7 @@ class Words(dict):
     def __init__(self):
         super().__init__()
         self.new: list[tuple] = []
-        self.tables = [np.zeros(0, dtype=k) for k in (np.uint64, np.uint64, np.int8, np.int8, bool, bool, bool)]
+        self.tables = [np.zeros(0, dtype=k) for k in (np.uint64, np.uint64, np.int8, bool, bool, bool)]
 
     def columns(self) -> list[np.ndarray]:
         """The rows as arrays; rows of words added since move there, as tuples take ten times the memory."""
@@ -78,39 +83,67 @@ class Canonical:
     def __init__(self):
         self.words = Words()
 
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text (template hashes, kinds, value hashes) of its tokens; tokens of punctuation alone are dropped."""
+    def tokens(self, texts: list[str]) -> Tokens:
+        """The tokens of all texts; those of punctuation alone are dropped."""
         if len(self.words) > _MOST_WORDS:
             self.words = Words()
         split = [t.split() for t in texts]
         place = np.fromiter((self.words[w] for ws in split for w in ws), dtype=np.int64, count=sum(map(len, split)))
-        if not len(place):
-            return [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.uint64)) for _ in texts]
-        token, value, first_kind, kind, ends, unit, empty = (c[place] for c in self.words.columns())
+        word, value, kind, ends, unit, empty = (c[place] for c in self.words.columns())
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         starts = np.concatenate(([0], np.cumsum(sizes)))
-        first = np.concatenate(([True], ends[:-1]))
+        first = np.concatenate(([True], ends))[: len(place)]
         first[starts[:-1][sizes > 0]] = True
-        kind = np.where(first, first_kind, kind)
-        kind[1:][unit[1:] & (kind[:-1] == NUMBER)] = UNIT
-        token = np.where(kind == LITERAL, token, np.array(_SLOT, dtype=np.uint64)[kind])
+        inner = np.ones(len(place), dtype=bool)  # has a word of its text before it
+        inner[starts[:-1][sizes > 0]] = False
+        kind[1:][unit[1:] & (kind[:-1] == NUMBER) & inner[1:]] = UNIT
         keep = ~empty
-        kept = np.concatenate(([0], np.cumsum(keep)))[starts]
-        token, kind, value = token[keep], kind[keep], value[keep]
-        return [(token[a:b], kind[a:b], value[a:b]) for a, b in zip(kept[:-1], kept[1:], strict=True)]
-
-
-def window_hashes(token: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """One hash for each window; a shorter text is one window of its own kind, an empty one has none."""
-    n = min(width, len(token))
-    if not n:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.full(len(token) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + token[i : i + len(h)])
+        cuts = np.concatenate(([0], np.cumsum(keep)))[starts]
+        word, kind, value, first = word[keep], kind[keep], value[keep], first[keep]
+        return Tokens(np.where(kind == LITERAL, word, np.array(_SLOT, dtype=np.uint64)[kind]), word, kind, value, first, cuts)
+
+
+class Tokens(NamedTuple):
+    """Template hashes, words' hashes, kinds, values' hashes and sentence starts of texts' tokens; where each text begins."""
+
+    token: np.ndarray
+    word: np.ndarray
+    kind: np.ndarray
+    value: np.ndarray
+    first: np.ndarray
+    cuts: np.ndarray
+
+
+def _hashed(columns: Iterator[np.ndarray], n: int, seed: int) -> np.ndarray:
+    h = np.full(n, seed, dtype=np.uint64)
+    for c in columns:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + c)
     return h
 
 
+def cut_windows(t: Tokens, k: int, either: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(places, hashes, mask) of all windows of `k` tokens within a text: as they are (mask 0), and with the word itself
+    in place of each choice (the bits of mask) of its slots that are in `either`."""
+    n = len(t.token) - k + 1
+    if n <= 0:
+        return
+    ends = np.repeat(t.cuts[1:], np.diff(t.cuts))
+    inside = np.arange(n) + k <= ends[:n]
+    places = np.flatnonzero(inside)
+    yield places, _hashed((t.token[i : i + n] for i in range(k)), n, seed)[places], 0
+    held = np.zeros(n, dtype=bool)
+    for i in range(k):
+        held |= either[i : i + n]
+    places = np.flatnonzero(held & inside)
+    for mask in range(1, 1 << k):
+        at = [i for i in range(k) if mask >> i & 1]
+        own = places
+        for i in at:
+            own = own[either[own + i]]
+        if len(own):
+            yield own, _hashed(((t.word if i in at else t.token)[own + i] for i in range(k)), len(own), seed), mask
+
+
 def _numbered(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The number of each slot's value among the text's, by first use; -1 for words."""
     seen: dict[tuple, int] = {}
@@ -124,39 +157,63 @@ def templates(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
         canonical = Canonical()
         for batch in text_rounds(batches):
             rows = []
-            for item, (token, kind, value) in zip(batch.column(0).to_pylist(), canonical.tokens([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                if len(token):
-                    number = _numbered(kind, value)
-                    hashes = window_hashes(token, width).view(np.int64)
-                    whole = xxhash.xxh64_intdigest(token.tobytes() + number.tobytes(), 3)
-                    rows.append((item, whole - (1 << 64) if whole >> 63 else whole, len(np.unique(hashes)), [{"w": w, "pos": p, "slots": [{"at": i, "number": int(number[p + i])} for i in range(min(width, len(token))) if number[p + i] >= 0]} for p, w in enumerate(hashes.tolist())]))
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = canonical.tokens([text or ""])
+                if not len(t.token):
+                    continue
+                k = min(width, len(t.token))
+                number = _numbered(t.kind, t.value)
+                names = t.kind == NAME
+                cut = [x for seed in ([k] if k == width else [k + _ALONE]) for x in cut_windows(t, k, names, seed)]
+                base = cut[0][1].view(np.int64)
+                if k < width:  # in a longer text: with other values if two words or more remain, else as it is
+                    other = cut_windows(t, k, names, k) if (t.kind == LITERAL).sum() > 1 else [(np.zeros(1, dtype=np.int64), _hashed(t.word[:, None], 1, k + _VERBATIM), (1 << k) - 1)]
+                    cut += other
+                windows = [{"w": w, "base": int(base[p]), "pos": p, "slots": [{"at": i, "number": int(number[p + i])} for i in range(k) if number[p + i] >= 0 and not mask >> i & 1]} for places, hashes, mask in cut for p, w in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True)]
+                whole = xxhash.xxh64_intdigest(t.token.tobytes() + number.tobytes(), 3)
+                rows.append((item, whole - (1 << 64) if whole >> 63 else whole, k, len(np.unique(base)), windows))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_TEMPLATES)], schema=_TEMPLATES)
 
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return benchmark.mapInArrow(run, "item_id long, template long, n_windows long, windows array<struct<w:long,pos:int,slots:array<struct<at:int,number:int>>>>")
-
-
-def document_windows(docs: DataFrame, wanted: np.ndarray | None, width: int = WIDTH) -> DataFrame:
-    """(w, id, pos, slots) of the documents' windows whose hash is in `wanted` (sorted), or of all where it is None."""
+    return benchmark.mapInArrow(run, "item_id long, template long, width int, n_windows long, windows array<struct<w:long,base:long,pos:int,slots:array<struct<at:int,number:int>>>>")
+
+
+def _cut(t: Tokens, width: int, shorter: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    either = (t.kind == NAME) & t.first
+    sizes = np.repeat(np.diff(t.cuts), np.diff(t.cuts))
+    for k in (width, *shorter):
+        for cut in cut_windows(t, k, either, k):
+            yield k, *cut
+    for k in shorter:
+        for places, hashes, mask in cut_windows(t, k, either, k + _ALONE):
+            alone = sizes[places] == k
+            yield k, places[alone], hashes[alone], mask
+        for places, hashes, _ in cut_windows(t._replace(token=t.word), k, np.zeros(len(either), dtype=bool), k + _VERBATIM):
+            yield k, places, hashes, (1 << k) - 1
+
+
+def document_windows(docs: DataFrame, wanted: np.ndarray | None, width: int = WIDTH, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """(w, id, pos, slots) of the documents' windows whose hash is in `wanted` (sorted), or of all where it is None:
+    windows of `width` tokens, of the widths in `shorter`, and whole texts of fewer tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         canonical, wanted = Canonical(), sent.value
         for batch in text_rounds(batches):
             ids, ws, at, slots = [], [], [], []
-            tokens = canonical.tokens([t or "" for t in batch.column(1).to_pylist()])
-            for doc, (token, kind, value) in zip(batch.column(0).to_pylist(), tokens, strict=True):
-                hashes = window_hashes(token, width).view(np.int64)
-                if wanted is None:
-                    places = range(len(hashes))
-                else:
-                    place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                    places = np.flatnonzero(wanted[place] == hashes).tolist()
-                for p in places:
-                    ids.append(doc)
-                    ws.append(int(hashes[p]))
-                    at.append(p)
-                    slots.append([{"at": i, "value": int(value[p + i].view(np.int64))} for i in range(min(width, len(token))) if kind[p + i] != LITERAL])
+            docs = batch.column(0).to_pylist()
+            t = canonical.tokens([x or "" for x in batch.column(1).to_pylist()])
+            owner = np.repeat(np.arange(len(docs)), np.diff(t.cuts))
+            for k, places, hashes, mask in _cut(t, width, shorter):
+                hashes = hashes.view(np.int64)
+                if wanted is not None:
+                    found = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
+                    places, hashes = places[found], hashes[found]
+                for p, w in zip(places.tolist(), hashes.tolist(), strict=True):
+                    ids.append(docs[owner[p]])
+                    ws.append(w)
+                    at.append(p - int(t.cuts[owner[p]]))
+                    slots.append([{"at": i, "value": int(t.value[p + i].view(np.int64))} for i in range(k) if t.kind[p + i] != LITERAL and not mask >> i & 1])
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ws, ids, at, slots), _WINDOWS, strict=True)], schema=_WINDOWS)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -167,29 +224,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     """(doc_id, item_id, n_items, n_windows, n_matched, coverage): documents that hold a benchmark template.
 
     One row for each (document, template); item_id is the template's smallest item and n_items how many
-    items share it. Texts without words hold and are nothing. An item of fewer than `width` tokens
-    matches only documents that are that template as a whole. Rows that share a doc_id are one
+    items share it. Texts without words hold and are nothing. An item of fewer than `width` tokens is one
+    window of its own width; within a longer document it has other values only if two or more of its
+    words are no slots, else it must be there as it is. Rows that share a doc_id are one
     document; rows with a null doc_id come under null. Empty tables give an empty table; other
     columns are ignored.
     """
     items = materialize(templates(benchmark, width), "templates")
-    kinds = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"), F.max("n_windows").alias("n_windows"), F.min_by("windows", "item_id").alias("windows"))
-    windows = kinds.select("template", F.explode("windows").alias("x")).select("template", "x.w", F.col("x.pos").alias("item_pos"), F.col("x.slots").alias("item_slots"))
+    kinds = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"), F.max("n_windows").alias("n_windows"))
+    windows = items.select("template", F.explode("windows").alias("x")).distinct().select("template", "x.w", "x.base", F.col("x.pos").alias("item_pos"), F.col("x.slots").alias("item_slots"))
     windows = materialize(windows, "item-windows")
     distinct = windows.select("w").distinct()
+    shorter = tuple(sorted(r["width"] for r in items.filter(F.col("width") < width).select("width").distinct().collect()))  # below `width`
     wanted = None
     if distinct.limit(most_sent + 1).count() <= most_sent:
         wanted = np.sort(np.array([r["w"] for r in distinct.collect()], dtype=np.int64))  # bounded by most_sent
         if not len(wanted):
             wanted = np.array([0], dtype=np.int64)
-    found = materialize(document_windows(docs, wanted, width), "doc-windows")
-    matches = materialize(found.join(windows, "w").select(F.col("id").alias("doc_id"), "template", "w", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("slots.value").alias("value"), F.col("item_slots.number").alias("number")).alias("slots")), "matches")
+    found = materialize(document_windows(docs, wanted, width, shorter), "doc-windows")
+    matches = materialize(found.join(windows, "w").select(F.col("id").alias("doc_id"), "template", "base", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("slots.value").alias("value"), F.col("item_slots.number").alias("number")).alias("slots")), "matches")
     where = ["doc_id", "template", "shift"]
     values = matches.select(*where, F.explode("slots").alias("s")).groupBy(*where, F.col("s.number").alias("number")).agg(F.min("s.value").alias("low"), F.max("s.value").alias("high"))
     broken = values.filter("low != high").select(*(F.col(c).alias(f"{c}_") for c in where)).distinct()
     same = matches["doc_id"].eqNullSafe(broken["doc_id_"]) & (matches["template"] == broken["template_"]) & (matches["shift"] == broken["shift_"])
-    sound = matches.join(broken, same, "left_anti").groupBy("doc_id", "template").agg(F.countDistinct("w").alias("n_matched"))
-    rows = sound.join(kinds.drop("windows"), "template").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    sound = matches.join(broken, same, "left_anti").groupBy("doc_id", "template").agg(F.countDistinct("base").alias("n_matched"))
+    rows = sound.join(kinds, "template").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return rows.filter(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_items", "n_windows", "n_matched", "coverage")
 
 

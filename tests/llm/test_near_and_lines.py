@@ -204,6 +204,29 @@ def test_changed_slots_are_caught_only_if_consistent(spark):
     assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 7), (5, 7), (6, 10)}
 
 
+def test_names_at_sentence_starts_and_short_items_are_caught(spark):
+    item = "Alice has 12 apples. Bob takes 5 apples from the box. Alice then eats 2 apples. How many apples remain today?"
+    other = item.replace("Alice", "Carol").replace("Bob", "David").replace("12", "30")
+    capital = "What is the capital of France?"
+    docs = [
+        (1, f"Some text before it. {other} And more after it."),
+        (2, other.replace("Carol then", "Erin then")),  # one name of the item for two of the document's
+        (3, f"A heading without a stop\n{capital}\nParis it is"),
+        (4, "Paris is the capital of France and so on"),
+        (5, "some page\nName the tallest mountain\nand so on"),
+        (6, "they say that 7 is a lot"),
+        (7, "Seven"),
+        (8, "it was Seven o'clock"),
+        (9, f"so it goes. {item.lower()}"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, capital), (3, "Name the tallest mountain"), (4, "seven")], "item_id long, text string")
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    want = {(1, 1), (3, 2), (5, 3), (7, 4), (8, 4), (9, 1)}
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, most_sent=0).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, "one two")], "item_id long, text string")
     rows = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd, bench).collect()}
