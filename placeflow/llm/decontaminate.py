@@ -3,9 +3,11 @@
 Texts become templates: numbers, units and names turn into typed slots, everything else into bare
 lower-case words. Windows of five template tokens are hash-joined with the benchmark's. Matches of
 one alignment (document position minus item position) must be consistent: equal slot values of the
-item stand for equal values of the document. A document is contaminated by a template of which its
-consistent matches cover `coverage` or more of the windows, so questions with other numbers or names
-are caught as well as verbatim ones. What a word is doesn't depend on what stands before it; where a
+item stand for equal values of the document (not the other way round: other numbers put in for two
+different ones may happen to be equal). A document is contaminated by a template of which the
+consistent matches at one place, of alignments within `SLACK` tokens, cover `coverage` or more of the
+windows, so questions with other numbers or names are caught as well as verbatim ones, and the item's
+windows scattered over a document are not. What a word is doesn't depend on what stands before it; where a
 capital may be that of a name or of a sentence, windows are cut for both.
 """
 
@@ -25,6 +27,8 @@ from placeflow.llm.common import materialize, mix, table, text_rounds
 
 WIDTH = 5
 COVERAGE = 0.8
+#: Tokens by which words put in or left out may shift the parts of one item against each other.
+SLACK = 4
 #: Benchmark windows up to which their hashes are sent to the tasks that read documents (8 bytes each); beyond, all windows are joined.
 MOST_SENT = 2_000_000
 
@@ -227,8 +231,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     items share it. Texts without words hold and are nothing. An item of fewer than `width` tokens is one
     window of its own width; within a longer document it has other values only if two or more of its
     words are no slots, else it must be there as it is. Rows that share a doc_id are one
-    document; rows with a null doc_id come under null. Empty tables give an empty table; other
-    columns are ignored.
+    document; rows with a null doc_id come under null. An item with a null item_id is looked for like
+    any other. A repeated row changes nothing. Empty tables give an empty table; other columns are
+    ignored. Texts are read some 2 MB at a time; a longer one is a round of memory of its own.
     """
     items = materialize(templates(benchmark, width), "templates")
     kinds = items.groupBy("template").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"), F.max("n_windows").alias("n_windows"))
@@ -247,8 +252,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     values = matches.select(*where, F.explode("slots").alias("s")).groupBy(*where, F.col("s.number").alias("number")).agg(F.min("s.value").alias("low"), F.max("s.value").alias("high"))
     broken = values.filter("low != high").select(*(F.col(c).alias(f"{c}_") for c in where)).distinct()
     same = matches["doc_id"].eqNullSafe(broken["doc_id_"]) & (matches["template"] == broken["template_"]) & (matches["shift"] == broken["shift_"])
-    sound = matches.join(broken, same, "left_anti").groupBy("doc_id", "template").agg(F.countDistinct("base").alias("n_matched"))
-    rows = sound.join(kinds, "template").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    # Places of 2 * SLACK alignments, each alignment in two of them: any SLACK + 1 neighbouring ones share a place.
+    half = F.floor(F.col("shift") / F.lit(SLACK))
+    sound = matches.join(broken, same, "left_anti").select("doc_id", "template", "base", F.explode(F.array(half, half + 1)).alias("place"))
+    covered = sound.groupBy("doc_id", "template", "place").agg(F.countDistinct("base").alias("n_matched"))
+    best = covered.groupBy("doc_id", "template").agg(F.max("n_matched").alias("n_matched"))
+    rows = best.join(kinds, "template").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     return rows.filter(F.col("coverage") >= coverage).select("doc_id", "item_id", "n_items", "n_windows", "n_matched", "coverage")
 
 

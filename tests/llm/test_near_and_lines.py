@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from placeflow.llm import components, decontaminate, linededup, simhash
+from placeflow.llm import components, decontaminate, linededup, simhash, similar
 
 
 def plain_print(text, width=3):
@@ -89,14 +89,14 @@ def test_wide_fingerprints_find_edited_copies_and_leave_others(spark):
             for k in rng.sample(range(300), 4):
                 other[k] = rng.choice(vocabulary)
             docs.append((base * 10 + copy, " ".join(other)))
-    rows = simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    rows = similar.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(r["component_id"] == r["doc_id"] // 10 * 10 for r in rows) and len(rows) == 90
 
 
 def test_similar_documents_of_odd_rows(odd, empty):
-    rows = {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(odd).collect()}
+    rows = {(r["doc_id"], r["component_id"]) for r in similar.similar_documents(odd).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 3), (7, 3), (6, 6)} <= rows
-    assert simhash.similar_documents(empty).count() == 0
+    assert similar.similar_documents(empty).count() == 0
 
 
 def shingles(text, width=5):
@@ -127,7 +127,7 @@ def test_similar_documents_of_a_dense_cell_match_brute_force(spark, cell_rows):
     rows = list({i: (i, t) for i, t in rows}.values())
     want = by_jaccard(rows)
     assert 3 < len(set(want.values())) < len(rows)
-    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=cell_rows).collect()
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=cell_rows).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
 
 
@@ -144,13 +144,13 @@ def test_pairs_at_the_threshold_are_all_found(spark):
     want = by_jaccard(rows)
     linked = sum(want[2 * p] == want[2 * p + 1] for p in range(300))
     assert 100 < linked < 300
-    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
 def test_short_texts_are_no_copies_of_a_text_without_words(spark):
     rows = [(0, ""), (1, None), *((i, " ".join(f"s{i}w{k}" for k in range(6))) for i in range(2, 600))]
-    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 2 else i for i, _ in rows}
 
 
@@ -238,3 +238,91 @@ def test_decontamination_of_odd_rows(odd, empty, spark):
 def test_majority_counts_past_a_byte():
     h = np.array([[1]] * 300 + [[2]] * 299, dtype="<u8")
     assert simhash.majority(h)[0] == 1
+
+
+def plain_template(text, width=5):
+    """Tokens as (word or slot, slot's value) by plain rules: numbers, capitalised words that are no common ones."""
+    out = []
+    for raw in text.split():
+        word = raw.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))
+        if not word:
+            continue
+        low = word.lower()
+        if low.replace(",", "").replace(".", "").isdigit() or low in decontaminate.NUMBERS:
+            out.append(("#number", low))
+        elif out and out[-1][0] == "#number" and low in decontaminate.UNITS:
+            out.append(("#unit", low))
+        elif word.isalpha() and len(word) > 1 and word[0].isupper() and word[1:].islower() and low not in decontaminate.COMMON:
+            out.append(("#name", low))
+        else:
+            out.append((low, None))
+    return out
+
+
+def holds(doc, item, width=5, coverage=0.8):
+    """Whether windows of the item's template stand in the document at one place, slots consistent at each alignment."""
+    d, q = plain_template(doc), plain_template(item)
+    cut = lambda t, i: tuple(k for k, _ in t[i : i + width])
+    kinds = {cut(q, j) for j in range(len(q) - width + 1)}
+    matched = {}
+    for i in range(len(d) - width + 1):
+        for j in range(len(q) - width + 1):
+            if cut(d, i) == cut(q, j):
+                matched.setdefault(i - j, []).append((i, j))
+    sound = {}
+    for shift, pairs in matched.items():
+        values = {}
+        for i, j in pairs:
+            for k in range(width):
+                if q[j + k][1] is not None:
+                    values.setdefault(q[j + k], set()).add(d[i + k][1])
+        if all(len(v) == 1 for v in values.values()):
+            sound[shift] = {cut(q, j) for _, j in pairs}
+    places = {}
+    for shift, found in sound.items():
+        for place in (shift // 4, shift // 4 + 1):
+            places.setdefault(place, set()).update(found)
+    return any(len(found) >= coverage * len(kinds) for found in places.values())
+
+
+def test_templates_match_brute_force(spark):
+    """Items as they are, reworded, with other numbers and names, with words put in, cut up and scattered."""
+    rng = random.Random(12)
+    names, words = [f"Na{chr(97 + i)}{chr(97 + k)}o" for i in range(5) for k in range(6)], [f"word{chr(97 + i)}{chr(97 + k)}" for i in range(20) for k in range(20)]
+
+    def sentence(n):
+        return [rng.choice(names) if rng.random() < 0.15 else str(rng.randrange(2, 99)) if rng.random() < 0.2 else rng.choice(words) for _ in range(n)]
+
+    items = {i: sentence(rng.randrange(14, 40)) for i in range(25)}
+    docs = []
+    for item in items.values():
+        for _ in range(8):
+            body = list(item)
+            kind = rng.randrange(6)
+            if kind in (1, 4):  # other values, the same for the same
+                other = {x: rng.choice(names) if x in names else str(rng.randrange(100, 999)) for x in set(body) if x in names or x.isdigit()}
+                body = [other.get(x, x) for x in body]
+            if kind == 2:  # other values each time
+                body = [rng.choice(names) if x in names else str(rng.randrange(100, 999)) if x.isdigit() else x for x in body]
+            if kind == 3:  # other words
+                for k in rng.sample(range(len(body)), max(1, len(body) // 6)):
+                    body[k] = rng.choice(words)
+            if kind == 4:  # a word put in
+                body.insert(len(body) // 2, "moreover")
+            filler = lambda n: [rng.choice(words) for _ in range(n)]
+            if kind == 5:  # windows scattered
+                parts = [body[k : k + 5] for k in range(len(body) - 4)]
+                rng.shuffle(parts)
+                body = [x for part in parts for x in (*part, *filler(50))]
+            docs.append((len(docs), " ".join([*filler(20), *body, *filler(20)])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {(d, i) for d, text in docs for i, item in items.items() if holds(text, " ".join(item))}
+    assert got == want and 40 < len(want) < 160
+
+
+def test_an_item_without_an_id_is_looked_for(spark):
+    text = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(1, f"and so {text} it was"), (2, "nothing of the sort")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, None)]
