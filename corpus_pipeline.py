@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeflow.llm import decontaminate, linededup, packing, simhash, toxicity
+from placeflow.llm import decontaminate, linededup, packing, similar, toxicity
 from placeflow.llm.common import materialize, table
 
 
@@ -26,17 +26,18 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact or near copies the document with the smallest id stays, once where its row repeats.
-    Documents without an id are in no group, and of those with equal texts one stays."""
-    groups = simhash.similar_documents(docs)
-    copies = groups.filter("doc_id != component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of exact or near copies the document with the smallest id stays, once where its row repeats;
+    of a group without ids one document stays."""
+    return similar.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's template go."""
-    leaks = materialize(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item's template go. A row is judged by its own text: where ids are missing or
+    clash, rows are told apart by a hash of id and text."""
+    row = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")))
+    found = decontaminate.contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = materialize(found.select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, row == leaks["doc_id"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
