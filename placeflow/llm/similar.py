@@ -1,14 +1,16 @@
 """SimHash near copies by the Jaccard similarity of word shingles, for copies that were edited much.
 
-Candidates are the pairs that share one of their rarest shingles: an exact rule, which no similar pair
-escapes. Within a cell of such texts the dealt method decides: Hamming distances of wide SimHash prints
-to reference prints (texts of the cell, each the one farthest from those before it) are tabulated, pairs
-whose distances to any reference differ by more than the reach are discarded, then those whose own distance
-exceeds it, and the survivors are verified on the sets themselves.
+Pairs that share one of their rarest shingles meet: an exact rule, which no similar pair escapes. All
+texts that share one with the same smallest text meet in one group, so a pair meets a few times and not
+once for each common shingle. There the dealt method decides: Hamming distances of wide SimHash prints to
+reference prints (texts of the group, each the one farthest from those before it) are tabulated, pairs
+whose distances to any reference differ by more than the reach are discarded, then those whose own
+distance exceeds it. Only texts with a partner left send their sets, on which the survivors are verified.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from math import acos, ceil, pi, sqrt
 
@@ -24,16 +26,15 @@ from placeflow.llm.simhash import majority
 
 #: Buckets of shingle counts, by which rare shingles come first, and the parts in which they are summed.
 BUCKETS, PARTS = 1 << 20, 64
-#: 64-bit words of a print, and reference prints of a block of a cell.
+#: 64-bit words of a print, and reference prints of a meeting.
 WORDS, REFERENCES = 8, 8
-#: Bytes of sets that meet in one bucket of the verification, about.
-BUCKET_BYTES = 16_000_000
 _SALTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 _ROW = [("doc_id", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64())]
 _PREFIXES = pa.schema([*_ROW, ("d0", pa.int64()), ("d1", pa.int64()), ("size", pa.int32()), ("rare", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("print", pa.binary()), ("shingles", pa.binary())])
-_MET = pa.schema([("cell", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("low", pa.int64())])
+_MET = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("low", pa.int64())])
+_HELD = pa.schema([("meeting", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("block", pa.int64())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _KINDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
@@ -121,7 +122,8 @@ def _prefixes(docs: DataFrame, width: int, counts: np.ndarray, share: Fraction)
 
 
 def _met(batches):
-    """The rows of cells of two or more, each with the first node of its cell; rows come sorted by (cell, node)."""
+    """(node, size, low): the rows of cells of two or more, each with the first node of its cell; rows come sorted by
+    (cell, node)."""
     cell, first, alone = None, None, False
     for batch in batches:
         if not batch.num_rows:
@@ -138,7 +140,7 @@ def _met(batches):
         last = starts[-1]
         alone = bool(length[-1] == 1) and (last > 0 or cell is None or alone)
         cell, first = cells[last], (nodes[last], sizes[last])
-        columns = cells[keep], nodes[keep], sizes[keep].astype(np.int32), nodes[lows][keep]
+        columns = nodes[keep], sizes[keep].astype(np.int32), nodes[lows][keep]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_MET)
 
 
@@ -172,133 +174,113 @@ def references(prints: np.ndarray, most: int = REFERENCES) -> np.ndarray:
     return prints[chosen]
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, most: np.ndarray):
-    """(rows of a, rows of b) of the pairs within `most` bits (an array over a and b), some rows of `a` at a time."""
-    table = references(np.concatenate([a, b]))
-    da, db = (np.stack([distances(x, r) for r in table], axis=1) for x in (a, b))
+def limits(share: Fraction, small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """The reach of pairs of sets of these sizes; -1 where the sizes alone rule the similarity out."""
+    low, high = np.minimum(small, large), np.maximum(small, large)
+    return np.where(low * share.denominator >= high * share.numerator, reach(share, low), -1).astype(np.int16)
+
+
+def near_pairs(prints: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, rows) of the pairs of a meeting within reach, some rows at a time: of one block all pairs, of two blocks
+    those between them."""
+    a, b = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    same = blocks.min() == blocks.max()
+    table = references(prints, REFERENCES if len(prints) > 16 else 1)
+    coordinates = np.stack([distances(prints, r) for r in table], axis=1)
     for at in range(0, len(a), 128):
-        own, limit = slice(at, at + 128), most[at : at + 128]
+        own = a[at : at + 128]
+        limit = limits(share, sizes[own][:, None], sizes[b][None, :])
         near = limit >= 0
-        for j in range(len(table)):  # discard by the largest difference of distances to the references
-            near &= np.abs(da[own, j][:, None] - db[:, j][None, :]) <= limit
+        if same:
+            near &= own[:, None] < b[None, :]
+        for c in coordinates.T:  # discard by the largest difference of distances to the references
+            near &= np.abs(c[own][:, None] - c[b][None, :]) <= limit
         x, y = np.nonzero(near)
-        kept = distances(a[own][x], b[y]) <= limit[x, y]
-        yield x[kept] + at, y[kept]
+        kept = distances(prints[own[x]], prints[b[y]]) <= limit[x, y]
+        yield own[x[kept]], b[y[kept]]
 
 
-def _limits(share: Fraction, small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    """The reach of pairs of sets of these sizes; -1 where the sizes alone rule the similarity out."""
-    low, high = np.minimum(small, large), np.maximum(small, large)
-    return np.where(low * share.denominator >= high * share.numerator, reach(share, low), -1).astype(np.int16)
+def _meetings(batches, columns: int):
+    """The rows of each meeting as a list of columns; rows come sorted by meeting, in the first column."""
+    rest: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        cuts = np.concatenate(([0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield [x[a:b] for x in now]
+        rest = [x[cuts[-1] :] for x in now]  # the last meeting may go on
+    if rest is not None:
+        yield rest
 
 
-def _star(share: Fraction):
-    """(u, v): of each cell the nodes that may be similar to its first; rows come sorted by (cell, node)."""
+def _with_partner(share: Fraction):
+    """(meeting, node, size, block) of the rows that have a pair within reach in their meeting."""
 
     def run(batches):
-        cell, first = None, None
-        for batch in batches:
-            cells, nodes, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            prints = _prints(batch.column(3))
-            starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else np.zeros(0, dtype=np.int64)
-            us, vs = [], []
-            for a, b in zip(starts, [*starts[1:], len(cells)], strict=True):
-                if cells[a] != cell:
-                    cell, first = cells[a], (nodes[a], sizes[a : a + 1].copy(), prints[a].copy())
-                node, size, own = first
-                hit = (distances(prints[a:b], own) <= _limits(share, size, sizes[a:b])) & (nodes[a:b] != node)
-                us.append(nodes[a:b][hit])
-                vs.append(np.full(int(hit.sum()), node))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (us, vs)], schema=_LINKS)
+        waiting: list[list[np.ndarray]] = []
+        held = 0
+        for rows in _meetings(batches, 5):
+            prints = np.frombuffer(b"".join(rows[4]), dtype="<u8").reshape(-1, WORDS)
+            hit = np.zeros(len(prints), dtype=bool)
+            for x, y in near_pairs(prints, rows[2], rows[3], share):
+                hit[x] = hit[y] = True
+            if hit.any():
+                waiting.append([c[hit] for c in rows[:4]])
+                held += int(hit.sum())
+            if held > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*waiting, strict=True), _HELD, strict=True)], schema=_HELD)
+                waiting, held = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*waiting, strict=True), _HELD, strict=True)], schema=_HELD)
 
     return run
 
 
-def _meetings(share: Fraction):
-    """(u, v): the pairs of a meeting of one or two blocks of a cell that are of different roots and may be similar."""
-
-    def settle(nodes, sizes, roots, low, blocks, prints):
-        same = blocks.min() == blocks.max()
-        a, b = (np.flatnonzero(blocks == x) for x in (blocks.min(), blocks.max()))
-        if not same:
-            a, b = sorted((a, b), key=len)
-        limit = _limits(share, sizes[a][:, None], sizes[b][None, :])
-        limit[(roots[a][:, None] == roots[b][None, :]) | (nodes[a] == low)[:, None] | (nodes[b] == low)[None, :]] = -1
-        if same:
-            limit[nodes[a][:, None] <= nodes[b][None, :]] = -1
-        for x, y in near_pairs(prints[a], prints[b], limit):
-            if len(x):
-                u, v = nodes[a[x]], nodes[b[y]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], schema=_LINKS)
+def _verified(share: Fraction):
+    """(u, v): links of a meeting whose sets have a similarity of `share` or more, so many that all that are linked
+    directly or over others of the meeting are connected; at most one less than its rows."""
+
+    def links(nodes, sizes, blocks, prints, sets):
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum([len(x) for x in sets])
+        marked = np.zeros(int(ids.max()) + 1, dtype=bool)
+        group = np.arange(len(nodes))
+        for x, y in near_pairs(prints, sizes, blocks, share):
+            starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else []
+            for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+                u, vs = x[a], y[a:b]
+                vs = vs[group[vs] != group[u]]  # the others are connected already
+                if not len(vs):
+                    continue
+                own = ids[ends[u] - len(sets[u]) : ends[u]]
+                marked[own] = True
+                for v in vs.tolist():
+                    if group[v] == group[u]:
+                        continue
+                    both = int(np.count_nonzero(marked[ids[ends[v] - len(sets[v]) : ends[v]]]))
+                    if both * share.denominator >= (len(sets[u]) + len(sets[v]) - both) * share.numerator:
+                        group[group == group[v]] = group[u]
+                        yield nodes[u], nodes[v]
+                marked[own] = False
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            now = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)), _prints(batch.column(6))]
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cuts = np.concatenate(([0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from settle(now[1][a:b], now[2][a:b], now[3][a:b], now[4][a], now[5][a:b], now[6][a:b])
-            rest = [x[cuts[-1] :] for x in now]  # the last meeting may go on
-        if rest is not None and len(rest[0]):
-            yield from settle(*rest[1:4], rest[4][0], *rest[5:])
+        out: list[tuple[int, int]] = []
+        for rows in _meetings(batches, 6):
+            prints = np.frombuffer(b"".join(rows[4]), dtype="<u8").reshape(-1, WORDS)
+            out += links(rows[1], rows[2], rows[3], prints, [np.frombuffer(x, dtype="<u8") for x in rows[5]])
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in out], pa.int64()) for i in (0, 1)], schema=_LINKS)
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in out], pa.int64()) for i in (0, 1)], schema=_LINKS)
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """Those of `pairs` (u, v: nodes) whose `sets` (node, shingles) have a Jaccard similarity of `share` or more.
-
-    Nodes are dealt into buckets and a pair goes where its two buckets meet, so a set travels once to each bucket that it
-    has partners in, not once for each partner."""
-    pairs = materialize(pairs.distinct(), "pairs")
-    held = sets.join(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "node", "left_semi").agg(F.sum(F.length("shingles"))).first()[0] or 0
-    buckets = max(16, ceil(held / BUCKET_BYTES))
-    b1, b2 = (F.pmod(F.xxhash64(c), F.lit(buckets)) for c in "uv")
-    keyed = pairs.select((F.least(b1, b2) * buckets + F.greatest(b1, b2)).alias("key"), "u", "v")
-    need = keyed.select("key", F.col("u").alias("node")).union(keyed.select("key", "v")).distinct()
-    rows = need.join(sets.select("node", "shingles").hint("merge"), "node").select("key", F.lit(0).alias("kind"), F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "shingles")
-    rows = rows.union(keyed.select("key", F.lit(1), "u", "v", F.lit(None).cast("binary")))
-
-    def similar(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(x) for x in others])
-        cells = np.concatenate(others)
-        hit = own[np.minimum(np.searchsorted(own, cells), len(own) - 1)] == cells
-        both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-        return both * share.denominator >= (len(own) + sizes - both) * share.numerator
-
-    def run(batches):
-        key, known = None, {}
-        for batch in batches:
-            keys, kinds, us, vs = (batch.column(i).to_pylist() for i in range(4))
-            waiting: dict[int, list[int]] = {}
-            out: list[tuple[int, int]] = []
-
-            def settle(waiting=waiting, out=out):
-                for u, partners in waiting.items():
-                    for at in range(0, len(partners), 500):
-                        part = partners[at : at + 500]
-                        out += [(u, v) for v, x in zip(part, similar(known[u], [known[v] for v in part]).tolist(), strict=True) if x]
-                waiting.clear()
-
-            for i in range(batch.num_rows):
-                if keys[i] != key:
-                    settle()
-                    key, known = keys[i], {}
-                if kinds[i] == 0:
-                    known[us[i]] = np.frombuffer(batch.column(4)[i].as_py(), dtype="<u8")
-                else:
-                    waiting.setdefault(us[i], []).append(vs[i])
-            settle()
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=_LINKS)
-
-    met = rows.repartition("key").sortWithinPartitions("key", "kind", "u")
-    return materialize(met.mapInArrow(run, _sql(_LINKS)), "links")
-
-
-def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_rows: int = 4096) -> DataFrame:
+def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, group_rows: int = 2048) -> DataFrame:
     """(doc_id, t0, t1, component_id, kept): each row of `docs` with its group's smallest doc_id and whether it is the
     row of its group that stays: the smallest by doc_id (null last), then by the text's hash. Rows of equal id and text
     are one. See `similar_documents`."""
@@ -313,21 +295,14 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_
     wanted = first.join(cells.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.t0", "row.t1", "node")
     same = [docs[c].eqNullSafe(wanted[c]) for c in ("doc_id", "t0", "t1")]
     sets = materialize(_sets(docs.join(wanted, same[0] & same[1] & same[2]).select(wanted["node"], "text"), width), "sets")
-    rows = cells.join(sets.select("node", "print").hint("merge"), "node")
-    rows = materialize(rows.select("cell", "node", "size", "print", "low"), "cell-rows")
-    star = rows.select("cell", "node", "size", "print").repartition("cell").sortWithinPartitions("cell", "node")
-    links = verified(star.mapInArrow(_star(share), _sql(_LINKS)), sets, share)
-    roots = components(links)
-    rooted = rows.select("cell", "node", "size", "low").join(roots, "node", "left").select("cell", "node", "size", "low", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    open_cells = rooted.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("n > 2 AND a != b")
-    open_cells = materialize(open_cells.select("cell", F.ceil(F.col("n") / cell_rows).cast("long").alias("blocks")), "open-cells")
-    dealt = rooted.join(open_cells, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.join(sets.select("node", "print").hint("merge"), "node")
+    members = materialize(cells.select("low", "node", "size").distinct(), "members")
+    units = materialize(members.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("long").alias("blocks")), "units")
+    dealt = members.join(units, "low").join(sets.select("node", "print").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "node", "size", "root", "low", "block", "print")
-    more = dealt.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_meetings(share), _sql(_LINKS))
-    roots = components(links.union(verified(more, sets, share)))
+    dealt = dealt.select(F.xxhash64("low", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "node", "size", "block", "print")
+    held = materialize(dealt.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_with_partner(share), _sql(_HELD)), "held")
+    met = held.join(sets.hint("merge"), "node").select("meeting", "node", "size", "block", "print", "shingles")
+    roots = components(met.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_verified(share), _sql(_LINKS)))
     rooted = materialize(first.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"), "row"), "groups")
     best = materialize(rooted.groupBy("root").agg(F.min("row").alias("best")), "best")
     groups = rooted.join(best, "root").select("d0", "d1", "best")
@@ -335,22 +310,22 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_
     return prints.join(groups, ["d0", "d1"]).select("doc_id", "t0", "t1", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, cell_rows: int = 4096) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, group_rows: int = 2048) -> DataFrame:
     """(doc_id, component_id) over links of texts whose sets of `width`-word shingles have a Jaccard similarity of at
     least `similarity`; component_id is the smallest doc_id of the group.
 
     Equal sets meet first. In any order of all shingles, two similar sets share one of the first n - ceil(similarity * n)
-    + 1 of each; rare shingles come first, so that cells of texts with one in common stay small. In a cell all are
-    compared with the first, and then all that are not yet linked with each other; a cell above `cell_rows` is dealt
-    into blocks, and each block meets each other one in a task of its own, so its size changes no result. Every link is
-    verified on the sets; a pair at the very threshold is lost by its prints once in 10^8 (`reach`).
+    + 1 of each; rare shingles come first, so that few texts have one in common. Texts that share one with the same
+    smallest text meet as a group; one above `group_rows` is dealt into blocks, and each block meets each other one in a
+    task of its own, so its size changes no result. Every link is verified on the sets; a pair at the very threshold is
+    lost by its prints once in 10^8 (`reach`).
 
     Texts without words (null, empty, white space) are one group. Rows with a null doc_id take part and get their group's
     smallest id, or null if it has none. A doc_id that several rows carry may be in several groups. Every row gives a
     row; a text is one round of memory, so some 60 bytes for each of its bytes; an empty table gives an empty table;
     other columns are ignored.
     """
-    return similar_rows(docs, width, similarity, cell_rows).select("doc_id", "component_id")
+    return similar_rows(docs, width, similarity, group_rows).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -110,8 +110,8 @@ def by_jaccard(rows):
     return union([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
 
 
-@pytest.mark.parametrize("cell_rows", [4096, 7])
-def test_similar_documents_of_a_dense_cell_match_brute_force(spark, cell_rows):
+@pytest.mark.parametrize("group_rows", [2048, 7])
+def test_similar_documents_of_a_dense_group_match_brute_force(spark, group_rows):
     """Copies in several groups around one text of which only some are similar to each other, and none to the smallest id."""
     rng = random.Random(4)
     base = [f"b{i}" for i in range(120)]
@@ -127,7 +127,7 @@ def test_similar_documents_of_a_dense_cell_match_brute_force(spark, cell_rows):
     rows = list({i: (i, t) for i, t in rows}.values())
     want = by_jaccard(rows)
     assert 3 < len(set(want.values())) < len(rows)
-    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=cell_rows).collect()
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=group_rows).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
 
 
