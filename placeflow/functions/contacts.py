@@ -103,7 +103,7 @@ def social_links(html: Column) -> Column:
         links = _all(html, "(?iu)" + pattern, 0)
         if rejects:
             links = F.filter(links, lambda u: ~F.exists(F.array(*(F.lit(r.lower()) for r in rejects)), lambda r: F.lower(u).contains(r)))
-        return clean_social(F.get(links, F.lit(0)))
+        return F.get(F.transform(F.slice(links, 1, 1), clean_social), F.lit(0))  # the link is bound once
 
     entries = F.array(*(F.struct(F.lit(name).alias("key"), first(*rule).alias("value")) for name, rule in SOCIAL.items()))
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))

@@ -8,6 +8,7 @@ runs at most `max_depth` + 1 times whatever the data, and each level is written
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,12 +68,14 @@ def _children(cells: DataFrame) -> DataFrame:
     return rows.select((F.col("lat") + F.col("s.a") * F.col("dlat") / 4).alias("lat"), (F.col("lon") + F.col("s.o") * F.col("dlon") / 4).alias("lon"), (F.col("dlat") / 2).alias("dlat"), (F.col("dlon") / 2).alias("dlon"), (F.col("cell_km") / 2).alias("cell_km"), (F.col("depth") + 1).alias("depth"), (F.col("zoom") + 1).alias("zoom"))
 
 
-def collect(pages: DataFrame, box: grid.Box, inside: Column | None = None, settings: Settings | None = None, completed: DataFrame | None = None, seen: DataFrame | None = None) -> Collected:
+def collect(pages: DataFrame, box: grid.Box, inside: Column | None = None, settings: Settings | None = None, completed: DataFrame | None = None, seen: DataFrame | None = None, observer: Callable[[dict], None] | None = None) -> Collected:
     """Places of an area from its recorded pages.
 
     `inside` is a condition on lat and lon (default: the box). `completed` names cell_keys that an earlier
-    run finished, `seen` its keys. Page rules look at a cell's own pages: it is read to its first page
-    that keeps nothing new in the cell, or to its first short page. The order of "first" is depth, then cell_key, page and rank.
+    run finished, `seen` its keys. A cell is read to its first page that keeps nothing new, or to its first
+    short page; new are keys that neither an earlier run nor an earlier level nor an earlier page of the cell
+    has shown. The order of "first" is depth, then cell_key, page and rank. `observer` gets each finished
+    level's depth, cells and kept places.
     """
     spark, settings = pages.sparkSession, settings or Settings()
     inside = inside if inside is not None else geo.in_box(F.col("lat"), F.col("lon"), box)
@@ -87,13 +90,16 @@ def collect(pages: DataFrame, box: grid.Box, inside: Column | None = None, setti
         rows = pages.join(level, "cell_key").withColumn("cell", F.col("cell_key"))
         fits = geo.haversine(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")) <= geo.accept_radius(F.col("cell_km"), settings.buffer)
         rows = rows.withColumn("in_fence", F.coalesce(inside, F.lit(False))).withColumn("good", F.col("in_fence") & F.coalesce(fits, F.lit(False)))
-        novel = discover.page_novelty(rows.filter("good"), "key").withColumnRenamed("n", "n_good")
-        sizes = rows.groupBy("cell", "page").agg(F.count(F.lit(1)).alias("n")).join(novel, ["cell", "page"], "left")
-        stop = sizes.groupBy("cell").agg(F.min(F.when((F.col("n") < settings.full_page) | (F.coalesce("new", F.lit(0)) == 0), F.col("page"))).alias("stop"))
-        read = shared.kept(rows.join(stop, "cell").filter(F.col("stop").isNull() | (F.col("page") <= F.col("stop"))).drop("stop"), f"{path}/read-{depth}")
         known = None if places is None else places.select("key")
         if seen is not None:
             known = seen.select("key") if known is None else known.union(seen.select("key"))
+        good = rows.filter("good")
+        if known is not None:
+            good = good.join(known.distinct(), "key", "left_anti")
+        novel = discover.page_novelty(good, "key").withColumnRenamed("n", "n_good")
+        sizes = rows.groupBy("cell", "page").agg(F.count(F.lit(1)).alias("n")).join(novel, ["cell", "page"], "left")
+        stop = sizes.groupBy("cell").agg(F.min(F.when((F.col("n") < settings.full_page) | (F.coalesce("new", F.lit(0)) == 0), F.col("page"))).alias("stop"))
+        read = shared.kept(rows.join(stop, "cell").filter(F.col("stop").isNull() | (F.col("page") <= F.col("stop"))).drop("stop"), f"{path}/read-{depth}")
         fresh = read.filter("good")
         if known is not None:
             fresh = fresh.join(known.distinct(), "key", "left_anti")
@@ -104,6 +110,8 @@ def collect(pages: DataFrame, box: grid.Box, inside: Column | None = None, setti
         done = level.join(stats, "cell_key", "left").join(kept, "cell_key", "left").na.fill(0, ["requests", "raw", "outside_boundary", "outside_footprint", "full_pages", "kept"])
         saturated, splits = discover.split_decision(settings.full_page, settings.area_cap, settings.page_cap, settings.max_depth, settings.min_cell_km, settings.max_zoom)
         done = shared.kept(done.withColumn("saturated", saturated).withColumn("splits", splits), f"{path}/cells-{depth}")
+        if observer is not None:
+            observer({"depth": depth, **done.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept")).first().asDict()})
         places = fresh if places is None else places.unionByName(fresh)
         cells = done if cells is None else cells.unionByName(done)
         frontier = _children(done.filter("splits").withColumnsRenamed({"cell_lat": "lat", "cell_lon": "lon"}))

@@ -58,6 +58,23 @@ def cell_results(rows: DataFrame, in_fence: Column, in_footprint: Column, key: s
     return kept, counts.withColumn("duplicates", F.col("raw") - F.col("outside_boundary") - F.col("outside_footprint") - F.col("kept"))
 
 
+def rejects(rows: DataFrame, in_fence: Column, in_footprint: Column, key: str = "key") -> DataFrame:
+    """The rows that `cell_results` drops, each with its `reason`."""
+    reason = F.when(~F.coalesce(in_fence, F.lit(False)), "outside_boundary").when(~F.coalesce(in_footprint, F.lit(False)), "outside_footprint")
+    marked = rows.withColumn("reason", reason)
+    rank = F.row_number().over(Window.partitionBy(key, F.col("reason").isNull()).orderBy(*ORDER))
+    repeated = marked.withColumn("_rn", rank).withColumn("reason", F.coalesce("reason", F.when(F.col("_rn") > 1, "duplicate")))
+    return repeated.filter("reason IS NOT NULL").drop("_rn")
+
+
+def exhaustion(rows: DataFrame, key: str = "key", least: int = 5) -> DataFrame:
+    """(cell, streak): the longest run of neighbouring pages with fewer than `least` new keys; a counter only."""
+    poor = page_novelty(rows, key).withColumn("_poor", F.col("new") < least)
+    own = Window.partitionBy("cell").orderBy("page")
+    runs = poor.withColumn("_run", F.sum(F.when(F.col("_poor"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("cell", "_run").agg(F.count_if("_poor").alias("n")).groupBy("cell").agg(F.max("n").alias("streak"))
+
+
 def split_decision(full_page: int = 20, area_cap: int = 120, page_cap: int = 6, max_depth: int = 4, min_cell_km: float = 0.25, max_zoom: int = 19) -> tuple[Column, Column]:
     """(saturated, splits) over columns raw, full_pages, kept, depth, cell_km, zoom of a searched cell."""
     saturated = (F.col("raw") >= area_cap) | (F.col("full_pages") >= page_cap)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +22,11 @@ def _truthy(name: str, kind: str, column: Column) -> Column:
 
 def merge_details(places: DataFrame, details: DataFrame, key: str = "place_id") -> DataFrame:
     """Each place with the details' value of every shared column where that isn't empty or zero; details of unknown
-    places are left out, and of several details of a place the smallest row counts."""
+    places are left out, and of several details of a place the one whose JSON comes first counts."""
     shared = [c for c in places.columns if c in details.columns and c != key]
     kinds = dict(details.dtypes)
-    one = details.groupBy(key).agg(F.min(F.struct(*(F.col(c) for c in shared))).alias("_d"))
+    row = F.struct(*(F.col(c) for c in shared))  # maps have no order, their JSON has
+    one = details.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("_d"))
     rows = places.join(one, key, "left")
     picked = {c: F.coalesce(_truthy(c, kinds[c], F.col("_d")[c]), F.col(c)).alias(c) for c in shared}
     return rows.select(*(picked.get(c, F.col(c)) for c in places.columns))
@@ -65,6 +67,11 @@ def contact_status(places: DataFrame, query: str, budget: int, attempted: int =
     return out.withColumn("contact_status", F.when(~site, "not_eligible_no_website").when(F.col("contact_rank").isNull(), "not_attempted_limit").otherwise("pending"))
 
 
+def contact_batches(marked: DataFrame, size: int = 5) -> DataFrame:
+    """The pending places of `contact_status` with `batch`, the number of the checkpoint that they are done by."""
+    return marked.filter("contact_status = 'pending'").withColumn("batch", F.floor((F.col("contact_rank") - 1) / size).cast("long"))
+
+
 def site_contacts(pages: DataFrame, site: str = "site", order: str = "page_order") -> DataFrame:
     """(site, emails, socials, sources) from the pages of each site: the first page that shows an address or platform wins."""
     found = pages.select(site, order, "url", contacts.emails(F.col("html"), F.col(site)).alias("emails"), F.map_entries(contacts.social_links(F.col("html"))).alias("socials"))
@@ -77,9 +84,7 @@ def site_contacts(pages: DataFrame, site: str = "site", order: str = "page_order
 def extract_with_model(pages: DataFrame, fn: Callable[[str, str], dict], gap: Column | None = None) -> DataFrame:
     """Pages with a user function's contacts, run (Arrow batches) only where `gap` holds, kept only where the page
     backs them; a failing call gives no contacts."""
-    import pandas as pd
 
-    @F.pandas_udf("struct<emails:array<string>,socials:map<string,string>>")
     def call(texts: pd.Series, urls: pd.Series) -> pd.DataFrame:
         rows = []
         for text, url in zip(texts, urls, strict=True):
@@ -90,6 +95,8 @@ def extract_with_model(pages: DataFrame, fn: Callable[[str, str], dict], gap: Co
             rows.append({"emails": [str(e).lower() for e in got.get("emails") or []], "socials": dict(got.get("socials") or {})})
         return pd.DataFrame(rows, columns=["emails", "socials"])
 
+    call.__annotations__ = {"texts": pd.Series, "urls": pd.Series, "return": pd.DataFrame}  # Spark reads types, not their names
+    call = F.pandas_udf(call, "struct<emails:array<string>,socials:map<string,string>>")
     asked = pages.filter(gap) if gap is not None else pages
     rows = asked.withColumn("_m", call("text", "url"))
     emails = F.array_distinct(F.filter("_m.emails", lambda e: contacts.email_grounded(e, F.col("text"))))

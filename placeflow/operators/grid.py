@@ -45,6 +45,16 @@ def estimate_cells(box: Box, cell_km: float) -> int:
     return math.ceil((box[2] - box[0]) / dlat) * math.ceil((box[3] - box[1]) / dlon)
 
 
+def estimates(spark: SparkSession, box: Box, target: int = 100) -> DataFrame:
+    """(km, cells, chosen) of each size of the ladder; the smallest with at most `target` cells is chosen."""
+    height, width = box[2] - box[0], box[3] - box[1]
+    narrow = F.greatest(F.cos(F.radians(F.lit((box[0] + box[2]) / 2))), F.lit(1e-6))
+    km = F.col("km")
+    cells = F.ceil(F.lit(height) / (km / F.lit(geo.KM_PER_DEGREE))) * F.ceil(F.lit(width) / (km / (F.lit(geo.KM_PER_DEGREE) * narrow)))
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, SIZES))).alias("km")).withColumn("cells", cells.cast("long"))
+    return rows.withColumn("chosen", km.eqNullSafe(rows.filter(F.col("cells") <= target).agg(F.min("km")).scalar()))
+
+
 def choose_cell_size(box: Box, target: int = 100) -> float:
     """The smallest size of the ladder with at most `target` cells; beyond it, the last size scaled up."""
     for size in SIZES:

@@ -58,7 +58,7 @@ def rederive(entries: DataFrame, labels: DataFrame, entry: str = "entry", label:
 
     `labels` is long: (label, field, value string, number double). A label belongs to the first entry that
     holds one of its identifying texts; of several places of a value the first in list order counts; ties
-    between paths go to the one of the smallest label. Values meet leaves in an equi-join, never all pairs.
+    between paths go to the one of the smallest label. Labels meet the leaves of their own entry only.
     """
     spark = entries.sparkSession
     entries = shared.kept(entries.select(entry, "pd"), shared.folder(spark, "entries"))  # decoded once
@@ -66,9 +66,10 @@ def rederive(entries: DataFrame, labels: DataFrame, entry: str = "entry", label:
     texts = leaves.filter("kind = 'STRING'").select(entry, "path", F.concat(F.lit("s:"), "text").alias("v"))
     numbers = leaves.filter("kind != 'STRING' AND kind != 'BOOLEAN' AND number IS NOT NULL").select(entry, "path", F.concat(F.lit("n:"), F.round(F.col("number") * 1e6).cast("long").cast("string")).alias("v"))
     known = labels.select(label, "field", F.coalesce(F.concat(F.lit("n:"), F.round(F.col("number") * 1e6).cast("long").cast("string")), F.concat(F.lit("s:"), "value")).alias("v"))
-    found = texts.unionByName(numbers).join(known, "v")
-    anchor = found.filter(F.col("field").isin("place_id", "hex_id", "ftid", "name")).groupBy(label).agg(F.min(entry).alias("anchor"))
-    first = found.join(anchor, label).filter(F.col(entry) == F.col("anchor")).groupBy(label, "field").agg(F.min("path").alias("path"))
+    values = texts.unionByName(numbers)
+    earliest = values.groupBy("v").agg(F.min(entry).alias("anchor"))  # a value of many places meets each label once
+    anchor = known.filter(F.col("field").isin("place_id", "hex_id", "ftid", "name")).join(earliest, "v").groupBy(label).agg(F.min("anchor").alias(entry))
+    first = known.join(anchor, label).join(values, [entry, "v"]).groupBy(label, "field").agg(F.min("path").alias("path"))
     votes = first.groupBy("field", "path").agg(F.count(F.lit(1)).alias("votes"), F.min(label).alias("seen"))
     best = Window.partitionBy("field").orderBy(F.desc("votes"), "seen")
     return votes.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select("field", "path", "votes")

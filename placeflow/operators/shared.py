@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path under spark.checkpoint.dir; under a local folder only where the session names none (tests)."""
+    """A fresh path under spark.checkpoint.dir; under a local folder only where a local session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='placeflow-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ an SQL oracle do alike. Each binding has the same definition in SQL below.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = (36.0, -87.0, 36.4, -86.6)
@@ -35,17 +35,20 @@ PLACES = """places AS (
         FROM (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer)))"""
 
 
-def occurrences(spark: SparkSession, sf_dir: str, cells: int = 50, keys: int = 40) -> DataFrame:
-    """(cell, page, rank, key): results in order, twenty a page, six pages a cell at most."""
-    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % cells).alias("cell"), (F.col("o_custkey") % keys).alias("key"), F.col("o_orderkey").alias("rank"))
+def occurrences(spark: SparkSession, sf_dir: str, per_cell: int = 100, keys: int | None = None, cap: int | None = None) -> DataFrame:
+    """(cell, page, rank, key): every order as a result of a search, `per_cell` orders a cell, twenty a page; with `cap`
+    the pages that a search has at most. Keys are customers, or `keys` of them where they must repeat in a cell."""
+    key = F.col("o_custkey") if keys is None else F.col("o_custkey") % keys
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / per_cell).cast("long").alias("cell"), key.alias("key"), F.col("o_orderkey").alias("rank"))
     n = F.row_number().over(Window.partitionBy("cell").orderBy("rank")) - 1
-    return o.withColumn("n", n).filter("n < 120").select("cell", F.floor(F.col("n") / 20).cast("long").alias("page"), "rank", "key")
+    rows = o.withColumn("page", F.floor(n / 20).cast("long"))
+    return (rows if cap is None else rows.filter(F.col("page") < cap)).select("cell", "page", "rank", "key")
 
 
-def occurrences_sql(cells: int = 50, keys: int = 40) -> str:
+def occurrences_sql(per_cell: int = 100, keys: int | None = None, cap: int | None = None) -> str:
     return f"""occ AS (SELECT cell, CAST(n // 20 AS BIGINT) AS page, rank, key FROM (
-      SELECT o_orderkey % {cells} AS cell, o_custkey % {keys} AS key, o_orderkey AS rank,
-             row_number() OVER (PARTITION BY o_orderkey % {cells} ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n < 120)"""
+      SELECT o_orderkey // {per_cell} AS cell, o_custkey{'' if keys is None else f' % {keys}'} AS key, o_orderkey AS rank,
+             row_number() OVER (PARTITION BY o_orderkey // {per_cell} ORDER BY o_orderkey) - 1 AS n FROM orders){'' if cap is None else f' WHERE n // 20 < {cap}'})"""
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,3 +101,55 @@ def grid_pages(spark: SparkSession, sf_dir: str, cell_km: float = 5.0) -> DataFr
         rows = keyed if rows is None else rows.unionByName(keyed)
     n = F.row_number().over(Window.partitionBy("cell_key").orderBy("c_custkey")) - 1
     return rows.withColumn("n", n).filter("n < 120").select("cell_key", F.floor(F.col("n") / 20).cast("int").alias("page"), F.pmod("n", F.lit(20)).cast("int").alias("rank"), "key", "lat", "lon")
+
+
+def _listed(slots: dict[int, Column]) -> Column:
+    """The text of a JSON list with these items and nulls between them."""
+    parts, last = [F.lit("[")], -1
+    for i in sorted(slots):
+        parts += [F.lit("," * (last >= 0) + "null," * (i - last - 1)), slots[i]]
+        last = i
+    return F.concat(*parts, F.lit("]"))
+
+
+def _quoted(*parts: Column | str) -> Column:
+    return F.concat(F.lit('"'), *(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit('"'))
+
+
+def details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, response): a recorded details response of every place, positional JSON decoded to VARIANT."""
+    k = F.col("c_custkey").cast("string")
+
+    def of(template: str) -> Column:
+        """The template with the place's number for #."""
+        return F.replace(F.lit(template), F.lit("#"), k)
+
+    slots = {
+        0: of('"D#"'), 2: of('["# Old St","Oldtown"]'), 4: F.concat(F.lit('[null,null,"$$",["http://r"],null,null,null,'), (F.col("c_custkey") % 50 / 10.0).cast("string"), F.lit(","), (F.col("c_custkey") % 300).cast("string"), F.lit("]")),
+        9: F.concat(F.lit("[null,null,"), F.col("a").cast("string"), F.lit(","), F.col("b").cast("string"), F.lit("]")), 10: of('"0x#"'), 11: F.when(F.col("c_custkey") % 3 == 0, F.lit('""')).otherwise(of('"Shop # Inc"')),
+        13: F.concat(F.lit("["), _quoted(F.col("category")), F.lit(',"Shop"]')), 14: of('"Hood #"'), 18: of('"# Main St, Nashville"'), 30: F.lit('"America/Chicago"'), 36: of('[["ref#","http://p/#"]]'), 38: of('["http://menu/#","Menu"]'),
+        46: of('[["http://book/#","Book"]]'), 57: of('["#","Owner #","http://o/#"]'), 72: of('[[[null,null,null,null,null,null,["http://t/#"]]]]'), 78: _quoted(F.col("place_id")),
+        100: F.lit('[null,[["Service",[["Delivery",true],["Pickup",0]]],["Credit cards",["Visa","MC"]]]]'), 116: F.lit("2"), 171: of('[[null,null,"Street View",[[null,null,null,null,null,null,["http://sv/#"]]]],[null,null,"All",[[null,null,null,null,null,null,["http://i/#"]]]]]'),
+        175: F.concat(F.lit("[null,null,null,[3,0,null,"), (F.col("c_custkey") % 7).cast("string"), F.lit(",10]]")), 178: of('[["555-#"]]'), 183: of('[null,["Boro","# Main St",null,"Nashville","37-#","TN","US"],[null,null,["PLUS#"]]]'),
+        203: of('[[["Mon",1,null,[["9-12"],["13-#"]]],["Tue",2,null,[["9-17"]]],["Mon",1,null,[["20-22"]]]]]'),
+    }
+    body = F.concat(F.lit("[null,null,null,null,null,null,"), _listed(slots), F.lit("]"))
+    return places(spark, sf_dir).select("c_custkey", F.parse_json(body).alias("response"))
+
+
+def moved_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, response): search responses of a changed layout, each field at another position."""
+    k = F.col("c_custkey").cast("string")
+    moved = {40: _quoted(F.col("name")), 41: _quoted("0x", k), 43: _quoted("D", k), 44: _quoted(k, " ", F.col("category"), " street"), 46: F.concat(F.lit("["), _quoted("https://shop", k, ".com"), F.lit("]")), 50: F.concat(F.lit("[null,null,"), (F.col("a") + 0.25).cast("string"), F.lit(","), (F.col("b") + 0.75).cast("string"), F.lit("]")), 80: _quoted(F.col("place_id"))}
+    entry = _listed({14: _listed(moved)})
+    rows = places(spark, sf_dir).select(F.floor(F.col("c_custkey") / 20).cast("long").alias("page"), F.struct("c_custkey", entry.alias("e")).alias("x")).groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select("page", F.parse_json(F.concat(F.lit('[["q",["meta",'), F.array_join(F.transform("xs", lambda x: x["e"]), ","), F.lit("]]]"))).alias("response"))
+
+
+def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request, query, body): a geocoder's answer for every customer, one hit each; every seventh isn't an area, and some
+    lie outside BOX in part or whole."""
+    k = F.col("c_custkey")
+    south, west = 35.9 + (k * 31 % 500) / 1000.0, -87.1 + (k * 17 % 500) / 1000.0
+    hit = F.struct(F.lit("node").alias("osm_type"), (k % 900).cast("string").alias("osm_id"), F.when(k % 7 == 0, "shop").otherwise("place").alias("class"), F.lit("suburb").alias("type"), F.col("c_name").alias("name"), F.concat(F.col("c_name"), F.lit(", TN")).alias("display_name"), (south + 0.01).cast("string").alias("lat"), (west + 0.01).cast("string").alias("lon"), F.transform(F.array(south, south + 0.02, west, west + 0.02), lambda x: x.cast("string")).alias("boundingbox"))
+    return table(spark, sf_dir, "customer").select(k.alias("request"), F.concat(F.lit("area "), k.cast("string")).alias("query"), F.to_json(F.array(hit)).alias("body"))

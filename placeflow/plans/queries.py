@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placeflow.api import Places
 from placeflow.functions import contacts, decode, geo, keys, pb
-from placeflow.operators import collect, discover, enrich, grid, metrics, parse, quality, shared
+from placeflow.operators import collect, discover, enrich, grid, locations, metrics, parse, quality, shared
 from placeflow.plans import bindings as b
+from placeflow.sources import recorded
 from placeflow.streaming import collect as streaming
 from placeflow.plans.bindings import BOX, FENCE, GEOMETRY, HOLE, PLACES, SITES, occurrences, occurrences_sql, places, responses, sites, table
 
@@ -50,9 +53,7 @@ def cells_zoom_levels(spark, sf_dir):
 
 @query("SELECT km, CAST(ceil(0.4 / (km / 111.32)) * ceil(0.4 / (km / (111.32 * cos(radians(36.2))))) AS BIGINT) AS cells, km = 5.0 AS chosen FROM (SELECT unnest([0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 10.0, 15.0, 20.0, 50.0, 100.0])::DOUBLE AS km)")
 def cell_estimate_ladder(spark, sf_dir):
-    chosen = grid.choose_cell_size(BOX, 100)
-    rows = [(size, grid.estimate_cells(BOX, size), size == chosen) for size in grid.SIZES]
-    return spark.createDataFrame(rows, "km double, cells long, chosen boolean")
+    return grid.estimates(spark, BOX, 100)
 
 
 @query(f"WITH {PLACES} SELECT city, count(*) AS n FROM places WHERE lat BETWEEN 36.1 AND 36.3 AND lon BETWEEN -86.9 AND -86.7 GROUP BY city")
@@ -119,18 +120,17 @@ def quadtree_report(spark, sf_dir):
     return t.agg(F.count(F.lit(1)).alias("searched"), F.count_if("splits").alias("subdivided"), F.count_if((F.col("n") >= 120) & ~F.col("splits")).alias("saturated"), F.count_if(~F.col("splits")).alias("leaves"), F.max("depth").alias("max_depth"))
 
 
-@query(f"WITH {PLACES}, c AS ({_GRID}) SELECT i, j FROM c WHERE NOT EXISTS (SELECT 1 FROM places p WHERE c_custkey <= 60 AND c_custkey % 5 <> 0 AND {_HAVERSINE.format(lat1='c.lat', lon1='c.lon', lat2='p.lat', lon2='p.lon')} <= 2500)")
+@query(f"WITH {PLACES}, c AS ({_GRID}) SELECT i, j FROM c WHERE NOT EXISTS (SELECT 1 FROM places p WHERE {_HAVERSINE.format(lat1='c.lat', lon1='c.lon', lat2='p.lat', lon2='p.lon')} <= 250)")
 def gap_cells_anti(spark, sf_dir):
-    few = places(spark, sf_dir).filter("c_custkey <= 60 AND c_custkey % 5 != 0")
-    return grid.uncovered_cells(grid.generate_cells(spark, BOX, 2.0), few, 2.5, BOX).select("i", "j")
+    return grid.uncovered_cells(grid.generate_cells(spark, BOX, 2.0), places(spark, sf_dir), 0.25, BOX).select("i", "j")
 
 
 # Discovery
 
 
-@query(f"WITH {occurrences_sql(200, 400)} SELECT key, cell, page, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell, page, rank) AS rn FROM occ) WHERE rn = 1")
+@query(f"WITH {occurrences_sql()} SELECT key, cell, page, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell, page, rank) AS rn FROM occ) WHERE rn = 1")
 def dedup_first_wins(spark, sf_dir):
-    return discover.first_wins(occurrences(spark, sf_dir, 200, 400)).select("key", "cell", "page", "rank")
+    return discover.first_wins(occurrences(spark, sf_dir)).select("key", "cell", "page", "rank")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'P' || c_custkey WHEN c_custkey % 4 = 1 THEN '0x' || c_custkey WHEN c_custkey % 4 = 2 THEN 'C' || c_custkey
@@ -143,33 +143,33 @@ def dedup_key_fallback(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", key.alias("key"))
 
 
-@query(f"WITH {occurrences_sql(200, 400)} SELECT key, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY cell) AS cells, min(cell) AS first_cell FROM (SELECT DISTINCT key, cell FROM occ) GROUP BY key")
+@query(f"WITH {occurrences_sql()} SELECT key, string_agg(CAST(cell AS VARCHAR), ',' ORDER BY cell) AS cells, min(cell) AS first_cell FROM (SELECT DISTINCT key, cell FROM occ) GROUP BY key")
 def provenance_cells(spark, sf_dir):
-    return discover.provenance(occurrences(spark, sf_dir, 200, 400)).select("key", F.concat_ws(",", F.col("cells").cast("array<string>")).alias("cells"), "first_cell")
+    return discover.provenance(occurrences(spark, sf_dir)).select("key", F.concat_ws(",", F.col("cells").cast("array<string>")).alias("cells"), "first_cell")
 
 
 _NEW = "p AS (SELECT cell, page, count(*) AS n, count(*) FILTER (WHERE rn = 1) AS new FROM (SELECT *, row_number() OVER (PARTITION BY cell, key ORDER BY page, rank) AS rn FROM occ) GROUP BY cell, page)"
 
 
-@query(f"WITH {occurrences_sql()}, {_NEW} SELECT cell, page, n, new FROM p")
+@query(f"WITH {occurrences_sql(150, 40, 6)}, {_NEW} SELECT cell, page, n, new FROM p")
 def page_new_counts(spark, sf_dir):
-    return discover.page_novelty(occurrences(spark, sf_dir))
+    return discover.page_novelty(occurrences(spark, sf_dir, 150, 40, 6))
 
 
-@query(f"WITH {occurrences_sql()}, {_NEW} SELECT cell, coalesce(min(page) FILTER (WHERE new = 0), -1) AS stop_page, max(page) AS last_page FROM p GROUP BY cell")
+@query(f"WITH {occurrences_sql(150, 40, 6)}, {_NEW} SELECT cell, coalesce(min(page) FILTER (WHERE new = 0), -1) AS stop_page, max(page) AS last_page FROM p GROUP BY cell")
 def paginate_cutoff(spark, sf_dir):
-    return discover.page_stops(occurrences(spark, sf_dir)).withColumn("stop_page", F.coalesce("stop_page", F.lit(-1).cast("long")))
+    return discover.page_stops(occurrences(spark, sf_dir, 150, 40, 6)).withColumn("stop_page", F.coalesce("stop_page", F.lit(-1).cast("long")))
 
 
-@query(f"""WITH {occurrences_sql(200, 40)}, {_NEW}, s AS (SELECT cell, min(page) FILTER (WHERE new = 0 OR n < 20) AS stop FROM p GROUP BY cell)
+@query(f"""WITH {occurrences_sql(150, 40, 6)}, {_NEW}, s AS (SELECT cell, min(page) FILTER (WHERE new = 0 OR n < 20) AS stop FROM p GROUP BY cell)
 SELECT cell, key, min(rank) AS rank FROM occ JOIN s USING (cell) WHERE stop IS NULL OR page <= stop GROUP BY cell, key""")
 def paginate_rows(spark, sf_dir):
-    return discover.paginate(occurrences(spark, sf_dir, 200, 40), full_page=20).select("cell", "key", "rank")
+    return discover.paginate(occurrences(spark, sf_dir, 150, 40, 6), full_page=20).select("cell", "key", "rank")
 
 
-@query(f"WITH {occurrences_sql(200, 400)}, f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell, page, rank) AS rn FROM occ) SELECT key, cell, rank FROM f WHERE rn = 1 ORDER BY cell, page, rank LIMIT 100")
+@query(f"WITH {occurrences_sql()}, f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell, page, rank) AS rn FROM occ) SELECT key, cell, rank FROM f WHERE rn = 1 ORDER BY cell, page, rank LIMIT 100")
 def global_cap(spark, sf_dir):
-    return discover.global_cap(occurrences(spark, sf_dir, 200, 400), 100).select("key", "cell", "rank")
+    return discover.global_cap(occurrences(spark, sf_dir), 100).select("key", "cell", "rank")
 
 
 @query("""WITH c AS (SELECT o_custkey AS seq, CASE WHEN sum(o_totalprice) > 1000000 AND o_custkey % 3 = 0 THEN 1 ELSE 0 END AS kept FROM orders GROUP BY o_custkey),
@@ -186,26 +186,26 @@ def resume_anti(spark, sf_dir):
     return discover.resume(o.select("cell_key").distinct(), o.filter("o_orderstatus = 'F' AND cell_key % 7 < 3"))
 
 
-@query(f"WITH {occurrences_sql(50, 4000)}, two AS (SELECT 0 AS pass, * FROM occ WHERE cell < 20 UNION ALL SELECT 1, * FROM occ WHERE cell >= 10), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pass, cell, page, rank) AS rn FROM two) SELECT CAST(pass AS INTEGER) AS pass, key, cell, rank FROM f WHERE rn = 1")
+@query(f"WITH {occurrences_sql()}, two AS (SELECT 0 AS pass, * FROM occ WHERE cell % 10 < 6 UNION ALL SELECT 1, * FROM occ WHERE cell % 10 >= 3), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pass, cell, page, rank) AS rn FROM two) SELECT CAST(pass AS INTEGER) AS pass, key, cell, rank FROM f WHERE rn = 1")
 def pass_union_merge(spark, sf_dir):
-    occ = occurrences(spark, sf_dir, 50, 4000)
-    return discover.merge_passes([occ.filter("cell < 20"), occ.filter("cell >= 10")]).select("pass", "key", "cell", "rank")
+    occ = occurrences(spark, sf_dir)
+    return discover.merge_passes([occ.filter("cell % 10 < 6"), occ.filter("cell % 10 >= 3")]).select("pass", "key", "cell", "rank")
 
 
-@query(f"""WITH {occurrences_sql(50, 4000)}, r AS (SELECT cell, page, rank, key, rank AS seq FROM occ), s AS (SELECT *, max(seq) OVER (PARTITION BY key) AS l, min(seq) OVER (PARTITION BY key) AS f FROM r WHERE cell < 10)
+@query(f"""WITH {occurrences_sql()}, r AS (SELECT cell, page, rank, key, rank AS seq FROM occ), s AS (SELECT *, max(seq) OVER (PARTITION BY key) AS l, min(seq) OVER (PARTITION BY key) AS f FROM r WHERE cell % 10 < 3)
 SELECT key, rank, f AS position, 'snapshot' AS origin FROM s WHERE seq = l UNION ALL
-SELECT key, min(rank), min(seq), 'lines' FROM r WHERE cell >= 5 AND key NOT IN (SELECT key FROM s) GROUP BY key""")
+SELECT key, min(rank), min(seq), 'lines' FROM r WHERE cell % 10 >= 1 AND key NOT IN (SELECT key FROM s) GROUP BY key""")
 def snapshot_precedence(spark, sf_dir):
-    rows = occurrences(spark, sf_dir, 50, 4000).withColumn("seq", F.col("rank"))
-    return discover.snapshot_precedence(rows.filter("cell < 10"), rows.filter("cell >= 5")).select("key", "rank", "position", "origin")
+    rows = occurrences(spark, sf_dir).withColumn("seq", F.col("rank"))
+    return discover.snapshot_precedence(rows.filter("cell % 10 < 3"), rows.filter("cell % 10 >= 1")).select("key", "rank", "position", "origin")
 
 
-@query(f"""WITH {occurrences_sql(200, 400)}, seen AS (SELECT DISTINCT key FROM occ WHERE cell < 20), {_NEW}, s AS (SELECT cell, min(page) FILTER (WHERE new = 0 OR n < 20) AS stop FROM (SELECT * FROM p WHERE page < 2 AND cell >= 100) GROUP BY cell),
+@query(f"""WITH {occurrences_sql(150, 4000)}, seen AS (SELECT DISTINCT key FROM occ WHERE cell % 10 < 2), {_NEW}, s AS (SELECT cell, min(page) FILTER (WHERE new = 0 OR n < 20) AS stop FROM (SELECT * FROM p WHERE page < 2 AND cell % 10 >= 2) GROUP BY cell),
 rd AS (SELECT cell, key, min(page) AS page, min(rank) AS rank FROM occ JOIN s USING (cell) WHERE page < 2 AND (stop IS NULL OR page <= stop) GROUP BY cell, key)
 SELECT key, min(cell) AS cell FROM rd WHERE key NOT IN (SELECT key FROM seen) GROUP BY key""")
 def diversity_pass(spark, sf_dir):
-    occ = occurrences(spark, sf_dir, 200, 400)
-    return discover.diversity_pass(occ.filter("cell >= 100"), occ.filter("cell < 20"))[0].select("key", "cell")
+    occ = occurrences(spark, sf_dir, 150, 4000)
+    return discover.diversity_pass(occ.filter("cell % 10 >= 2"), occ.filter("cell % 10 < 2"))[0].select("key", "cell")
 
 
 @query(f"""WITH {PLACES}, r AS (SELECT CASE WHEN NOT (lat BETWEEN 36.05 AND 36.35 AND lon BETWEEN -86.95 AND -86.65) THEN 'b' WHEN {_HAVERSINE.format(lat1='lat', lon1='lon', lat2='36.2', lon2='-86.8')} > 20 / 2.0 * sqrt(2) * 1000 * 1.0 THEN 'f' END AS why, c_custkey % 700 AS key FROM places)
@@ -216,11 +216,11 @@ def discovery_counters(spark, sf_dir):
     return discover.cell_results(rows, geo.in_box(lat, lon, (36.05, -86.95, 36.35, -86.65)), geo.haversine(lat, lon, F.lit(36.2), F.lit(-86.8)) <= geo.accept_radius(F.lit(20.0), 1.0))[1]
 
 
-@query(f"""WITH {occurrences_sql(50, 400)}, f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell, page, rank) AS rn FROM occ),
+@query(f"""WITH {occurrences_sql(150, None, 6)}, f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell, page, rank) AS rn FROM occ),
 p AS (SELECT cell, page, count(*) AS n, count(*) FILTER (WHERE rn = 1) AS k FROM f GROUP BY cell, page), c AS (SELECT cell, sum(n) AS raw, count(*) FILTER (WHERE n = 20) AS full_pages, sum(k) AS kept FROM p GROUP BY cell)
 SELECT cell, CAST(raw AS BIGINT) AS raw, full_pages, CAST(kept AS BIGINT) AS kept, raw >= 120 OR full_pages >= 6 AS saturated, (raw >= 120 OR full_pages >= 6) AND kept >= 24 AND 1 < 4 AS splits FROM c""")
 def split_decisions(spark, sf_dir):
-    pages = discover.page_novelty(occurrences(spark, sf_dir, 50, 400), scope=())
+    pages = discover.page_novelty(occurrences(spark, sf_dir, 150, None, 6), scope=())
     cells = pages.groupBy("cell").agg(F.sum("n").alias("raw"), F.count_if(F.col("n") == 20).alias("full_pages"), F.sum("new").alias("kept"), F.lit(1).alias("depth"), F.lit(5.0).alias("cell_km"), F.lit(17).alias("zoom"))
     saturated, splits = discover.split_decision()
     return cells.select("cell", "raw", "full_pages", "kept", saturated.alias("saturated"), splits.alias("splits"))
@@ -229,18 +229,53 @@ def split_decisions(spark, sf_dir):
 _COLLECT = collect.Settings(max_results=1_000_000)
 
 
-@query()
+
+
+def _level_sql(d: int) -> str:
+    """CTEs of a level of the collection: the frontier f, pages read r, the first rows k and the cells c."""
+    half, known = 2**d, "SELECT key FROM k0" if d else "SELECT NULL WHERE false"
+    frontier = f"SELECT i, j FROM g{half} WHERE lat < 36.4 AND lon < -86.6" if d == 0 else "SELECT 2 * i + u AS i, 2 * j + v AS j FROM c0, (SELECT unnest([0, 1]) AS u), (SELECT unnest([0, 1]) AS v) WHERE splits"
+    return f"""f{d} AS (SELECT f.i, f.j, g.lat AS clat, g.lon AS clon, printf('%.6f,%.6f', g.lat, g.lon) AS cell_key FROM ({frontier}) f JOIN g{half} g USING (i, j)),
+m{d} AS (SELECT r.*, f.cell_key, r.lat BETWEEN 36.0 AND 36.4 AND r.lon BETWEEN -87.0 AND -86.6 AS infence, r.lat BETWEEN 36.0 AND 36.4 AND r.lon BETWEEN -87.0 AND -86.6 AND {_HAVERSINE.format(lat1='r.lat', lon1='r.lon', lat2='f.clat', lon2='f.clon')} <= {5.0 / half} / 2.0 * sqrt(2) * 1000 * 1.5 AS good FROM rec{half} r JOIN f{d} f USING (i, j)),
+w{d} AS (SELECT cell_key, page, count(*) AS new FROM (SELECT *, row_number() OVER (PARTITION BY cell_key, key ORDER BY page, rank) AS rn FROM m{d} WHERE good AND key NOT IN ({known})) WHERE rn = 1 GROUP BY cell_key, page),
+s{d} AS (SELECT cell_key, min(page) FILTER (WHERE n < 20 OR coalesce(new, 0) = 0) AS stop FROM (SELECT cell_key, page, count(*) AS n FROM m{d} GROUP BY cell_key, page) LEFT JOIN w{d} USING (cell_key, page) GROUP BY cell_key),
+r{d} AS (SELECT m.* FROM m{d} m JOIN s{d} USING (cell_key) WHERE stop IS NULL OR page <= stop),
+k{d} AS (SELECT key, cell_key, page, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY cell_key, page, rank) AS rn FROM r{d} WHERE good AND key NOT IN ({known})) WHERE rn = 1),
+z{d} AS (SELECT cell_key, count(*) AS requests, sum(n) AS raw, sum(ob) AS ob, sum(nf) AS nf, count(*) FILTER (WHERE n >= 20) AS full_pages FROM (SELECT cell_key, page, count(*) AS n, count(*) FILTER (WHERE NOT infence) AS ob, count(*) FILTER (WHERE infence AND NOT good) AS nf FROM r{d} GROUP BY cell_key, page) GROUP BY cell_key),
+c{d} AS (SELECT f.i, f.j, coalesce(requests, 0) AS requests, coalesce(raw, 0) AS raw, coalesce(ob, 0) AS ob, coalesce(nf, 0) AS nf, coalesce(kept, 0) AS kept, coalesce(raw, 0) >= 120 OR coalesce(full_pages, 0) >= 6 AS saturated, (coalesce(raw, 0) >= 120 OR coalesce(full_pages, 0) >= 6) AND coalesce(kept, 0) >= 24 AND {d} < 1 AS splits FROM f{d} f LEFT JOIN z{d} USING (cell_key) LEFT JOIN (SELECT cell_key, count(*) AS kept FROM k{d} GROUP BY cell_key) USING (cell_key))"""
+
+
+def _recorded_sql(half: int) -> str:
+    dlat, dlon = f"(5.0 / 111.32 / {half})", f"(5.0 / (111.32 * cos(radians(36.2))) / {half})"
+    return f"""g{half} AS (SELECT i, j, 36.0 + (i + 0.5) * {dlat} AS lat, -87.0 + (j + 0.5) * {dlon} AS lon FROM (SELECT unnest(range(40)) AS i), (SELECT unnest(range(40)) AS j)),
+o{half} AS (SELECT c_custkey, place_id AS key, lat, lon, CAST(floor((lat - 36.0) / {dlat}) AS BIGINT) AS i, CAST(floor((lon + 87.0) / {dlon}) AS BIGINT) AS j FROM places),
+rec{half} AS (SELECT i, j, CAST(n // 20 AS INTEGER) AS page, CAST(n % 20 AS INTEGER) AS rank, key, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY c_custkey) - 1 AS n FROM (SELECT * FROM o{half} UNION ALL SELECT c_custkey, key, lat, lon, i, j + 1 FROM o{half} WHERE c_custkey % 9 = 0)) WHERE n < 120)"""
+
+
+_LEVELS = f"WITH {PLACES}, {_recorded_sql(1)}, {_recorded_sql(2)}, {_level_sql(0)}, {_level_sql(1)}"
+
+
+@query(f"{_LEVELS} SELECT key, cell_key, 0 AS depth, page, rank FROM k0 UNION ALL SELECT key, cell_key, 1, page, rank FROM k1")
 def collect_levels(spark, sf_dir):
     """The production collection: frontier and recorded pages joined level by level, saturated cells split."""
     return collect.collect(b.grid_pages(spark, sf_dir), BOX, settings=_COLLECT).places.select("key", "cell_key", "depth", "page", "rank")
 
 
-@query()
+@query(f"""{_LEVELS}, c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1), t AS (SELECT count(*) AS cells_total, count(*) FILTER (WHERE splits) AS cells_subdivided, count(*) FILTER (WHERE saturated AND NOT splits) AS cells_saturated,
+  CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(kept) AS BIGINT) AS kept, CAST(sum(raw) - sum(kept) - sum(ob) - sum(nf) AS BIGINT) AS duplicates, CAST(sum(ob) AS BIGINT) AS outside_boundary, CAST(sum(nf) AS BIGINT) AS outside_footprint FROM c)
+SELECT CASE WHEN cells_saturated > 0 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN cells_saturated > 0 THEN 'cells saturated' ELSE '' END AS reasons, * FROM t""")
 def collect_manifest(spark, sf_dir):
     got = collect.collect(b.grid_pages(spark, sf_dir), BOX, settings=_COLLECT)
     return got.manifest().select("status", F.array_join("reasons", ";").alias("reasons"), "cells_total", "cells_subdivided", "cells_saturated", "requests", "raw", "kept", "duplicates", "outside_boundary", "outside_footprint")
 
 
+@query(f"{_LEVELS} SELECT (SELECT count(*) FROM k0) + (SELECT count(*) FROM k1) AS retained, CAST((SELECT sum(raw) FROM c0) + coalesce((SELECT sum(raw) FROM c1), 0) AS BIGINT) AS raw, CAST((SELECT sum(requests) FROM c0) + coalesce((SELECT sum(requests) FROM c1), 0) AS BIGINT) AS requests, 1 AS run")
+def manifest(spark, sf_dir):
+    """A collection into a folder, by the runner; its manifest as written."""
+    row = Places({"grid_pages": b.grid_pages(spark, sf_dir)}).collect(shared.folder(spark, "collection"), "shops", BOX, settings=_COLLECT)
+    return row.select("retained", "raw", "requests", "run")
+
+
 @query(f"""WITH e AS (SELECT user_id, min(ts) AS first_ts, min(event_id) AS n FROM events GROUP BY user_id) SELECT user_id AS key, count(*) AS n FROM e GROUP BY user_id""")
 def stream_dedup(spark, sf_dir):
     """Events as a stream, deduplicated by user, run to the end of what is there."""
@@ -408,11 +443,11 @@ def completeness_reasons(spark, sf_dir):
     return metrics.completeness(o).select("o_custkey", F.array_join("reasons", ";").alias("reasons"), "complete")
 
 
-_RUNS = "runs AS (SELECT o_orderstatus AS city, o_orderpriority AS run, o_custkey % 3000 AS key, o_totalprice > 250000 AS relevant FROM orders WHERE o_orderkey % 3 = 0)"
+_RUNS = "runs AS (SELECT o_orderstatus AS city, o_orderpriority AS run, o_custkey AS key, o_totalprice > 250000 AS relevant FROM orders)"
 
 
 def _runs(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderstatus").alias("city"), F.col("o_orderpriority").alias("run"), (F.col("o_custkey") % 3000).alias("key"), (F.col("o_totalprice") > 250000).alias("relevant"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("city"), F.col("o_orderpriority").alias("run"), F.col("o_custkey").alias("key"), (F.col("o_totalprice") > 250000).alias("relevant"))
 
 
 @query(f"WITH {_RUNS} SELECT city, count(DISTINCT key) AS floor, count(DISTINCT key) FILTER (WHERE relevant) AS relevant_floor FROM runs GROUP BY city")
@@ -465,15 +500,7 @@ def adaptive_timeout_p90(spark, sf_dir):
   s := CASE WHEN x.b OR a.s + 1 >= 5 THEN 0 ELSE a.s + 1 END, b := x.b), struct_pack(d := 1.5::DOUBLE, s := 0, b := false)).d AS delay FROM events GROUP BY user_id""")
 def aimd_delay(spark, sf_dir):
     """The delay of each user's request log, folded in time order."""
-    signals = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("value") > 95).alias("blocked")))).alias("xs"))
-    fold = F.transform("xs", lambda x: F.struct(x["blocked"].alias("blocked"), F.lit(None).cast("double").alias("retry_after")))
-    return signals.select("user_id", metrics.aimd(fold).alias("delay"))
-
-
-@query(f"""WITH {PLACES}, m AS (SELECT count(*) AS retained, count(*) FILTER (WHERE c_custkey % 4 <> 2) AS with_site, count(*) FILTER (WHERE city = 3) AS in_city FROM places)
-SELECT retained, with_site, in_city, CASE WHEN retained > 0 THEN 'complete' ELSE 'incomplete' END AS status FROM m""")
-def manifest(spark, sf_dir):
-    return places(spark, sf_dir).agg(F.count(F.lit(1)).alias("retained"), F.count_if(F.col("c_custkey") % 4 != 2).alias("with_site"), F.count_if(F.col("city") == 3).alias("in_city")).withColumn("status", F.when(F.col("retained") > 0, "complete").otherwise("incomplete"))
+    return metrics.aimd_logs(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), F.col("value") > 95)
 
 
 # Positional JSON
@@ -510,15 +537,30 @@ def drift_detect(spark, sf_dir):
     return quality.health(parse.parse_core(_entries(spark, sf_dir), moved, ("page",)), ("page",)).select("page", F.array_join("problems", ";").alias("problems"))
 
 
-@query("SELECT * FROM (VALUES ('name', '11', 2), ('place_id', '78', 2), ('hex_id', '10', 2), ('latitude', '9,2', 2), ('address', '18', 2), ('website', '7,0', 2)) t(field, path, votes)")
+_FIELDS = {"name": "name", "place_id": "place_id", "hex_id": "'0x' || c_custkey", "address": "category || ' street'", "website": "'https://shop' || c_custkey || '.com'"}
+
+
+@query(f"""WITH {PLACES}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE c_custkey % 25 <> 0) AS ids, count(*) FILTER (WHERE a <> c_custkey % 50 / 10.0 AND a <> c_custkey % 300) AS lats FROM places)
+SELECT unnest(['name', 'place_id', 'hex_id', 'latitude', 'address', 'website']) AS field, unnest(['11', '78', '10', '9,2', '18', '7,0']) AS path, unnest([n, ids, n, lats, n, n]) AS votes FROM n""")
 def schema_rederive(spark, sf_dir):
-    known = places(spark, sf_dir).filter("c_custkey IN (7, 9)")
-    k = F.col("c_custkey").cast("string")
-    values = {"name": F.col("name"), "place_id": F.col("place_id"), "hex_id": F.concat(F.lit("0x"), k), "address": F.concat(F.col("category"), F.lit(" street")), "website": F.concat(F.lit("https://shop"), k, F.lit(".com"))}
-    labels = known.select(F.col("c_custkey").alias("label"), F.explode(F.array(*(F.struct(F.lit(n).alias("field"), v.alias("value"), F.lit(None).cast("double").alias("number")) for n, v in values.items()), F.struct(F.lit("latitude").alias("field"), F.lit(None).cast("string").alias("value"), F.col("a").cast("double").alias("number")))).alias("x")).select("label", "x.*")
-    first = responses(spark, sf_dir).filter("page = 0").select(decode.decoded(F.col("raw")).alias("response"))
-    entries = parse.place_entries(first).withColumn("entry", F.col("pos"))
-    return quality.rederive(entries, labels).select("field", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), F.col("votes").cast("int").alias("votes"))
+    """Every place is a label and every recorded page is read."""
+    known = places(spark, sf_dir)
+    values = [F.struct(F.lit(n).alias("field"), F.expr(v).alias("value"), F.lit(None).cast("double").alias("number")) for n, v in _FIELDS.items()]
+    values.append(F.struct(F.lit("latitude").alias("field"), F.lit(None).cast("string").alias("value"), F.col("a").cast("double").alias("number")))
+    labels = known.select(F.col("c_custkey").alias("label"), F.explode(F.array(*values)).alias("x")).select("label", "x.*")
+    entries = _entries(spark, sf_dir).withColumn("entry", F.col("page") * 100 + F.col("pos"))
+    return quality.rederive(entries, labels).select("field", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "votes")
+
+
+@query(f"WITH {PLACES} SELECT place_id, name, a + 0.25::DOUBLE AS latitude, b + 0.75::DOUBLE AS longitude, true AS healed FROM places")
+def heal_layout(spark, sf_dir):
+    """A changed layout: paths found from labels, adopted because the new parse is healthy."""
+    known = places(spark, sf_dir)
+    values = [F.struct(F.lit(n).alias("field"), F.col(n).alias("value"), F.lit(None).cast("double").alias("number")) for n in ("name", "place_id")]
+    values += [F.struct(F.lit(n).alias("field"), F.lit(None).cast("string").alias("value"), v.alias("number")) for n, v in (("latitude", F.col("a") + 0.25), ("longitude", F.col("b") + 0.75))]
+    labels = known.select(F.col("c_custkey").alias("label"), F.explode(F.array(*values)).alias("x")).select("label", "x.*")
+    rows, _, healed = quality.heal(b.moved_responses(spark, sf_dir), labels)
+    return rows.select("place_id", "name", "latitude", "longitude", F.lit(healed).alias("healed"))
 
 
 @query(f"WITH {PLACES} SELECT CAST(count(*) AS BIGINT) AS correct, CAST(count(*) + count(*) FILTER (WHERE c_custkey % 25 = 0) AS BIGINT) AS total FROM places WHERE c_custkey % 25 <> 0 OR true HAVING count(*) < 0 UNION ALL SELECT 2 * count(*) - count(*) FILTER (WHERE c_custkey % 25 = 0), 2 * count(*) FROM places")
@@ -532,6 +574,11 @@ def _slot_json(slots: dict[int, str], size: int) -> str:
     return "[" + ",".join(slots.get(i, "null") for i in range(size)) + "]"
 
 
+def _flat(m: Column, sep: str) -> Column:
+    """A map as text, sorted by key."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string") if sep == "" else F.array_join(e["value"], sep)))), ";")
+
+
 _HOURS = _slot_json({4: "[1,null,\"$$\",[\"http://r\"],null,null,null,4.5,\"17\"]", 116: "2", 175: "[null,null,null,[3,0,null,\"2\",10]]", 203: '[[["Mon",1,null,[["9-12"],["13-17"]]],["Tue",2,null,[["9-17"]]],["Mon",1,null,[["20-22"]]]]]', 100: '[null,[["Service",[["Delivery",true],["Pickup",0]]],["Credit cards",["Visa","MC"]]]]'}, 204)
 
 
@@ -541,10 +588,7 @@ def parse_hours_rating(spark, sf_dir):
     rows = table(spark, sf_dir, "region").select("r_regionkey", F.parse_json(F.lit(_HOURS)).alias("pd"))
     rating, about = parse.rating(pd), parse.about(pd)
 
-    def flat(m, sep: str):
-        return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string") if sep == "" else F.array_join(e["value"], sep)))), ";")
-
-    return rows.select("r_regionkey", flat(parse.hours(pd), "|").alias("hours"), rating["rating"].alias("rating"), rating["review_count"].alias("review_count"), flat(rating["reviews_per_rating"], "").alias("histogram"), F.array_join(about["credit_cards"], ",").alias("cards"))
+    return rows.select("r_regionkey", _flat(parse.hours(pd), "|").alias("hours"), rating["rating"].alias("rating"), rating["review_count"].alias("review_count"), _flat(rating["reviews_per_rating"], "").alias("histogram"), F.array_join(about["credit_cards"], ",").alias("cards"))
 
 
 @query("SELECT conv_id, turn, role AS author_name, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 3")
@@ -557,8 +601,6 @@ def reviews_topn(spark, sf_dir):
     entry = F.concat(F.lit('["'), F.col("turn").cast("string"), F.lit('",[null,null,null,null,[null,null,null,null,null,["'), F.col("role"), F.lit('"]]],[[5],null,null,null,null,null,null,null,null,null,null,null,null,null,null,[['), quoted, F.lit("]]]]"))
     rows = c.filter(text.isNotNull() & body.isNotNull()).select("conv_id", F.parse_json(F.concat(F.lit("[null,[null,\"t\"],["), entry, F.lit("]]"))).alias("response"))
     parsed = parse.parse_reviews(rows, keep=("conv_id",)).select("conv_id", F.col("review_id").cast("long").alias("turn"), "author_name", "text")
-    from pyspark.sql import Window
-
     return parsed.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("rn <= 3").drop("rn")
 
 
@@ -602,8 +644,6 @@ def pb_template(spark, sf_dir):
 
 @query(f"""WITH {SITES} SELECT p.name, s.place_id, 'info@shop' || s.c_custkey || '.com; sales+x@shop' || s.c_custkey || '.com; a' || s.c_custkey || '@gmail.com; b@other' || s.c_custkey || '.org' AS emails, 'facebook: https://www.facebook.com/shop' || s.c_custkey || '; twitter: https://x.com/shop' || s.c_custkey AS socials FROM sites s JOIN places p USING (place_id)""")
 def csv_projection(spark, sf_dir):
-    from placeflow.sources import recorded
-
     rows = sites(spark, sf_dir).join(places(spark, sf_dir).select("place_id", "name"), "place_id").select("place_id", "name", contacts.emails(F.col("html")).alias("emails"), contacts.social_links(F.col("html")).alias("social_links"))
     return recorded.csv_rows(rows).select("name", "place_id", "emails", "socials")
 
@@ -621,6 +661,178 @@ def grouped_json(spark, sf_dir):
     return parse.grouped(parse.parse_places(_entries(spark, sf_dir))).select(F.to_json("record", {"ignoreNullFields": "true"}).alias("record"))
 
 
+# Details, lookups, areas, providers and sinks
+
+
+_PEAK = "CASE WHEN c_custkey % 7 > 0 THEN '1:3;4:' || c_custkey % 7 || ';5:10' ELSE '1:3;5:10' END"
+
+
+@query(f"""WITH {PLACES} SELECT place_id, k || ' Main St' AS street, 'Nashville' AS city, '37-' || k AS postal_code, 'PLUS' || k AS plus_code, 'http://menu/' || k AS menu, 'Owner ' || k AS owner, 'http://book/' || k AS booking, 'ref' || k || '=http://p/' || k AS photo,
+'http://t/' || k AS thumbnail, 'http://sv/' || k AS street_view_url, CAST(2 AS INTEGER) AS images, 'Mon:9-12|13-' || k || '|20-22;Tue:9-17' AS hours, {_PEAK} AS histogram, '555-' || k AS phone, 'Delivery,Pickup' AS options, category || ',Shop' AS categories
+FROM (SELECT *, CAST(c_custkey AS VARCHAR) AS k FROM places)""")
+def details_fields(spark, sf_dir):
+    """Addresses, media, links, hours and ratings of every recorded details response."""
+    rows = parse.parse_details(b.details(spark, sf_dir))
+    options = F.flatten(F.transform("about", lambda a: F.transform(a["options"], lambda o: o["name"])))
+    return rows.select("place_id", "street", "city", "postal_code", "plus_code", F.col("menu.link").alias("menu"), F.col("owner.name").alias("owner"), F.col("reservations")[0]["link"].alias("booking"), F.concat_ws("=", F.col("photos")[0]["reference"], F.col("photos")[0]["url"]).alias("photo"), "thumbnail", "street_view_url", F.size("images").alias("images"), _flat(F.col("hours"), "|").alias("hours"), _flat(F.col("reviews_per_rating"), "").alias("histogram"), "phone", F.array_join(options, ",").alias("options"), F.array_join("categories", ",").alias("categories"))
+
+
+@query(f"""WITH {PLACES} SELECT CASE WHEN c_custkey % 25 <> 0 THEN place_id END AS place_id, CASE WHEN c_custkey % 25 <> 0 AND c_custkey % 3 <> 0 THEN 'Shop ' || c_custkey || ' Inc' ELSE name END AS name, CASE WHEN c_custkey % 25 <> 0 THEN c_custkey || ' Main St' END AS street,
+CASE WHEN c_custkey % 25 <> 0 THEN c_custkey || ' Main St, Nashville' ELSE category || ' street' END AS address, CASE WHEN c_custkey % 25 <> 0 THEN category || ',Shop' ELSE category END AS categories, CASE WHEN c_custkey % 25 <> 0 THEN 2 ELSE 0 END AS images, CASE WHEN c_custkey % 25 <> 0 THEN 'Mon:9-12|13-' || c_custkey || '|20-22;Tue:9-17' ELSE '' END AS hours FROM places""")
+def enrich_details(spark, sf_dir):
+    """Parsed search results with parsed details, all columns, maps and lists included."""
+    rows = Places({"details": b.details(spark, sf_dir)}).enrich(parse.parse_places(_entries(spark, sf_dir)))
+    return rows.select("place_id", "name", "street", "address", F.array_join("categories", ",").alias("categories"), F.greatest(F.size(F.coalesce("images", F.array().cast(dict(rows.dtypes)["images"]))), F.lit(0)).alias("images"), F.coalesce(_flat(F.col("hours"), "|"), F.lit("")).alias("hours"))
+
+
+@query(f"WITH {PLACES} SELECT 'id' AS by, place_id, '0x' || c_custkey AS hex_id FROM places WHERE c_custkey = 7 UNION ALL SELECT 'hex', place_id, '0x' || c_custkey FROM places WHERE c_custkey = 11")
+def place_lookup(spark, sf_dir):
+    """A place by id and one by hexadecimal id."""
+    api = Places({"details": b.details(spark, sf_dir)})
+    found = api.get("P000000007").select(F.lit("id").alias("by"), "place_id", "hex_id")
+    return found.union(api.get_by_hex_id("0x11").select(F.lit("hex"), "place_id", "hex_id"))
+
+
+@query(f"WITH {PLACES} SELECT name, CAST(c_custkey % 20 AS INTEGER) AS pos, count(*) OVER () AS total_results, CASE WHEN count(*) OVER () >= 12 THEN 32 END AS next_offset FROM places WHERE c_custkey // 20 = 1 QUALIFY c_custkey % 20 < 12")
+def search_page(spark, sf_dir):
+    """The second page of a search, cut to twelve results."""
+    pages = responses(spark, sf_dir).select(F.lit("shops").alias("query"), (F.col("page") * 20).alias("offset"), decode.decoded(F.col("raw")).alias("response"))
+    return Places({"responses": pages}).search("shops", 20, 12).select("name", "pos", "total_results", "next_offset")
+
+
+_AREA = "SELECT c_custkey AS k, c_name, 35.9 + (c_custkey * 31 % 500) / 1000.0 AS s, -87.1 + (c_custkey * 17 % 500) / 1000.0 AS w FROM customer"
+
+
+@query(f"SELECT 'area ' || k AS query, c_name || ', TN' AS display_name, round(s, 6) AS min_lat, round(w, 6) AS min_lon, round(s + 0.02, 6) AS max_lat, round(w + 0.02, 6) AS max_lon, 'node:' || k % 900 AS provider_id FROM ({_AREA})")
+def locations_resolve(spark, sf_dir):
+    rows = locations.resolve(b.geocoded(spark, sf_dir))
+    return rows.select("query", "display_name", *(F.round(F.col("box")[c], 6).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon")), "provider_id")
+
+
+@query(f"""WITH h AS (SELECT *, greatest(s, 36.0) AS a, greatest(w, -87.0) AS o, least(s + 0.02, 36.4) AS n, least(w + 0.02, -86.6) AS e FROM ({_AREA}) WHERE k % 7 <> 0),
+v AS (SELECT *, s + 0.01 BETWEEN 36.0 AND 36.4 AND w + 0.01 BETWEEN -87.0 AND -86.6 AS own FROM h WHERE n > a AND e > o), u AS (SELECT *, row_number() OVER (PARTITION BY k % 900 ORDER BY k) AS rn FROM v)
+SELECT c_name AS name, CAST(k % 900 AS VARCHAR) AS osm_id, round(a, 6) AS min_lat, round(CASE WHEN own THEN s + 0.01 ELSE (a + n) / 2 END, 6) AS lat FROM u WHERE rn = 1""")
+def locations_subareas(spark, sf_dir):
+    rows = locations.subareas(b.geocoded(spark, sf_dir), BOX, most=1_000_000)
+    return rows.select("name", "osm_id", F.round("box.min_lat", 6).alias("min_lat"), F.round("lat", 6).alias("lat"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'text ' || p_partkey WHEN 1 THEN '<b>' || p_partkey || '</b>' WHEN 2 THEN 'mark ' || p_partkey ELSE '' END AS text, CASE WHEN p_size % 4 < 3 THEN 'http://f/' || p_partkey ELSE '' END AS final_url,
+CASE p_size % 4 WHEN 3 THEN 'E' || p_partkey || ' too many' ELSE '' END AS error, CASE WHEN p_size % 4 = 3 THEN 'E' || p_partkey || ' too many' WHEN p_size % 3 = 0 THEN 'HTTP 503' ELSE '' END AS status_error FROM part""")
+def provider_payloads(spark, sf_dir):
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+
+    def of(template: str) -> Column:
+        return F.replace(F.lit(template), F.lit("#"), k)
+
+    tiny = F.when(size == 0, of('{"results":[{"text":"text #","final_url":"http://f/#"}]}')).otherwise(of('{"results":[{"text":"","html":"<b>#</b>","final_url":"http://f/#"}]}'))
+    fire = F.when(size == 2, of('{"data":{"html":"","markdown":"mark #","metadata":{"sourceURL":"http://f/#"}}}')).otherwise(of('{"error":{"code":"E#","message":"too many"}}'))
+    rows = table(spark, sf_dir, "part").withColumn("body", F.when(size < 2, tiny).otherwise(fire))
+    got = F.when(size < 2, enrich.provider_payload(F.col("body"), "tinyfish")).otherwise(enrich.provider_payload(F.col("body"), "firecrawl"))
+    status = F.when(F.col("p_size") % 3 == 0, 503).otherwise(200)
+    return rows.withColumn("got", got).select("p_partkey", "got.text", "got.final_url", "got.error", enrich.provider_error(F.col("body"), status).alias("status_error"))
+
+
+@query(f"WITH {PLACES} SELECT c_custkey, name, CASE WHEN c_custkey % 2 = 0 THEN lat ELSE lat + 0.5 END AS latitude, CASE WHEN c_custkey % 2 = 1 THEN category END AS address FROM places")
+def guess_layout(spark, sf_dir):
+    """Entries without a known layout, lists and objects."""
+    lat, lon = F.col("lat").cast("string"), F.col("lon").cast("string")
+    listed = F.concat(F.lit('[17,"0xab12","ab",'), F.to_json(F.struct("name")).substr(9, 1000))
+    listed = F.concat(F.regexp_replace(listed, r"\}$", ""), F.lit(",[null,null,"), lat, F.lit(","), lon, F.lit("]]"))
+    named = F.to_json(F.struct("name", (F.col("lat") + 0.5).alias("lat"), F.col("lon").alias("lng"), F.col("category").alias("vicinity")))
+    rows = places(spark, sf_dir).withColumn("item", F.parse_json(F.when(F.col("c_custkey") % 2 == 0, listed).otherwise(named)))
+    return parse.guess_places(rows, keep=("c_custkey",)).select("c_custkey", "name", "latitude", "address")
+
+
+_RADIUS = "(1 + c_custkey % 9)"
+
+
+@query(f"""WITH {PLACES} SELECT c_custkey, round(lat - {_RADIUS} / 111.32, 6) AS south, round(lon + {_RADIUS} / (111.32 * cos(radians(lat))), 6) AS east, round(2 * {_RADIUS}, 6) AS km, round(lat, 6) AS split_lat, CAST(least(15 + c_custkey % 9, 19) AS INTEGER) AS zoom, 2.0 AS ratio, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE lat + 1 END AS max_lat FROM places""")
+def box_geometry(spark, sf_dir):
+    """Boxes around points, their extent and quarters, zoom by depth, view by zoom, and boxes from text."""
+    k = F.col("c_custkey") % 9
+    box = geo.box_around(F.col("lat"), F.col("lon"), (k + 1).cast("double"))
+    text = F.when(F.col("c_custkey") % 3 == 0, "1,2,x,4").otherwise(F.concat_ws(",", "lat", "lon", F.col("lat") + 1, F.col("lon") + 1))
+    return places(spark, sf_dir).withColumn("box", box).select("c_custkey", F.round("box.min_lat", 6).alias("south"), F.round("box.max_lon", 6).alias("east"), F.round(geo.box_km(F.col("box")), 6).alias("km"), F.round(geo.quarters(F.col("box"))[0]["max_lat"], 6).alias("split_lat"), geo.zoom_at(k).cast("int").alias("zoom"), (geo.view_metres(F.lit(14)) / geo.view_metres(F.lit(15))).alias("ratio"), geo.box_from_text(text)["max_lat"].alias("max_lat"))
+
+
+@query(f"WITH {PLACES}, c AS ({_GRID}) SELECT 'g' || i || '-' || j AS key FROM c WHERE NOT EXISTS (SELECT 1 FROM places p WHERE {_HAVERSINE.format(lat1='c.lat', lon1='c.lon', lat2='p.lat', lon2='p.lon')} <= 1000)")
+def gap_fill(spark, sf_dir):
+    """A place recorded in every cell; those of cells that no known place covers are new."""
+    cells = grid.generate_cells(spark, BOX, 2.0)
+    pages = cells.select(F.concat(F.lit("gap:"), geo.cell_key(F.col("lat"), F.col("lon"))).alias("cell_key"), F.lit(0).alias("page"), F.lit(0).alias("rank"), F.concat(F.lit("g"), "i", F.lit("-"), "j").alias("key"), "lat", "lon")
+    return collect.gap_fill(pages, places(spark, sf_dir).withColumnRenamed("place_id", "key"), BOX, 2.0).select("key")
+
+
+@query(f"WITH {SITES} SELECT 'https://shop' || k || '.com' AS site, 'info@shop' || k || '.com,sales+x@shop' || k || '.com,a' || k || '@gmail.com,late' || k || '@gmail.com' AS emails, 'https://www.facebook.com/shop' || k AS facebook, 'second' AS late_source FROM (SELECT *, CAST(c_custkey AS VARCHAR) AS k FROM sites)")
+def site_contacts(spark, sf_dir):
+    """Two recorded pages of each site; the first that shows an address or a platform wins."""
+    k = F.col("c_custkey").cast("string")
+    first = sites(spark, sf_dir).select(F.concat(F.lit("https://shop"), k, F.lit(".com")).alias("site"), "c_custkey", F.lit(0).alias("page_order"), F.lit("first").alias("url"), "html")
+    second = first.select("site", "c_custkey", F.lit(1).alias("page_order"), F.lit("second").alias("url"), F.concat(F.lit("info@shop"), k, F.lit(".com late"), k, F.lit('@gmail.com <a href="https://www.facebook.com/other">f</a>')).alias("html"))
+    rows = enrich.site_contacts(first.unionByName(second))
+    late = F.map_filter("sources", lambda key, _: key.startswith("late"))
+    return rows.select("site", F.array_join("emails", ",").alias("emails"), F.col("socials")["facebook"].alias("facebook"), F.map_values(late)[0].alias("late_source"))
+
+
+def _model(text: str, url: str) -> dict:
+    """Stands for a user's model: what looks like an address, and one that no page holds."""
+    return {"emails": [*re.findall(r"[a-z0-9]+@[a-z0-9]+[.]org", text), "Nobody@nowhere.zz"], "socials": {"x": "https://x.com/shop", "none": "https://none.example/a"}}
+
+
+@query(f"WITH {SITES} SELECT place_id, 'b@other' || c_custkey || '.org' AS emails, 'x' AS socials FROM sites")
+def contacts_by_model(spark, sf_dir):
+    rows = enrich.extract_with_model(sites(spark, sf_dir).select("place_id", F.col("html").alias("text"), F.col("website").alias("url")), _model)
+    return rows.select("place_id", F.array_join("emails", ",").alias("emails"), F.array_join(F.map_keys("socials"), ",").alias("socials"))
+
+
+@query(f"WITH {PLACES} SELECT name, CASE WHEN c_custkey % 25 <> 0 THEN place_id END AS place_id, round(c_custkey % 50 / 10.0, 1) AS rating, c_custkey % 300 AS reviews, 'https://shop' || c_custkey || '.com' AS website, category || ' street' AS address, CAST(a AS DOUBLE) AS lat FROM places")
+def csv_file(spark, sf_dir):
+    """All parsed places through the CSV sink and back."""
+    path = shared.folder(spark, "csv")
+    recorded.write_csv(parse.parse_places(_entries(spark, sf_dir)), path)
+    rows = spark.read.option("header", "true").csv(path)
+    return rows.select("name", "place_id", F.col("rating").cast("double").alias("rating"), F.col("reviews").cast("long").alias("reviews"), "website", "address", F.col("lat").cast("double").alias("lat"))
+
+
+@query(f"WITH {PLACES} SELECT name || ' | ' || CAST(c_custkey % 50 / 10.0 AS DOUBLE) || ' | ' || category AS value FROM places")
+def text_lines(spark, sf_dir):
+    return recorded.text_rows(parse.parse_places(_entries(spark, sf_dir)))
+
+
+@query(f"""WITH {PLACES}, r AS (SELECT c_custkey, c_custkey % 700 AS key, CASE WHEN NOT (lat BETWEEN 36.05 AND 36.35 AND lon BETWEEN -86.95 AND -86.65) THEN 'outside_boundary' WHEN {_HAVERSINE.format(lat1='lat', lon1='lon', lat2='36.2', lon2='-86.8')} > 20 / 2.0 * sqrt(2) * 1000 THEN 'outside_footprint' END AS why FROM places),
+d AS (SELECT *, row_number() OVER (PARTITION BY key, why IS NULL ORDER BY c_custkey) AS rn FROM r) SELECT c_custkey AS rank, coalesce(why, 'duplicate') AS reason FROM d WHERE why IS NOT NULL OR rn > 1""")
+def reject_reasons(spark, sf_dir):
+    """What the discovery counters count as dropped, row by row."""
+    rows = places(spark, sf_dir).select(F.lit(0).alias("cell"), F.lit(0).alias("page"), F.col("c_custkey").alias("rank"), (F.col("c_custkey") % 700).alias("key"), "lat", "lon")
+    lat, lon = F.col("lat"), F.col("lon")
+    near = geo.haversine(lat, lon, F.lit(36.2), F.lit(-86.8)) <= geo.accept_radius(F.lit(20.0), 1.0)
+    return discover.rejects(rows, geo.in_box(lat, lon, (36.05, -86.95, 36.35, -86.65)), near).select("rank", "reason")
+
+
+@query(f"""WITH {occurrences_sql(150, 40)}, {_NEW}, q AS (SELECT *, new < 5 AS poor, sum(CASE WHEN new < 5 THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY page) AS run FROM p)
+SELECT cell, max(n) AS streak FROM (SELECT cell, run, count(*) FILTER (WHERE poor) AS n FROM q GROUP BY cell, run) GROUP BY cell""")
+def exhaustion(spark, sf_dir):
+    return discover.exhaustion(occurrences(spark, sf_dir, 150, 40))
+
+
+@query(f"{_BUDGET} SELECT place_id, (contact_rank - 1) // 5 AS batch FROM q WHERE contact_rank <= 40")
+def contact_batches(spark, sf_dir):
+    return enrich.contact_batches(_with_status(spark, sf_dir)).select("place_id", "batch")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS DOUBLE) END AS retry_after FROM events")
+def retry_after(spark, sf_dir):
+    k = F.col("event_id")
+    header = F.when(k % 3 == 0, F.concat(F.lit(" "), k.cast("string"))).when(k % 3 == 1, F.lit("Wed, 21 Oct 2015 07:28:00 GMT"))
+    return table(spark, sf_dir, "events").select("event_id", metrics.retry_after(header).alias("retry_after"))
+
+
+@query("SELECT event_id FROM events WHERE value > 95 ORDER BY event_id LIMIT 5")
+def first_errors(spark, sf_dir):
+    return metrics.first_errors(table(spark, sf_dir, "events"), F.col("value") > 95, "event_id").select("event_id")
+
+
 # The engine's own relational operators, over the same tables
 
 
@@ -656,16 +868,12 @@ def region_totals(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3")
 def top_orders(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("SELECT user_id, session, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)) GROUP BY user_id, session")
 def sessions(spark, sf_dir):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     e = table(spark, sf_dir, "events").withColumn("s", seconds).withColumn("gap", F.col("s") - F.lag("s").over(w))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -39,10 +39,26 @@ def load_places(snapshot: DataFrame, lines: DataFrame, key: str = "key", seq: st
     return discover.snapshot_precedence(snapshot, lines, key, seq)
 
 
+#: The CSV's columns and where they come from.
+CSV = {
+    "name": "name", "place_id": "place_id", "rating": "rating", "reviews": "review_count", "phone": "phone", "website": "website",
+    "emails": "emails", "socials": "social_links", "address": "address", "lat": "latitude", "lng": "longitude",
+}
+
+
 def csv_rows(places: DataFrame) -> DataFrame:
-    """Addresses joined by "; ", links as "platform: url"; other columns as they are."""
-    links = F.array_join(F.transform(F.array_sort(F.map_entries("social_links")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
-    return places.withColumn("emails", F.array_join("emails", "; ")).withColumn("socials", links).drop("social_links")
+    """The eleven columns of the CSV: addresses joined by "; ", links as "platform: url"; null where there is no such column."""
+
+    def column(source: str) -> Column:
+        if source not in places.columns:
+            return F.lit(None).cast("string")
+        if source == "emails":
+            return F.array_join(source, "; ")
+        if source == "social_links":
+            return F.array_join(F.transform(F.array_sort(F.map_entries(source)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+        return F.col(source)
+
+    return places.select(*(column(source).alias(name) for name, source in CSV.items()))
 
 
 def text_rows(places: DataFrame) -> DataFrame:
@@ -51,10 +67,15 @@ def text_rows(places: DataFrame) -> DataFrame:
 
 
 def write_json(records: DataFrame, path: str) -> None:
-    """JSON lines without empty fields; Spark's commit protocol makes the write all or nothing."""
+    """JSON lines without empty fields. What stood there goes first: `api.Places.collect` writes by run, and so never
+    loses what it has."""
     records.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def write_text(places: DataFrame, path: str) -> None:
+    text_rows(places).write.mode("overwrite").text(path)
+
+
 def write_csv(places: DataFrame, path: str) -> None:
     csv_rows(places).write.mode("overwrite").option("header", "true").csv(path)
 
