@@ -14,6 +14,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,22 +29,22 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _FILES = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
-_HEADERS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
+_HEADERS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("date", pa.string()), ("refers_to_record", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("size", pa.int64())])
 _FILES_SQL = "path string, records long, bytes long"
-_HEADERS_SQL = "page_id long, url string, record_type string, digest string, payload_bytes long, refers_to long, path string, offset long, size long"
+_HEADERS_SQL = "page_id long, url string, record_type string, digest string, payload_bytes long, refers_to long, record_id string, date string, refers_to_record string, path string, offset long, size long"
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _record_id(*parts: object) -> str:
+    """A record's own id, from what names it: its archive and place, or the id of the record that it was made from."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, parts)))}>"
 
 
-def _from_urn(value: str | None) -> int | None:
-    number = (value or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+def _number(text: str | None) -> int | None:
+    return int(text) if text else None
 
 
 def _uri(url: str | None) -> str:
@@ -51,16 +52,33 @@ def _uri(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, str] | None = None, payload_bytes: int | None = None) -> bytes:
-    """A response record with its payload, or, with `refers_to`, a revisit record that has the HTTP head only."""
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload) if payload_bytes is None else payload_bytes}", "Content-Type: application/http; msgtype=response"]
-    if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to[0])}"]
-    block = _HTTP + (payload if refers_to is None else b"")
+class Original(NamedTuple):
+    """What a revisit record says of the response that holds its payload."""
+
+    page_id: int
+    record_id: str
+    uri: str
+    date: str
+
+
+def record(record_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, original: Original | None = None, payload_bytes: int | None = None, date: str = DATE) -> bytes:
+    """A response record with its payload, or, with `original`, a revisit record that has the HTTP head only."""
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {date}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    lines += [f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload) if payload_bytes is None else payload_bytes}"]
+    if original is not None:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {original.record_id}", f"WARC-Refers-To-Target-URI: {original.uri}", f"WARC-Refers-To-Date: {original.date}", f"X-Refers-To-Page-ID: {original.page_id}"]
+    block = _HTTP + (payload if original is None else b"")
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def archive_info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: placeflow\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id(name)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, payload) of one record; ValueError if its lengths or digest don't hold."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -69,7 +87,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     size = int(headers["Content-Length"])
     if not first.startswith("WARC/") or rest[size:] != b"\r\n\r\n":
         raise ValueError("a damaged record")
-    payload = rest[:size].partition(b"\r\n\r\n")[2]
+    payload = rest[:size].partition(b"\r\n\r\n")[2] if headers["WARC-Type"] != "warcinfo" else rest[:size]
     if headers["WARC-Type"] == "response" and f"sha1:{payload_digest(payload)}" != headers["WARC-Payload-Digest"]:
         raise ValueError("a payload that its digest doesn't fit")
     return headers, payload
@@ -102,24 +120,37 @@ class _Writer:
     def __init__(self, folder: str):
         self.folder, self.rows = folder, []
         self.parts: list[bytes] = []
-        self.size = 0
+        self.size = self.records = 0
+
+    def next_id(self) -> str:
+        """The id of the record that is added next."""
+        self._open()
+        return _record_id(self.name, self.records)
+
+    def _open(self) -> None:
+        if not self.parts:
+            self.name = f"{uuid.uuid4().hex}.warc.gz"
+            self.parts = [_member(archive_info(self.name))]
+            self.size, self.records = len(self.parts[0]), 0
 
     def add(self, data: bytes) -> None:
+        self._open()
         self.parts.append(_member(data))
         self.size += len(self.parts[-1])
+        self.records += 1
         if self.size >= ROLL:
             self.close()
 
     def close(self) -> None:
         if self.parts:
-            path = f"{self.folder}/{uuid.uuid4().hex}.warc.gz"
+            path = f"{self.folder}/{self.name}"
             system, place = fs.FileSystem.from_uri(path)
             system.create_dir(place.rpartition("/")[0], recursive=True)
             with system.open_output_stream(place, compression=None) as out:
                 for part in self.parts:
                     out.write(part)
-            self.rows.append((path, len(self.parts), self.size))
-            self.parts, self.size = [], 0
+            self.rows.append((path, self.records, self.size))
+            self.parts = []
 
     def batch(self) -> pa.RecordBatch:
         self.close()
@@ -141,13 +172,19 @@ def write_archives(pages: DataFrame) -> DataFrame:
         writer = _Writer(folder)
         for batch in text_rounds(batches, "html"):
             for page, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded(batch.column(2)), strict=True):
-                writer.add(record(page, url, html, payload_digest(html)))
+                writer.add(record(writer.next_id(), page, url, html, payload_digest(html)))
         yield writer.batch()
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return materialize(pages.mapInArrow(run, _FILES_SQL), "warc-files")
 
 
+def _by_archive(rows: DataFrame, archives: int) -> DataFrame:
+    """Dealt by archive to as many tasks as there are archives: rows are small, what they name is not, so adaptive
+    execution must not put them together."""
+    return rows.repartition(max(1, archives), "path")
+
+
 def read_headers(files: DataFrame) -> DataFrame:
     """The headers of every record in the archives, with its place; payloads are checked against their digests."""
 
@@ -157,22 +194,29 @@ def read_headers(files: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 for offset, size, data in members(_bytes_of(path)):
                     h, _ = parse(data)
-                    rows.append((_from_urn(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), _from_urn(h.get("WARC-Refers-To")), path, offset, size))
+                    if h["WARC-Type"] != "warcinfo":
+                        rows.append((_number(h["X-Page-ID"]), h["WARC-Target-URI"], h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"]), _number(h.get("X-Refers-To-Page-ID")), h["WARC-Record-ID"], h["WARC-Date"], h.get("WARC-Refers-To"), path, offset, size))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_HEADERS)], schema=_HEADERS)
 
-    return files.select("path").repartition("path").mapInArrow(run, _HEADERS_SQL)
+    return _by_archive(files.select("path"), files.count()).mapInArrow(run, _HEADERS_SQL)
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """The headers with record_type and refers_to decided: of records with equal digest and length of at least
-    `min_bytes`, those with the smallest page_id are responses and the others revisit it."""
-    first = headers.groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
-    again = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return headers.drop("refers_to", "record_type").join(first, ["digest", "payload_bytes"]).withColumn("refers_to", F.when(again, F.col("first_id"))).drop("first_id")
+    """The headers with `original` decided: of records with equal digest and length of at least `min_bytes`, those with
+    the smallest page_id are responses and the others revisit the first of them.
+
+    Only payloads that several records have are joined back; their table is written first, so that a payload of very
+    many records is a skewed join that adaptive execution can split."""
+    first = headers.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes")
+    first = first.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "url", "date"))).alias("first"))
+    first = materialize(first.filter("n > 1 AND first IS NOT NULL").drop("n"), "warc-originals")
+    again = F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first"))
+    return headers.join(first, ["digest", "payload_bytes"], "left").withColumn("original", again).drop("first")
 
 
-def write_deduplicated(resolved: DataFrame) -> DataFrame:
-    """Write the records anew, source archive by source archive, revisits without their payload; (path, records, bytes)."""
+def write_deduplicated(resolved: DataFrame, archives: int) -> DataFrame:
+    """Write the records anew, source archive by source archive, revisits without their payload; (path, records, bytes).
+    Each record gets an id made from its old one, so a revisit can name a response that another task writes."""
     folder = fresh_path(resolved.sparkSession, "warc-dedup")
 
     def run(batches):
@@ -183,19 +227,21 @@ def write_deduplicated(resolved: DataFrame) -> DataFrame:
                     path, data = row["path"], _bytes_of(row["path"])
                 _, _, content = next(members(data[row["offset"] : row["offset"] + row["size"]]))
                 headers, payload = parse(content)
-                to = None if row["refers_to"] is None else (row["refers_to"], row["digest"])
-                writer.add(record(row["page_id"], headers["WARC-Target-URI"], payload, row["digest"], to, row["payload_bytes"]))
+                to = row["original"] and Original(row["original"]["page_id"], _record_id("deduplicated", row["original"]["record_id"]), row["original"]["url"], row["original"]["date"])
+                writer.add(record(_record_id("deduplicated", row["record_id"]), row["page_id"], headers["WARC-Target-URI"], payload, row["digest"], to, row["payload_bytes"], row["date"]))
         yield writer.batch()
 
-    rows = resolved.select("page_id", "digest", "payload_bytes", "refers_to", "path", "offset", "size")
-    return materialize(rows.repartition("path").sortWithinPartitions("path", "offset").mapInArrow(run, _FILES_SQL), "warc-dedup-files")
+    rows = resolved.select("page_id", "record_id", "date", "digest", "payload_bytes", "original", "path", "offset", "size")
+    return materialize(_by_archive(rows, archives).sortWithinPartitions("path", "offset").mapInArrow(run, _FILES_SQL), "warc-dedup-files")
 
 
 def deduplicate(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Headers read back from deduplicated archives of the pages. Every row gives a record; rows that repeat the
-    smallest page_id of their payload are all responses. An empty table gives no archive and no rows."""
-    headers = materialize(read_headers(write_archives(pages)), "warc-headers")  # read once, and of known size when joined
-    return read_headers(write_deduplicated(resolve_revisits(headers, min_bytes)))
+    smallest page_id of their payload are all responses, and so are all of a payload without any page_id. A page of any
+    length is held by its task alone. An empty table gives no archive and no rows."""
+    files = write_archives(pages)
+    headers = materialize(read_headers(files), "warc-headers")  # read once, and of known size when joined
+    return read_headers(write_deduplicated(resolve_revisits(headers, min_bytes), files.count()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
