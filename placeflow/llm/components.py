@@ -15,8 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (columns u, v, long): root is the smallest node reachable.
 
-    Alternates large-star and small-star rounds. A round takes minima with map-side combining and joins
-    them back on the node, so a node with very many edges is a skewed join and never a collected group.
+    Alternates large-star and small-star rounds. A round takes minima with map-side combining, writes them
+    and joins them back on the node, so a node with very many edges is a skewed join of two shuffles, which
+    adaptive execution splits, and never a collected group.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
     edges = materialize(edges, "edges")
@@ -25,9 +26,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not state[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter("u != v").distinct(), "edges")
         before, state = state, _state(edges)

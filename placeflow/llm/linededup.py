@@ -69,17 +69,20 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     A null or empty text is one empty line; keys shorter than `min_chars` code points are never
     dropped, so it stays. A line repeated inside one document counts once. Rows that share a doc_id
     (null included) are one document when counting, and each row still gets its own result.
-    Columns not in `keep` are ignored. An empty table gives an empty table.
+    Columns not in `keep` are ignored. An empty table gives an empty table. A text is split in one
+    task's memory, whatever its length. The shared lines are written before they are joined, so that
+    a line of very many documents is a skewed join of two shuffles, which adaptive execution splits.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
     lines = materialize(docs.select("doc_id", "text").mapInArrow(_line_rows(min_chars), "doc_id long, text_hash long, h1 long, h2 long, positions array<int>"), "lines")
-    shared = (
+    shared = materialize(
         lines.select("h1", "h2", "doc_id").distinct()
         .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"))
-        .filter(F.col("n_docs") >= min_docs).select("h1", "h2")
+        .filter(F.col("n_docs") >= min_docs).select("h1", "h2"),
+        "shared-lines",
     )
     cuts = (
-        lines.join(shared, ["h1", "h2"]).groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"))
+        lines.join(shared, ["h1", "h2"]).dropDuplicates(["doc_id", "text_hash", "h1", "h2"]).groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"))
         .agg(F.flatten(F.collect_list("positions")).alias("gone"))
     )
     schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)

@@ -194,14 +194,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, blocks: in
 
     Texts without words have fingerprint zero and are linked like any other. Exact copies meet in one
     fingerprint before anything is compared. Rows with a null doc_id take part and get their group's
-    smallest id, or null if it has none. Every row gives a row; other columns are ignored.
+    smallest id, or null if it has none. Every row gives a row; other columns are ignored. An empty
+    table gives an empty table; a text of any length is fingerprinted in one task's memory. What is
+    joined is written first, so that a fingerprint or group of very many rows can be split.
     """
     prints = materialize(fingerprints(docs, width), "prints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    first = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "first")
     roots = components(link_fingerprints(prints, radius, blocks))
     rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    whole = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    groups = rooted.join(whole, "root").select("fp", "component_id")
+    rooted = materialize(rooted, "rooted")
+    whole = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "whole")
+    groups = materialize(rooted.join(whole, "root").select("fp", "component_id"), "groups")
     return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
