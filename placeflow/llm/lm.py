@@ -35,7 +35,7 @@ _BLOCKS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa
 _PARTS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("known", pa.binary()), ("sums", pa.binary()), ("distinct", pa.int64())])
 _SUMS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64())])
 _TREES = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("v", pa.list_(pa.float64()))])
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
 
 
@@ -376,7 +376,9 @@ def _pairs_of(depth: int):
 
 
 def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEPTH, most_codes: int = MOST_CODES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), logarithms to base 10.
+
+    bits_per_byte is the code length of a text's bytes and its end byte, a byte.
 
     Learns from the rows outside the held-out remainder. A null or empty text is one end token. Rows
     that share a doc_id give one row with their mean. Without training rows every count is zero and
@@ -411,20 +413,20 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
                 total = np.add.reduceat(look_up(tables, keys), cuts[:-1])
             known = np.bincount(own, weights=counts[at] > 0, minlength=n) if len(at) else np.zeros(n)
             sums = np.bincount(own, weights=logs[at], minlength=n) if len(at) else np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(total)], schema=_SCORES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(total), pa.array(map(len, texts), pa.int64())], schema=_SCORES)
 
-    scored = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, sum_log double, score double"), "scored")
+    scored = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, sum_log double, score double, n_bytes long"), "scored")
     trained = id_bucket(F.col("doc_id"), modulus) != held_out
     tokens, texts = scored.filter(trained).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     distinct = int((counts > 0).sum()) + (rare.filter("kind = 1").agg(F.sum("n_known")).first()[0] or 0) + (texts > 0)
-    rows = scored.select("doc_id", F.lit(1).alias("m"), "n_tokens", "n_known", "sum_log", "score").unionByName(
-        rare.filter("kind = 0").select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "sum_log", F.lit(0.0).alias("score"))
+    rows = scored.select("doc_id", F.lit(1).alias("m"), "n_tokens", "n_known", "sum_log", "score", "n_bytes").unionByName(
+        rare.filter("kind = 0").select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "sum_log", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_bytes"))
     )
     if not small:
         pairs = docs.select("doc_id", "text").mapInArrow(_pairs_of(depth), "doc_id long, code long, n long").join(scored_codes, "code")
-        rows = rows.unionByName(pairs.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("logp")).alias("score")).select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("sum_log"), "score"))
+        rows = rows.unionByName(pairs.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("logp")).alias("score")).select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("sum_log"), "score", F.lit(0).cast("long").alias("n_bytes")))
     m = F.sum("m")
-    summed = rows.groupBy("doc_id").agg(m.alias("m"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "sum_log", "score")))
+    summed = rows.groupBy("doc_id").agg(m.alias("m"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "sum_log", "score", "n_bytes")))
     n_tokens = F.round(F.col("n_tokens") / F.col("m")).cast("long")
     end = float(np.log10(texts + 0.5))
     return summed.select(
@@ -433,6 +435,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("sum_log") / F.col("m") + F.lit(end) - n_tokens * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))).alias("base_score"),
         (F.col("score") / F.col("m")).alias("score"),
+        (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + F.col("m"))).alias("bits_per_byte"),
     )
 
 
