@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh local one only where the session names none (tests)."""
+    """The folder that all executors share; a fresh local one only where a local session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='placeflow-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -145,7 +145,7 @@ def read_ogg(data: bytes) -> tuple[bytes, dict]:
 
 _STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 _READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("timestamps", pa.list_(pa.float64())), ("feature", pa.string())])
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("timestamps", pa.list_(pa.float64()))])
 
 
 def padded(text: bytes, block: int = PACKET) -> bytes:
@@ -161,7 +161,8 @@ def _store(batches):
 
 def to_ogg(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text, padded, as an Ogg file. A null text counts as empty and gives one
-    packet of padding; each row, repeated or not, gives a row; other columns are ignored."""
+    packet of padding; each row, repeated or not, gives a row; other columns are ignored. An empty table gives an
+    empty table; a text of any length is one file in its task's memory, some four times its bytes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
@@ -187,9 +188,9 @@ def from_ogg(media: DataFrame) -> DataFrame:
 def _digest(batches):
     for batch in text_rounds(batches, "payload"):
         payloads = encoded(batch.column(2))
-        columns = [batch.column(0), batch.column(1), pa.array(map(len, payloads), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), batch.column(3), batch.column(4), batch.column(6)]
+        columns = [batch.column(0), batch.column(1), pa.array(map(len, payloads), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), batch.column(3), batch.column(4), batch.column(6), batch.column(5)]
         yield pa.RecordBatch.from_arrays(columns, schema=_DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_ogg(to_ogg(table(spark, sf_dir, "documents"))).mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return from_ogg(to_ogg(table(spark, sf_dir, "documents"))).mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, timestamps array<double>")

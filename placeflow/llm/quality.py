@@ -155,7 +155,9 @@ def _margin(ids: np.ndarray, ratio: np.ndarray, w: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float, float, float]) -> DataFrame:
-    """(doc_id, score from 0 to 1). A null or empty text has no indicators and gets the bias; every row gives a row."""
+    """(doc_id, score from 0 to 1). A null or empty text has no indicators and gets the bias; every row, repeated or not,
+    gives a row, and equal texts get equal scores. An empty table gives an empty table; other columns are ignored. A text
+    beyond 2 MB is scored in a round of its own, in some 60 bytes of memory for each of its bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS slots, whatever the input
 
     def run(batches):

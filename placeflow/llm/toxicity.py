@@ -109,7 +109,9 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thr
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """(doc_id, score from 0 to 1). A null or empty text gets the bias alone; every row gives a row."""
+    """(doc_id, score from 0 to 1). A null or empty text gets the bias alone; every row, repeated or not, gives a row, and
+    equal texts get equal scores. An empty table gives an empty table; other columns are ignored. A text beyond 2 MB is
+    scored in a round of its own, in some 60 bytes of memory for each of its bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # the non-zero weights, at most 2**BITS
 
     def run(batches):

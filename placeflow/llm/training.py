@@ -13,7 +13,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
     The labels are cut to the `max_train` smallest hashes of their ids before the join, so the side
     that is broadcast has a fixed bound and the texts are never shuffled. Null labels and ids are skipped; of
-    several labels of one id the largest counts.
+    several labels of one id the largest counts, of several texts the first in order.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -22,4 +22,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))  # repeated ids don't widen the sample

@@ -63,10 +63,24 @@ def test_warc(spark):
         again = i != first[h or ""]
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None))
     assert got == sorted(want, key=repr)
+    records = warc.deduplicate(df).collect()
+    ids = {r["record_id"]: r for r in records}
+    assert len(ids) == len(records)
+    for r in records:
+        if r["record_type"] == "revisit":  # names a response of the same archives
+            assert ids[r["refers_to_record"]]["record_type"] == "response" and ids[r["refers_to_record"]]["page_id"] == r["refers_to"]
     assert warc.deduplicate(df.limit(0)).count() == 0
     assert {r["record_type"] for r in warc.deduplicate(df, min_bytes=10**6).collect()} == {"response"}
 
 
+def test_revisit_headers():
+    to = warc.Original(1, "<urn:uuid:a>", "http://a", "2020-01-01T00:00:00Z")
+    headers, payload = warc.parse(warc.record("<urn:uuid:b>", 2, "http://b", b"x", warc.payload_digest(b"x"), to))
+    assert not payload and headers["WARC-Refers-To"] == "<urn:uuid:a>" and headers["WARC-Refers-To-Target-URI"] == "http://a"
+    assert headers["WARC-Refers-To-Date"] == "2020-01-01T00:00:00Z" and headers["WARC-Type"] == "revisit"
+    assert warc.parse(warc.archive_info("x.warc.gz"))[0]["WARC-Type"] == "warcinfo"
+
+
 def test_tokens_are_the_vocabularys(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -241,14 +255,15 @@ def brute_ctw(train, text, depth):
     return total
 
 
-@pytest.mark.parametrize("depth", [0, 1, 3, 4])
+@pytest.mark.parametrize("depth", [1, 3, 4])
 def test_context_tree_weighting_matches_the_recursion(spark, depth):
-    if depth == 0:
-        pytest.skip("a model without context is not offered")
     rows = [(i, t) for i, t in enumerate(["abracadabra", "Abra cadabra!", "banana band", "", "ananas é", "cab bad"])]
     train = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm.score(df, depth=depth).collect()}
+    scored = lm.score(df, depth=depth).collect()
+    got = {r["doc_id"]: r["score"] for r in scored}
+    for r in scored:
+        assert math.isclose(r["bits_per_byte"], -r["score"] / math.log10(2) / (len(dict(rows)[r["doc_id"]].encode()) + 1))
     for i, t in rows:
         assert math.isclose(got[i], brute_ctw(train, t.encode(), depth), rel_tol=1e-9, abs_tol=1e-9)
 
