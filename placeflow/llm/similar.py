@@ -1,11 +1,11 @@
 """SimHash near copies by the Jaccard similarity of word shingles, for copies that were edited much.
 
 Pairs that share one of their rarest shingles meet: an exact rule, which no similar pair escapes. All
-texts that share one with the same smallest text meet in one group, so a pair meets a few times and not
+texts that share one with the same shortest text meet in one group, so a pair meets a few times and not
 once for each common shingle. There the dealt method decides: Hamming distances of wide SimHash prints to
 reference prints (texts of the group, each the one farthest from those before it) are tabulated, pairs
 whose distances to any reference differ by more than the reach are discarded, then those whose own
-distance exceeds it. Only texts with a partner left send their sets, on which the survivors are verified.
+distance exceeds it. Only texts with a partner left travel, and survivors are verified on their sets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from math import acos, ceil, pi, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeflow.llm.common import encoded, materialize, mix, text_rounds, word_hashes
@@ -30,23 +30,22 @@ BUCKETS, PARTS = 1 << 20, 64
 WORDS, REFERENCES = 8, 8
 _SALTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-_ROW = [("doc_id", pa.int64()), ("t0", pa.int64()), ("t1", pa.int64())]
-_PREFIXES = pa.schema([*_ROW, ("d0", pa.int64()), ("d1", pa.int64()), ("size", pa.int32()), ("rare", pa.list_(pa.int64()))])
-_SETS = pa.schema([("node", pa.int64()), ("print", pa.binary()), ("shingles", pa.binary())])
+#: What a row is known by: whether it has no id, its id, and 96 bits of its text.
+ROW = ["none", "id", "t0", "t1"]
+_PREFIXES = pa.schema([("none", pa.bool_()), *((c, pa.int64()) for c in ("id", "t0", "t1", "d0", "d1")), ("size", pa.int32()), ("rare", pa.list_(pa.int64())), ("print", pa.binary())])
 _MET = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("low", pa.int64())])
 _HELD = pa.schema([("meeting", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("block", pa.int64())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_KINDS = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+_KINDS = {pa.bool_(): "boolean", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
 
 def _sql(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_KINDS[f.type]}" for f in schema)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, t0, t1): a row is known by its id and 96 bits of its text, null counting as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t0"), F.crc32(text).cast("long").alias("t1"))
+def _row_key(docs: DataFrame) -> list[Column]:
+    id_, text = docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return [id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text).alias("t0"), F.crc32(text).cast("long").alias("t1")]
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -103,8 +102,8 @@ def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, counts: np.ndarray, share: Fraction) -> DataFrame:
-    """Each row with 128 bits that stand for its set, the set's size and its rarest shingles, so many that two sets of a
-    similarity of `share` have one of them in common."""
+    """Of each row (ROW, text): 128 bits that stand for its set, the set's size, its rarest shingles, so many that two
+    sets of a similarity of `share` have one of them in common, and its print."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # 8 MB
 
     def rarest(x: np.ndarray) -> np.ndarray:
@@ -113,50 +112,47 @@ def _prefixes(docs: DataFrame, width: int, counts: np.ndarray, share: Fraction)
 
     def run(batches):
         for part in text_rounds(batches):
-            sets = shingle_sets(encoded(part.column(1)), width)
+            sets = shingle_sets(encoded(part.column(4)), width)
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), dtype="<i8").reshape(-1, 2)
-            columns = [part.column(0), part.column(2), part.column(3), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), pa.array([rarest(x) for x in sets], pa.list_(pa.int64()))]
+            columns = [*part.columns[:4], pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(x) for x in sets], pa.int32()), pa.array([rarest(x) for x in sets], pa.list_(pa.int64())), pa.array([wide_print(x) for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=_PREFIXES)
 
     return docs.mapInArrow(run, _sql(_PREFIXES))
 
 
-def _met(batches):
-    """(node, size, low): the rows of cells of two or more, each with the first node of its cell; rows come sorted by
-    (cell, node)."""
-    cell, first, alone = None, None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cells, nodes, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if cell is not None:  # the cell before goes on with its first row
-            cells, nodes, sizes = (np.concatenate(([x], y)) for x, y in zip((cell, *first), (cells, nodes, sizes), strict=True))
-        starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        length = np.diff(np.concatenate((starts, [len(cells)])))
-        lows = np.repeat(starts, length)
-        keep = np.repeat(length > 1, length)
-        if cell is not None and not alone:
-            keep[0] = False  # it was sent with an earlier batch
-        last = starts[-1]
-        alone = bool(length[-1] == 1) and (last > 0 or cell is None or alone)
-        cell, first = cells[last], (nodes[last], sizes[last])
-        columns = nodes[keep], sizes[keep].astype(np.int32), nodes[lows][keep]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_MET)
-
-
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """(node, print, shingles) of the `rows` (node, text), each node once."""
+def _met(share: Fraction):
+    """(node, size, low): the rows of cells that have a partner of a size that allows the similarity, each with the first
+    row of its run: sizes of a cell, sorted, with no gap that no pair can bridge. Rows come sorted by (cell, size, node)."""
 
     def run(batches):
-        for part in text_rounds(batches):
-            sets = shingle_sets(encoded(part.column(1)), width)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([wide_print(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], schema=_SETS)
-
-    return rows.mapInArrow(run, _sql(_SETS)).dropDuplicates(["node"])
-
+        cell = last = first = None
+        alone = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, nodes, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sizes = sizes.astype(np.int64)
+            goes_on = cell is not None and cells[0] == cell and last * share.denominator >= sizes[0] * share.numerator
+            new = np.concatenate(([not goes_on], (cells[1:] != cells[:-1]) | (sizes[:-1] * share.denominator < sizes[1:] * share.numerator)))
+            which = np.cumsum(new) - (not goes_on)
+            counts = np.bincount(which)
+            lows = np.concatenate(([first[0]] if goes_on else [], nodes[new])).astype(np.int64)
+            many = counts > 1
+            if goes_on:
+                many[0] = True
+            keep = many[which]
+            columns = [nodes[keep], sizes[keep], lows[which][keep]]
+            if goes_on and alone:  # the run's first row waited for a second
+                columns = [np.concatenate(([x], c)) for x, c in zip((*first, first[0]), columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)).cast(f.type) for c, f in zip(columns, _MET, strict=True)], schema=_MET)
+            if which[-1] or not goes_on:
+                start = np.flatnonzero(new)[-1]
+                first, alone = (int(nodes[start]), int(sizes[start])), bool(counts[-1] == 1)
+            else:
+                alone = False
+            cell, last = cells[-1], int(sizes[-1])
 
-def _prints(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WORDS)
+    return run
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,7 +236,7 @@ def _with_partner(share: Fraction):
     return run
 
 
-def _verified(share: Fraction):
+def _verified(share: Fraction, width: int):
     """(u, v): links of a meeting whose sets have a similarity of `share` or more, so many that all that are linked
     directly or over others of the meeting are connected; at most one less than its rows."""
 
@@ -271,7 +267,8 @@ def _verified(share: Fraction):
         out: list[tuple[int, int]] = []
         for rows in _meetings(batches, 6):
             prints = np.frombuffer(b"".join(rows[4]), dtype="<u8").reshape(-1, WORDS)
-            out += links(rows[1], rows[2], rows[3], prints, [np.frombuffer(x, dtype="<u8") for x in rows[5]])
+            sets = [x for part in np.array_split(rows[5], len(rows[5]) // 500 + 1) for x in shingle_sets([t.encode() for t in part], width)]
+            out += links(rows[1], rows[2], rows[3], prints, sets)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array([int(r[i]) for r in out], pa.int64()) for i in (0, 1)], schema=_LINKS)
                 out = []
@@ -281,33 +278,30 @@ def _verified(share: Fraction):
 
 
 def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, group_rows: int = 2048) -> DataFrame:
-    """(doc_id, t0, t1, component_id, kept): each row of `docs` with its group's smallest doc_id and whether it is the
+    """(ROW, component_id, kept): each row of `docs` with its group's smallest doc_id and whether it is the
     row of its group that stays: the smallest by doc_id (null last), then by the text's hash. Rows of equal id and text
     are one. See `similar_documents`."""
     share = Fraction(str(similarity))
-    docs = _rows(docs)
+    docs = docs.select(*_row_key(docs), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     prints = materialize(_prefixes(docs, width, bucket_counts(docs, width), share), "prefixes")
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")
-    first = prints.groupBy("d0", "d1").agg(F.min(own).alias("row"), F.first("size").alias("size"), F.first("rare").alias("rare"))
-    first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "prefixes-first")
-    spread = first.select(F.explode("rare").alias("cell"), "node", "size")
-    cells = materialize(spread.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_met, _sql(_MET)), "cells")
-    wanted = first.join(cells.select("node").distinct(), "node", "left_semi").select("row.doc_id", "row.t0", "row.t1", "node")
-    same = [docs[c].eqNullSafe(wanted[c]) for c in ("doc_id", "t0", "t1")]
-    sets = materialize(_sets(docs.join(wanted, same[0] & same[1] & same[2]).select(wanted["node"], "text"), width), "sets")
-    members = materialize(cells.select("low", "node", "size").distinct(), "members")
+    first = prints.groupBy("d0", "d1").agg(F.min(F.struct(*ROW)).alias("row"), *(F.first(c).alias(c) for c in ("size", "rare", "print")))
+    first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "sets")
+    cells = first.select(F.explode("rare").alias("cell"), "node", "size").repartition("cell").sortWithinPartitions("cell", "size", "node")
+    members = materialize(cells.mapInArrow(_met(share), _sql(_MET)).distinct(), "members")
     units = materialize(members.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("long").alias("blocks")), "units")
-    dealt = members.join(units, "low").join(sets.select("node", "print").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    known = first.select("node", "print", "row")
+    dealt = members.join(units, "low").join(known.drop("row").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("low", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "node", "size", "block", "print")
-    held = materialize(dealt.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_with_partner(share), _sql(_HELD)), "held")
-    met = held.join(sets.hint("merge"), "node").select("meeting", "node", "size", "block", "print", "shingles")
-    roots = components(met.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_verified(share), _sql(_LINKS)))
+    held = dealt.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_with_partner(share), _sql(_HELD))
+    held = materialize(held.join(known.hint("merge"), "node").select("row.*", "meeting", "node", "size", "block", "print"), "held")
+    met = docs.join(held.hint("merge"), ROW).dropDuplicates([*ROW, "meeting"]).select("meeting", "node", "size", "block", "print", "text")
+    roots = components(met.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_verified(share, width), _sql(_LINKS)))
     rooted = materialize(first.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"), "row"), "groups")
     best = materialize(rooted.groupBy("root").agg(F.min("row").alias("best")), "best")
     groups = rooted.join(best, "root").select("d0", "d1", "best")
-    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t0") == F.col("best.t0")) & (F.col("t1") == F.col("best.t1"))
-    return prints.join(groups, ["d0", "d1"]).select("doc_id", "t0", "t1", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
+    kept = F.struct(*ROW) == F.col("best")
+    return prints.join(groups, ["d0", "d1"]).select(*ROW, F.when(~F.col("best.none"), F.col("best.id")).alias("component_id"), kept.alias("kept"))
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, group_rows: int = 2048) -> DataFrame:
@@ -316,7 +310,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     Equal sets meet first. In any order of all shingles, two similar sets share one of the first n - ceil(similarity * n)
     + 1 of each; rare shingles come first, so that few texts have one in common. Texts that share one with the same
-    smallest text meet as a group; one above `group_rows` is dealt into blocks, and each block meets each other one in a
+    shortest text meet as a group; one above `group_rows` is dealt into blocks, and each block meets each other one in a
     task of its own, so its size changes no result. Every link is verified on the sets; a pair at the very threshold is
     lost by its prints once in 10^8 (`reach`).
 
@@ -325,16 +319,14 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     row; a text is one round of memory, so some 60 bytes for each of its bytes; an empty table gives an empty table;
     other columns are ignored.
     """
-    return similar_rows(docs, width, similarity, group_rows).select("doc_id", "component_id")
+    rows = similar_rows(docs, width, similarity, group_rows)
+    return rows.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, without those that are near copies of another one: of each group of
     `similar_documents` the row with the smallest doc_id stays (null last, then by the text's hash), once where it
     repeats. A row is judged by its own text, also where ids clash."""
-    keys = ["none", "id", "t0", "t1"]
-    id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    none, id_ = id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id")
-    gone = materialize(similar_rows(docs, width, similarity).filter(~F.col("kept")).select(none, id_, "t0", "t1").distinct(), "near-copies")
-    rows = docs.select(none, id_, F.xxhash64(text).alias("t0"), F.crc32(text).cast("long").alias("t1"), F.struct(*docs.columns).alias("row"))
-    return rows.join(gone, keys, "left_anti").dropDuplicates(keys).select("row.*")
+    gone = materialize(similar_rows(docs, width, similarity).filter(~F.col("kept")).select(*ROW).distinct(), "near-copies")
+    rows = docs.select(*_row_key(docs), F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, ROW, "left_anti").dropDuplicates(ROW).select("row.*")
