@@ -91,3 +91,68 @@ def test_command_line(world, tmp_path):
     pages.write.parquet(f"{tmp_path}/t/grid_pages.parquet")
     main(["grid", "--tables", f"file://{tmp_path}/t", "--out", f"file://{tmp_path}/o", "--bbox", "0,0,0.09,0.09", "--cell-size", "10"])
     assert pages.sparkSession.read.json(f"file://{tmp_path}/o").count() == 121
+
+
+def test_all_phases_of_a_run(spark, world, tmp_path):
+    """Cells, sub-areas, gaps, details and contacts, one after the other; only what is new is added."""
+    pages, settings = world
+    small = collect.Settings(**(settings.__dict__ | {"max_depth": 0, "cell_km": 10.0}))
+    details = pages.select("key").distinct().select(F.col("key"), F.concat(F.lit("P"), "key").alias("place_id"), F.concat(F.lit("Shop "), "key").alias("name"), F.when(F.col("key") < "k2", F.concat(F.lit("https://"), "key", F.lit(".com"))).otherwise("").alias("website"))
+    described = pages.join(details, "key").withColumn("review_count", F.lit(1)).withColumn("categories", F.array(F.lit("Shop")))
+    gap = grid.generate_cells(spark, BOX, 10.0).first()
+    row = "key string, cell {0}, page int, rank int, lat double, lon double, place_id string, name string, website string, review_count int, categories array<string>"
+    subareas = spark.createDataFrame([("sub", "midtown", 0, 0, 0.05, 0.05, "Psub", "Sub", "", 1, ["Shop"]), ("k1", "midtown", 0, 1, 0.05, 0.05, "Pk1", "One", "", 1, ["Shop"]), ("off", "midtown", 0, 2, 9.0, 9.0, "Poff", "Off", "", 1, ["Shop"])], row.format("string"))
+    sites = spark.createDataFrame([("https://k1.com", 0, "https://k1.com", "mailto:info@k1.com info@k1.com")], "site string, page_order int, url string, html string")
+    pd = [None] * 12
+    pd[11] = "Renamed"
+    body = __import__("json").dumps([None] * 6 + [pd + [None] * 66 + ["Pk0"]])
+    answers = spark.createDataFrame([(body,)], "r string").select(F.parse_json("r").alias("response"))
+    levels = []
+    api, out = Places({"grid_pages": described, "subarea_pages": subareas, "pages": sites, "details": answers}), f"file://{tmp_path}/run"
+    row = api.collect(out, "shops", BOX, settings=small, enrich_places=True, max_contacts=5, observer=levels.append).first()
+    places = {r["key"]: r for r in api.collected(spark, out).collect()}
+    assert gap is not None and [x["kept"] for x in levels] == [120] and row["retained"] == len(places) == 121
+    assert places["sub"]["pass"] == "subareas" and "off" not in places and places["k0"]["name"] == "Renamed"
+    assert places["k1"]["emails"] == ["info@k1.com"] and row["contact_attempted"] == 5 and row["skipped_limit"] > 0
+
+
+def test_a_broken_run_leaves_no_trace(spark, world, tmp_path):
+    pages, settings = world
+    small = collect.Settings(**(settings.__dict__ | {"max_depth": 0}))
+    api, out = Places({"grid_pages": pages}), f"file://{tmp_path}/c"
+    pages.write.parquet(f"{out}/places/run=1")  # a run that never wrote its line of the manifest
+    assert api.manifest(spark, out) is None
+    assert api.collect(out, "q", BOX, settings=small).first()["retained"] == 120
+    pages.write.parquet(f"{out}/places/run=2")
+    assert api.collected(spark, out).count() == 120
+    again = api.collect(out, "q", BOX, settings=small, resume=True).first()
+    assert (again["retained"], again["run"]) == (120, 2)
+
+
+def test_keys_of_earlier_runs_are_not_new(spark):
+    """A page whose keys were all seen ends the cell, though they are new in it."""
+    settings = collect.Settings(cell_km=10.0, max_depth=0)
+    cell = collect.seeds(spark, BOX, None, settings).first()
+    root = key_of(spark, cell["lat"], cell["lon"])
+    rows = [(root, p, r, f"p{p}r{r}", cell["lat"], cell["lon"]) for p in range(3) for r in range(20)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    seen = spark.createDataFrame([(f"p1r{r}",) for r in range(20)], "key string")
+    got = collect.collect(pages, BOX, settings=settings, seen=seen)
+    assert got.places.count() == 20 and got.counters().first()["requests"] == 2
+
+
+def test_command_line_formats_and_areas(spark, world, tmp_path):
+    import json
+
+    from placeflow.__main__ import main
+
+    pages, _ = world
+    pages.withColumn("name", F.col("key")).withColumn("rating", F.lit(4.5)).withColumn("categories", F.array(F.lit("Shop"))).write.parquet(f"{tmp_path}/t/grid_pages.parquet")
+    hit = {"osm_type": "node", "osm_id": "1", "class": "place", "type": "city", "name": "A", "lat": "0.04", "lon": "0.04", "boundingbox": ["0", "0.09", "0", "0.09"]}
+    spark.createDataFrame([("A town", json.dumps([hit]))], "query string, body string").write.parquet(f"{tmp_path}/t/locations.parquet")
+    for kind in ("csv", "text"):
+        main(["grid", "--tables", f"file://{tmp_path}/t", "--out", f"file://{tmp_path}/{kind}", "--location", "A town", "--cell-size", "10", "--format", kind])
+    assert spark.read.option("header", "true").csv(f"file://{tmp_path}/csv").columns == ["name", "place_id", "rating", "reviews", "phone", "website", "emails", "socials", "address", "lat", "lng"]
+    assert "k1 | 4.5 | Shop" in {r["value"] for r in spark.read.text(f"file://{tmp_path}/text").collect()}
+    with pytest.raises(ValueError):
+        main(["grid", "--tables", f"file://{tmp_path}/t", "--out", f"file://{tmp_path}/x", "--location", "Nowhere"])
