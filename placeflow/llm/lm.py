@@ -28,8 +28,10 @@ from placeflow.llm.common import encoded, id_bucket, materialize, mix, shuffle_p
 DEPTH = 4
 #: Words in the frequent list at most, and documents (about) that are looked at to choose them.
 FREQUENT, LOOKED_AT = 1 << 16, 2000
-#: Distinct (context, byte) pairs up to which their log-probabilities are broadcast (16 bytes each and room); joined beyond.
+#: The most frequent (context, byte) pairs, whose log-probabilities are broadcast (16 bytes each and room); others are joined.
 MOST_CODES = 4_000_000
+#: Pairs, and bytes of text, that a partition is to hold, about: the more there are, the more partitions.
+CODES_EACH, BYTES_EACH = 1_000_000, 64_000_000
 _COUNTS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 _PARTS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("known", pa.binary()), ("sums", pa.binary()), ("distinct", pa.int64())])
@@ -165,8 +167,11 @@ def _parent(keys: np.ndarray, depth: int) -> np.ndarray:
 
 
 def code_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(code, log10 of its byte's probability after its context) for every code of `counts` (code, n)."""
+    """(code, log10 of its byte's probability after its context) for every code of `counts` (code, n).
+
+    Codes of the same two recent bytes are weighted together: at most 2 ** 24 of them, at depth 4."""
     floor = min(2, depth)
+    parts = max(shuffle_partitions(counts.sparkSession), counts.count() // CODES_EACH)
 
     def grow(batches):
         """All subtrees of a partition at once: their nodes differ in the most recent bytes, so none is shared."""
@@ -181,7 +186,7 @@ def code_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), values], schema=_TREES)
 
     recent = F.shiftright("code", 8).bitwiseAND((1 << 8 * floor) - 1)
-    dealt = counts.select("code", "n").repartition(shuffle_partitions(counts.sparkSession), recent)
+    dealt = counts.select("code", "n").repartition(parts, recent)
     grown = materialize(dealt.mapInArrow(grow, "kind int, code long, v array<double>"), "trees")
     nodes = grown.filter("kind = 1").groupBy("code").agg(*(F.sum(F.col("v")[i]).alias(c) for i, c in enumerate(("zeros", "ones", "below")))).toArrow()
     # At most 256 * 255 nodes of one recent byte, or 255 of none: the levels above the groups.
@@ -235,16 +240,16 @@ def look_up(tables: tuple[np.ndarray, ...], codes: np.ndarray) -> np.ndarray:
     slot = (codes.view(np.uint64) * _SPREAD) >> np.uint64(64 - int(bits))
     found = held[slot]
     miss = np.flatnonzero(at[slot] != codes)
-    found[miss] = more_values[np.searchsorted(more, codes[miss])]
+    place = np.minimum(np.searchsorted(more, codes[miss]), max(0, len(more) - 1))
+    found[miss] = np.where(more[place] == codes[miss], more_values[place], np.nan) if len(more) else np.nan
     return found
 
 
 # The unigram base
 
 
-def frequent_words(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most FREQUENT words that are common in some LOOKED_AT documents; a choice of path only."""
-    n = docs.count()
+def frequent_words(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of at most FREQUENT words that are common in some LOOKED_AT of the `n` documents; a choice of path only."""
     if not n:
         return np.zeros(0, dtype=np.uint64)
     share = min(1_000_000, max(1, 1_000_000 * LOOKED_AT // n))
@@ -287,12 +292,11 @@ def frequent_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def rare_sums(docs: DataFrame, words: np.ndarray) -> DataFrame:
+def rare_sums(docs: DataFrame, words: np.ndarray, targets: int) -> DataFrame:
     """Of the words outside the list: rows (0, doc_id, tokens with a count, sum of log10(count + 0.5)), and rows
-    (1, null, distinct training words, 0), both to be summed."""
+    (1, null, distinct training words, 0), both to be summed. `targets` partitions count them."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(words)
-    targets = shuffle_partitions(spark)
     bits = max(4, (4 * targets - 1).bit_length())
 
     def send(batches):
@@ -365,11 +369,14 @@ def rare_sums(docs: DataFrame, words: np.ndarray) -> DataFrame:
 # Both
 
 
-def _pairs_of(depth: int):
+def _rare_pairs(depth: int, tables):
+    """(doc_id, code, how often) of the codes that the broadcast tables lack."""
+
     def run(batches):
         for batch in text_rounds(batches, most=200_000):
             for doc, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
-                keys, counts = np.unique(codes_of([text], depth)[0], return_counts=True)
+                codes = codes_of([text], depth)[0]
+                keys, counts = np.unique(codes[np.isnan(look_up(tables.value[2], codes))], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(keys), pa.int64()), pa.array(keys), pa.array(counts)], schema=_PAIRS)
 
     return run
@@ -386,16 +393,17 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
     """
     spark = docs.sparkSession
     docs = with_training(docs, modulus, held_out)
-    words = frequent_words(docs)
+    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    words = frequent_words(docs, n_docs)
     counts = frequent_counts(docs, words)
-    rare = materialize(rare_sums(docs, words), "rare")
+    rare = materialize(rare_sums(docs, words, max(shuffle_partitions(spark), n_bytes // BYTES_EACH)), "rare")
     codes = docs.mapInArrow(_count_codes(depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    codes = materialize(codes, "code-counts")
     scored_codes = materialize(code_scores(codes, depth), "codes")
     small = scored_codes.count() <= most_codes
-    tables = None
-    if small:  # bounded by most_codes
-        got = scored_codes.toArrow()
-        tables = lookup_table(np.ascontiguousarray(got["code"].to_numpy()), got["logp"].to_numpy())
+    listed = scored_codes if small else scored_codes.join(codes.orderBy(F.desc("n"), "code").limit(most_codes).select("code"), "code", "left_semi")
+    got = listed.toArrow()  # bounded by most_codes
+    tables = lookup_table(np.ascontiguousarray(got["code"].to_numpy()), np.ascontiguousarray(got["logp"].to_numpy()))
     sent = spark.sparkContext.broadcast((words, counts, tables))
 
     def run(batches):
@@ -407,10 +415,8 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
             place, listed = _in_list(words, h)
             at, own = place[listed], owner[listed]
             n = len(texts)
-            total = np.zeros(n)
-            if tables is not None:
-                keys, cuts = codes_of(texts, depth)
-                total = np.add.reduceat(look_up(tables, keys), cuts[:-1])
+            keys, cuts = codes_of(texts, depth)
+            total = np.add.reduceat(np.nan_to_num(look_up(tables, keys), nan=0.0), cuts[:-1])
             known = np.bincount(own, weights=counts[at] > 0, minlength=n) if len(at) else np.zeros(n)
             sums = np.bincount(own, weights=logs[at], minlength=n) if len(at) else np.zeros(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(total), pa.array(map(len, texts), pa.int64())], schema=_SCORES)
@@ -423,7 +429,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
         rare.filter("kind = 0").select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "sum_log", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_bytes"))
     )
     if not small:
-        pairs = docs.select("doc_id", "text").mapInArrow(_pairs_of(depth), "doc_id long, code long, n long").join(scored_codes, "code")
+        pairs = docs.select("doc_id", "text").mapInArrow(_rare_pairs(depth, sent), "doc_id long, code long, n long").join(scored_codes, "code")
         rows = rows.unionByName(pairs.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("logp")).alias("score")).select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("sum_log"), "score", F.lit(0).cast("long").alias("n_bytes")))
     m = F.sum("m")
     summed = rows.groupBy("doc_id").agg(m.alias("m"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "sum_log", "score", "n_bytes")))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeflow.llm.common import encoded, materialize, mix, text_rounds, word_hashes
+from placeflow.llm.common import encoded, materialize, mix, scratch, text_rounds, word_hashes
 from placeflow.llm.components import components
 from placeflow.llm.simhash import majority
 
@@ -246,7 +246,9 @@ def _verified(share: Fraction, width: int):
         marked = np.zeros(int(ids.max()) + 1, dtype=bool)
         group = np.arange(len(nodes))
         for x, y in near_pairs(prints, sizes, blocks, share):
-            starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else []
+            if not len(x):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
             for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
                 u, vs = x[a], y[a:b]
                 vs = vs[group[vs] != group[u]]  # the others are connected already
@@ -327,6 +329,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     """The rows of `docs`, all columns, without those that are near copies of another one: of each group of
     `similar_documents` the row with the smallest doc_id stays (null last, then by the text's hash), once where it
     repeats. A row is judged by its own text, also where ids clash."""
-    gone = materialize(similar_rows(docs, width, similarity).filter(~F.col("kept")).select(*ROW).distinct(), "near-copies")
+    with scratch(docs.sparkSession):
+        gone = materialize(similar_rows(docs, width, similarity).filter(~F.col("kept")).select(*ROW).distinct(), "near-copies", keep=True)
     rows = docs.select(*_row_key(docs), F.struct(*docs.columns).alias("row"))
     return rows.join(gone, ROW, "left_anti").dropDuplicates(ROW).select("row.*")

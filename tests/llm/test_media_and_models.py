@@ -281,8 +281,9 @@ def test_language_model_rows(documents, texts, odd, empty):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(counts[w] > 0 for w in ws), n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9)
-    joined = {r["doc_id"]: r["score"] for r in lm.score(documents, most_codes=0).collect()}
-    assert all(math.isclose(joined[i], got[i]["score"], rel_tol=1e-9) for i in got)
+    for most in (0, 3000):  # none and the most frequent codes broadcast, the others joined
+        joined = {r["doc_id"]: r["score"] for r in lm.score(documents, most_codes=most).collect()}
+        assert all(math.isclose(joined[i], got[i]["score"], rel_tol=1e-9) for i in got)
     rows = {r["doc_id"]: r for r in lm.score(odd).collect()}
     assert len(rows) == 8 and rows[3]["n_tokens"] == rows[4]["n_tokens"] == 1 and rows[6]["n_tokens"] == 3
     assert lm.score(empty).count() == 0

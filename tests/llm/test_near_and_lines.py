@@ -131,6 +131,21 @@ def test_similar_documents_of_a_dense_group_match_brute_force(spark, group_rows)
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
 
 
+def test_a_meeting_of_many_rows_matches_brute_force(spark):
+    """A group of 400 texts that share a passage, of which some are similar: more rows than are compared at a time."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        own = [f"d{i // 3 if i > 250 else i}w{k}" for k in range(12)]
+        if i > 250 and i % 3:
+            own[rng.randrange(12)] = f"x{i}"
+        rows.append((i, " ".join(own[:6] + passage + own[6:])))
+    want = by_jaccard(rows)
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 100 < len(set(want.values())) < 400
+
+
 def test_pairs_at_the_threshold_are_all_found(spark):
     """Pairs of two texts of a Jaccard similarity from 0.7 to 0.9: those of 0.8 or more, and no others."""
     rng = random.Random(6)
