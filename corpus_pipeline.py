@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeflow.llm import decontaminate, linededup, packing, similar, toxicity
-from placeflow.llm.common import materialize, table
+from placeflow.llm.common import materialize, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a benchmark item's template go. A row is judged by its own text: where ids are missing or
     clash, rows are told apart by a hash of id and text."""
     row = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"].cast("string"), F.lit("")))
-    found = decontaminate.contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = materialize(found.select("doc_id").distinct(), "leaks")
+    with scratch(spark):
+        found = decontaminate.contaminated(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        leaks = materialize(found.select("doc_id").distinct(), "leaks", keep=True)
     return docs.join(leaks, row == leaks["doc_id"], "left_anti")
 
 
