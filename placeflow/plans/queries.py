@@ -279,7 +279,7 @@ def manifest(spark, sf_dir):
 @query(f"""WITH e AS (SELECT user_id, min(ts) AS first_ts, min(event_id) AS n FROM events GROUP BY user_id) SELECT user_id AS key, count(*) AS n FROM e GROUP BY user_id""")
 def stream_dedup(spark, sf_dir):
     """Events as a stream, deduplicated by user, run to the end of what is there."""
-    return _streamed(spark, sf_dir, lambda s: streaming.first_seen(s.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), "key", "ts", "10000 days"), "append").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return _streamed(spark, sf_dir, lambda s: streaming.first_seen(s.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")), "key", "ts", "31 days"), "append").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2")
@@ -591,15 +591,18 @@ def parse_hours_rating(spark, sf_dir):
     return rows.select("r_regionkey", _flat(parse.hours(pd), "|").alias("hours"), rating["rating"].alias("rating"), rating["review_count"].alias("review_count"), _flat(rating["reviews_per_rating"], "").alias("histogram"), F.array_join(about["credit_cards"], ",").alias("cards"))
 
 
+def _review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, response): every turn as a recorded page of one review."""
+    c = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    quoted = F.regexp_replace(F.to_json(F.struct("text")), r'^\{"text":(.*)\}$', "$1")
+    entry = F.concat(F.lit('["'), F.col("turn").cast("string"), F.lit('",[null,null,null,null,[null,null,null,null,null,["'), F.col("role"), F.lit('"]]],[[5],null,null,null,null,null,null,null,null,null,null,null,null,null,null,[['), quoted, F.lit("]]]]"))
+    return c.select("conv_id", "turn", F.parse_json(F.concat(F.lit("[null,[null,\"t\"],["), entry, F.lit("]]"))).alias("response"))
+
+
 @query("SELECT conv_id, turn, role AS author_name, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE rn <= 3")
 def reviews_topn(spark, sf_dir):
     """Review pages as recorded, parsed and cut to the first three of each place."""
-    c = table(spark, sf_dir, "conversations")
-    body = F.concat(F.lit("["), F.to_json(F.struct(F.col("turn").cast("string").alias("x"))).substr(6, 1000), F.lit(""))
-    text = F.get_json_object(F.to_json(F.struct("text")), "$.text")
-    quoted = F.regexp_replace(F.to_json(F.struct("text")), r'^\{"text":(.*)\}$', "$1")
-    entry = F.concat(F.lit('["'), F.col("turn").cast("string"), F.lit('",[null,null,null,null,[null,null,null,null,null,["'), F.col("role"), F.lit('"]]],[[5],null,null,null,null,null,null,null,null,null,null,null,null,null,null,[['), quoted, F.lit("]]]]"))
-    rows = c.filter(text.isNotNull() & body.isNotNull()).select("conv_id", F.parse_json(F.concat(F.lit("[null,[null,\"t\"],["), entry, F.lit("]]"))).alias("response"))
+    rows = _review_pages(spark, sf_dir)
     parsed = parse.parse_reviews(rows, keep=("conv_id",)).select("conv_id", F.col("review_id").cast("long").alias("turn"), "author_name", "text")
     return parsed.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("rn <= 3").drop("rn")
 
@@ -833,6 +836,33 @@ def first_errors(spark, sf_dir):
     return metrics.first_errors(table(spark, sf_dir, "events"), F.col("value") > 95, "event_id").select("event_id")
 
 
+@query("SELECT CAST(turn AS VARCHAR) AS review_id, role AS author_name, text FROM conversations WHERE conv_id = 1 ORDER BY turn LIMIT 2")
+def reviews_of_place(spark, sf_dir):
+    """The first two reviews of one place."""
+    pages = _review_pages(spark, sf_dir).select(F.col("conv_id").cast("string").alias("hex_id"), F.col("turn").alias("page"), "response")
+    return Places({"reviews": pages}).reviews("1", max_reviews=2).select("review_id", "author_name", "text")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '[' || c_custkey || ',\"a\"]' ELSE '' END AS state, '{\"name\":\"' || c_name || '\"}' AS linked, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS blocks FROM customer")
+def embedded_json(spark, sf_dir):
+    """JSON inside pages: initial state in every second one, linked data, and a block that doesn't parse."""
+    k = F.col("c_custkey").cast("string")
+    state = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("<script>window.APP_INITIALIZATION_STATE=["), k, F.lit(',"a"];</script>'))).otherwise("")
+    html = F.concat(F.lit("<html>"), state, F.lit('<script type="application/ld+json">{"name":"'), F.col("c_name"), F.lit('"}</script><script>self.__AP = {broken};</script></html>'))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", decode.embedded_json(html).alias("found"))
+    first = F.when(F.size("found") == 2, F.col("found")[0]).otherwise("")
+    return rows.select("c_custkey", first.alias("state"), F.element_at("found", -1).alias("linked"), F.size("found").alias("blocks"))
+
+
+@query("SELECT name, score FROM (SELECT event_type AS name, round(avg(value), 6) AS score FROM events GROUP BY event_type UNION ALL SELECT 'all', round(avg(value), 6) FROM events) ORDER BY score DESC, name LIMIT 1")
+def promote_best(spark, sf_dir):
+    """Candidates' scores put into one frame, and the one to promote."""
+    e = table(spark, sf_dir, "events")
+    each = e.groupBy(F.col("event_type").alias("name")).agg(F.round(F.avg("value"), 6).alias("score"), F.lit(1).alias("latency_ms"))
+    whole = metrics.compare({"all": e.agg(F.round(F.avg("value"), 6).alias("score"), F.lit(1).alias("latency_ms"))})
+    return metrics.promote(each.unionByName(whole)).select("name", "score")
+
+
 # The engine's own relational operators, over the same tables
 
 
