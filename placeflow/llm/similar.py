@@ -301,7 +301,7 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, group
     roots = components(met.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_verified(share, width), _sql(_LINKS)))
     rooted = materialize(first.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"), "row"), "groups")
     best = materialize(rooted.groupBy("root").agg(F.min("row").alias("best")), "best")
-    groups = rooted.join(best, "root").select("d0", "d1", "best")
+    groups = materialize(rooted.join(best, "root").select("d0", "d1", "best"), "kept-groups")  # a set of very many rows can be split
     kept = F.struct(*ROW) == F.col("best")
     return prints.join(groups, ["d0", "d1"]).select(*ROW, F.when(~F.col("best.none"), F.col("best.id")).alias("component_id"), kept.alias("kept"))
 
