@@ -1,4 +1,7 @@
-"""SimHash near copies by the Jaccard similarity of word shingles, for copies that were edited much.
+"""SimHash near copies by the similarity of word shingles, for copies that were edited much.
+
+The similarity is the cosine of two sets of shingles, which is what the bits of SimHash prints estimate, or, if asked
+for, Jaccard's.
 
 Pairs that share one of their rarest shingles meet: an exact rule, which no similar pair escapes. All
 texts that share one with the same shortest text meet in one group, so a pair meets a few times and not
@@ -11,6 +14,7 @@ distance exceeds it. Only texts with a partner left travel, and survivors are ve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from math import acos, ceil, pi, sqrt
 
@@ -68,13 +72,34 @@ def wide_print(shingles: np.ndarray) -> bytes:
     return majority(np.stack([mix(shingles ^ salt) for salt in _SALTS], axis=1)).tobytes()
 
 
-def reach(share: Fraction, size: np.ndarray) -> np.ndarray:
-    """Bits in which the prints of two sets of a similarity of `share` may differ, the smaller of `size` shingles. Two
-    bits differ with a chance of acos(2 share / (1 + share)) / pi at most, and of some 0.04 more in small sets, where
-    sums are often zero; six standard deviations are added, so a pair at the threshold exceeds it once in 10^8."""
-    chance = acos(float(2 * share / (1 + share))) / pi
-    bits = [ceil(64 * WORDS * p + 6 * sqrt(64 * WORDS * p * (1 - p))) for p in (chance, chance + 0.04)]
-    return np.where(size >= 32, *bits)
+@dataclass(frozen=True)
+class Measure:
+    """A similarity of two sets by their sizes and what they have in common, and its threshold."""
+
+    share: Fraction
+    cosine: bool = True
+
+    @property
+    def ratio(self) -> Fraction:
+        """The least share of a set that a similar set has in common with it, and the least ratio of their sizes."""
+        return self.share**2 if self.cosine else self.share
+
+    def holds(self, both: int, a: int, b: int) -> bool:
+        n, d = self.share.numerator, self.share.denominator
+        return (both * d) ** 2 >= n * n * a * b if self.cosine else both * d >= (a + b - both) * n
+
+    def reach(self, size: np.ndarray) -> np.ndarray:
+        """Bits in which the prints of two similar sets may differ, the smaller of `size` shingles. Two bits differ with a
+        chance of the angle over pi at most, and of some 0.04 more in small sets, where sums are often zero; six standard
+        deviations are added, so a pair at the threshold exceeds it once in 10^8."""
+        chance = acos(float(self.share if self.cosine else 2 * self.share / (1 + self.share))) / pi
+        bits = [ceil(64 * WORDS * p + 6 * sqrt(64 * WORDS * p * (1 - p))) for p in (chance, chance + 0.04)]
+        return np.where(size >= 32, *bits)
+
+    def limits(self, small: np.ndarray, large: np.ndarray) -> np.ndarray:
+        """The reach of pairs of sets of these sizes; -1 where the sizes alone rule the similarity out."""
+        low, high = np.minimum(small, large), np.maximum(small, large)
+        return np.where(low * self.ratio.denominator >= high * self.ratio.numerator, self.reach(low), -1).astype(np.int16)
 
 
 def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
@@ -101,13 +126,13 @@ def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
     return counts.ravel()
 
 
-def _prefixes(docs: DataFrame, width: int, counts: np.ndarray, share: Fraction) -> DataFrame:
+def _prefixes(docs: DataFrame, width: int, counts: np.ndarray, ratio: Fraction) -> DataFrame:
     """Of each row (ROW, text): 128 bits that stand for its set, the set's size, its rarest shingles, so many that two
-    sets of a similarity of `share` have one of them in common, and its print."""
+    sets that have a share of `ratio` in common have one of these in common, and its print."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)  # 8 MB
 
     def rarest(x: np.ndarray) -> np.ndarray:
-        most = len(x) - -(-len(x) * share.numerator // share.denominator) + 1 if len(x) else 0
+        most = len(x) - -(-len(x) * ratio.numerator // ratio.denominator) + 1 if len(x) else 0
         return x[np.lexsort((x, sent.value[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:most]].view(np.int64)
 
     def run(batches):
@@ -120,7 +145,7 @@ def _prefixes(docs: DataFrame, width: int, counts: np.ndarray, share: Fraction)
     return docs.mapInArrow(run, _sql(_PREFIXES))
 
 
-def _met(share: Fraction):
+def _met(ratio: Fraction):
     """(node, size, low): the rows of cells that have a partner of a size that allows the similarity, each with the first
     row of its run: sizes of a cell, sorted, with no gap that no pair can bridge. Rows come sorted by (cell, size, node)."""
 
@@ -132,8 +157,8 @@ def _met(share: Fraction):
                 continue
             cells, nodes, sizes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             sizes = sizes.astype(np.int64)
-            goes_on = cell is not None and cells[0] == cell and last * share.denominator >= sizes[0] * share.numerator
-            new = np.concatenate(([not goes_on], (cells[1:] != cells[:-1]) | (sizes[:-1] * share.denominator < sizes[1:] * share.numerator)))
+            goes_on = cell is not None and cells[0] == cell and last * ratio.denominator >= sizes[0] * ratio.numerator
+            new = np.concatenate(([not goes_on], (cells[1:] != cells[:-1]) | (sizes[:-1] * ratio.denominator < sizes[1:] * ratio.numerator)))
             which = np.cumsum(new) - (not goes_on)
             counts = np.bincount(which)
             lows = np.concatenate(([first[0]] if goes_on else [], nodes[new])).astype(np.int64)
@@ -170,13 +195,7 @@ def references(prints: np.ndarray, most: int = REFERENCES) -> np.ndarray:
     return prints[chosen]
 
 
-def limits(share: Fraction, small: np.ndarray, large: np.ndarray) -> np.ndarray:
-    """The reach of pairs of sets of these sizes; -1 where the sizes alone rule the similarity out."""
-    low, high = np.minimum(small, large), np.maximum(small, large)
-    return np.where(low * share.denominator >= high * share.numerator, reach(share, low), -1).astype(np.int16)
-
-
-def near_pairs(prints: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, share: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(prints: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, measure: Measure) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, rows) of the pairs of a meeting within reach, some rows at a time: of one block all pairs, of two blocks
     those between them."""
     a, b = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
@@ -185,7 +204,7 @@ def near_pairs(prints: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, share:
     coordinates = np.stack([distances(prints, r) for r in table], axis=1)
     for at in range(0, len(a), 128):
         own = a[at : at + 128]
-        limit = limits(share, sizes[own][:, None], sizes[b][None, :])
+        limit = measure.limits(sizes[own][:, None], sizes[b][None, :])
         near = limit >= 0
         if same:
             near &= own[:, None] < b[None, :]
@@ -213,7 +232,7 @@ def _meetings(batches, columns: int):
         yield rest
 
 
-def _with_partner(share: Fraction):
+def _with_partner(measure: Measure):
     """(meeting, node, size, block) of the rows that have a pair within reach in their meeting."""
 
     def run(batches):
@@ -222,7 +241,7 @@ def _with_partner(share: Fraction):
         for rows in _meetings(batches, 5):
             prints = np.frombuffer(b"".join(rows[4]), dtype="<u8").reshape(-1, WORDS)
             hit = np.zeros(len(prints), dtype=bool)
-            for x, y in near_pairs(prints, rows[2], rows[3], share):
+            for x, y in near_pairs(prints, rows[2], rows[3], measure):
                 hit[x] = hit[y] = True
             if hit.any():
                 waiting.append([c[hit] for c in rows[:4]])
@@ -236,8 +255,8 @@ def _with_partner(share: Fraction):
     return run
 
 
-def _verified(share: Fraction, width: int):
-    """(u, v): links of a meeting whose sets have a similarity of `share` or more, so many that all that are linked
+def _verified(measure: Measure, width: int):
+    """(u, v): links of a meeting whose sets are similar, so many that all that are linked
     directly or over others of the meeting are connected; at most one less than its rows."""
 
     def links(nodes, sizes, blocks, prints, sets):
@@ -245,7 +264,7 @@ def _verified(share: Fraction, width: int):
         ends = np.cumsum([len(x) for x in sets])
         marked = np.zeros(int(ids.max()) + 1, dtype=bool)
         group = np.arange(len(nodes))
-        for x, y in near_pairs(prints, sizes, blocks, share):
+        for x, y in near_pairs(prints, sizes, blocks, measure):
             if not len(x):
                 continue
             starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
@@ -260,7 +279,7 @@ def _verified(share: Fraction, width: int):
                     if group[v] == group[u]:
                         continue
                     both = int(np.count_nonzero(marked[ids[ends[v] - len(sets[v]) : ends[v]]]))
-                    if both * share.denominator >= (len(sets[u]) + len(sets[v]) - both) * share.numerator:
+                    if measure.holds(both, len(sets[u]), len(sets[v])):
                         group[group == group[v]] = group[u]
                         yield nodes[u], nodes[v]
                 marked[own] = False
@@ -279,26 +298,26 @@ def _verified(share: Fraction, width: int):
     return run
 
 
-def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, group_rows: int = 2048) -> DataFrame:
+def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, measure: str = "cosine", group_rows: int = 2048) -> DataFrame:
     """(ROW, component_id, kept): each row of `docs` with its group's smallest doc_id and whether it is the
     row of its group that stays: the smallest by doc_id (null last), then by the text's hash. Rows of equal id and text
     are one. See `similar_documents`."""
-    share = Fraction(str(similarity))
+    like = Measure(Fraction(str(similarity)), {"cosine": True, "jaccard": False}[measure])
     docs = docs.select(*_row_key(docs), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    prints = materialize(_prefixes(docs, width, bucket_counts(docs, width), share), "prefixes")
+    prints = materialize(_prefixes(docs, width, bucket_counts(docs, width), like.ratio), "prefixes")
     first = prints.groupBy("d0", "d1").agg(F.min(F.struct(*ROW)).alias("row"), *(F.first(c).alias(c) for c in ("size", "rare", "print")))
     first = materialize(first.withColumn("node", F.monotonically_increasing_id()), "sets")
     cells = first.select(F.explode("rare").alias("cell"), "node", "size").repartition("cell").sortWithinPartitions("cell", "size", "node")
-    members = materialize(cells.mapInArrow(_met(share), _sql(_MET)).distinct(), "members")
+    members = materialize(cells.mapInArrow(_met(like.ratio), _sql(_MET)).distinct(), "members")
     units = materialize(members.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("long").alias("blocks")), "units")
     known = first.select("node", "print", "row")
     dealt = members.join(units, "low").join(known.drop("row").hint("merge"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("low", F.least("block", "other"), F.greatest("block", "other")).alias("meeting"), "node", "size", "block", "print")
-    held = dealt.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_with_partner(share), _sql(_HELD))
+    held = dealt.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_with_partner(like), _sql(_HELD))
     held = materialize(held.join(known.hint("merge"), "node").select("row.*", "meeting", "node", "size", "block", "print"), "held")
     met = docs.join(held.hint("merge"), ROW).dropDuplicates([*ROW, "meeting"]).select("meeting", "node", "size", "block", "print", "text")
-    roots = components(met.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_verified(share, width), _sql(_LINKS)))
+    roots = components(met.repartition("meeting").sortWithinPartitions("meeting", "node").mapInArrow(_verified(like, width), _sql(_LINKS)))
     rooted = materialize(first.join(roots, "node", "left").select("d0", "d1", F.coalesce("root", "node").alias("root"), "row"), "groups")
     best = materialize(rooted.groupBy("root").agg(F.min("row").alias("best")), "best")
     groups = materialize(rooted.join(best, "root").select("d0", "d1", "best"), "kept-groups")  # a set of very many rows can be split
@@ -306,12 +325,12 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, group
     return prints.join(groups, ["d0", "d1"]).select(*ROW, F.when(~F.col("best.none"), F.col("best.id")).alias("component_id"), kept.alias("kept"))
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, group_rows: int = 2048) -> DataFrame:
-    """(doc_id, component_id) over links of texts whose sets of `width`-word shingles have a Jaccard similarity of at
-    least `similarity`; component_id is the smallest doc_id of the group.
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, measure: str = "cosine", group_rows: int = 2048) -> DataFrame:
+    """(doc_id, component_id) over links of texts whose sets of `width`-word shingles have a similarity (`measure`: cosine
+    or jaccard) of at least `similarity`; component_id is the smallest doc_id of the group.
 
-    Equal sets meet first. In any order of all shingles, two similar sets share one of the first n - ceil(similarity * n)
-    + 1 of each; rare shingles come first, so that few texts have one in common. Texts that share one with the same
+    Equal sets meet first. Similar sets have a share r of each in common (the similarity by Jaccard, its square by cosine);
+    in any order of all shingles they then share one of the first n - ceil(r * n) + 1 of each; rare shingles come first, so that few texts have one in common. Texts that share one with the same
     shortest text meet as a group; one above `group_rows` is dealt into blocks, and each block meets each other one in a
     task of its own, so its size changes no result. Every link is verified on the sets; a pair at the very threshold is
     lost by its prints once in 10^8 (`reach`).
@@ -321,15 +340,15 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     row; a text is one round of memory, so some 60 bytes for each of its bytes; an empty table gives an empty table;
     other columns are ignored.
     """
-    rows = similar_rows(docs, width, similarity, group_rows)
+    rows = similar_rows(docs, width, similarity, measure, group_rows)
     return rows.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, measure: str = "cosine") -> DataFrame:
     """The rows of `docs`, all columns, without those that are near copies of another one: of each group of
     `similar_documents` the row with the smallest doc_id stays (null last, then by the text's hash), once where it
     repeats. A row is judged by its own text, also where ids clash."""
     with scratch(docs.sparkSession):
-        gone = materialize(similar_rows(docs, width, similarity).filter(~F.col("kept")).select(*ROW).distinct(), "near-copies", keep=True)
+        gone = materialize(similar_rows(docs, width, similarity, measure).filter(~F.col("kept")).select(*ROW).distinct(), "near-copies", keep=True)
     rows = docs.select(*_row_key(docs), F.struct(*docs.columns).alias("row"))
     return rows.join(gone, ROW, "left_anti").dropDuplicates(ROW).select("row.*")

@@ -190,7 +190,7 @@ def test_pipeline_stages_match_brute_force(spark):
     group = list(range(len(distinct)))
     for a in range(len(distinct)):
         for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            if sets[a] == sets[b] or (sets[a] and sets[b] and 25 * len(sets[a] & sets[b]) ** 2 >= 16 * len(sets[a]) * len(sets[b])):
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
     assert len(kept) == len(set(group))

@@ -104,10 +104,17 @@ def shingles(text, width=5):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def by_jaccard(rows):
+def by_similarity(rows, measure="cosine"):
     sets = {i: shingles(t) for i, t in rows}
     ids = sorted(sets)
-    return union([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
+
+    def similar_(x, y):
+        if not x or not y:
+            return x == y
+        both = len(x & y)
+        return 25 * both * both >= 16 * len(x) * len(y) if measure == "cosine" else 5 * both >= 4 * len(x | y)
+
+    return union([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if similar_(sets[a], sets[b])], ids)
 
 
 @pytest.mark.parametrize("group_rows", [2048, 7])
@@ -125,7 +132,7 @@ def test_similar_documents_of_a_dense_group_match_brute_force(spark, group_rows)
             own[rng.randrange(120)] = f"c{group}y{copy}"
             rows.append((group * 100 + rng.randrange(100), " ".join(own)))
     rows = list({i: (i, t) for i, t in rows}.values())
-    want = by_jaccard(rows)
+    want = by_similarity(rows)
     assert 3 < len(set(want.values())) < len(rows)
     got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=group_rows).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == len(rows)
@@ -141,25 +148,26 @@ def test_a_meeting_of_many_rows_matches_brute_force(spark):
         if i > 250 and i % 3:
             own[rng.randrange(12)] = f"x{i}"
         rows.append((i, " ".join(own[:6] + passage + own[6:])))
-    want = by_jaccard(rows)
+    want = by_similarity(rows)
     got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want and 100 < len(set(want.values())) < 400
 
 
-def test_pairs_at_the_threshold_are_all_found(spark):
-    """Pairs of two texts of a Jaccard similarity from 0.7 to 0.9: those of 0.8 or more, and no others."""
+@pytest.mark.parametrize("measure", ["cosine", "jaccard"])
+def test_pairs_at_the_threshold_are_all_found(spark, measure):
+    """Pairs of two texts of a similarity from 0.7 to 0.9: those of 0.8 or more, and no others."""
     rng = random.Random(6)
     rows = []
     for pair in range(300):
         words = [f"p{pair}w{i}" for i in range(rng.randrange(60, 200))]
         other = list(words)
-        for _ in range(max(1, len(words) // 45)):
+        for _ in range(max(1, len(words) // (45 if measure == 'jaccard' else 24))):
             other[rng.randrange(len(words))] = f"p{pair}o"
         rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
-    want = by_jaccard(rows)
+    want = by_similarity(rows, measure)
     linked = sum(want[2 * p] == want[2 * p + 1] for p in range(300))
     assert 100 < linked < 300
-    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), measure=measure).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
