@@ -298,7 +298,7 @@ def _verified(measure: Measure, width: int):
     return run
 
 
-def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, measure: str = "cosine", group_rows: int = 2048) -> DataFrame:
+def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, measure: str = "cosine", group_rows: int = 1024) -> DataFrame:
     """(ROW, component_id, kept): each row of `docs` with its group's smallest doc_id and whether it is the
     row of its group that stays: the smallest by doc_id (null last), then by the text's hash. Rows of equal id and text
     are one. See `similar_documents`."""
@@ -325,7 +325,7 @@ def similar_rows(docs: DataFrame, width: int = 5, similarity: float = 0.8, measu
     return prints.join(groups, ["d0", "d1"]).select(*ROW, F.when(~F.col("best.none"), F.col("best.id")).alias("component_id"), kept.alias("kept"))
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, measure: str = "cosine", group_rows: int = 2048) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, measure: str = "cosine", group_rows: int = 1024) -> DataFrame:
     """(doc_id, component_id) over links of texts whose sets of `width`-word shingles have a similarity (`measure`: cosine
     or jaccard) of at least `similarity`; component_id is the smallest doc_id of the group.
 

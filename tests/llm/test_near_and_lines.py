@@ -117,7 +117,7 @@ def by_similarity(rows, measure="cosine"):
     return union([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if similar_(sets[a], sets[b])], ids)
 
 
-@pytest.mark.parametrize("group_rows", [2048, 7])
+@pytest.mark.parametrize("group_rows", [1024, 7])
 def test_similar_documents_of_a_dense_group_match_brute_force(spark, group_rows):
     """Copies in several groups around one text of which only some are similar to each other, and none to the smallest id."""
     rng = random.Random(4)
