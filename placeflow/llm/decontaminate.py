@@ -29,8 +29,10 @@ WIDTH = 5
 COVERAGE = 0.8
 #: Tokens by which words put in or left out may shift the parts of one item against each other.
 SLACK = 4
-#: Benchmark windows up to which their hashes are sent to the tasks that read documents (8 bytes each); beyond, all windows are joined.
+#: Benchmark windows up to which their hashes are sent to the tasks that read documents (8 bytes each); beyond, a bit for
+#: each of 2 ** SIEVE_BITS slots is sent (16 MB), and what passes that sieve is joined.
 MOST_SENT = 2_000_000
+SIEVE_BITS, SIEVE_PARTS = 27, 64
 
 # Unit words and symbols after numbers.
 UNITS = frozenset("km m cm mm mi mile miles ft feet foot inch inches yard yards kg g mg lb lbs oz ton tons l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros pound pounds cent cents usd eur gbp mph kph km/h m/s degree degrees c f kb mb gb tb w kw v hz khz mhz ghz".split())
@@ -196,9 +198,47 @@ def _cut(t: Tokens, width: int, shorter: tuple[int, ...]) -> Iterator[tuple[int,
             yield k, places, hashes, (1 << k) - 1
 
 
-def document_windows(docs: DataFrame, wanted: np.ndarray | None, width: int = WIDTH, shorter: tuple[int, ...] = ()) -> DataFrame:
-    """(w, id, pos, slots) of the documents' windows whose hash is in `wanted` (sorted), or of all where it is None:
-    windows of `width` tokens, of the widths in `shorter`, and whole texts of fewer tokens."""
+class Listed(NamedTuple):
+    """The hashes that are looked for, sorted."""
+
+    hashes: np.ndarray
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+
+class Sieve(NamedTuple):
+    """A bit for the first bits of each hash that is looked for: others may pass, none of those is lost."""
+
+    bits: np.ndarray
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def sieve(hashes: DataFrame) -> Sieve:
+    """Of a column w of any length: a fixed 2 ** SIEVE_BITS bits, put together in parts."""
+    each = (1 << SIEVE_BITS) // SIEVE_PARTS
+    schema = pa.schema([("part", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slots = batch.column(0).to_numpy(zero_copy_only=False)
+            for part in np.unique(slots // each).tolist():
+                parts.setdefault(part, np.zeros(each, dtype=bool))[slots[slots // each == part] % each] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], schema=schema)
+
+    slots = hashes.select(F.shiftrightunsigned("w", 64 - SIEVE_BITS).alias("slot"))
+    bits = np.zeros((SIEVE_PARTS, each // 8), dtype=np.uint8)
+    for r in slots.repartition(F.floor(F.col("slot") / each)).mapInArrow(run, "part long, bits binary").collect():  # 16 MB at most
+        bits[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return Sieve(bits.ravel())
+
+
+def document_windows(docs: DataFrame, wanted: Listed | Sieve, width: int = WIDTH, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """(w, id, pos, slots) of the documents' windows whose hash `wanted` lets through: windows of `width` tokens, of the widths in `shorter`, and whole texts of fewer tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -210,9 +250,8 @@ def document_windows(docs: DataFrame, wanted: np.ndarray | None, width: int = WI
             owner = np.repeat(np.arange(len(docs)), np.diff(t.cuts))
             for k, places, hashes, mask in _cut(t, width, shorter):
                 hashes = hashes.view(np.int64)
-                if wanted is not None:
-                    found = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes)
-                    places, hashes = places[found], hashes[found]
+                found = np.flatnonzero(wanted.hits(hashes))
+                places, hashes = places[found], hashes[found]
                 for p, w in zip(places.tolist(), hashes.tolist(), strict=True):
                     ids.append(docs[owner[p]])
                     ws.append(w)
@@ -241,11 +280,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     windows = materialize(windows, "item-windows")
     distinct = windows.select("w").distinct()
     shorter = tuple(sorted(r["width"] for r in items.filter(F.col("width") < width).select("width").distinct().collect()))  # below `width`
-    wanted = None
     if distinct.limit(most_sent + 1).count() <= most_sent:
-        wanted = np.sort(np.array([r["w"] for r in distinct.collect()], dtype=np.int64))  # bounded by most_sent
-        if not len(wanted):
-            wanted = np.array([0], dtype=np.int64)
+        listed = np.sort(np.array([r["w"] for r in distinct.collect()], dtype=np.int64))  # bounded by most_sent
+        wanted = Listed(listed if len(listed) else np.array([0], dtype=np.int64))
+    else:
+        wanted = sieve(distinct)
     found = materialize(document_windows(docs, wanted, width, shorter), "doc-windows")
     matches = materialize(found.join(windows, "w").select(F.col("id").alias("doc_id"), "template", "base", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("slots.value").alias("value"), F.col("item_slots.number").alias("number")).alias("slots")), "matches")
     where = ["doc_id", "template", "shift"]
