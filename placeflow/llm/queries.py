@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeflow.llm import decontaminate, fim, linededup, lm, merkle, ogg, packing, pii, quality, simhash, toxicity, warc
+from placeflow.llm import codes, decontaminate, fim, linededup, lm, merkle, ogg, packing, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_line_dedup": linededup.query,
     "op11_fill_in_middle": fim.query,
+    "op12_token_codes": codes.query,
     "op13_merkle": merkle.query,
 }
 ORACLE_SQL = {"op5_warc": warc.ORACLE, "op10_line_dedup": linededup.ORACLE, "op11_fill_in_middle": fim.ORACLE, "op13_merkle": merkle.ORACLE}
