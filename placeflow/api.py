@@ -47,7 +47,7 @@ class Places:
         The phases: cells level by level, sub-areas (table subarea_pages) for keys that those lack, cells that no place
         covers (pages whose cell_key begins with gap:), then details (`enrich_places`) and contacts within
         `max_contacts`. An existing collection is refused without `resume`, and with it if it was for another query. A
-        resumed run skips finished cells and known keys; its manifest counts all runs.
+        resumed run skips finished cells (not those refused before they showed anything) and known keys; its manifest counts all runs.
 
         Each run writes folders of its own and then its line of the manifest, which readers go by: what a broken run
         left is never read, and the next one overwrites it.
@@ -62,7 +62,7 @@ class Places:
         if before is not None:
             run = before["run"] + 1
             seen, cells = self.collected(spark, out, "places"), self.collected(spark, out, "cells")
-            done, seen = cells.filter("NOT splits").select("cell_key"), seen.select("key")
+            done, seen = cells.filter("NOT splits AND (NOT failed OR raw > 0)").select("cell_key"), seen.select("key")
         got = collect.collect(self.tables["grid_pages"].filter("cell_key NOT LIKE 'gap:%'"), box, inside, settings, done, seen, observer)
         passes.append(got.places.withColumn("pass", F.lit("cells")))
         known = passes[0].select("key") if seen is None else passes[0].select("key").union(seen)

@@ -1,9 +1,9 @@
 """Collection over recorded pages, level by level.
 
-A level is one job: the frontier of cells meets the recorded pages of its cells, pages are cut at the
-paging rule, results pass fence and footprint, the first row of each new key stays, and cells that are
-saturated and productive are split into four for the next level. A parent's results stay. The loop
-runs at most `max_depth` + 1 times whatever the data, and each level is written and read back.
+A level: the frontier of cells meets the recorded pages of its cells, pages are cut at the paging rule, results pass
+fence and footprint, the first row of each new key stays, and cells that are saturated and productive are split into
+four for the next level. A parent's results stay. The loop runs at most `max_depth` + 1 times whatever the data, and
+each level is written and read back. A recorded page may be a refusal: a row with `error` set ends its cell there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeflow.functions import geo
@@ -33,6 +33,8 @@ class Settings:
     area_cap: int = 120
     max_results: int = 500
     buffer: float = 1.5
+    #: New means new to all cells of the level that come before, as if they were read in turn; else to the cell's own pages.
+    across_cells: bool = True
 
 
 @dataclass
@@ -42,14 +44,15 @@ class Collected:
     settings: Settings = field(default_factory=Settings)
 
     def counters(self) -> DataFrame:
-        """One row of totals; raw = retained + duplicates + both outsides."""
+        """One row of totals; raw = retained + duplicates + both outsides. A cell that was refused counts as failed, and as
+        completed too if it had shown anything before."""
         c = self.cells
         sums = [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in ("requests", "raw", "kept", "outside_boundary", "outside_footprint")]
-        return c.agg(F.count(F.lit(1)).alias("cells_total"), *sums, F.count_if("splits").alias("cells_subdivided"), F.count_if(F.col("saturated") & ~F.col("splits")).alias("cells_saturated"), F.max("depth").alias("max_depth")).withColumn("duplicates", F.col("raw") - F.col("kept") - F.col("outside_boundary") - F.col("outside_footprint"))
+        return c.agg(F.count(F.lit(1)).alias("cells_total"), *sums, F.count_if("splits").alias("cells_subdivided"), F.count_if(F.col("saturated") & ~F.col("splits")).alias("cells_saturated"), F.count_if("failed").alias("cells_failed"), F.count_if(~F.col("failed") | (F.col("raw") > 0)).alias("cells_completed"), F.max("depth").alias("max_depth")).withColumn("duplicates", F.col("raw") - F.col("kept") - F.col("outside_boundary") - F.col("outside_footprint"))
 
     def manifest(self) -> DataFrame:
         """One row: status, reasons and counters."""
-        rows = self.counters().withColumn("cap_reached", F.col("kept") >= self.settings.max_results).withColumn("cells_failed", F.lit(0)).withColumn("cells_completed", F.col("cells_total"))
+        rows = self.counters().withColumn("cap_reached", F.col("kept") >= self.settings.max_results)
         return metrics.completeness(rows).withColumn("status", F.when(F.col("complete"), "complete").otherwise("incomplete"))
 
 
@@ -72,15 +75,18 @@ def collect(pages: DataFrame, box: grid.Box, inside: Column | None = None, setti
     """Places of an area from its recorded pages.
 
     `inside` is a condition on lat and lon (default: the box). `completed` names cell_keys that an earlier
-    run finished, `seen` its keys. A cell is read to its first page that keeps nothing new, or to its first
-    short page; new are keys that neither an earlier run nor an earlier level nor an earlier page of the cell
-    has shown. The order of "first" is depth, then cell_key, page and rank. `observer` gets each finished
-    level's depth, cells and kept places.
+    run finished, `seen` its keys. A cell is read to its first page that keeps nothing new, to its first short page or
+    to a refused one; new are keys that neither an earlier run nor an earlier level nor an earlier page has shown, of
+    the cell itself or, with `across_cells`, of the level's cells before it. The order of "first" is depth, then
+    cell_key, page and rank. A refusal isn't a request and shows nothing; a cell refused before it showed anything isn't
+    split. `observer` gets each finished level's depth, cells and kept places, counted as the level is written.
     """
     spark, settings = pages.sparkSession, settings or Settings()
     inside = inside if inside is not None else geo.in_box(F.col("lat"), F.col("lon"), box)
     path = shared.folder(spark, "collect")
     pages = pages.filter(F.col("page") < settings.page_cap)
+    if "error" not in pages.columns:
+        pages = pages.withColumn("error", F.lit(None).cast("string"))
     frontier, places, cells = seeds(spark, box, inside, settings), None, None
     for depth in range(settings.max_depth + 1):
         level = frontier.withColumn("cell_key", geo.cell_key(F.col("lat"), F.col("lon"))).withColumnsRenamed({"lat": "cell_lat", "lon": "cell_lon"})
@@ -89,33 +95,43 @@ def collect(pages: DataFrame, box: grid.Box, inside: Column | None = None, setti
         level = shared.kept(level, f"{path}/frontier-{depth}")
         rows = pages.join(level, "cell_key").withColumn("cell", F.col("cell_key"))
         fits = geo.haversine(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")) <= geo.accept_radius(F.col("cell_km"), settings.buffer)
-        rows = rows.withColumn("in_fence", F.coalesce(inside, F.lit(False))).withColumn("good", F.col("in_fence") & F.coalesce(fits, F.lit(False)))
+        rows = rows.withColumn("in_fence", F.coalesce(inside, F.lit(False))).withColumn("good", F.col("error").isNull() & F.col("in_fence") & F.coalesce(fits, F.lit(False)))
         known = None if places is None else places.select("key")
         if seen is not None:
             known = seen.select("key") if known is None else known.union(seen.select("key"))
         good = rows.filter("good")
         if known is not None:
             good = good.join(known.distinct(), "key", "left_anti")
-        novel = discover.page_novelty(good, "key").withColumnRenamed("n", "n_good")
-        sizes = rows.groupBy("cell", "page").agg(F.count(F.lit(1)).alias("n")).join(novel, ["cell", "page"], "left")
-        stop = sizes.groupBy("cell").agg(F.min(F.when((F.col("n") < settings.full_page) | (F.coalesce("new", F.lit(0)) == 0), F.col("page"))).alias("stop"))
+        refused = F.bool_or(F.col("error").isNotNull())
+        sizes = rows.groupBy("cell", "page").agg((refused | (F.count(F.lit(1)) < settings.full_page)).alias("ends"))
+        if settings.across_cells:
+            stop = discover.stops_across(sizes, good.select("cell", "page", "key"), lambda df, name: shared.kept(df, f"{path}/stops-{depth}/{name}"))  # noqa: B023
+        else:
+            novel = discover.page_novelty(good, "key").select("cell", "page", "new")
+            stop = sizes.join(novel, ["cell", "page"], "left").groupBy("cell").agg(F.min(F.when(F.col("ends") | (F.coalesce("new", F.lit(0)) == 0), F.col("page"))).alias("stop"))
         read = shared.kept(rows.join(stop, "cell").filter(F.col("stop").isNull() | (F.col("page") <= F.col("stop"))).drop("stop"), f"{path}/read-{depth}")
         fresh = read.filter("good")
         if known is not None:
             fresh = fresh.join(known.distinct(), "key", "left_anti")
-        fresh = shared.kept(discover.first_wins(fresh, "key", ("cell", "page", "rank")), f"{path}/places-{depth}")
-        full = read.groupBy("cell_key", "page").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("in_fence")).alias("b"), F.count_if(F.col("in_fence") & ~F.col("good")).alias("f"))
-        stats = full.groupBy("cell_key").agg(F.count(F.lit(1)).alias("requests"), F.sum("n").alias("raw"), F.sum("b").alias("outside_boundary"), F.sum("f").alias("outside_footprint"), F.count_if(F.col("n") >= settings.full_page).alias("full_pages"))
+        fresh = shared.kept(discover.first_wins(fresh, "key", ("cell", "page", "rank")).drop("error"), f"{path}/places-{depth}")
+        answered = F.col("error").isNull()
+        full = read.groupBy("cell_key", "page").agg(refused.alias("refused"), F.count_if(answered).alias("n"), F.count_if(answered & ~F.col("in_fence")).alias("b"), F.count_if(answered & F.col("in_fence") & ~F.col("good")).alias("f"))
+        stats = full.groupBy("cell_key").agg(F.count_if(~F.col("refused")).alias("requests"), F.sum("n").alias("raw"), F.sum("b").alias("outside_boundary"), F.sum("f").alias("outside_footprint"), F.count_if(F.col("n") >= settings.full_page).alias("full_pages"), F.bool_or("refused").alias("failed"))
         kept = fresh.groupBy("cell_key").agg(F.count(F.lit(1)).alias("kept"))
-        done = level.join(stats, "cell_key", "left").join(kept, "cell_key", "left").na.fill(0, ["requests", "raw", "outside_boundary", "outside_footprint", "full_pages", "kept"])
+        done = level.join(stats, "cell_key", "left").join(kept, "cell_key", "left").na.fill(0, ["requests", "raw", "outside_boundary", "outside_footprint", "full_pages", "kept"]).na.fill(False, ["failed"])
         saturated, splits = discover.split_decision(settings.full_page, settings.area_cap, settings.page_cap, settings.max_depth, settings.min_cell_km, settings.max_zoom)
-        done = shared.kept(done.withColumn("saturated", saturated).withColumn("splits", splits), f"{path}/cells-{depth}")
+        counted = Observation()
+        done = done.withColumn("saturated", saturated).withColumn("splits", splits)
+        done = done.observe(counted, F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"), F.count_if("splits").alias("splits"), F.count_if("failed").alias("failed"))
+        done = shared.kept(done, f"{path}/cells-{depth}")
+        level_counts = counted.get
         if observer is not None:
-            observer({"depth": depth, **done.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept")).first().asDict()})
+            observer({"depth": depth, **level_counts})
         places = fresh if places is None else places.unionByName(fresh)
         cells = done if cells is None else cells.unionByName(done)
         frontier = _children(done.filter("splits").withColumnsRenamed({"cell_lat": "lat", "cell_lon": "lon"}))
-        if frontier.isEmpty() or places.limit(settings.max_results).count() >= settings.max_results:
+        found = level_counts["kept"] + (0 if depth == 0 else found)
+        if not level_counts["splits"] or found >= settings.max_results:
             break
     capped = discover.global_cap(places.withColumn("cell", F.struct("depth", "cell_key")), settings.max_results).drop("cell")
     return Collected(capped, cells, settings)

@@ -5,7 +5,9 @@ Every "first" follows the total order (cell, page, rank).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 ORDER = ("cell", "page", "rank")
@@ -40,6 +42,44 @@ def page_stops(rows: DataFrame, key: str = "key", full_page: int | None = None,
     return page_novelty(rows.filter(F.col("page") < page_cap), key).groupBy("cell").agg(F.min(F.when(stops, F.col("page"))).alias("stop_page"), F.max("page").alias("last_page"))
 
 
+def stops_across(pages: DataFrame, shown: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(cell, stop): the page that ends each cell where cells are read one after the other, in the order of `cell`, and a
+    page without a key that is new to all of them ends its cell. A null stop: the cell is read to its last page.
+
+    `pages` is (cell, page, ends): whether a page ends its cell whatever it shows. `shown` is (cell, page, key): what
+    may count as new. `keep(frame, name)` writes a frame and reads it back.
+
+    What a cell leaves new depends on how far earlier cells are read, and that on cells before them: a fixpoint. Given all
+    stops, the first reader of each key follows, and from those the stops again, until none changes. The first k cells
+    are right after k rounds, so it ends, and it takes as many rounds as the longest chain of cells that change each other.
+    Keys that a single cell shows are counted once and take no part.
+    """
+    first = keep(shown.groupBy("cell", "key").agg(F.min("page").alias("page")), "shown")
+    several = first.groupBy("key").agg(F.count(F.lit(1)).alias("cells")).filter("cells > 1").select("key")
+    several = keep(several, "several")
+    shared = keep(first.join(several, "key", "left_semi"), "shared")
+    alone = first.join(several, "key", "left_anti").groupBy("cell", "page").agg(F.count(F.lit(1)).alias("alone"))
+    pages = keep(pages.join(alone, ["cell", "page"], "left").na.fill(0, ["alone"]), "pages")
+
+    def stops(fresh: DataFrame) -> DataFrame:
+        ends = F.col("ends") | (F.col("alone") + F.coalesce("fresh", F.lit(0)) == 0)
+        return pages.join(fresh, ["cell", "page"], "left").groupBy("cell").agg(F.min(F.when(ends, F.col("page"))).alias("stop"))
+
+    now = keep(stops(shared.groupBy("cell", "page").agg(F.count(F.lit(1)).alias("fresh"))), "stops-0")
+    changed, turn = 1, 0
+    while changed:
+        turn += 1
+        read = shared.join(now, "cell").filter(F.col("stop").isNull() | (F.col("page") <= F.col("stop")))
+        reader = keep(read.groupBy("key").agg(F.min("cell").alias("reader")), f"readers-{turn}")  # of known size when it is joined
+        new = shared.join(reader, "key", "left").filter(F.col("reader").isNull() | (F.col("cell") <= F.col("reader")))
+        after = stops(new.groupBy("cell", "page").agg(F.count(F.lit(1)).alias("fresh"))).join(now.withColumnRenamed("stop", "was"), "cell")
+        seen = Observation()
+        after = after.observe(seen, F.count_if(~F.col("stop").eqNullSafe(F.col("was"))).alias("changed"))
+        now = keep(after.drop("was"), f"stops-{turn}")
+        changed = seen.get["changed"]
+    return now
+
+
 def paginate(rows: DataFrame, key: str = "key", full_page: int | None = None, page_cap: int = 6) -> DataFrame:
     """The rows of the pages up to each cell's stop, a key once a cell."""
     stops = page_stops(rows, key, full_page, page_cap)
