@@ -21,6 +21,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,14 +38,17 @@ END = 2
 ROLL = 2_000_000
 ROUND = 262_144
 BLOCK = 8
-#: Words that an encoder remembers before it forgets all.
-MOST_WORDS = 200_000
+#: Words that an encoder remembers before it forgets all, and characters of a text that it takes at a time.
+MOST_WORDS = 500_000
+LONGEST = 2_000_000
 
 #: Texts that hold anything else go to the tokenizer itself.
 _OTHER = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
 _WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: The same rule for the letters, digits and white space that `_OTHER` leaves, lower-cased.
+_SPACE = re.compile(r"[\t-\r ]")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_WORDS_OF_LINES = re.compile("\n|" + _WORD.pattern)
 
 
 def _letters() -> dict[int, str]:
@@ -54,11 +58,23 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _slices(text: str) -> Iterator[str]:
+    """The text in parts of about LONGEST characters, cut before white space."""
+    at = 0
+    while len(text) - at > LONGEST:
+        space = _SPACE.search(text, at + LONGEST)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:]
+
+
 class Encoder:
     """Ids of texts by a published tokenizer, little-endian and 32 bits wide.
 
     Where the file's own rules say that words are encoded one by one (lower case, white space dropped, words by a pattern),
-    a text of ASCII and Latin-1 letters is parted into words here and each distinct word goes to the tokenizer's model once.
+    a text of ASCII and Latin-1 letters is parted into words here and each distinct one goes to the tokenizer's model once.
     Other texts, texts that spell one of its special tokens and files with other rules go to the tokenizer whole.
     """
 
@@ -75,16 +91,48 @@ class Encoder:
         bare = saved | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
         self.words: Tokenizer | None = Tokenizer.from_str(json.dumps(bare)) if self.by_word else None
         self.letters = _letters()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"\n": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.by_word and not _OTHER.search(t) and not any(s in t for s in self.special) for t in texts]
-        words = [_WORD.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > MOST_WORDS:
-            self.known = {}
-        self._learn(list({w for ws in words if ws for w in ws} - self.known.keys()))
         rest = iter(self.whole.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [b"".join(map(self.known.__getitem__, ws)) if ws is not None else np.array(next(rest).ids, "<u4").tobytes() for ws in words]
+        own = iter(self._by_word([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(own) if p else np.array(next(rest).ids, "<u4").tobytes() for p in plain]
+
+    def _by_word(self, texts: list[str]) -> Iterator[bytes]:
+        """Long texts are cut at white space, so that what is held at a time is bounded unless a word is that long."""
+        cuts = [list(_slices(t)) for t in texts]
+        held: list[str] = []
+        done: list[bytes] = []
+        for one in [*(c for cs in cuts for c in cs), None]:
+            if one is None or sum(map(len, held)) + len(one) > 2 * LONGEST:
+                done += self._ids(held)
+                held = []
+            if one is not None:
+                held.append(one)
+        at = iter(done)
+        for cs in cuts:
+            yield b"".join(next(at) for _ in cs)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = parts.values.dictionary_encode()
+        spelled = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string())), "\n")[0].as_py() + "\n"
+        words = _WORDS_OF_LINES.findall(spelled.lower())
+        if len(self.known) > MOST_WORDS:
+            self.known = {"\n": b""}
+        self._learn(list(set(words) - self.known.keys()))
+        own = list(map(self.known.__getitem__, words))
+        flat, upto = np.frombuffer(b"".join(own), "<u4"), np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) // 4
+        ends = upto[np.fromiter(map("\n".__eq__, words), bool, len(words))]
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes, at = ends - starts, coded.indices.to_numpy()
+        before = np.concatenate([[0], np.cumsum(sizes[at])])
+        ids = flat[np.repeat(starts[at] - before[:-1], sizes[at]) + np.arange(before[-1])].astype("<u4")
+        bounds = before[parts.offsets.to_numpy()].tolist()
+        return [ids[low:high].tobytes() for low, high in zip(bounds, bounds[1:], strict=False)]
 
     def _learn(self, words: list[str]) -> None:
         if not words:
@@ -238,6 +286,23 @@ class Codes:
             rows, at = rows[more], self._rank(level, at[more])
         return out.astype("<u4")
 
+    def run(self, low: int, high: int) -> np.ndarray:
+        """The ids at the places from `low` to before `high`. What goes on at each level is a run too, so its ends alone
+        are looked up in the rank directory."""
+        out, rows, shift = np.zeros(high - low, np.uint64), np.arange(high - low), 0
+        for level, width in enumerate(self.head["widths"]):
+            at = np.arange(low, high)
+            out[rows] |= self._chunk(level, width, at) << np.uint64(shift)
+            shift += width
+            if level == len(self.head["widths"]) - 1 or not len(at):
+                break
+            words = self.words(f"more{level}", np.arange(low >> 6, (high - 1 >> 6) + 1))
+            more = np.unpackbits(words.view(np.uint8), bitorder="little")[low & 63 : (low & 63) + high - low].view(bool)
+            low = int(self._rank(level, np.array([low]))[0])
+            rows = rows[more]
+            high = low + len(rows)
+        return out.astype("<u4")
+
     def documents(self) -> Iterator[tuple[int | None, int, int]]:
         """(id, start, ids) of each document."""
         starts = self.section("starts", "<u8").tolist()
@@ -311,7 +376,7 @@ def write_store(docs: DataFrame, tokenizer: str = "word_bpe_49k", end: int | Non
 
 def read_documents(store: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, path, at) of each document, read back from the files: start counts the ids of all
-    documents before it, `at` those before it in its file. Every id is looked up by its place."""
+    documents before it, `at` those before it in its file. Ids are taken by their places, a run at a time."""
 
     def run(batches):
         for batch in batches:
@@ -333,7 +398,7 @@ def _crcs(codes: Codes) -> Iterator[int]:
         crc, done = 0, at
         while done < at + n:
             if done >= low + len(data) // 4:
-                low, data = done, codes.take(np.arange(done, min(codes.ids, done + ROUND))).tobytes()
+                low, data = done, codes.run(done, min(codes.ids, done + ROUND)).tobytes()
             upto = min(at + n, low + len(data) // 4)
             crc = zlib.crc32(data[4 * (done - low) : 4 * (upto - low)], crc)
             done = upto

@@ -90,6 +90,8 @@ def test_codes_give_back_any_place(most):
         for c in (codes.Codes(lambda at, n, d=data: d[at : at + n], check=True), codes.Codes(lambda at, n, d=data: d[at : at + n]).load()):
             places = rng.permutation(size)
             assert (c.take(places) == ids[places]).all()
+            for low, high in [(0, size), (cut[0], cut[1]), (cut[1], cut[1]), (size // 2, size)]:
+                assert (c.run(int(low), int(high)) == ids[low:high]).all()
             assert [(i, n) for i, _, n in c.documents()] == [(i, len(d) // 4) for i, d in docs]
             assert list(codes._crcs(c)) == [zlib.crc32(d) for _, d in docs]
             with pytest.raises(IndexError):
@@ -151,6 +153,14 @@ def test_encoder_gives_the_tokenizers_ids(texts):
         assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(part)] == want
 
 
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(codes, "LONGEST", 50)
+    own, rng = codes.encoder("word_bpe_49k"), random.Random(4)
+    texts = ["".join(rng.choices("ab,c1 \n\t'sÉ", k=n)) for n in (0, 49, 50, 51, 400, 3000)] + ["x" * 300, " " * 300, "y" * 60 + " z"]
+    want = [e.ids for e in own.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == want
+
+
 def test_a_tokenizer_of_another_kind_is_used_whole():
     own = codes.encoder("byte_bpe_50k")
     assert not own.by_word
