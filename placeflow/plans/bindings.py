@@ -103,6 +103,23 @@ def grid_pages(spark: SparkSession, sf_dir: str, cell_km: float = 5.0) -> DataFr
     return rows.withColumn("n", n).filter("n < 120").select("cell_key", F.floor(F.col("n") / 20).cast("int").alias("page"), F.pmod("n", F.lit(20)).cast("int").alias("rank"), "key", "lat", "lon")
 
 
+def overlapping_pages(spark: SparkSession, sf_dir: str, cell_km: float = 5.0) -> DataFrame:
+    """Recorded pages of a grid over BOX whose cells overlap: a place is shown by its cell and by the next ones to the
+    north, the east and the north-east, in an order of the cell's own. The second page of every eleventh cell was refused."""
+    from placeflow.functions import geo
+    from placeflow.operators import grid
+
+    dlat, dlon = grid.steps(BOX, cell_km)
+    own = places(spark, sf_dir).select("c_custkey", F.col("place_id").alias("key"), "lat", "lon", F.floor((F.col("lat") - BOX[0]) / dlat).alias("i0"), F.floor((F.col("lon") - BOX[1]) / dlon).alias("j0"))
+    corners = F.array(*(F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in (0, 1) for v in (0, 1)))
+    rows = own.withColumn("at", F.explode(corners)).withColumn("i", F.col("i0") + F.col("at.u")).withColumn("j", F.col("j0") + F.col("at.v"))
+    rows = rows.withColumn("cell_key", geo.cell_key(BOX[0] + (F.col("i") + 0.5) * dlat, BOX[1] + (F.col("j") + 0.5) * dlon))
+    n = F.row_number().over(Window.partitionBy("cell_key").orderBy((F.col("c_custkey") * 31 + F.col("i") * 97) % 1009, "c_custkey")) - 1
+    rows = rows.withColumn("n", n).filter("n < 120").withColumn("page", F.floor(F.col("n") / 20).cast("int"))
+    error = F.when(((F.col("i") * 7 + F.col("j") * 3) % 11 == 0) & (F.col("page") == 1), F.lit("TimeoutError"))
+    return rows.select("cell_key", "page", F.pmod("n", F.lit(20)).cast("int").alias("rank"), "key", "lat", "lon", error.alias("error"))
+
+
 def _listed(slots: dict[int, Column]) -> Column:
     """The text of a JSON list with these items and nulls between them."""
     parts, last = [F.lit("[")], -1
@@ -153,3 +170,35 @@ def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     south, west = 35.9 + (k * 31 % 500) / 1000.0, -87.1 + (k * 17 % 500) / 1000.0
     hit = F.struct(F.lit("node").alias("osm_type"), (k % 900).cast("string").alias("osm_id"), F.when(k % 7 == 0, "shop").otherwise("place").alias("class"), F.lit("suburb").alias("type"), F.col("c_name").alias("name"), F.concat(F.col("c_name"), F.lit(", TN")).alias("display_name"), (south + 0.01).cast("string").alias("lat"), (west + 0.01).cast("string").alias("lon"), F.transform(F.array(south, south + 0.02, west, west + 0.02), lambda x: x.cast("string")).alias("boundingbox"))
     return table(spark, sf_dir, "customer").select(k.alias("request"), F.concat(F.lit("area "), k.cast("string")).alias("query"), F.to_json(F.array(hit)).alias("body"))
+
+
+#: Corners of the areas' rings, in units of an area's size around its centre: (part, ring, u, v).
+AREA_RINGS = {
+    (0, 0): [(4, 0), (1, 1), (0, 4), (-1, 1), (-4, 0), (-1, -1), (0, -4), (1, -1)],
+    (0, 1): [(1, 0), (0, 1), (-1, 0), (0, -1)],
+    (1, 0): [(5, -1), (7, -1), (7, 1), (5, 1)],
+}
+
+
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(region, geometry): an area for each supplier, a star with a hole, and for every third a MultiPolygon with a square beside it."""
+    s = F.col("s_suppkey")
+    size = 50 + s * 13 % 300
+    east, north = s * 7919 % 4000, s * 104729 % 4000
+
+    def ring(part: int, hole: int) -> Column:
+        scale = F.floor(size / 2) if hole else size
+        points = [F.concat(F.lit("["), (-87.0 + (east + u * scale) / 10000.0).cast("string"), F.lit(","), (36.0 + (north + v * scale) / 10000.0).cast("string"), F.lit("]")) for u, v in AREA_RINGS[part, hole]]
+        return F.concat(F.lit("["), F.concat_ws(",", *points), F.lit("]"))
+
+    star = F.concat(F.lit("["), ring(0, 0), F.lit(","), ring(0, 1), F.lit("]"))
+    one = F.concat(F.lit('{"type":"Polygon","coordinates":'), star, F.lit("}"))
+    two = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), star, F.lit(",["), ring(1, 0), F.lit("]]}"))
+    return table(spark, sf_dir, "supplier").select(s.alias("region"), F.when(s % 3 == 0, two).otherwise(one).alias("geometry"))
+
+
+AREAS = f"""corners(part, ring, k, n, u, v) AS (VALUES {', '.join(f'({p}, {r}, {k}, {len(c)}, {u}, {v})' for (p, r), c in AREA_RINGS.items() for k, (u, v) in enumerate(c))}),
+sized AS (SELECT s_suppkey AS region, 50 + s_suppkey * 13 % 300 AS size, s_suppkey * 7919 % 4000 AS east, s_suppkey * 104729 % 4000 AS north FROM supplier),
+points AS (SELECT region, part, ring, k, n, -87.0::DOUBLE + (east + u * CASE ring WHEN 0 THEN size ELSE size // 2 END) / 10000.0::DOUBLE AS x, 36.0::DOUBLE + (north + v * CASE ring WHEN 0 THEN size ELSE size // 2 END) / 10000.0::DOUBLE AS y
+           FROM sized CROSS JOIN corners WHERE part = 0 OR region % 3 = 0),
+sides AS (SELECT b.region, b.part, b.ring, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM points b JOIN points a ON a.region = b.region AND a.part = b.part AND a.ring = b.ring AND a.k = (b.k + b.n - 1) % b.n)"""

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from placeflow.api import Places
 from placeflow.functions import contacts, decode, geo, keys, pb
-from placeflow.operators import collect, discover, enrich, grid, locations, metrics, parse, quality, shared
+from placeflow.operators import collect, discover, enrich, grid, locations, metrics, parse, quality, regions, shared
 from placeflow.plans import bindings as b
 from placeflow.sources import recorded
 from placeflow.streaming import collect as streaming
+from placeflow.streaming import state
 from placeflow.plans.bindings import BOX, FENCE, GEOMETRY, HOLE, PLACES, SITES, occurrences, occurrences_sql, places, responses, sites, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,23 @@ def polygon_fence(spark, sf_dir):
     return places(spark, sf_dir).filter(geo.in_geometry(F.col("lat"), F.col("lon"), GEOMETRY)).select("place_id")
 
 
+_IN_AREAS = f"""WITH {PLACES}, {b.AREAS},
+met AS (SELECT c_custkey, region, part, ring FROM places JOIN sides ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY c_custkey, region, part, ring HAVING count(*) % 2 = 1),
+found AS (SELECT DISTINCT c_custkey, region FROM (SELECT c_custkey, region, bool_or(ring = 0) AND NOT bool_or(ring > 0) AS within FROM met GROUP BY c_custkey, region, part) WHERE within)"""
+
+
+@query(f"{_IN_AREAS} SELECT c_custkey, region FROM found")
+def polygon_join(spark, sf_dir):
+    """Places in the areas of a table: polygons with holes and several parts, met by cells and tested at borders alone."""
+    return regions.join(places(spark, sf_dir), b.areas(spark, sf_dir), 0.01).select("c_custkey", "region")
+
+
+@query(f"{_IN_AREAS} SELECT c.c_custkey, f.region FROM customer c LEFT JOIN found f USING (c_custkey)")
+def polygon_join_left(spark, sf_dir):
+    """The same on a coarse grid, with the places that no area holds."""
+    return regions.join(places(spark, sf_dir), b.areas(spark, sf_dir), 0.1, how="left").select("c_custkey", "region")
+
+
 _HAVERSINE = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
 
 
@@ -226,8 +244,7 @@ def split_decisions(spark, sf_dir):
     return cells.select("cell", "raw", "full_pages", "kept", saturated.alias("saturated"), splits.alias("splits"))
 
 
-_COLLECT = collect.Settings(max_results=1_000_000)
-
+_COLLECT = collect.Settings(max_results=1_000_000, across_cells=False)
 
 
 
@@ -269,6 +286,39 @@ def collect_manifest(spark, sf_dir):
     return got.manifest().select("status", F.array_join("reasons", ";").alias("reasons"), "cells_total", "cells_subdivided", "cells_saturated", "requests", "raw", "kept", "duplicates", "outside_boundary", "outside_footprint")
 
 
+_OVERLAPS = f"""WITH RECURSIVE {PLACES}, {_recorded_sql(1)},
+shown AS (SELECT c_custkey, key, lat, lon, i + u AS i, j + v AS j FROM o1, (SELECT unnest([0, 1]) AS u), (SELECT unnest([0, 1]) AS v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY (c_custkey * 31 + i * 97) % 1009, c_custkey) - 1 AS n FROM shown),
+paged AS (SELECT printf('%.6f,%.6f', g.lat, g.lon) AS cell_key, n // 20 AS page, key, (r.i * 7 + r.j * 3) % 11 = 0 AND n // 20 = 1 AS refused,
+                 r.lat BETWEEN 36.0 AND 36.4 AND r.lon BETWEEN -87.0 AND -86.6 AND {_HAVERSINE.format(lat1='r.lat', lon1='r.lon', lat2='g.lat', lon2='g.lon')} <= 2.5 * sqrt(2) * 1000 * 1.5 AS good
+          FROM ranked r JOIN g1 g USING (i, j) WHERE n < 120 AND g.lat < 36.4 AND g.lon < -86.6),
+turns AS (SELECT row_number() OVER (ORDER BY cell_key, page) AS pos, cell_key, page, count(*) AS n, bool_or(refused) AS refused, coalesce(list(DISTINCT key) FILTER (WHERE good AND NOT refused), []) AS ks FROM paged GROUP BY cell_key, page),
+walk AS (
+  SELECT 0::BIGINT AS pos, '' AS cell_key, false AS stopped, false AS reads, []::VARCHAR[] AS fresh, []::VARCHAR[] AS seen
+  UNION ALL
+  SELECT pos, cell_key, skips OR n < 20 OR refused OR len(new) = 0, NOT skips, CASE WHEN skips THEN [] ELSE new END, CASE WHEN skips THEN seen ELSE list_concat(seen, new) END
+  FROM (SELECT t.*, w.seen, w.cell_key = t.cell_key AND w.stopped AS skips, list_filter(t.ks, lambda k: NOT list_contains(w.seen, k)) AS new FROM walk w JOIN turns t ON t.pos = w.pos + 1)),
+cells AS (SELECT printf('%.6f,%.6f', lat, lon) AS cell_key FROM g1 WHERE lat < 36.4 AND lon < -86.6)"""
+
+
+@query(f"""{_OVERLAPS} SELECT cell_key, count(pos) FILTER (WHERE NOT refused) AS requests, coalesce(CAST(sum(n) FILTER (WHERE NOT refused) AS BIGINT), 0) AS raw, coalesce(CAST(sum(len(fresh)) AS BIGINT), 0) AS kept, coalesce(bool_or(refused), false) AS failed
+FROM cells LEFT JOIN (SELECT w.*, t.n, t.refused FROM walk w JOIN turns t USING (pos) WHERE reads) USING (cell_key) GROUP BY cell_key""")
+def collect_across(spark, sf_dir):
+    """A level of cells that overlap, some of them refused: a page without a key that is new to all cells before ends its cell."""
+    got = collect.collect(b.overlapping_pages(spark, sf_dir), BOX, settings=collect.Settings(max_results=1_000_000, max_depth=0))
+    return got.cells.select("cell_key", "requests", "raw", "kept", "failed")
+
+
+@query(f"""{_OVERLAPS}, r AS (SELECT w.*, t.n, t.refused FROM walk w JOIN turns t USING (pos) WHERE reads), s AS (SELECT cell_key, bool_or(refused) AS failed, coalesce(sum(n) FILTER (WHERE NOT refused), 0) >= 120 AS saturated FROM r GROUP BY cell_key),
+t AS (SELECT count(*) FILTER (WHERE failed) AS cells_failed, count(*) FILTER (WHERE saturated) AS cells_saturated FROM s)
+SELECT (SELECT count(*) FROM cells) AS cells_total, cells_failed, (SELECT count(*) FROM cells) - (SELECT count(*) FROM (SELECT cell_key FROM r GROUP BY cell_key HAVING bool_and(refused))) AS cells_completed, cells_saturated,
+       concat_ws(';', CASE WHEN cells_failed > 0 THEN 'cells failed' END, CASE WHEN cells_saturated > 0 THEN 'cells saturated' END) AS reasons FROM t""")
+def collect_failures(spark, sf_dir):
+    """The manifest of a collection in which recorded pages were refused."""
+    got = collect.collect(b.overlapping_pages(spark, sf_dir), BOX, settings=collect.Settings(max_results=1_000_000, max_depth=0))
+    return got.manifest().select("cells_total", "cells_failed", "cells_completed", "cells_saturated", F.array_join("reasons", ";").alias("reasons"))
+
+
 @query(f"{_LEVELS} SELECT (SELECT count(*) FROM k0) + (SELECT count(*) FROM k1) AS retained, CAST((SELECT sum(raw) FROM c0) + coalesce((SELECT sum(raw) FROM c1), 0) AS BIGINT) AS raw, CAST((SELECT sum(requests) FROM c0) + coalesce((SELECT sum(requests) FROM c1), 0) AS BIGINT) AS requests, 1 AS run")
 def manifest(spark, sf_dir):
     """A collection into a folder, by the runner; its manifest as written."""
@@ -288,11 +338,22 @@ def stream_counts(spark, sf_dir):
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
-def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a stream over the events table and read back what it wrote."""
+@query("SELECT user_id AS key, arg_min(event_id, (ts, event_id)) AS event_id, count(*) AS times, 1 AS news FROM events GROUP BY user_id")
+def stream_state(spark, sf_dir):
+    """Events as a stream of several batches with a state for each user: its first event, how often it was seen, once new."""
+    with state.rocksdb(spark):
+        rows = _streamed(spark, sf_dir, lambda s: state.sightings(s.withColumnRenamed("user_id", "key"), "key", ("ts", "event_id")), "append", batches=3)
+    last = F.max_by(F.struct("event_id", "times"), "times")
+    return rows.groupBy("key").agg(last.alias("last"), F.count_if("is_new").cast("int").alias("news")).select("key", "last.event_id", "last.times", "news")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str, batches: int = 1) -> DataFrame:
+    """Run a stream over the events table, in `batches` batches at least, and read back what it wrote."""
     path = shared.folder(spark, "stream")
-    table(spark, sf_dir, "events").write.parquet(f"{path}/in")
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{path}/in")
+    events = table(spark, sf_dir, "events")
+    (events if batches == 1 else events.repartition(batches)).write.parquet(f"{path}/in")
+    source = spark.readStream.schema(events.schema)
+    source = (source if batches == 1 else source.option("maxFilesPerTrigger", 1)).parquet(f"{path}/in")
     out = transform(source)
     out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
