@@ -48,7 +48,7 @@ _SLOT = [0, *(int(x) for x in mix(np.array([11, 12, 13], dtype=np.uint64)))]
 _TOKEN_SEED, _VALUE_SEED = 1, 2
 _ALONE, _VERBATIM = 16, 32  # seeds of windows that are whole texts, and of words as they are
 _WINDOWS = pa.schema([("w", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("at", pa.int32()), ("value", pa.int64())])))])
-_TEMPLATES = pa.schema([("item_id", pa.int64()), ("template", pa.int64()), ("width", pa.int32()), ("n_windows", pa.int64())]).append(pa.field("windows", pa.list_(pa.struct([("w", pa.int64()), ("base", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("at", pa.int32()), ("number", pa.int32())])))]))))
+_TEMPLATES = pa.schema([("item_id", pa.int64()), ("template", pa.int64()), ("width", pa.int32()), ("n_windows", pa.int64()), ("verbatim", pa.bool_())]).append(pa.field("windows", pa.list_(pa.struct([("w", pa.int64()), ("base", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.struct([("at", pa.int32()), ("number", pa.int32())])))]))))
 
 
 class Words(dict):
@@ -156,8 +156,20 @@ def _numbered(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.array([-1 if k == LITERAL else seen.setdefault((k, v), len(seen)) for k, v in zip(kind.tolist(), value.tolist(), strict=True)], dtype=np.int32)
 
 
+def _told(t: Tokens, k: int, cut: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], bool]:
+    """(an item's windows, whether any stands word for word): one with fewer than two words that are no slots fits any run of
+    numbers or names, so it must be found as it is."""
+    n = len(t.token) - k + 1
+    told = np.convolve(t.kind == LITERAL, np.ones(k, dtype=np.int64), "valid") >= 2
+    if told.all():
+        return cut, False
+    places = np.flatnonzero(~told)
+    verbatim = _hashed((t.word[i : i + n] for i in range(k)), n, k + _VERBATIM)[places]
+    return [*((p[told[p]], h[told[p]], mask) for p, h, mask in cut), (places, verbatim, (1 << k) - 1)], True
+
+
 def templates(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, template, n_windows, windows) of each item that has words; items of one template differ in slot values only."""
+    """(item_id, template, width, n_windows, verbatim, windows) of each item that has words; items of one template differ in slot values only."""
 
     def run(batches):
         canonical = Canonical()
@@ -172,19 +184,20 @@ def templates(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
                 names = t.kind == NAME
                 cut = [x for seed in ([k] if k == width else [k + _ALONE]) for x in cut_windows(t, k, names, seed)]
                 base = cut[0][1].view(np.int64)
+                cut, verbatim = _told(t, k, cut) if k == width else (cut, False)
                 if k < width:  # in a longer text: with other values if two words or more remain, else as it is
                     other = cut_windows(t, k, names, k) if (t.kind == LITERAL).sum() > 1 else [(np.zeros(1, dtype=np.int64), _hashed(t.word[:, None], 1, k + _VERBATIM), (1 << k) - 1)]
                     cut += other
                 windows = [{"w": w, "base": int(base[p]), "pos": p, "slots": [{"at": i, "number": int(number[p + i])} for i in range(k) if number[p + i] >= 0 and not mask >> i & 1]} for places, hashes, mask in cut for p, w in zip(places.tolist(), hashes.view(np.int64).tolist(), strict=True)]
                 whole = xxhash.xxh64_intdigest(t.token.tobytes() + number.tobytes(), 3)
-                rows.append((item, whole - (1 << 64) if whole >> 63 else whole, k, len(np.unique(base)), windows))
+                rows.append((item, whole - (1 << 64) if whole >> 63 else whole, k, len(np.unique(base)), verbatim, windows))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_TEMPLATES)], schema=_TEMPLATES)
 
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return benchmark.mapInArrow(run, "item_id long, template long, width int, n_windows long, windows array<struct<w:long,base:long,pos:int,slots:array<struct<at:int,number:int>>>>")
+    return benchmark.mapInArrow(run, "item_id long, template long, width int, n_windows long, verbatim boolean, windows array<struct<w:long,base:long,pos:int,slots:array<struct<at:int,number:int>>>>")
 
 
-def _cut(t: Tokens, width: int, shorter: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+def _cut(t: Tokens, width: int, shorter: tuple[int, ...], verbatim: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     either = (t.kind == NAME) & t.first
     sizes = np.repeat(np.diff(t.cuts), np.diff(t.cuts))
     for k in (width, *shorter):
@@ -194,6 +207,7 @@ def _cut(t: Tokens, width: int, shorter: tuple[int, ...]) -> Iterator[tuple[int,
         for places, hashes, mask in cut_windows(t, k, either, k + _ALONE):
             alone = sizes[places] == k
             yield k, places[alone], hashes[alone], mask
+    for k in (*shorter, *([width] if verbatim else [])):
         for places, hashes, _ in cut_windows(t._replace(token=t.word), k, np.zeros(len(either), dtype=bool), k + _VERBATIM):
             yield k, places, hashes, (1 << k) - 1
 
@@ -237,8 +251,8 @@ def sieve(hashes: DataFrame) -> Sieve:
     return Sieve(bits.ravel())
 
 
-def document_windows(docs: DataFrame, wanted: Listed | Sieve, width: int = WIDTH, shorter: tuple[int, ...] = ()) -> DataFrame:
-    """(w, id, pos, slots) of the documents' windows whose hash `wanted` lets through: windows of `width` tokens, of the widths in `shorter`, and whole texts of fewer tokens."""
+def document_windows(docs: DataFrame, wanted: Listed | Sieve, width: int = WIDTH, shorter: tuple[int, ...] = (), verbatim: bool = False) -> DataFrame:
+    """(w, id, pos, slots) of the documents' windows whose hash `wanted` lets through: windows of `width` tokens (with `verbatim` also word for word), of the widths in `shorter`, and whole texts of fewer tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -248,7 +262,7 @@ def document_windows(docs: DataFrame, wanted: Listed | Sieve, width: int = WIDTH
             docs = batch.column(0).to_pylist()
             t = canonical.tokens([x or "" for x in batch.column(1).to_pylist()])
             owner = np.repeat(np.arange(len(docs)), np.diff(t.cuts))
-            for k, places, hashes, mask in _cut(t, width, shorter):
+            for k, places, hashes, mask in _cut(t, width, shorter, verbatim):
                 hashes = hashes.view(np.int64)
                 found = np.flatnonzero(wanted.hits(hashes))
                 places, hashes = places[found], hashes[found]
@@ -269,7 +283,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     One row for each (document, template); item_id is the template's smallest item and n_items how many
     items share it. Texts without words hold and are nothing. An item of fewer than `width` tokens is one
     window of its own width; within a longer document it has other values only if two or more of its
-    words are no slots, else it must be there as it is. Rows that share a doc_id are one
+    words are no slots, else it must be there as it is. In longer items the same goes for each
+    window. Rows that share a doc_id are one
     document; rows with a null doc_id come under null. An item with a null item_id is looked for like
     any other. A repeated row changes nothing. Empty tables give an empty table; other columns are
     ignored. Texts are read some 2 MB at a time; a longer one is a round of memory of its own.
@@ -285,7 +300,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         wanted = Listed(listed if len(listed) else np.array([0], dtype=np.int64))
     else:
         wanted = sieve(distinct)
-    found = materialize(document_windows(docs, wanted, width, shorter), "doc-windows")
+    found = materialize(document_windows(docs, wanted, width, shorter, not items.filter("verbatim").isEmpty()), "doc-windows")
     matches = materialize(found.join(windows, "w").select(F.col("id").alias("doc_id"), "template", "base", (F.col("pos") - F.col("item_pos")).alias("shift"), F.arrays_zip(F.col("slots.value").alias("value"), F.col("item_slots.number").alias("number")).alias("slots")), "matches")
     where = ["doc_id", "template", "shift"]
     values = matches.select(*where, F.explode("slots").alias("s")).groupBy(*where, F.col("s.number").alias("number")).agg(F.min("s.value").alias("low"), F.max("s.value").alias("high"))

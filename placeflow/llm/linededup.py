@@ -81,9 +81,10 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
         .filter(F.col("n_docs") >= min_docs).select("h1", "h2"),
         "shared-lines",
     )
+    # Sets, as rows of equal id and text repeat positions. Nothing that needs a line's rows together may follow the join, or it isn't split.
     cuts = (
-        lines.join(shared, ["h1", "h2"]).dropDuplicates(["doc_id", "text_hash", "h1", "h2"]).groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"))
-        .agg(F.flatten(F.collect_list("positions")).alias("gone"))
+        lines.join(shared, ["h1", "h2"]).groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash"))
+        .agg(F.flatten(F.collect_set("positions")).alias("gone"))
     )
     schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
     same = docs["doc_id"].eqNullSafe(cuts["cut_id"]) & (F.xxhash64(docs["text"]) == cuts["cut_hash"])

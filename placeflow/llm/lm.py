@@ -35,14 +35,14 @@ CODES_EACH, BYTES_EACH = 1_000_000, 64_000_000
 _COUNTS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 _PARTS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("known", pa.binary()), ("sums", pa.binary()), ("distinct", pa.int64())])
-_SUMS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64())])
+_SUMS = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64())])
 _TREES = pa.schema([("kind", pa.int32()), ("code", pa.int64()), ("v", pa.list_(pa.float64()))])
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
-_PAIRS = pa.schema([("doc_id", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
+_PAIRS = pa.schema([("row", pa.int64()), ("code", pa.int64()), ("n", pa.int64())])
 
 
 def with_training(docs: DataFrame, modulus: int = 5, held_out: int = 1) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_bucket(F.col("doc_id"), modulus) != held_out).alias("train"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (id_bucket(F.col("doc_id"), modulus) != held_out).alias("train")).withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
 
 
 # Context-tree weighting
@@ -293,7 +293,7 @@ def frequent_counts(docs: DataFrame, words: np.ndarray) -> np.ndarray:
 
 
 def rare_sums(docs: DataFrame, words: np.ndarray, targets: int) -> DataFrame:
-    """Of the words outside the list: rows (0, doc_id, tokens with a count, sum of log10(count + 0.5)), and rows
+    """Of the words outside the list: rows (0, row, tokens with a count, sum of log10(count + 0.5)), and rows
     (1, null, distinct training words, 0), both to be summed. `targets` partitions count them."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(words)
@@ -313,8 +313,7 @@ def rare_sums(docs: DataFrame, words: np.ndarray, targets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in pairs], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in pairs], pa.binary()) for x in (h, doc, count))], schema=_BLOCKS)
 
         for batch in text_rounds(batches):
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            ids = np.array([-(1 << 63) if x is None else x for x in ids], dtype=np.int64)
+            ids = batch.column(0).to_numpy()
             sign = np.where(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), 1, -1)
             h, owner, _ = word_hashes(encoded(batch.column(1)))
             rare = ~_in_list(sent.value, h)[1]
@@ -359,18 +358,18 @@ def rare_sums(docs: DataFrame, words: np.ndarray, targets: int) -> DataFrame:
             doc, known, total = (np.concatenate(x) for x in zip(*parts, strict=True))
             docs_, at = np.unique(doc, return_inverse=True)
             n = len(docs_)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, 1]), pa.int32()), pa.array([*(None if x == -(1 << 63) else x for x in docs_.tolist()), None], pa.int64()), pa.array([*np.bincount(at, weights=known).astype(np.int64).tolist(), distinct], pa.int64()), pa.array([*np.bincount(at, weights=total).tolist(), 0.0], pa.float64())], schema=_SUMS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, 1]), pa.int32()), pa.array([*docs_.tolist(), None], pa.int64()), pa.array([*np.bincount(at, weights=known).astype(np.int64).tolist(), distinct], pa.int64()), pa.array([*np.bincount(at, weights=total).tolist(), 0.0], pa.float64())], schema=_SUMS)
 
-    sent_blocks = docs.select("doc_id", "text", "train").mapInArrow(send, "bucket int, words binary, docs binary, counts binary")
+    sent_blocks = docs.select("row", "text", "train").mapInArrow(send, "bucket int, words binary, docs binary, counts binary")
     settled = sent_blocks.repartition(targets, "bucket").mapInArrow(settle, "bucket int, docs binary, known binary, sums binary, distinct long")
-    return settled.repartition(targets, "bucket").mapInArrow(join, "kind int, doc_id long, n_known long, sum_log double")
+    return settled.repartition(targets, "bucket").mapInArrow(join, "kind int, row long, n_known long, sum_log double")
 
 
 # Both
 
 
 def _rare_pairs(depth: int, tables):
-    """(doc_id, code, how often) of the codes that the broadcast tables lack."""
+    """(row, code, how often) of the codes that the broadcast tables lack."""
 
     def run(batches):
         for batch in text_rounds(batches, most=200_000):
@@ -387,8 +386,8 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
 
     bits_per_byte is the code length of a text's bytes and its end byte, a byte.
 
-    Learns from the rows outside the held-out remainder. A null or empty text is one end token. Rows
-    that share a doc_id give one row with their mean. Without training rows every count is zero and
+    Learns from the rows outside the held-out remainder. A null or empty text is one end token. Every row
+    gives a row, scored by its own text, also where ids are missing or clash (rows are told apart by a 64-bit hash of id and text). Without training rows every count is zero and
     every decision has probability one half. An empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -410,7 +409,7 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
         words, counts, tables = sent.value
         logs = np.log10(counts + 0.5)
         for batch in text_rounds(batches):
-            texts = encoded(batch.column(1))
+            texts = encoded(batch.column(2))
             h, owner, _ = word_hashes(texts)
             place, listed = _in_list(words, h)
             at, own = place[listed], owner[listed]
@@ -419,29 +418,30 @@ def score(docs: DataFrame, modulus: int = 5, held_out: int = 1, depth: int = DEP
             total = np.add.reduceat(np.nan_to_num(look_up(tables, keys), nan=0.0), cuts[:-1])
             known = np.bincount(own, weights=counts[at] > 0, minlength=n) if len(at) else np.zeros(n)
             sums = np.bincount(own, weights=logs[at], minlength=n) if len(at) else np.zeros(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(total), pa.array(map(len, texts), pa.int64())], schema=_SCORES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(known.astype(np.int64)), pa.array(sums), pa.array(total), pa.array(map(len, texts), pa.int64())], schema=_SCORES)
 
-    scored = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, sum_log double, score double, n_bytes long"), "scored")
+    scored = materialize(docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, sum_log double, score double, n_bytes long"), "scored")
     trained = id_bucket(F.col("doc_id"), modulus) != held_out
     tokens, texts = scored.filter(trained).agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
     distinct = int((counts > 0).sum()) + (rare.filter("kind = 1").agg(F.sum("n_known")).first()[0] or 0) + (texts > 0)
-    rows = scored.select("doc_id", F.lit(1).alias("m"), "n_tokens", "n_known", "sum_log", "score", "n_bytes").unionByName(
-        rare.filter("kind = 0").select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "sum_log", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_bytes"))
-    )
+    rest = rare.filter("kind = 0").select("row", "n_known", "sum_log", F.lit(0.0).alias("score"))
     if not small:
-        pairs = docs.select("doc_id", "text").mapInArrow(_rare_pairs(depth, sent), "doc_id long, code long, n long").join(scored_codes, "code")
-        rows = rows.unionByName(pairs.groupBy("doc_id").agg(F.sum(F.col("n") * F.col("logp")).alias("score")).select("doc_id", F.lit(0).alias("m"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("sum_log"), "score", F.lit(0).cast("long").alias("n_bytes")))
-    m = F.sum("m")
-    summed = rows.groupBy("doc_id").agg(m.alias("m"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "sum_log", "score", "n_bytes")))
-    n_tokens = F.round(F.col("n_tokens") / F.col("m")).cast("long")
+        pairs = docs.select("row", "text").mapInArrow(_rare_pairs(depth, sent), "row long, code long, n long").join(scored_codes, "code")
+        rest = rest.unionByName(pairs.groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("score")).select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("sum_log"), "score"))
+    # Rows of one id and text were summed together: each has its share.
+    alike = scored.groupBy("row").agg(F.count(F.lit(1)).alias("m"))
+    rest = rest.groupBy("row").agg(*(F.sum(c).alias(f"more_{c}") for c in ("n_known", "sum_log", "score"))).join(alike, "row")
+    rest = materialize(rest, "rare-by-row")
+    rows = scored.join(rest, "row", "left")
+    known, logs, total = (F.col(c) + F.coalesce(F.col(f"more_{c}") / F.col("m"), F.lit(0.0)) for c in ("n_known", "sum_log", "score"))
     end = float(np.log10(texts + 0.5))
-    return summed.select(
-        "doc_id", (~trained).alias("held_out"), n_tokens.alias("n_tokens"),
-        (F.round(F.col("n_known") / F.col("m")).cast("long") + int(texts > 0)).alias("n_known"),
+    return rows.select(
+        "doc_id", (~trained).alias("held_out"), "n_tokens",
+        (F.round(known).cast("long") + int(texts > 0)).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("sum_log") / F.col("m") + F.lit(end) - n_tokens * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))).alias("base_score"),
-        (F.col("score") / F.col("m")).alias("score"),
-        (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + F.col("m"))).alias("bits_per_byte"),
+        (logs + F.lit(end) - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))).alias("base_score"),
+        total.alias("score"),
+        (-total / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 

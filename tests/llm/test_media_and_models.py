@@ -287,3 +287,19 @@ def test_language_model_rows(documents, texts, odd, empty):
     rows = {r["doc_id"]: r for r in lm.score(odd).collect()}
     assert len(rows) == 8 and rows[3]["n_tokens"] == rows[4]["n_tokens"] == 1 and rows[6]["n_tokens"] == 3
     assert lm.score(empty).count() == 0
+
+
+def test_rows_that_share_an_id_are_scored_each_by_its_own_text(spark):
+    """Repeated and missing ids with other texts, and rows that repeat: a row for a row, as if ids were distinct."""
+    texts = ["one text of words", "quite another text here", "one text of words", None, "a third without an id", "zzz qqq zzz", "zzz qqq zzz"]
+    ids = [1, 1, 1, 2, None, None, None]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    for most in (lm.MOST_CODES, 0):
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in lm.score(docs, most_codes=most).collect())
+        assert len(got) == len(texts)
+        # distinct ids that are in the same part of the corpus as the given ones
+        train = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5 != 1]
+        apart = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5 == 1]
+        own = [(apart if zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 else train).pop() for i in ids]
+        want = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(list(zip(own, texts, strict=True)), "doc_id long, text string"), most_codes=most).collect()}
+        assert got == sorted((i is None, i or 0, want[o]["n_tokens"], want[o]["n_known"], round(want[o]["base_score"], 9), round(want[o]["score"], 9)) for i, o in zip(ids, own, strict=True))

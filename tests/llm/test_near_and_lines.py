@@ -283,21 +283,24 @@ def plain_template(text, width=5):
 
 
 def holds(doc, item, width=5, coverage=0.8):
-    """Whether windows of the item's template stand in the document at one place, slots consistent at each alignment."""
+    """Whether windows of the item's template stand in the document at one place, slots consistent at each alignment;
+    those with fewer than two words that are no slots word for word."""
+    told = lambda t: sum(v is None for _, v in t) > 1
+    words = lambda t: [k if v is None else v for k, v in t]
     d, q = plain_template(doc), plain_template(item)
     cut = lambda t, i: tuple(k for k, _ in t[i : i + width])
     kinds = {cut(q, j) for j in range(len(q) - width + 1)}
     matched = {}
     for i in range(len(d) - width + 1):
         for j in range(len(q) - width + 1):
-            if cut(d, i) == cut(q, j):
+            if cut(d, i) == cut(q, j) if told(q[j : j + width]) else words(d[i : i + width]) == words(q[j : j + width]):
                 matched.setdefault(i - j, []).append((i, j))
     sound = {}
     for shift, pairs in matched.items():
         values = {}
         for i, j in pairs:
             for k in range(width):
-                if q[j + k][1] is not None:
+                if q[j + k][1] is not None and told(q[j : j + width]):
                     values.setdefault(q[j + k], set()).add(d[i + k][1])
         if all(len(v) == 1 for v in values.values()):
             sound[shift] = {cut(q, j) for _, j in pairs}
@@ -349,3 +352,36 @@ def test_an_item_without_an_id_is_looked_for(spark):
     docs = spark.createDataFrame([(1, f"and so {text} it was"), (2, "nothing of the sort")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, text)], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, None)]
+
+
+def test_items_of_slots_alone_match_as_they_are(spark):
+    """Runs of numbers or names fit many texts, so they must be found word for word."""
+    bench = spark.createDataFrame([(1, "12 15 18 21 24"), (2, "Alice Bob Carol David Erin"), (3, "Add 3 4 5 6 7 8 and then divide"), (4, "If Tom has 12 apples and buys 15 more how many apples has Tom")], "item_id long, text string")
+    docs = [
+        (10, "it measured 7 9 31 44 58 in the second trial"), (11, "present were Frank Grace Heidi Ivan Judy and others"), (12, "the row 12, 15, 18, 21, 24 goes on"), (13, "with Alice Bob Carol David Erin at home"),
+        (14, "counts of 1 2 3 4 5 6 7 and then"), (15, "Add 3 4 5 6 7 8 and then divide"), (16, "If Ann has 7 apples and buys 9 more how many apples has Ann"), (17, "if alice bob carol david erin come"),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (10**6, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, most_sent=most).collect()}
+        assert got == {(12, 1), (13, 2), (17, 2), (15, 3), (16, 4)}
+
+
+def test_a_line_of_very_many_documents_is_split(spark):
+    """The join that marks lines is dealt anew where one line has most rows: nothing behind it needs them together."""
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same line\n"), F.col("id").cast("string"), F.lit(" own\n"), (F.col("id") % 50).cast("string"))).toDF("doc_id", "text").repartition(12)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = linededup.drop_shared_lines(docs, min_docs=10)
+        rows = out.select("doc_id", "text", "n_dropped")
+        assert {r["text"] for r in rows.collect() if r["doc_id"] < 3} == {"0 own", "1 own", "2 own"}
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
