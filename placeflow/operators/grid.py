@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeflow.functions import geo
+from placeflow.operators import shared
 
 Box = tuple[float, float, float, float]
 SIZES = (0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 10.0, 15.0, 20.0, 50.0, 100.0)
@@ -103,6 +106,62 @@ def quadtree(points: DataFrame, row: Column, col: Column, bits: int = 12, depth:
     return cells.filter("depth = 0").unionByName(below.filter("depth > 0").join(parents, ["depth", "up_row", "up_col"], "left_semi").drop("up_row", "up_col"))
 
 
+@dataclass
+class Searched:
+    """What an adaptive search found: the places of its leaf cells, a key once, and all cells that it searched."""
+
+    places: DataFrame
+    cells: DataFrame
+
+    def report(self) -> DataFrame:
+        """One row: cells searched, split, saturated (split ones too) and leaf ones, the greatest depth, unique places."""
+        own = self.cells.agg(F.count(F.lit(1)).alias("cells_searched"), F.count_if("splits").alias("cells_subdivided"), F.count_if("saturated").alias("saturated_cells"), F.count_if(~F.col("splits")).alias("leaf_cells"), F.max("depth").alias("max_depth"))
+        return own.withColumn("unique_places", F.lit(self.places.count()))
+
+
+def search_table(search: Callable[[float, float, float, float], Iterable[tuple]], schema: str):
+    """A table function of (lat, lon, zoom, cell_km) from a user's search; rows get their `rank` in front."""
+
+    class Search:
+        def eval(self, lat, lon, zoom, km):
+            for rank, row in enumerate(search(lat, lon, zoom, km)):
+                yield (rank, *row)
+
+    return F.udtf(Search, returnType=f"rank int, {schema}")
+
+
+def adaptive_search(spark: SparkSession, box: Box, search: Callable[[float, float, float, float], Iterable[tuple]], schema: str, key: str = "place_id", saturation: int = 120, min_km: float = 0.2, base_zoom: int = 15, max_zoom: int = 19, max_depth: int = 6) -> Searched:
+    """A quadtree over a user's search: `search(lat, lon, zoom, cell_km)` gives a cell's places as tuples of `schema`.
+
+    Each level is one job: cells meet the search laterally, each in a task of its own, and what it gave is written. A cell with
+    `saturation` places or more is split unless it is at `max_depth` or its half would be under `min_km`; then, as in
+    any other leaf, its places stay. Of a key the first stays, by depth, cell and rank; places without a key all stay. The search
+    runs on the executors, once a cell unless a task is lost.
+    """
+    table, path = search_table(search, schema), shared.folder(spark, "adaptive")
+    parts = [F.lit(float(v)).alias(n) for v, n in zip(box, ("min_lat", "min_lon", "max_lat", "max_lon"), strict=True)]
+    frontier = spark.range(1).select(F.lit(0).alias("depth"), F.lit("").alias("cell"), F.struct(*parts).alias("box"))
+    found, cells = None, None
+    for depth in range(max_depth + 1):
+        level = frontier.withColumn("lat", (F.col("box.min_lat") + F.col("box.max_lat")) / 2).withColumn("lon", (F.col("box.min_lon") + F.col("box.max_lon")) / 2)
+        level = level.withColumn("km", geo.box_km(F.col("box"))).withColumn("zoom", geo.zoom_at(F.col("depth"), base_zoom, max_zoom).cast("double"))
+        level = shared.kept(level, f"{path}/cells-{depth}")
+        dealt = level.repartition(max(1, min(level.count(), 10_000)), "cell").select("depth", "cell", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "zoom", "km")
+        rows = dealt.lateralJoin(table(F.col("_lat").outer(), F.col("_lon").outer(), F.col("zoom").outer(), F.col("km").outer())).drop("_lat", "_lon", "zoom", "km")
+        rows = shared.kept(rows, f"{path}/found-{depth}")
+        counts = level.join(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell", "left").na.fill(0, ["n"])
+        full = F.col("n") >= saturation
+        counted = shared.kept(counts.withColumn("saturated", full).withColumn("splits", full & (F.col("depth") < max_depth) & (F.col("km") / 2 >= min_km)), f"{path}/counted-{depth}")
+        leaf = rows.join(counted.filter("NOT splits").select("cell"), "cell", "left_semi")
+        found, cells = (leaf, counted) if found is None else (found.unionByName(leaf), cells.unionByName(counted))
+        split = counted.filter("splits").select((F.col("depth") + 1).alias("depth"), "cell", F.posexplode(geo.quarters(F.col("box"))).alias("i", "box"))
+        frontier = split.select("depth", F.concat("cell", F.col("i").cast("string")).alias("cell"), "box")
+        if frontier.isEmpty():
+            break
+    first = Window.partitionBy(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), "cell", F.lit(" "), F.col("rank").cast("string")))).orderBy("depth", "cell", "rank")
+    return Searched(found.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn"), cells)
+
+
 def uncovered_cells(cells: DataFrame, places: DataFrame, radius_km: float, box: Box) -> DataFrame:
     """The cells with no place within `radius_km`: an equi-join on bands as wide as the radius, then the distance."""
     band_lat = radius_km / geo.KM_PER_DEGREE

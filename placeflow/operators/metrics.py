@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,34 +127,6 @@ def first_errors(requests: DataFrame, failed: Column, order: str, most: int = 5)
     return requests.filter(failed).orderBy(order).limit(most)
 
 
-def aimd_logs(logs: DataFrame, user: str, order: tuple[str, ...], blocked: Column, start: float = 1.5, least: float = 0.4, most: float = 8.0, down: float = 0.1, up: float = 2.0, needed: int = 5) -> DataFrame:
-    """(user, delay): `aimd` over each user's log in order, as a stream of sorted rows of which only two numbers are
-    held, so a log of any length takes no memory."""
-
-    def run(batches):
-        own, delay, streak = None, start, 0
-        for batch in batches:
-            done: list[tuple] = []
-            for who, hit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if own is None or own[0] != who:
-                    if own is not None:
-                        done.append((own[0], delay))
-                    own, delay, streak = (who,), start, 0
-                if hit:
-                    delay, streak = min(most, round(delay * up, 4)), 0
-                elif streak + 1 >= needed:
-                    delay, streak = max(least, round(delay - down, 4)), 0
-                else:
-                    streak += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], kind) for i, kind in enumerate((batch.schema.field(0).type, pa.float64()))], names=[user, "delay"])
-            kind = batch.schema.field(0).type
-        if own is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([own[0]], kind), pa.array([delay])], names=[user, "delay"])
-
-    sorted_ = logs.select(user, F.coalesce(blocked, F.lit(False)).alias("blocked"), *(F.col(c) for c in order)).repartition(user).sortWithinPartitions(user, *order)
-    return sorted_.select(user, "blocked").mapInArrow(run, f"{user} {dict(logs.dtypes)[user]}, delay double")
-
-
 def batch_parameters(sites: Column) -> Column:
     """struct<concurrency, timeout, max_pages> for a batch of so many sites."""
     n = F.greatest(F.lit(1), sites)

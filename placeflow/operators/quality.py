@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeflow.operators import parse, shared
@@ -42,15 +43,36 @@ def validate(places: DataFrame, strict: bool = False, min_results: int = 1) -> D
     return report
 
 
-def leaf_paths(entries: DataFrame, keep: tuple[str, ...], depth: int = 3) -> DataFrame:
-    """(keep..., path, value): every text and number within `depth` lists of `pd`; text values as they are, numbers as double."""
-    rows = entries.select(*keep, F.array().cast("array<int>").alias("path"), F.col("pd").alias("node"))
-    out = None
-    for _ in range(depth):
-        rows = rows.select(*keep, "path", F.posexplode(F.try_variant_get("node", "$", "array<variant>")).alias("i", "node")).select(*keep, F.concat("path", F.array("i")).alias("path"), "node")
-        leaf = rows.select(*keep, "path", F.schema_of_variant("node").alias("kind"), F.try_variant_get("node", "$", "string").alias("text"), F.try_variant_get("node", "$", "double").alias("number")).filter("kind IS NOT NULL AND kind NOT LIKE 'ARRAY%' AND kind NOT LIKE 'OBJECT%' AND kind != 'VOID'")
-        out = leaf if out is None else out.unionByName(leaf)
-    return out
+#: Lists inside each other that a search follows at most; JSON itself is parsed to that depth.
+DEEPEST = 1000
+
+
+def leaf_paths(entries: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(keep..., path, kind, text, number): every text, number and boolean of `pd`, however many lists deep; a recursive query
+    goes a list deeper each turn. Objects aren't entered. Text values are as they are, numbers as double."""
+    names = ", ".join(f"`{c}`" for c in keep)
+    walked = entries.sparkSession.sql(
+        f"""WITH RECURSIVE walk({names}, path, node) MAX RECURSION LEVEL {DEEPEST} AS (
+              SELECT {names}, CAST(array() AS array<int>), pd FROM {{entries}}
+              UNION ALL
+              SELECT {', '.join(f'walk.`{c}`' for c in keep)}, concat(path, array(child.pos)), child.value
+              FROM walk, LATERAL variant_explode(node) AS child WHERE startswith(schema_of_variant(node), 'ARRAY'))
+            SELECT {names}, path, schema_of_variant(node) AS kind, try_variant_get(node, '$', 'string') AS text, try_variant_get(node, '$', 'double') AS number FROM walk""",
+        entries=entries.select(*keep, "pd"),
+    )
+    return walked.filter("kind IS NOT NULL AND kind NOT LIKE 'ARRAY%' AND kind NOT LIKE 'OBJECT%' AND kind != 'VOID'")
+
+
+@contextmanager
+def unlimited(spark: SparkSession) -> Iterator[None]:
+    """Recursive queries that run inside may give any number of rows."""
+    name = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def rederive(entries: DataFrame, labels: DataFrame, entry: str = "entry", label: str = "label") -> DataFrame:
@@ -62,7 +84,8 @@ def rederive(entries: DataFrame, labels: DataFrame, entry: str = "entry", label:
     """
     spark = entries.sparkSession
     entries = shared.kept(entries.select(entry, "pd"), shared.folder(spark, "entries"))  # decoded once
-    leaves = shared.kept(leaf_paths(entries, (entry,)), shared.folder(spark, "leaves"))
+    with unlimited(spark):
+        leaves = shared.kept(leaf_paths(entries, (entry,)), shared.folder(spark, "leaves"))
     texts = leaves.filter("kind = 'STRING'").select(entry, "path", F.concat(F.lit("s:"), "text").alias("v"))
     numbers = leaves.filter("kind != 'STRING' AND kind != 'BOOLEAN' AND number IS NOT NULL").select(entry, "path", F.concat(F.lit("n:"), F.round(F.col("number") * 1e6).cast("long").cast("string")).alias("v"))
     known = labels.select(label, "field", F.coalesce(F.concat(F.lit("n:"), F.round(F.col("number") * 1e6).cast("long").cast("string")), F.concat(F.lit("s:"), "value")).alias("v"))

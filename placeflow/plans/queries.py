@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placeflow.api import Places
 from placeflow.functions import contacts, decode, geo, keys, pb
-from placeflow.operators import collect, discover, enrich, grid, locations, metrics, parse, quality, regions, shared
+from placeflow.operators import collect, discover, enrich, folds, grid, locations, metrics, parse, quality, regions, shared
 from placeflow.plans import bindings as b
 from placeflow.sources import recorded
 from placeflow.streaming import collect as streaming
@@ -561,9 +561,19 @@ def adaptive_timeout_p90(spark, sf_dir):
   s := CASE WHEN x.b OR a.s + 1 >= 5 THEN 0 ELSE a.s + 1 END, b := x.b), struct_pack(d := 1.5::DOUBLE, s := 0, b := false)).d AS delay FROM events GROUP BY user_id""")
 def aimd_delay(spark, sf_dir):
     """The delay of each user's request log, folded in time order."""
-    return metrics.aimd_logs(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), F.col("value") > 95)
+    return folds.aimd(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), F.col("value") > 95)
 
 
+@query("""WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS log, ts, event_id, value > 70 AS blocked, CASE WHEN value > 90 THEN (event_id % 13) * 0.53 END::DOUBLE AS wait FROM events)
+SELECT log, list_reduce(list(struct_pack(d := 0.0::DOUBLE, s := 0, b := blocked, w := wait) ORDER BY ts, event_id), lambda a, x: struct_pack(
+  d := CASE WHEN x.b THEN least(8.0, round(greatest(a.d * 2.0, coalesce(x.w, 0.0)), 4)) WHEN a.s + 1 >= 3 THEN greatest(0.4, round(a.d - 0.1, 4)) ELSE a.d END,
+  s := CASE WHEN x.b OR a.s + 1 >= 3 THEN 0 ELSE a.s + 1 END, b := x.b, w := x.w), struct_pack(d := 1.5::DOUBLE, s := 0, b := false, w := 0.0::DOUBLE)).d AS delay FROM e GROUP BY log""")
+def aimd_scan(spark, sf_dir):
+    """Logs of which one has a third of all events, waits that a block asks for included, composed over many tasks."""
+    log = table(spark, sf_dir, "events").withColumn("log", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    wait = F.when(F.col("value") > 90, F.col("event_id") % 13 * 0.53)
+    return folds.aimd(log, "log", ("ts", "event_id"), F.col("value") > 70, wait, folds.Control(needed=3))
+
 # Positional JSON
 
 
@@ -598,6 +608,19 @@ def drift_detect(spark, sf_dir):
     return quality.health(parse.parse_core(_entries(spark, sf_dir), moved, ("page",)), ("page",)).select("page", F.array_join("problems", ";").alias("problems"))
 
 
+@query(f"""WITH {PLACES} SELECT 'name' AS field, '3,0,1,0,0,2' AS path, count(*) AS votes FROM places
+UNION ALL SELECT 'longitude', '3,0,1,0,1,0,0', count(*) FROM places UNION ALL SELECT 'place_id', '2', count(*) FROM places""")
+def deep_paths(spark, sf_dir):
+    """Fields that stand six and seven lists deep, found from labels: one entry a place."""
+    known = places(spark, sf_dir)
+    text = F.concat(F.lit('[null,{"skipped":[1]},"'), F.col("place_id"), F.lit('",[[null,[[[0,false,"'), F.col("name"), F.lit('"],[['), (F.col("b") + 5000.5).cast("string"), F.lit("]]]]]]]"))
+    entries = known.select(F.col("c_custkey").alias("entry"), F.parse_json(text).alias("pd"))
+    values = [F.struct(F.lit(n).alias("field"), F.col(n).alias("value"), F.lit(None).cast("double").alias("number")) for n in ("name", "place_id")]
+    values.append(F.struct(F.lit("longitude").alias("field"), F.lit(None).cast("string").alias("value"), (F.col("b") + 5000.5).alias("number")))
+    labels = known.select(F.col("c_custkey").alias("label"), F.explode(F.array(*values)).alias("x")).select("label", "x.*")
+    return quality.rederive(entries, labels).select("field", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "votes")
+
+
 _FIELDS = {"name": "name", "place_id": "place_id", "hex_id": "'0x' || c_custkey", "address": "category || ' street'", "website": "'https://shop' || c_custkey || '.com'"}
 
 
