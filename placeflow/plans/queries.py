@@ -12,7 +12,7 @@ from placeflow.api import Places
 from placeflow.functions import contacts, decode, geo, keys, pb
 from placeflow.operators import collect, discover, enrich, folds, grid, locations, metrics, parse, quality, regions, shared
 from placeflow.plans import bindings as b
-from placeflow.sources import recorded
+from placeflow.sources import recorded, sink
 from placeflow.streaming import collect as streaming
 from placeflow.streaming import state
 from placeflow.plans.bindings import BOX, FENCE, GEOMETRY, HOLE, PLACES, SITES, occurrences, occurrences_sql, places, responses, sites, table
@@ -873,6 +873,17 @@ def contacts_by_model(spark, sf_dir):
     return rows.select("place_id", F.array_join("emails", ",").alias("emails"), F.array_join(F.map_keys("socials"), ",").alias("socials"))
 
 
+@query(f"""WITH {PLACES} SELECT name, place_id, round(lat, 6) AS lat, category, city, CASE WHEN city % 2 = 0 THEN 2 ELSE 3 END AS commit FROM places""")
+def collection_sink(spark, sf_dir):
+    """Places written as JSON lines with a manifest in one commit each: a first one that the second replaces, then a third."""
+    recorded.register(spark)
+    out = shared.folder(spark, "sink")
+    rows = places(spark, sf_dir).select("name", "place_id", F.round("lat", 6).alias("lat"), "category", "city")
+    for commit, mode, part in ((1, "append", rows), (2, "overwrite", rows.filter("city % 2 = 0")), (3, "append", rows.filter("city % 2 = 1"))):
+        part.withColumn("commit", F.lit(commit)).write.format("collection").mode(mode).option("query", "shops").save(out)
+    return sink.read(spark, out)
+
+
 @query(f"WITH {PLACES} SELECT name, CASE WHEN c_custkey % 25 <> 0 THEN place_id END AS place_id, round(c_custkey % 50 / 10.0, 1) AS rating, c_custkey % 300 AS reviews, 'https://shop' || c_custkey || '.com' AS website, category || ' street' AS address, CAST(a AS DOUBLE) AS lat FROM places")
 def csv_file(spark, sf_dir):
     """All parsed places through the CSV sink and back."""

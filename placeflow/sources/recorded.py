@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from placeflow.functions import decode
 from placeflow.operators import discover
@@ -93,14 +94,27 @@ def load_paths(text: str | None) -> dict[str, list[int]] | None:
 
 
 class _Files(DataSourceReader):
+    """A task a file. Folders named query=... and offset=... say what their files hold, so that the options of
+    those names keep other files closed; files elsewhere are opened and say it themselves."""
+
     def __init__(self, options: dict):
         self.root = options["path"]
+        self.wanted: dict[str, set] = {name: {options[name]} for name in ("query", "offset") if name in options}
 
-    def partitions(self) -> list[InputPartition]:
+    def files(self) -> list[tuple[int, str]]:
+        """(time, path) of the files that may be asked for, in that order."""
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(self.root)
-        return [InputPartition(f.path) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".json")]
+        found = [(f.mtime_ns or 0, f.path) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".json")]
+        return sorted(x for x in found if self._asked_for(x[1].removeprefix(root)))
+
+    def _asked_for(self, path: str) -> bool:
+        told = dict(part.split("=", 1) for part in path.split("/")[:-1] if "=" in part)
+        return all(name not in told or unquote(told[name]) in {str(v) for v in values} for name, values in self.wanted.items())
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(path) for _, path in self.files()]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
@@ -108,11 +122,53 @@ class _Files(DataSourceReader):
         system, _ = fs.FileSystem.from_uri(self.root)
         with system.open_input_file(partition.value) as f:
             saved = json.loads(f.read())
+        if any(str(saved.get(name, "")) not in {str(v) for v in values} for name, values in self.wanted.items()):
+            return
         yield str(saved.get("query", "")), int(saved.get("offset", 0)), float(saved.get("lat", 0.0)), float(saved.get("lon", 0.0)), str(saved.get("body", ""))
 
 
+class _Filtered(_Files):
+    """Takes filters from Spark, which then keeps what the last query of a frame asked for: a frame for each query."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute in (("query",), ("offset",)):
+                name = f.attribute[0]
+                self.wanted[name] = self.wanted.get(name, values) & values
+            yield f  # Spark looks at the rows too, as files elsewhere may hold anything
+
+
+class _NewFiles(DataSourceStreamReader):
+    """Files in the order of their times and paths; an offset is the last one read. A file must not appear with an earlier time
+    than one that was read."""
+
+    def __init__(self, options: dict):
+        self.own = _Files(options)
+
+    def initialOffset(self) -> dict:
+        return {"time": -1, "path": ""}
+
+    def latestOffset(self) -> dict:
+        found = self.own.files()
+        return {"time": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        low, high = (start["time"], start["path"]), (end["time"], end["path"])
+        return [InputPartition(x[1]) for x in self.own.files() if low < x <= high]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.own.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class RecordedSearch(DataSource):
-    """spark.read.format("recorded_search").load(uri): files {"query", "offset", "lat", "lon", "body"}, a task each."""
+    """spark.read.format("recorded_search").load(uri), or readStream: files {"query", "offset", "lat", "lon", "body"}, a task each.
+
+    Options: path; query, offset (files of others stay closed); filters ("true": a frame's own filters do the same; Spark keeps
+    what the last query of a frame asked for, so load a frame for each)."""
 
     @classmethod
     def name(cls) -> str:
@@ -122,8 +178,16 @@ class RecordedSearch(DataSource):
         return "query string, offset int, lat double, lon double, body string"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Files(self.options)
+        return _Filtered(self.options) if self.options.get("filters") == "true" else _Files(self.options)
+
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return _NewFiles(self.options)
 
 
 def register(spark: SparkSession) -> None:
+    """The sources `recorded_search` and `collection`."""
+    from placeflow.sources import sink
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordedSearch)
+    spark.dataSource.register(sink.Collection)
