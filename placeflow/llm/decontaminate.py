@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -58,9 +59,12 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         bare = word.strip(_EDGES)
         low = bare.lower()
-        number = low in NUMBERS or bool(_NUMBER.match(word.strip("()[]{}\"'!?,.;:"))) or bool(_QUANTITY.match(low) and _QUANTITY.match(low)[2] in UNITS)
-        name = len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and bare.isalpha() and low not in COMMON
-        row = (xxhash.xxh64_intdigest(low.encode(), _TOKEN_SEED), xxhash.xxh64_intdigest(low.encode(), _VALUE_SEED), NUMBER if number else NAME if name else LITERAL, word[-1] in ".!?:" or word.endswith(('."', ".'", '?"', '!"')), low in UNITS, not bare)
+        letters, data = bare.isalpha(), low.encode()
+        number = low in NUMBERS
+        if not (letters or number):  # the edges hold no digits, so a word of letters alone is no other number
+            number = bool(_NUMBER.match(word.strip("()[]{}\"'!?,.;:"))) or bool(_QUANTITY.match(low) and _QUANTITY.match(low)[2] in UNITS)
+        name = letters and len(bare) > 1 and bare[0].isupper() and bare[1:].islower() and low not in COMMON
+        row = (xxhash.xxh64_intdigest(data, _TOKEN_SEED), xxhash.xxh64_intdigest(data, _VALUE_SEED), NUMBER if number else NAME if name else LITERAL, word[-1] in ".!?:" or word.endswith(('."', ".'", '?"', '!"')), low in UNITS, not bare)
         self.new.append(row)
         self[word] = len(self)
         return self[word]
@@ -94,7 +98,7 @@ class Canonical:
         if len(self.words) > _MOST_WORDS:
             self.words = Words()
         split = [t.split() for t in texts]
-        place = np.fromiter((self.words[w] for ws in split for w in ws), dtype=np.int64, count=sum(map(len, split)))
+        place = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
         word, value, kind, ends, unit, empty = (c[place] for c in self.words.columns())
         sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         starts = np.concatenate(([0], np.cumsum(sizes)))
