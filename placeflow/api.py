@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placeflow.errors import ConfigurationError, NotFoundError
 from placeflow.functions import geo
 from placeflow.operators import collect, discover, enrich, grid, locations, metrics, parse, quality, shared
 
@@ -55,9 +56,9 @@ class Places:
         spark = self.tables["grid_pages"].sparkSession
         before = self.manifest(spark, out)
         if before is not None and not resume:
-            raise ValueError(f"{out} holds a collection; resume it or choose another folder")
+            raise ConfigurationError(f"{out} holds a collection; resume it or choose another folder")
         if before is not None and before["query"] != query:
-            raise ValueError(f"{out} was collected for {before['query']!r}")
+            raise ConfigurationError(f"{out} was collected for {before['query']!r}")
         run, done, seen, passes = 1, None, None, []
         if before is not None:
             run = before["run"] + 1
@@ -111,16 +112,23 @@ class Places:
         return spark.read.option("mergeSchema", "true").parquet(f"{out}/{table}").filter(F.col("run") <= last)
 
     def locate(self, location: str) -> Row:
-        """The recorded area of that name; ValueError if there is none."""
+        """The recorded area of that name; NotFoundError if there is none."""
         row = locations.resolve(self.tables["locations"].filter(F.col("query") == location)).first()
         if row is None:
-            raise ValueError(f"no area {location!r}")
+            raise NotFoundError(f"no area {location!r}", location=location)
         return row
 
     def get(self, place_id: str) -> DataFrame:
         """The details of a place; no row if none is recorded."""
         return parse.parse_details(self.tables["details"]).filter(F.col("place_id") == place_id)
 
+    def one(self, place_id: str) -> Row:
+        """The details of a place; NotFoundError if none is recorded."""
+        row = self.get(place_id).first()
+        if row is None:
+            raise NotFoundError(f"no place {place_id!r}", place_id=place_id)
+        return row
+
     def get_by_hex_id(self, hex_id: str) -> DataFrame:
         return parse.parse_details(self.tables["details"]).filter(F.col("hex_id") == hex_id)
 

@@ -81,6 +81,65 @@ def zoom_level_cells(spark: SparkSession, box: Box, low_km: float = 1.0, high_km
     return rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
 
 
+# The same for boxes of a table: column `box` with min_lat, min_lon, max_lat, max_lon.
+
+
+def boxes_of(places: DataFrame, *by: str) -> DataFrame:
+    """(by..., box): the box around each group's places; places without coordinates have no part in it."""
+    sides = (F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"))
+    rows = places.dropna(subset=["lat", "lon"]).groupBy(*by).agg(*sides)
+    return rows.select(*by, F.struct("min_lat", "min_lon", "max_lat", "max_lon").alias("box"))
+
+
+def _steps_of(box: Column, km: Column) -> tuple[Column, Column]:
+    narrow = F.greatest(F.cos(F.radians((box["min_lat"] + box["max_lat"]) / 2)), F.lit(1e-6))
+    return km / F.lit(geo.KM_PER_DEGREE), km / (F.lit(geo.KM_PER_DEGREE) * narrow)
+
+
+def _centres_of(low: Column, high: Column, step: Column) -> Column:
+    """`_centres` as a column."""
+    n = F.greatest(F.ceil((high - low) / step - 0.5), F.lit(0))
+    return F.when((n > 0) & (low + (n - 0.5) * step >= high), n - 1).when(low + (n + 0.5) * step < high, n + 1).otherwise(n).cast("long")
+
+
+def cells_of(boxes: DataFrame, km: Column) -> DataFrame:
+    """The boxes' rows with i, j, lat, lon: a row for each cell centre; the box's centre where no cell fits. Boxes are dealt
+    out before they are filled."""
+    box, (dlat, dlon) = F.col("box"), _steps_of(F.col("box"), km)
+    rows, columns = _centres_of(box["min_lat"], box["max_lat"], dlat), _centres_of(box["min_lon"], box["max_lon"], dlon)
+    none = (rows == 0) | (columns == 0)
+    own = boxes.withColumn("_none", none).withColumn("_n", F.when(none, 1).otherwise(rows * columns)).withColumn("_m", F.when(none, 1).otherwise(columns))
+    own = own.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1)))
+    own = own.withColumn("i", F.floor(F.col("_k") / F.col("_m")).cast("long")).withColumn("j", F.pmod("_k", "_m").cast("long"))
+    lat = F.when(F.col("_none"), (box["min_lat"] + box["max_lat"]) / 2).otherwise(box["min_lat"] + (F.col("i") + 0.5) * dlat)
+    lon = F.when(F.col("_none"), (box["min_lon"] + box["max_lon"]) / 2).otherwise(box["min_lon"] + (F.col("j") + 0.5) * dlon)
+    return own.withColumn("lat", lat).withColumn("lon", lon).drop("_none", "_n", "_m", "_k")
+
+
+def zoom_cells_of(boxes: DataFrame, by: tuple[str, ...], low_km: float = 1.0, high_km: float = 10.0, levels: int = 3) -> DataFrame:
+    """`cells_of` on log-spaced sizes, fine to coarse, with `level` and `cell_km`; a centre of a box (to six decimals) counts
+    once, at its first level."""
+    share = [level / (levels - 1) if levels > 1 else 0.0 for level in range(levels)]
+    sizes = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(math.exp(math.log(low_km) + x * (math.log(high_km) - math.log(low_km)))).alias("cell_km")) for k, x in enumerate(share)))
+    cells = cells_of(boxes.withColumn("_s", F.explode(sizes)).select("*", "_s.*").drop("_s"), F.col("cell_km"))
+    first = Window.partitionBy(*by, F.round("lat", 6), F.round("lon", 6)).orderBy("level", "i", "j")
+    return cells.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+
+
+def estimates_of(boxes: DataFrame, target: int = 100) -> DataFrame:
+    """The boxes' rows with km, cells and chosen: each size of the ladder; the smallest of at most `target` cells is chosen."""
+    box = F.col("box")
+
+    def cells(km: Column) -> Column:
+        dlat, dlon = _steps_of(box, km)
+        return (F.ceil((box["max_lat"] - box["min_lat"]) / dlat) * F.ceil((box["max_lon"] - box["min_lon"]) / dlon)).cast("long")
+
+    sizes = F.array(*map(F.lit, SIZES))
+    smallest = F.array_min(F.filter(sizes, lambda km: cells(km) <= target))
+    rows = boxes.withColumn("_smallest", smallest).withColumn("km", F.explode(sizes)).withColumn("cells", cells(F.col("km")))
+    return rows.withColumn("chosen", F.col("km").eqNullSafe(F.col("_smallest"))).drop("_smallest")
+
+
 def assign_cells(places: DataFrame, box: Box, cell_km: float) -> DataFrame:
     """Each place with the indices of its cell; arithmetic, no join."""
     dlat, dlon = steps(box, cell_km)

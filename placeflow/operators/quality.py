@@ -8,16 +8,13 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placeflow.errors import DriftError
 from placeflow.operators import parse, shared
 
 #: The least coverage of a healthy batch.
 LEAST = {"name": 0.90, "place_id": 0.90, "coords": 0.80}
 
 
-class DriftError(RuntimeError):
-    """A batch failed its health check."""
-
-
 def health(places: DataFrame, by: tuple[str, ...] = (), min_results: int = 1) -> DataFrame:
     """(by..., total, with_name, with_place_id, with_coords, coverages, problems, healthy), a row for each batch."""
     def has(c: str) -> Column:

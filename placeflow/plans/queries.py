@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placeflow import sql
 from placeflow.api import Places
 from placeflow.functions import contacts, decode, geo, keys, pb
 from placeflow.operators import collect, discover, enrich, folds, grid, locations, metrics, parse, quality, regions, shared
@@ -37,24 +38,58 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 _DLAT = "2.0 / 111.32"
 _DLON = "2.0 / (111.32 * cos(radians(36.2)))"
 _GRID = f"SELECT i, j, 36.0 + (i + 0.5) * {_DLAT} AS lat, -87.0 + (j + 0.5) * {_DLON} AS lon FROM (SELECT unnest(range(400)) AS i) CROSS JOIN (SELECT unnest(range(400)) AS j) WHERE 36.0 + (i + 0.5) * {_DLAT} < 36.4 AND -87.0 + (j + 0.5) * {_DLON} < -86.6"
+_HAVERSINE = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
+
 
+_BOXES = f"""{PLACES}, bx AS (SELECT city, min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM places GROUP BY city)"""
+_CITY_CELLS = """{name} AS (SELECT * EXCLUDE (lat, lon), lat, lon FROM (
+  SELECT *, s + (i + 0.5) * dlat AS lat, w + (j + 0.5) * dlon AS lon FROM (SELECT *, {km} / 111.32 AS dlat, {km} / (111.32 * greatest(cos(radians((s + n) / 2)), 1e-6)) AS dlon FROM {boxes})
+  CROSS JOIN (SELECT unnest(range(60)) AS i) CROSS JOIN (SELECT unnest(range(60)) AS j)) WHERE lat < n AND lon < e)"""
 
-@query(f"SELECT i, j, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ({_GRID})")
+
+@query(f"""WITH {_BOXES}, {_CITY_CELLS.format(name='c', km='2.0', boxes='bx')}
+SELECT city, i, j, round(lat, 6) AS lat, round(lon, 6) AS lon FROM c UNION ALL SELECT city, 0, 0, round((s + n) / 2, 6), round((w + e) / 2, 6) FROM bx WHERE city NOT IN (SELECT city FROM c)""")
 def cells_grid(spark, sf_dir):
-    return grid.generate_cells(spark, BOX, 2.0).select("i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    """The grid over each city's own box."""
+    cells = grid.cells_of(grid.boxes_of(places(spark, sf_dir), "city"), F.lit(2.0))
+    return cells.select("city", "i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query("""WITH s AS (SELECT lvl, exp(ln(1.0) + lvl / 2.0 * (ln(10.0) - ln(1.0))) AS km FROM (SELECT unnest(range(3)) AS lvl)),
-c AS (SELECT lvl, i, j, 36.0 + (i + 0.5) * km / 111.32 AS lat, -87.0 + (j + 0.5) * km / (111.32 * cos(radians(36.2))) AS lon FROM s CROSS JOIN (SELECT unnest(range(60)) AS i) CROSS JOIN (SELECT unnest(range(60)) AS j)),
-k AS (SELECT *, row_number() OVER (PARTITION BY round(lat, 6), round(lon, 6) ORDER BY lvl, i, j) AS rn FROM c WHERE lat < 36.4 AND lon < -86.6)
-SELECT CAST(lvl AS INTEGER) AS level, count(*) AS n FROM k WHERE rn = 1 GROUP BY lvl""")
+@query(f"""WITH {_BOXES}, z AS (SELECT *, exp(ln(1.0) + lvl / 2.0 * (ln(10.0) - ln(1.0))) AS km FROM bx CROSS JOIN (SELECT unnest(range(3)) AS lvl)), {_CITY_CELLS.format(name='c', km='km', boxes='z')},
+u AS (SELECT city, lvl, i, j, lat, lon FROM c UNION ALL SELECT city, lvl, 0, 0, (s + n) / 2, (w + e) / 2 FROM z WHERE (city, lvl) NOT IN (SELECT (city, lvl) FROM c)),
+k AS (SELECT *, row_number() OVER (PARTITION BY city, round(lat, 6), round(lon, 6) ORDER BY lvl, i, j) AS rn FROM u)
+SELECT city, CAST(lvl AS INTEGER) AS level, count(*) AS n FROM k WHERE rn = 1 GROUP BY city, lvl""")
 def cells_zoom_levels(spark, sf_dir):
-    return grid.zoom_level_cells(spark, BOX).groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+    return grid.zoom_cells_of(grid.boxes_of(places(spark, sf_dir), "city"), ("city",)).groupBy("city", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT km, CAST(ceil(0.4 / (km / 111.32)) * ceil(0.4 / (km / (111.32 * cos(radians(36.2))))) AS BIGINT) AS cells, km = 5.0 AS chosen FROM (SELECT unnest([0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 10.0, 15.0, 20.0, 50.0, 100.0])::DOUBLE AS km)")
+@query(f"""WITH {_BOXES}, k AS (SELECT city, km, CAST(ceil((n - s) / (km / 111.32)) * ceil((e - w) / (km / (111.32 * greatest(cos(radians((s + n) / 2)), 1e-6)))) AS BIGINT) AS cells
+  FROM bx CROSS JOIN (SELECT unnest([0.5, 1.0, 2.0, 3.0, 5.0, 8.0, 10.0, 15.0, 20.0, 50.0, 100.0])::DOUBLE AS km))
+SELECT *, km IS NOT DISTINCT FROM min(km) FILTER (WHERE cells <= 100) OVER (PARTITION BY city) AS chosen FROM k""")
 def cell_estimate_ladder(spark, sf_dir):
-    return grid.estimates(spark, BOX, 100)
+    return grid.estimates_of(grid.boxes_of(places(spark, sf_dir), "city"), 100).select("city", "km", "cells", "chosen")
+
+
+@query(f"""WITH {PLACES} SELECT city, printf('%.6f,%.6f', round(lat, 1), round(lon, 1)) AS cell, count(*) AS n, round(sum({_HAVERSINE.format(lat1='lat', lon1='lon', lat2='36.2', lon2='-86.8')}), 1) AS metres, count(*) FILTER (WHERE lat BETWEEN 36.1 AND 36.3 AND lon BETWEEN -86.9 AND -86.7) AS inside,
+  (SELECT count(*) FROM ({_GRID})) AS cells, round(5 / 2.0 * sqrt(2) * 1000 * 1.5, 3) AS radius FROM places GROUP BY ALL""")
+def sql_functions(spark, sf_dir):
+    """The library called from SQL text: scalar functions and a table function."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT city, pf_cell_key(round(lat, 1), round(lon, 1)) AS cell, count(*) AS n, round(sum(pf_haversine(lat, lon, 36.2D, -86.8D)), 1) AS metres,
+                  count_if(pf_in_box(lat, lon, 36.1D, -86.9D, 36.3D, -86.7D)) AS inside, (SELECT count(*) FROM pf_cells(36.0D, -87.0D, 36.4D, -86.6D, 2.0D)) AS cells, round(pf_accept_radius(5.0D), 3) AS radius
+           FROM {places} GROUP BY ALL""",
+        places=places(spark, sf_dir),
+    )
+
+
+@query(f"""SELECT c_custkey, lower(replace(CASE WHEN c_custkey % 3 = 0 THEN c_name || ' STRASSE' WHEN c_custkey % 3 = 1 THEN replace(c_name, 'Customer', 'Fußball') || ' Straße' ELSE c_name || ' ΣΟΦΟΣ' END, 'ß', 'ss')) || '|' || lower(c_mktsegment) || '|1.5|2.5' AS key FROM customer""".replace("lower(replace(CASE", "replace(lower(replace(CASE").replace("'ß', 'ss')) ||", "'ß', 'ss')), 'ς', 'σ') ||"))
+def folded_keys(spark, sf_dir):
+    """Keys of places without ids: sharp s and ss, and both sigmas, are one."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    name = F.when(k % 3 == 0, F.concat(name, F.lit(" STRASSE"))).when(k % 3 == 1, F.concat(F.replace(name, F.lit("Customer"), F.lit("Fußball")), F.lit(" Straße"))).otherwise(F.concat(name, F.lit(" ΣΟΦΟΣ")))
+    empty = F.lit("")
+    return table(spark, sf_dir, "customer").select("c_custkey", keys.dedup_key(empty, empty, empty, name, F.col("c_mktsegment"), F.lit(1.5), F.lit(2.5)).alias("key"))
 
 
 @query(f"WITH {PLACES} SELECT city, count(*) AS n FROM places WHERE lat BETWEEN 36.1 AND 36.3 AND lon BETWEEN -86.9 AND -86.7 GROUP BY city")
@@ -89,7 +124,6 @@ def polygon_join_left(spark, sf_dir):
     return regions.join(places(spark, sf_dir), b.areas(spark, sf_dir), 0.1, how="left").select("c_custkey", "region")
 
 
-_HAVERSINE = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))))"
 
 
 @query(f"WITH {PLACES}, d AS (SELECT place_id, {_HAVERSINE.format(lat1='lat', lon1='lon', lat2='36.2', lon2='-86.8')} AS m FROM places) SELECT place_id, round(m, 1) AS metres, m <= 20 / 2.0 * sqrt(2) * 1000 * 1.5 AS kept FROM d")
@@ -602,10 +636,12 @@ def parse_health(spark, sf_dir):
     return quality.health(places_, ("page",)).select("page", "total", "with_place_id", "healthy")
 
 
-@query(f"WITH {PLACES} SELECT c_custkey // 20 AS page, 'low name coverage;low place_id coverage;low coords coverage' AS problems FROM places GROUP BY 1")
+@query(f"WITH {PLACES} SELECT c_custkey // 20 AS page, CASE WHEN c_custkey // 20 % 3 = 0 THEN 'low name coverage;low place_id coverage;low coords coverage' ELSE '' END AS problems FROM places GROUP BY 1, 2")
 def drift_detect(spark, sf_dir):
-    moved = {k: [40 + i] for i, k in enumerate(parse.CORE_PATHS)}
-    return quality.health(parse.parse_core(_entries(spark, sf_dir), moved, ("page",)), ("page",)).select("page", F.array_join("problems", ";").alias("problems"))
+    """Every third page has another layout than the parser knows."""
+    moved = parse.place_entries(b.moved_responses(spark, sf_dir).filter("page % 3 = 0")).select("page", "pd")
+    entries = _entries(spark, sf_dir).filter("page % 3 <> 0").select("page", "pd").unionByName(moved)
+    return quality.health(parse.parse_core(entries, keep=("page",)), ("page",)).select("page", F.array_join("problems", ";").alias("problems"))
 
 
 @query(f"""WITH {PLACES} SELECT 'name' AS field, '3,0,1,0,0,2' AS path, count(*) AS votes FROM places
@@ -663,16 +699,20 @@ def _flat(m: Column, sep: str) -> Column:
     return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string") if sep == "" else F.array_join(e["value"], sep)))), ";")
 
 
-_HOURS = _slot_json({4: "[1,null,\"$$\",[\"http://r\"],null,null,null,4.5,\"17\"]", 116: "2", 175: "[null,null,null,[3,0,null,\"2\",10]]", 203: '[[["Mon",1,null,[["9-12"],["13-17"]]],["Tue",2,null,[["9-17"]]],["Mon",1,null,[["20-22"]]]]]', 100: '[null,[["Service",[["Delivery",true],["Pickup",0]]],["Credit cards",["Visa","MC"]]]]'}, 204)
+_HOURS = _slot_json({4: '[1,null,"$$",["http://r"],null,null,null,@RATING,"@COUNT"]', 116: "2", 175: '[null,null,null,[@ONES,0,null,"2",10]]', 203: '[[["Mon",1,null,[["9-12"],["13-@CLOSE"]]],["Tue",2,null,[["9-@DAY"]]],["Mon",1,null,[["20-22"]]]]]', 100: '[null,[["Service",[["Delivery",true],["Pickup",0]]],["Credit cards",["@CARD","MC"]]]]'}, 204)
 
 
-@query("SELECT r_regionkey, 'Mon:9-12|13-17|20-22;Tue:9-17' AS hours, 4.5::DOUBLE AS rating, 17::BIGINT AS review_count, '1:3;4:2;5:10' AS histogram, 'Visa,MC' AS cards FROM region")
+@query("SELECT c_custkey, 'Mon:9-12|13-' || c_custkey || '|20-22;Tue:9-' || c_custkey % 9 AS hours, round(c_custkey % 50 / 10.0, 1)::DOUBLE AS rating, c_custkey + 1 AS review_count, '1:' || (c_custkey % 8 + 1) || ';4:2;5:10' AS histogram, c_mktsegment || ',MC' AS cards FROM customer")
 def parse_hours_rating(spark, sf_dir):
     pd = F.col("pd")
-    rows = table(spark, sf_dir, "region").select("r_regionkey", F.parse_json(F.lit(_HOURS)).alias("pd"))
+    k = F.col("c_custkey")
+    filled = F.lit(_HOURS)
+    for name, value in (("CLOSE", k), ("DAY", k % 9), ("RATING", F.round(k % 50 / 10.0, 1)), ("COUNT", k + 1), ("ONES", k % 8 + 1), ("CARD", F.col("c_mktsegment"))):
+        filled = F.replace(filled, F.lit(f"@{name}"), value.cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.parse_json(filled).alias("pd"))
     rating, about = parse.rating(pd), parse.about(pd)
 
-    return rows.select("r_regionkey", _flat(parse.hours(pd), "|").alias("hours"), rating["rating"].alias("rating"), rating["review_count"].alias("review_count"), _flat(rating["reviews_per_rating"], "").alias("histogram"), F.array_join(about["credit_cards"], ",").alias("cards"))
+    return rows.select("c_custkey", _flat(parse.hours(pd), "|").alias("hours"), F.round(rating["rating"], 1).alias("rating"), rating["review_count"].alias("review_count"), _flat(rating["reviews_per_rating"], "").alias("histogram"), F.array_join(about["credit_cards"], ",").alias("cards"))
 
 
 def _review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -722,11 +762,13 @@ def pb_decode(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(fields, ";").alias("fields"))
 
 
-@query("SELECT c_custkey, '!1s{query}!2d{lng}!7i20' AS template, '!1snew!2d-97!7i20' AS rendered FROM customer")
+@query("""SELECT c_custkey, '!1s{query}!2d' || CASE WHEN c_custkey % 4 = 0 THEN '-' || c_custkey ELSE '{lng}' END || '!7i' || c_custkey % 7 AS template,
+       '!1s' || c_name || '!2d' || CASE WHEN c_custkey % 4 = 0 THEN '-' || c_custkey ELSE '' || c_nationkey END || '!7i' || c_custkey % 7 AS rendered FROM customer""")
 def pb_template(spark, sf_dir):
     k = F.col("c_custkey").cast("string")
-    made = pb.template(F.concat(F.lit("!1s"), k, F.lit("!2d-"), k, F.lit("!7i20")), query=k, lng=F.concat(F.lit("-"), k))
-    return table(spark, sf_dir, "customer").select("c_custkey", made.alias("template"), pb.render(made, query=F.lit("new"), lng=F.lit("-97")).alias("rendered"))
+    lng = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("-"), k))  # every fourth has no longitude to put in
+    made = pb.template(F.concat(F.lit("!1s"), k, F.lit("!2d-"), k, F.lit("!7i"), (F.col("c_custkey") % 7).cast("string")), query=k, lng=lng)
+    return table(spark, sf_dir, "customer").select("c_custkey", made.alias("template"), pb.render(made, query=F.col("c_name"), lng=F.col("c_nationkey")).alias("rendered"))
 
 
 @query(f"""WITH {SITES} SELECT p.name, s.place_id, 'info@shop' || s.c_custkey || '.com; sales+x@shop' || s.c_custkey || '.com; a' || s.c_custkey || '@gmail.com; b@other' || s.c_custkey || '.org' AS emails, 'facebook: https://www.facebook.com/shop' || s.c_custkey || '; twitter: https://x.com/shop' || s.c_custkey AS socials FROM sites s JOIN places p USING (place_id)""")

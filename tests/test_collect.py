@@ -156,3 +156,53 @@ def test_command_line_formats_and_areas(spark, world, tmp_path):
     assert "k1 | 4.5 | Shop" in {r["value"] for r in spark.read.text(f"file://{tmp_path}/text").collect()}
     with pytest.raises(ValueError):
         main(["grid", "--tables", f"file://{tmp_path}/t", "--out", f"file://{tmp_path}/x", "--location", "Nowhere"])
+
+
+def test_cells_of_a_level_are_read_in_turn(spark):
+    """Overlapping cells at random against a plain reader: what is new depends on how far earlier cells were read."""
+    import random
+
+    rng, settings = random.Random(5), collect.Settings(cell_km=2.0, max_depth=0, full_page=3, max_results=10_000)
+    cells = sorted((key_of(spark, c["lat"], c["lon"]), c["lat"], c["lon"]) for c in collect.seeds(spark, BOX, None, settings).collect())
+    rows = []
+    for at, (cell, lat, lon) in enumerate(cells):
+        for page in range(rng.randrange(1, 6)):
+            error = "TimeoutError" if rng.random() < 0.05 else None
+            for rank in range(3 if rng.random() < 0.95 else 2):
+                far = rng.random() < 0.1
+                rows.append((cell, page, rank, f"k{max(0, at + rng.randrange(-4, 3)) * 5 + rng.randrange(5)}", lat + (5 if far else 0), lon, error))
+    seen, want = set(), {}
+    for cell, lat, _ in cells:
+        pages, kept, requests, failed = {}, 0, 0, False
+        for r in rows:
+            if r[0] == cell:
+                pages.setdefault(r[1], []).append(r)
+        for page in sorted(pages):
+            if pages[page][0][6]:
+                failed = True
+                break
+            requests += 1
+            new = {r[3] for r in pages[page] if r[4] == lat} - seen
+            seen |= new
+            kept += len(new)
+            if len(pages[page]) < 3 or not new:
+                break
+        want[cell] = (requests, kept, failed)
+    df = spark.createDataFrame(rows, SCHEMA + ", error string")
+    got = {r["cell_key"]: (r["requests"], r["kept"], r["failed"]) for r in collect.collect(df, BOX, settings=settings).cells.collect()}
+    assert got == want and any(f for _, _, f in want.values())
+    alone = collect.collect(df, BOX, settings=collect.Settings(**(settings.__dict__ | {"across_cells": False}))).counters().first()
+    assert alone["requests"] > sum(n for n, _, _ in want.values())
+
+
+def test_refused_cells_are_read_again(spark, tmp_path):
+    settings = collect.Settings(cell_km=10.0, max_depth=0)
+    cell = collect.seeds(spark, BOX, None, settings).first()
+    root = key_of(spark, cell["lat"], cell["lon"])
+    refused = spark.createDataFrame([(root, 0, 0, None, None, None, "HTTP 429")], SCHEMA + ", error string")
+    out = f"file://{tmp_path}/c"
+    first = Places({"grid_pages": refused}).collect(out, "q", BOX, settings=settings).first()
+    assert (first["cells_failed"], first["cells_completed"], first["status"], first["retained"]) == (1, 0, "incomplete", 0) and "cells failed" in first["reasons"]
+    answered = spark.createDataFrame([(root, 0, 0, "a", cell["lat"], cell["lon"], None)], SCHEMA + ", error string")
+    again = Places({"grid_pages": answered}).collect(out, "q", BOX, settings=settings, resume=True).first()
+    assert (again["retained"], again["requests"]) == (1, 1)

@@ -116,3 +116,21 @@ def test_aimd(spark):
 def test_batch_parameters(spark):
     assert tuple(one(spark, metrics.batch_parameters(F.lit(40)))) == (4, 12.0, 3)
     assert tuple(one(spark, metrics.batch_parameters(F.lit(5000)))) == (24, 5.0, 1)
+
+
+def test_case_folding(spark):
+    words = ["STRASSE", "Straße", "ΣΟΦΟΣ", "σοφος", "ſtop", "Plain", "É", "", None, "ﬁne", "İ"]
+    got = [r["k"] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").orderBy("i").select(keys.fold(F.col("w")).alias("k")).collect()]
+    assert got == [None if w is None else w.casefold() for w in words]
+
+
+def test_errors_and_exports():
+    import placeflow
+    from placeflow import errors
+
+    assert placeflow.Places.__name__ == "Places" and placeflow.Settings().page_cap == 6
+    assert {type(errors.of(n)).__name__ for n in ("HTTP 429", "ParseError", "TimeoutError", "ConnectError", "ConsentError", "Odd", None)} == {"RateLimitError", "ParseError", "RequestTimeoutError", "NetworkError", "AuthError", "PlacesError"}
+    assert errors.of("429", "slow down", retry_after=3.0).details == {"retry_after": 3.0}
+    assert issubclass(errors.DriftError, placeflow.PlacesError) and issubclass(errors.NotFoundError, ValueError)
+    with pytest.raises(AttributeError):
+        _ = placeflow.nothing
