@@ -39,8 +39,8 @@ ROLL = 2_000_000
 ROUND = 262_144
 BLOCK = 8
 #: Words that an encoder remembers before it forgets all, and characters of a text that it takes at a time.
-MOST_WORDS = 500_000
-LONGEST = 2_000_000
+MOST_WORDS = 250_000
+LONGEST = 500_000
 
 #: Texts that hold anything else go to the tokenizer itself.
 _OTHER = re.compile(r"[^\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]")
