@@ -221,24 +221,52 @@ def adaptive_search(spark: SparkSession, box: Box, search: Callable[[float, floa
     return Searched(found.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn"), cells)
 
 
+#: Bands of the occupancy index in a radius.
+FINE = 4
+
+
+def occupied_bands(places: DataFrame, step_lat: float, step_lon: float) -> DataFrame:
+    """(row, col): the bands of the grid of these steps that hold a place: as many as the area has, however many places there
+    are, and combined where places are read."""
+    return places.select(F.floor(F.col("lat") / step_lat).cast("long").alias("row"), F.floor(F.col("lon") / step_lon).cast("long").alias("col")).dropna().distinct()
+
+
 def uncovered_cells(cells: DataFrame, places: DataFrame, radius_km: float, box: Box) -> DataFrame:
-    """The cells with no place within `radius_km`: an equi-join on bands as wide as the radius, then the distance."""
+    """The cells with no place within `radius_km` of their centre.
+
+    Places are first reduced to the fine bands that hold one. Bands that lie within the radius of a centre cover its cell
+    at once, those beyond it can't; only for cells with an occupied band across the circle and none inside it are the places of
+    those bands looked at, by an equi-join on the band.
+    """
     band_lat = radius_km / geo.KM_PER_DEGREE
     narrow = max(min(math.cos(math.radians(box[0])), math.cos(math.radians(box[2]))) * 0.99, 1e-6)
-    band_lon = band_lat / narrow
-
-    def band(value: Column, step: float) -> Column:
-        return F.floor(value / step).cast("long")
-
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = (
-        places.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).dropna()
-        .withColumn("d_lat", F.explode(near)).withColumn("d_lon", F.explode(near))
-        .select("p_lat", "p_lon", (band(F.col("p_lat"), band_lat) + F.col("d_lat")).alias("b_lat"), (band(F.col("p_lon"), band_lon) + F.col("d_lon")).alias("b_lon"))
-    )
-    keyed = cells.withColumn("c_lat", band(F.col("lat"), band_lat)).withColumn("c_lon", band(F.col("lon"), band_lon))
-    close = geo.haversine(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= radius_km * 1000
-    return keyed.join(spread, (F.col("c_lat") == F.col("b_lat")) & (F.col("c_lon") == F.col("b_lon")) & close, "left_anti").drop("c_lat", "c_lon")
+    step_lat, step_lon = band_lat / FINE, band_lat / narrow / FINE
+    metres = radius_km * 1000
+    row, col = F.col("row"), F.col("col")
+    lat, lon = F.col("lat"), F.col("lon")
+
+    def away(side_lat: Column, side_lon: Column) -> Column:
+        return geo.haversine(lat, lon, side_lat, side_lon)
+
+    def reach(value: Column, step: float) -> Column:
+        own = F.floor(value / step).cast("long")
+        return F.explode(F.sequence(own - FINE - 1, own + FINE + 1))
+
+    south, west = row * step_lat, col * step_lon
+    north, east = south + step_lat, west + step_lon
+    nearest = away(F.least(F.greatest(lat, south), north), F.least(F.greatest(lon, west), east))
+    farthest = F.greatest(*(away(y, x) for y in (south, north) for x in (west, east)))
+    occupied = occupied_bands(places, step_lat, step_lon)
+    bands = cells.select("lat", "lon").withColumn("row", reach(lat, step_lat)).withColumn("col", reach(lon, step_lon))
+    bands = bands.filter(nearest <= metres * 1.01).join(occupied, ["row", "col"])  # a margin for the sphere on either side
+    sure = F.max(farthest <= metres * 0.99).over(Window.partitionBy("lat", "lon"))
+    met = bands.withColumn("_sure", sure)
+    open_ = met.filter("NOT _sure").select("row", "col", "lat", "lon")
+    spots = places.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).dropna()
+    spots = spots.withColumn("row", F.floor(F.col("p_lat") / step_lat).cast("long")).withColumn("col", F.floor(F.col("p_lon") / step_lon).cast("long"))
+    hit = open_.join(spots, ["row", "col"]).filter(away(F.col("p_lat"), F.col("p_lon")) <= metres).select("lat", "lon")
+    covered = met.filter("_sure").select("lat", "lon").union(hit)
+    return cells.join(covered, ["lat", "lon"], "left_anti").select(cells.columns)
 
 
 def fence_with_fallback(cells: DataFrame, inside: Column) -> DataFrame:
