@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placeflow.api import SORTS, Places
 from placeflow.functions.geo import in_box
-from placeflow.operators import collect
+from placeflow.operators import collect, reports
 from placeflow.sources import recorded
 
 
@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "place":
         rows = places.get(args.id)
     else:
-        rows = places.reviews(args.id, args.sort, args.max_results)
+        rows = reports.review_rows(places.reviews(args.id, args.sort, args.max_results))
     if args.command in ("search", "grid"):
         rows = places.enrich(rows) if args.enrich else rows
         rows = places.contacts(rows, args.query, budget) if budget else rows

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from placeflow import sql
 from placeflow.api import Places
-from placeflow.functions import contacts, decode, geo, keys, pb
-from placeflow.operators import collect, discover, enrich, folds, grid, locations, metrics, parse, quality, regions, shared
+from placeflow.functions import contacts, decode, geo, keys, pb, requests
+from placeflow.operators import collect, discover, enrich, folds, grid, locations, metrics, parse, quality, regions, reports, shared
 from placeflow.plans import bindings as b
 from placeflow.sources import recorded, sink
 from placeflow.streaming import collect as streaming
@@ -83,7 +83,7 @@ def sql_functions(spark, sf_dir):
     )
 
 
-@query(f"""SELECT c_custkey, lower(replace(CASE WHEN c_custkey % 3 = 0 THEN c_name || ' STRASSE' WHEN c_custkey % 3 = 1 THEN replace(c_name, 'Customer', 'Fußball') || ' Straße' ELSE c_name || ' ΣΟΦΟΣ' END, 'ß', 'ss')) || '|' || lower(c_mktsegment) || '|1.5|2.5' AS key FROM customer""".replace("lower(replace(CASE", "replace(lower(replace(CASE").replace("'ß', 'ss')) ||", "'ß', 'ss')), 'ς', 'σ') ||"))
+@query("""SELECT c_custkey, replace(lower(replace(CASE c_custkey % 3 WHEN 0 THEN c_name || ' STRASSE' WHEN 1 THEN replace(c_name, 'Customer', 'Fußball') || ' Straße' ELSE c_name || ' ΣΟΦΟΣ' END, 'ß', 'ss')), 'ς', 'σ') || '|' || lower(c_mktsegment) || '|1.5|2.5' AS key FROM customer""")
 def folded_keys(spark, sf_dir):
     """Keys of places without ids: sharp s and ss, and both sigmas, are one."""
     k, name = F.col("c_custkey"), F.col("c_name")
@@ -563,6 +563,51 @@ def policy_summary(spark, sf_dir):
     return metrics.policy_summary(rows, "1-URGENT").select("policy", "retained", "requests", F.round("unique_per_request", 6).alias("unique_per_request"), F.round("vs_baseline", 6).alias("vs_baseline"))
 
 
+@query(f"""WITH {_RUNS}, one AS (SELECT city, run, key, bool_or(relevant) AS r FROM runs GROUP BY ALL), f AS (SELECT city, count(DISTINCT key) AS floor FROM one GROUP BY city),
+m AS (SELECT city, run, count(*) AS requests, count(*) - count(DISTINCT key) AS duplicates, count(*) FILTER (WHERE key % 3 = 0) AS outside FROM runs WHERE run <> '3-MEDIUM' GROUP BY city, run)
+SELECT city, run, count(*) AS retained, round(count(*) / any_value(floor), 6) AS recall, any_value(requests) AS requests, any_value(duplicates) AS duplicates, round(count(*) / any_value(requests), 6) AS unique_per_request, round(any_value(outside) / any_value(requests), 6) AS outside_share
+FROM one JOIN f USING (city) LEFT JOIN m USING (city, run) GROUP BY city, run""")
+def run_report(spark, sf_dir):
+    """Runs with what their manifests say; one policy has none."""
+    runs = _runs(spark, sf_dir)
+    n = F.count(F.lit(1))
+    told = runs.filter("run <> '3-MEDIUM'").groupBy("city", "run").agg(n.alias("discovery_requests"), (n - F.countDistinct("key")).alias("duplicates"), F.count_if(F.col("key") % 3 == 0).alias("outside_boundary"), n.alias("raw_occurrences"))
+    return reports.run_report(runs, told).select("city", "run", "retained", F.round("recall", 6).alias("recall"), "requests", "duplicates", F.round("unique_per_request", 6).alias("unique_per_request"), F.round("outside_share", 6).alias("outside_share"))
+
+
+@query(f"WITH {occurrences_sql()}, k AS (SELECT key, cell, row_number() OVER (PARTITION BY key ORDER BY cell, page, rank) AS rn FROM occ) SELECT key % 7 AS part, count(*) AS places, count(DISTINCT cell) AS cells FROM k WHERE rn = 1 GROUP BY 1")
+def cells_touched(spark, sf_dir):
+    first = discover.first_wins(occurrences(spark, sf_dir)).withColumn("part", F.col("key") % 7)
+    return reports.cells_touched(first, "part", cell="cell")
+
+
+@query(f"WITH {SITES} SELECT p.city, count(*) AS sites, count(*) FILTER (WHERE s.c_custkey % 3 <> 0) AS found, count(*) FILTER (WHERE p.category ILIKE '%build%') AS relevant FROM sites s JOIN places p USING (place_id) GROUP BY p.city")
+def found_sites(spark, sf_dir):
+    """Sites of which every third has an empty page; and how many places are of a category."""
+    rows = sites(spark, sf_dir).join(places(spark, sf_dir).select("place_id", "city", "category"), "place_id")
+    html = F.when(F.col("c_custkey") % 3 != 0, F.col("html")).otherwise("")
+    rows = rows.select("city", reports.category_holds(F.array("category"), "Build").alias("relevant"), contacts.emails(html).alias("emails"), contacts.social_links(html).alias("social_links"))
+    return reports.found_sites(rows, "city").join(rows.groupBy("city").agg(F.count_if("relevant").alias("relevant")), "city")
+
+
+@query("""WITH l AS (SELECT max(epoch(ts)) AS now FROM events) SELECT event_type, count(*) FILTER (WHERE (now - epoch(ts)) / 3600.0 <= 48) AS fresh, count(*) FILTER (WHERE now - epoch(ts) > 900) AS stale, round(max((now - epoch(ts)) / 3600.0), 4) AS oldest FROM events, l GROUP BY event_type""")
+def freshness(spark, sf_dir):
+    """How old each kind of event is, seen from the last one."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    now = e.agg(F.max("at")).scalar()
+    return e.groupBy("event_type").agg(F.count_if(reports.is_fresh(F.col("at"), now, 48)).alias("fresh"), F.count_if(reports.is_stale(F.col("at"), now)).alias("stale"), F.round(F.max(reports.age_hours(F.col("at"), now)), 4).alias("oldest"))
+
+
+@query("""SELECT c_custkey, 'q=' || replace(url_encode(c_mktsegment || ' & co ~*' || c_custkey), '%20', '+') || '&hl=en' || CASE WHEN c_custkey % 2 = 0 THEN '&center=36.5%2C-' || c_custkey ELSE '' END AS search,
+       'feature_id=0x' || c_custkey || '&sort=newest&hl=de' || CASE WHEN c_custkey % 3 = 0 THEN '&page_token=' || c_custkey ELSE '' END AS reviews FROM customer""")
+def request_params(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    even = F.col("c_custkey") % 2 == 0
+    search = requests.search_params(F.concat("c_mktsegment", F.lit(" & co ~*"), k), F.when(even, F.lit("36.5")), F.when(even, F.concat(F.lit("-"), k)))
+    reviews = requests.review_params(F.concat(F.lit("0x"), k), F.when(F.col("c_custkey") % 3 == 0, k).otherwise(""), "newest", "de")
+    return table(spark, sf_dir, "customer").select("c_custkey", requests.query_string(search).alias("search"), requests.query_string(reviews).alias("reviews"))
+
+
 @query("SELECT DISTINCT o_custkey AS key FROM orders WHERE o_totalprice > 300000 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice <= 100000)")
 def footprint_leak(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "key")
