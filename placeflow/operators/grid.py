@@ -242,29 +242,32 @@ def uncovered_cells(cells: DataFrame, places: DataFrame, radius_km: float, box:
     narrow = max(min(math.cos(math.radians(box[0])), math.cos(math.radians(box[2]))) * 0.99, 1e-6)
     step_lat, step_lon = band_lat / FINE, band_lat / narrow / FINE
     metres = radius_km * 1000
-    row, col = F.col("row"), F.col("col")
     lat, lon = F.col("lat"), F.col("lon")
 
-    def away(side_lat: Column, side_lon: Column) -> Column:
-        return geo.haversine(lat, lon, side_lat, side_lon)
-
     def reach(value: Column, step: float) -> Column:
         own = F.floor(value / step).cast("long")
         return F.explode(F.sequence(own - FINE - 1, own + FINE + 1))
 
-    south, west = row * step_lat, col * step_lon
-    north, east = south + step_lat, west + step_lon
-    nearest = away(F.least(F.greatest(lat, south), north), F.least(F.greatest(lon, west), east))
-    farthest = F.greatest(*(away(y, x) for y in (south, north) for x in (west, east)))
+    # Degrees as metres on a plane: longitudes shrink at most to `low` and at least to `high` within reach of a centre.
+    degree = math.radians(1) * geo.EARTH_METRES
+    high = F.cos(F.radians(F.greatest(F.abs(lat) - 2 * band_lat, F.lit(0.0))))
+    low = F.cos(F.radians(F.least(F.abs(lat) + 2 * band_lat, F.lit(90.0))))
+    south, west = F.col("row") * step_lat, F.col("col") * step_lon
+
+    def square(y: Column, x: Column, shrink: Column) -> Column:
+        return F.pow(y * degree, 2) + F.pow(x * degree * shrink, 2)
+
+    nearest = square(F.greatest(south - lat, lat - south - step_lat, F.lit(0.0)), F.greatest(west - lon, lon - west - step_lon, F.lit(0.0)), low)
+    farthest = square(F.greatest(F.abs(lat - south), F.abs(lat - south - step_lat)), F.greatest(F.abs(lon - west), F.abs(lon - west - step_lon)), high)
     occupied = occupied_bands(places, step_lat, step_lon)
     bands = cells.select("lat", "lon").withColumn("row", reach(lat, step_lat)).withColumn("col", reach(lon, step_lon))
-    bands = bands.filter(nearest <= metres * 1.01).join(occupied, ["row", "col"])  # a margin for the sphere on either side
-    sure = F.max(farthest <= metres * 0.99).over(Window.partitionBy("lat", "lon"))
+    bands = bands.filter(nearest <= (metres * 1.01) ** 2).join(occupied, ["row", "col"])  # a margin for the sphere on either side
+    sure = F.max(farthest <= (metres * 0.99) ** 2).over(Window.partitionBy("lat", "lon"))
     met = bands.withColumn("_sure", sure)
     open_ = met.filter("NOT _sure").select("row", "col", "lat", "lon")
     spots = places.select(F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).dropna()
     spots = spots.withColumn("row", F.floor(F.col("p_lat") / step_lat).cast("long")).withColumn("col", F.floor(F.col("p_lon") / step_lon).cast("long"))
-    hit = open_.join(spots, ["row", "col"]).filter(away(F.col("p_lat"), F.col("p_lon")) <= metres).select("lat", "lon")
+    hit = open_.join(spots, ["row", "col"]).filter(geo.haversine(lat, lon, F.col("p_lat"), F.col("p_lon")) <= metres).select("lat", "lon")
     covered = met.filter("_sure").select("lat", "lon").union(hit)
     return cells.join(covered, ["lat", "lon"], "left_anti").select(cells.columns)
 

@@ -67,3 +67,20 @@ def test_boxes_of_a_table_are_tiled_like_single_ones(spark):
     assert sorted((r["i"], r["j"], round(r["lat"], 9), round(r["lon"], 9)) for r in rows if r["city"] == "a") == sorted((r["i"], r["j"], round(r["lat"], 9), round(r["lon"], 9)) for r in one)
     ladder = {r["km"]: (r["cells"], r["chosen"]) for r in grid.estimates_of(boxes.filter("city = 'a'"), 50).collect()}
     assert {r["km"]: (r["cells"], r["chosen"]) for r in grid.estimates(spark, (10.0, 20.0, 10.3, 20.2), 50).collect()} == ladder
+
+
+@pytest.mark.parametrize("box", [(36.0, -87.0, 36.4, -86.6), (-0.2, 179.0, 0.2, 179.5), (68.0, 10.0, 68.3, 10.8)])
+def test_gaps_are_the_cells_without_a_place_in_their_circle(spark, box):
+    import math
+
+    rng = random.Random(box[0])
+    spots = [(rng.uniform(box[0] - 0.05, box[2] + 0.05), rng.uniform(box[1] - 0.05, box[3] + 0.05)) for _ in range(60)] + [(box[0] + 0.1, box[1] + 0.1)] * 200 + [(None, 1.0)]
+    cells = grid.generate_cells(spark, box, 2.0)
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+    for radius in (0.3, 1.0, 4.0):
+        got = {(r["i"], r["j"]) for r in grid.uncovered_cells(cells, spark.createDataFrame(spots, "lat double, lon double"), radius, box).collect()}
+        assert got == {(r["i"], r["j"]) for r in cells.collect() if not any(a is not None and metres(r["lat"], r["lon"], a, o) <= radius * 1000 for a, o in spots)}
