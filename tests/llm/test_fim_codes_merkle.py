@@ -153,6 +153,25 @@ def test_encoder_gives_the_tokenizers_ids(texts):
         assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(part)] == want
 
 
+def test_words_of_letters_by_rank_are_those_of_the_model():
+    import json
+
+    import public_tokenizers
+
+    own, rng = codes.encoder("word_bpe_49k"), random.Random(9)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    byte = {c: b for b, c in codes._letters().items()}
+    words = {bytes(byte[c] for c in t.removesuffix("</w>") if c in byte).decode(errors="replace") for t in vocabulary}
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+    words |= {"".join(rng.choices(letters[: rng.choice((3, 26, len(letters)))], k=rng.randrange(1, 14))) for _ in range(20_000)}
+    words = sorted(w for w in words if w.isalpha() and w == w.lower() and not codes._OTHER.search(w))
+    ids, ends = own.quick.encode(words)
+    want = own.words.encode([w.encode().decode("latin-1").translate(own.letters) for w in words], is_pretokenized=True, add_special_tokens=False)
+    assert len(words) > 50_000 and ids.tolist() == want.ids
+    assert (np.diff(ends, prepend=0) == np.bincount(want.word_ids)).all()
+
+
 def test_long_texts_are_cut_at_white_space(monkeypatch):
     monkeypatch.setattr(codes, "LONGEST", 50)
     own, rng = codes.encoder("word_bpe_49k"), random.Random(4)
