@@ -14,17 +14,16 @@ JUNK_DOMAINS = ("example.com", "example.org", "domain.com", "email.com", "yoursi
 CONSUMER_DOMAINS = ("gmail.com", "googlemail.com", "yahoo.com", "outlook.com", "hotmail.com", "live.com", "icloud.com", "me.com", "aol.com", "proton.me", "protonmail.com", "zoho.com")
 JUNK_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".ico", ".css", ".js", ".woff", ".woff2", ".ttf", ".mp4", ".pdf", ".webm")
 CONTACT_HINTS = ("contact", "kontakt", "contacto", "contatti", "about", "impressum", "reach-us", "reachus", "get-in-touch")
-_TAIL = r"""[^\s"'<>)]"""
 SOCIAL = {
-    "linkedin": (r"https?://(?:[\w\-]+\.)?linkedin\.com/(?:company|in|school|showcase)/" + _TAIL + "+", ("/share", "shareArticle")),
-    "facebook": (r"https?://(?:www\.|m\.|web\.)?facebook\.com/" + _TAIL + "+", ("sharer", "/share", "/plugins/", "/tr?", "/tr/", "facebook.com/2008", "/dialog/", "/login", "/hashtag/")),
-    "instagram": (r"https?://(?:www\.)?instagram\.com/" + _TAIL + "+", ("/p/", "/reel/", "/share", "/embed")),
-    "twitter": (r"https?://(?:www\.)?(?:twitter\.com|x\.com)/" + _TAIL + "+", ("/intent/", "/share", "/hashtag/", "/search?", "twitter.com/home")),
-    "youtube": (r"https?://(?:www\.)?youtube\.com/(?:channel/|user/|c/|@)" + _TAIL + "+", ("/embed/",)),
-    "tiktok": (r"https?://(?:www\.)?tiktok\.com/@" + _TAIL + "+", ()),
-    "pinterest": (r"https?://(?:[\w\-]+\.)?pinterest\.\w{2,6}/" + _TAIL + "+", ("/pin/create", "/pin/", "pinterest.com/js/")),
-    "whatsapp": (r"https?://(?:wa\.me|api\.whatsapp\.com/send)" + _TAIL + "*", ()),
-    "telegram": (r"https?://(?:t\.me|telegram\.me)/" + _TAIL + "+", ("/share",)),
+    "linkedin": (r"""https?://(?:[\w\-]+\.)?linkedin\.com/(?:company|in|school|showcase)/[^\s"'<>)]+""", ("/share", "shareArticle")),
+    "facebook": (r"""https?://(?:www\.|m\.|web\.)?facebook\.com/[^\s"'<>)]+""", ("sharer", "/share", "/plugins/", "/tr?", "/tr/", "facebook.com/2008", "/dialog/", "/login", "/hashtag/")),
+    "instagram": (r"""https?://(?:www\.)?instagram\.com/[^\s"'<>)]+""", ("/p/", "/reel/", "/share", "/embed")),
+    "twitter": (r"""https?://(?:www\.)?(?:twitter\.com|x\.com)/[^\s"'<>)]+""", ("/intent/", "/share", "/hashtag/", "/search?", "twitter.com/home")),
+    "youtube": (r"""https?://(?:www\.)?youtube\.com/(?:channel/|user/|c/|@)[^\s"'<>)]+""", ("/embed/",)),
+    "tiktok": (r"""https?://(?:www\.)?tiktok\.com/@[^\s"'<>)]+""", ()),
+    "pinterest": (r"""https?://(?:[\w\-]+\.)?pinterest\.\w{2,6}/[^\s"'<>)]+""", ("/pin/create", "/pin/", "pinterest.com/js/")),
+    "whatsapp": (r"""https?://(?:wa\.me|api\.whatsapp\.com/send)[^\s"'<>)]*""", ()),
+    "telegram": (r"""https?://(?:t\.me|telegram\.me)/[^\s"'<>)]+""", ("/share",)),
 }
 
 
