@@ -3,6 +3,7 @@
 Each polygon is covered with cells of a grid: border cells, which an edge passes, and inner ones. Points meet cells in an
 equi-join. A point of an inner cell is inside; one of a border cell is tested with a ray along its row, for which the
 cell has the edges of the polygon in that row and no others. The test is the same arithmetic as a test against whole rings.
+Points of one position and areas of one shape share their tests.
 """
 
 from __future__ import annotations
@@ -87,5 +88,19 @@ def locate(points: DataFrame, cells: DataFrame, step: float = 0.05, lat: str = "
 
 
 def join(points: DataFrame, areas: DataFrame, step: float = 0.05, region: str = "region", geometry: str = "geometry", how: str = "inner") -> DataFrame:
-    """The points with the `region` of each area that holds them."""
-    return locate(points, cover(areas, step, region, geometry), step, how=how)
+    """The points with the `region` of each area that holds them.
+
+    Each position meets each shape once, however many points stand there and however many areas have that shape; what was
+    found is then joined to the points, and nothing of the result's size is shuffled where positions or shapes repeat.
+    """
+    path = shared.folder(points.sparkSession, "shapes")
+    areas = areas.select(F.col(region).alias("region"), F.col(geometry).alias("geometry")).distinct()
+    shapes = areas.select("geometry").distinct().withColumn("_shape", F.monotonically_increasing_id())
+    shapes = shared.kept(shapes, f"{path}/shapes")  # ids that stay
+    members = areas.join(shapes, "geometry").select("_shape", "region")
+    at = F.concat((F.col("lat") + 0.0).cast("string"), F.lit(","), (F.col("lon") + 0.0).cast("string"))  # -0.0 is 0.0
+    positions = shared.kept(points.select(at.alias("_at"), F.col("lat") + 0.0, F.col("lon") + 0.0).toDF("_at", "lat", "lon").dropna().distinct(), f"{path}/positions")
+    cells = shared.spread(cover(shapes, step, "_shape"), "row", "col", "region")
+    found = locate(positions, cells, step).select("_at", F.col("region").alias("_shape")).join(members, "_shape").select("_at", "region")
+    found = shared.kept(found, f"{path}/found")
+    return shared.spread(points.withColumn("_at", at), "_at").join(shared.spread(found, "_at").hint("merge"), "_at", how).drop("_at")

@@ -19,6 +19,12 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{path.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Dealt by columns to some tasks for each core, ahead of costly work on narrow rows: a file of few bytes or row groups
+    is read by few tasks, and adaptive execution would join small partitions again."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
     """Written and read back: cuts lineage and survives lost executors."""
     df.write.parquet(path)

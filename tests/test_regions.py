@@ -58,6 +58,25 @@ def test_inner_cells_hold_no_edges_and_points_meet_by_cells(spark):
     assert regions.locate(points.withColumn("lon", F.lit(50.0)), cells, 0.5, how="left").filter("region IS NULL").count() == 10
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_position_meets_a_shape_once(spark, monkeypatch, how):
+    met, locate = [], regions.locate
+
+    def counted(points, cells, *rest, **more):
+        met.append((points.count(), cells.select("region").distinct().count()))
+        return locate(points, cells, *rest, **more)
+
+    monkeypatch.setattr(regions, "locate", counted)
+    square = json.dumps({"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 1]]]})
+    areas = [(f"r{i}", square) for i in range(30)] + [("r0", square)]  # a row that repeats is one area
+    points = [(i, 0.5 if i % 2 else 5.0, 0.25) for i in range(200)] + [(200, None, 0.25), (201, 0.5, None)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = sorted((r["id"], r["region"]) for r in regions.join(df, spark.createDataFrame(areas, "region string, geometry string"), 0.25, how=how).collect() if r["region"])
+    assert got == sorted((i, f"r{k}") for i in range(1, 200, 2) for k in range(30)) and met == [(2, 1)]
+    if how == "left":
+        assert regions.join(df, spark.createDataFrame(areas, "region string, geometry string"), 0.25, how=how).filter("region IS NULL").count() == 102
+
+
 def test_boxes_of_a_table_are_tiled_like_single_ones(spark):
     places = spark.createDataFrame([("a", 10.0, 20.0), ("a", 10.3, 20.2), ("b", -5.0, 1.0), ("b", -5.0, 1.0), ("c", None, 3.0)], "city string, lat double, lon double")
     boxes = grid.boxes_of(places, "city")
