@@ -67,8 +67,11 @@ def is_junk_email(email: Column) -> Column:
 
 def email_fits_site(email: Column, website: Column) -> Column:
     """A consumer mailbox, or the site's domain, or a domain above or below it; any address fits a site without host."""
+    return _fits_host(email, host(normal_url(website)))
+
+
+def _fits_host(email: Column, site: Column) -> Column:
     domain = F.regexp_replace(F.lower(F.substring_index(email, "@", -1)), r"^www\.", "")
-    site = host(normal_url(website))
     return domain.isin(*CONSUMER_DOMAINS) | (site == "") | (domain == site) | domain.endswith(F.concat(F.lit("."), site)) | site.endswith(F.concat(F.lit("."), domain))
 
 
@@ -78,11 +81,13 @@ def emails(html: Column, website: Column | None = None) -> Column:
     hidden = F.filter(F.transform(_all(html, CFEMAIL, 1), decode_cfemail), lambda e: e.isNotNull())
     found = F.transform(F.concat(linked, hidden, _all(html, EMAIL, 0)), normal_email)
 
-    def keep(e: Column) -> Column:
-        good = (e != "") & ~is_junk_email(e)
-        return good if website is None else good & ((F.coalesce(website, F.lit("")) == "") | email_fits_site(e, website))
+    def good(e: Column) -> Column:
+        return (e != "") & ~is_junk_email(e)
 
-    return F.array_distinct(F.filter(found, keep))
+    if website is None:
+        return F.array_distinct(F.filter(found, good))
+    sites = F.array(host(normal_url(website)))  # bound once, not for each address; a site without host takes any
+    return F.array_distinct(F.get(F.transform(sites, lambda s: F.filter(found, lambda e: good(e) & _fits_host(e, s))), F.lit(0)))
 
 
 def clean_social(url: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placeflow.operators import shared
+
 BOX = (36.0, -87.0, 36.4, -86.6)
 FENCE = [(-86.95, 36.05), (-86.65, 36.1), (-86.7, 36.35), (-86.9, 36.3)]
 HOLE = [(-86.85, 36.15), (-86.8, 36.15), (-86.8, 36.2), (-86.85, 36.2)]
@@ -19,8 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of narrow rows from which long texts are made: dealt to all cores, as its file is read by one or two."""
+    return shared.spread(table(spark, sf_dir, name), key)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, sf_dir, "customer", "c_custkey")
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = customers(spark, sf_dir)
     dense = F.col("c_custkey") % 5 == 0
     a, b = F.col("c_custkey") * 7919 % 4000, F.col("c_custkey") * 104729 % 4000
     rows = c.select("c_custkey", F.concat(F.lit("P"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("place_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"), F.col("c_nationkey").cast("long").alias("city"), "c_acctbal", F.when(dense, F.floor(a / 16)).otherwise(a).cast("long").alias("a"), F.when(dense, F.floor(b / 16)).otherwise(b).cast("long").alias("b"))
@@ -151,7 +162,9 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
         203: of('[[["Mon",1,null,[["9-12"],["13-#"]]],["Tue",2,null,[["9-17"]]],["Mon",1,null,[["20-22"]]]]]'),
     }
     body = F.concat(F.lit("[null,null,null,null,null,null,"), _listed(slots), F.lit("]"))
-    return places(spark, sf_dir).select("c_custkey", F.parse_json(body).alias("response"))
+    # Written, as a filter on what is parsed would else move ahead of the dealing, and the parsing with it.
+    rows = shared.kept(places(spark, sf_dir).select("c_custkey", "place_id", "category", "a", "b"), shared.folder(spark, "details"))
+    return rows.select("c_custkey", F.parse_json(body).alias("response"))
 
 
 def moved_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +182,7 @@ def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     south, west = 35.9 + (k * 31 % 500) / 1000.0, -87.1 + (k * 17 % 500) / 1000.0
     hit = F.struct(F.lit("node").alias("osm_type"), (k % 900).cast("string").alias("osm_id"), F.when(k % 7 == 0, "shop").otherwise("place").alias("class"), F.lit("suburb").alias("type"), F.col("c_name").alias("name"), F.concat(F.col("c_name"), F.lit(", TN")).alias("display_name"), (south + 0.01).cast("string").alias("lat"), (west + 0.01).cast("string").alias("lon"), F.transform(F.array(south, south + 0.02, west, west + 0.02), lambda x: x.cast("string")).alias("boundingbox"))
-    return table(spark, sf_dir, "customer").select(k.alias("request"), F.concat(F.lit("area "), k.cast("string")).alias("query"), F.to_json(F.array(hit)).alias("body"))
+    return customers(spark, sf_dir).select(k.alias("request"), F.concat(F.lit("area "), k.cast("string")).alias("query"), F.to_json(F.array(hit)).alias("body"))
 
 
 #: Corners of the areas' rings, in units of an area's size around its centre: (part, ring, u, v).

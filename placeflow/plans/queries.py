@@ -754,7 +754,7 @@ def parse_hours_rating(spark, sf_dir):
     filled = F.lit(_HOURS)
     for name, value in (("CLOSE", k), ("DAY", k % 9), ("RATING", F.round(k % 50 / 10.0, 1)), ("COUNT", k + 1), ("ONES", k % 8 + 1), ("CARD", F.col("c_mktsegment"))):
         filled = F.replace(filled, F.lit(f"@{name}"), value.cast("string"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.parse_json(filled).alias("pd"))
+    rows = b.customers(spark, sf_dir).select("c_custkey", F.parse_json(filled).alias("pd"))
     rating, about = parse.rating(pd), parse.about(pd)
 
     return rows.select("c_custkey", _flat(parse.hours(pd), "|").alias("hours"), F.round(rating["rating"], 1).alias("rating"), rating["review_count"].alias("review_count"), _flat(rating["reviews_per_rating"], "").alias("histogram"), F.array_join(about["credit_cards"], ",").alias("cards"))
