@@ -385,9 +385,10 @@ def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame],
     """Run a stream over the events table, in `batches` batches at least, and read back what it wrote."""
     path = shared.folder(spark, "stream")
     events = table(spark, sf_dir, "events")
-    (events if batches == 1 else events.repartition(batches)).write.parquet(f"{path}/in")
+    files = spark.sparkContext.defaultParallelism  # of each batch: all cores write and read it
+    (events if batches == 1 else events.repartition(batches * files)).write.parquet(f"{path}/in")
     source = spark.readStream.schema(events.schema)
-    source = (source if batches == 1 else source.option("maxFilesPerTrigger", 1)).parquet(f"{path}/in")
+    source = (source if batches == 1 else source.option("maxFilesPerTrigger", files)).parquet(f"{path}/in")
     out = transform(source)
     out.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")

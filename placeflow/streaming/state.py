@@ -1,7 +1,8 @@
 """Collection as a stream with a state for each key: what was first, how often it was seen, and when it is forgotten.
 
 Unlike a comparison with what earlier batches wrote, a batch costs what it holds, however long the stream has run. Rows
-are combined where they arrive, so a key of very many rows sends a row for each Arrow batch.
+are combined where they arrive, so a key of very many rows sends a row for each block of them, and once more by key, so
+the state meets a row for each key.
 """
 
 from __future__ import annotations
@@ -16,9 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
+from placeflow.operators import shared
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows that a task gathers before it combines them, and combined rows it holds at most.
+BLOCK, MOST_HELD = 100_000, 1_000_000
+#: Groups that keys without a horizon are dealt to. State belongs to them: another number needs a new checkpoint.
+SHARDS = 4096
+#: A shard of so many times the keys that a batch holds of it is no longer read in one go.
+SPARSE = 4
+
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
@@ -35,18 +45,38 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def combined(rows: DataFrame, key: str, order: tuple[str, ...], time: str | None) -> DataFrame:
-    """A row for each key and Arrow batch: its first row by `order`, how many there were and the last time (µs)."""
-    rows = rows.select(key, *order, (F.unix_micros(time) if time else F.lit(0).cast("long")).alias("last"))
-    fields = [f for f in rows.schema if f.name != "last"]
+    """A row for each key and block of rows (with `time`: each Arrow batch, as late rows are told apart after it): its first
+    row by `order`, how many there were and the last time (µs)."""
+    last = F.unix_micros(time) if time else F.lit(0).cast("long")
+    rows = rows.select(key, *order, F.lit(1).cast("long").alias("times"), last.alias("last"))
+    return _folded(rows, key, order, *((1, 1) if time else ()))
+
+
+def _folded(rows: DataFrame, key: str, order: tuple[str, ...], block: int = BLOCK, most: int = MOST_HELD) -> DataFrame:
+    """Rows of a key made one, as far as a task meets them; it holds at most `most` rows besides those that came since."""
+
+    def first(tables):
+        table = pa.concat_tables(tables)
+        grouped = table.sort_by([(c, "ascending") for c in (key, *order)]).group_by(key, use_threads=False).aggregate([*((c, "first") for c in order), ("times", "sum"), ("last", "max")])
+        columns = [grouped[key], *(grouped[f"{c}_first"] for c in order), grouped["times_sum"], grouped["last_max"]]
+        return pa.Table.from_arrays([c.cast(t) for c, t in zip(columns, table.schema.types, strict=True)], schema=table.schema)
 
     def run(batches):
+        held, size, limit = [], 0, block
         for batch in batches:
-            table = pa.Table.from_batches([batch]).sort_by([(c, "ascending") for c in (key, *order)])
-            grouped = table.group_by(key, use_threads=False).aggregate([*((c, "first") for c in order), ("last", "count"), ("last", "max")])
-            columns = [grouped[c if c == key else f"{c}_first"] for c in (key, *order)] + [grouped["last_count"], grouped["last_max"]]
-            yield from pa.table([c.cast(t) for c, t in zip(columns, [*(batch.schema.field(f.name).type for f in fields), pa.int64(), pa.int64()], strict=True)], names=[*(f.name for f in fields), "times", "last"]).to_batches()
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size >= limit:
+                held = [first(held)]
+                size = held[0].num_rows
+                if size >= most:
+                    yield from held[0].to_batches(max_chunksize=10_000)
+                    held, size = [], 0
+                limit = max(block, 2 * size)  # sorted anew only once as much has come again
+        if held:
+            yield from first(held).to_batches(max_chunksize=10_000)
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("times", T.LongType()), T.StructField("last", T.LongType())]))
+    return rows.mapInArrow(run, rows.schema)
 
 
 class Sightings(StatefulProcessor):
@@ -85,6 +115,41 @@ class Sightings(StatefulProcessor):
         pass
 
 
+class ShardedSightings(StatefulProcessor):
+    """As `Sightings` with no horizon, for a shard of the keys: what a group costs besides its state's reads and writes (a
+    record batch of its own, its key and times asked for) is paid once for many keys. Where a batch holds a good part of a
+    shard's keys, their states are read in one go, otherwise one by one."""
+
+    def __init__(self, key: T.StructField, order: tuple[T.StructField, ...]):
+        self.key, self.order = key, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.row = Row(self.key.name, *(f.name for f in self.order), "times", "is_new")
+        self.state = handle.getMapState("sightings", T.StructType([self.key]), T.StructType([*self.order, T.StructField("times", T.LongType())]))
+        self.size = handle.getValueState("size", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterable[Row], timerValues: Any) -> Iterator[Row]:
+        found: dict[Any, tuple[tuple, int]] = {}
+        for _, one, *at, times, _ in rows:
+            before = found.get(one)
+            found[one] = (tuple(at), times) if before is None else (min(before[0], tuple(at)), before[1] + times)
+        (size,), new = self.size.get() or (0,), 0
+        at_once = size <= SPARSE * len(found)
+        held = {bytes(k) if isinstance(k, bytearray) else k: v for (k,), v in self.state.iterator()} if size and at_once else {}
+        for one, (first, times) in found.items():
+            known = held.get(one) if at_once else self.state.getValue((one,))
+            if known:
+                first, times = min(tuple(known[:-1]), first), known[-1] + times
+            self.state.updateValue((one,), (*first, times))
+            new += not known
+            yield self.row(one, *first, times, not known)
+        if new:
+            self.size.update((size + new,))
+
+    def close(self) -> None:
+        pass
+
+
 def sightings(rows: DataFrame, key: str, order: tuple[str, ...], time: str | None = None, horizon_ms: int | None = None, late: str = "10 minutes") -> DataFrame:
     """(key, the order columns of its first row so far, times, is_new) for each key of each batch.
 
@@ -94,14 +159,22 @@ def sightings(rows: DataFrame, key: str, order: tuple[str, ...], time: str | Non
     a key or an order are skipped.
     """
     rows = rows.dropna(subset=[key, *order, *([time] if time else [])])
-    kinds = dict(rows.dtypes)
-    grouped = combined(rows, key, order, time)
     timed = time is not None and horizon_ms is not None
+    grouped = combined(rows, key, order, time if timed else None)
+    # States give zoned timestamps back without their zone, so they hold microseconds.
+    zoned = [c for c in (key, *order) if isinstance(rows.schema[c].dataType, T.TimestampType)]
+    grouped = grouped.withColumns({c: F.unix_micros(c) for c in zoned})
+    fields = tuple(grouped.schema[c] for c in (key, *order))
+    out = T.StructType([*fields, T.StructField("times", T.LongType()), T.StructField("is_new", T.BooleanType())])
     if timed:
+        kinds = dict(grouped.dtypes)
         grouped = grouped.withColumn("at", F.timestamp_micros("last")).withWatermark("at", late)
-    out = T.StructType([*(rows.schema[c] for c in (key, *order)), T.StructField("times", T.LongType()), T.StructField("is_new", T.BooleanType())])
-    processor = Sightings(key, order, tuple(kinds[c] for c in order), horizon_ms if timed else None)
-    return grouped.groupBy(key).transformWithState(processor, out, "Append", "EventTime" if timed else "None")
+        found = grouped.groupBy(key).transformWithState(Sightings(key, order, tuple(kinds[c] for c in order), horizon_ms), out, "Append", "EventTime")
+    else:
+        grouped = _folded(shared.spread(grouped, key), key, order)
+        shard = F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("_shard")
+        found = grouped.select(shard, key, *order, "times", "last").groupBy("_shard").transformWithState(ShardedSightings(fields[0], fields[1:]), out, "Append", "None")
+    return found.withColumns({c: F.timestamp_micros(c) for c in zoned})
 
 
 class Counters(StreamingQueryListener):

@@ -83,3 +83,43 @@ def test_rows_are_combined_before_they_are_shuffled(spark):
     rows = spark.range(20_000).select(F.lit("hot").alias("key"), (-F.col("id")).alias("cell"))
     got = state.combined(rows.repartition(4), "key", ("cell",), None)
     assert got.count() <= 8 and got.agg(F.sum("times")).first()[0] == 20_000 and got.agg(F.min("cell")).first()[0] == -19_999
+
+
+def test_a_key_reaches_the_state_once_however_many_rows_it_has(spark, tmp_path, monkeypatch):
+    rows = spark.range(120_000).select((F.col("id") % 5_000).cast("string").alias("key"), (-F.col("id")).alias("cell"))
+    met = []
+    monkeypatch.setattr(state.shared, "spread", lambda df, *by: met.append((df, by)) or df.repartition(8, *by))
+    rows.repartition(4).write.parquet(f"file://{tmp_path}/in")
+    state.sightings(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), "key", ("cell",))
+    assert len(met) == 1 and met[0][1] == ("key",)  # dealt by key before the state
+    combined = state.combined(rows.repartition(4), "key", ("cell",), None)
+    assert combined.count() <= 4 * 5_000
+    folded = state._folded(combined.repartition(8, "key"), "key", ("cell",))
+    assert folded.count() == 5_000 and folded.agg(F.sum("times")).first()[0] == 120_000 and folded.agg(F.max("cell")).first()[0] == -115_000
+
+
+def test_keys_share_groups_read_at_once_or_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "SHARDS", 2)
+    given, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    seen = {}
+    for cell, keys in enumerate([[f"k{i}" for i in range(60)] * 2, ["k3", "new"], [f"k{i}" for i in range(61)]]):
+        write(spark, given, [row(cell, k, f"2024-01-0{3 - cell} 00:00:00") for k in keys])
+        with state.rocksdb(spark):
+            found = state.sightings(source(spark, given), "key", ("ts", "cell"))
+            stream = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            stream.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsUpdated"] for p in stream.recentProgress if p["stateOperators"]) <= len(set(keys)) + 2  # a state for each key, a size for each shard
+        for k in keys:
+            seen.setdefault(k, []).append(cell)
+        got = {r["key"]: r for r in spark.read.parquet(out).filter(F.col("cell") == cell).collect()}
+        assert {k: (r["times"], r["is_new"], r["ts"].day) for k, r in got.items()} == {k: (len(seen[k]), set(seen[k]) == {cell}, 3 - cell) for k in set(keys)}
+
+
+def test_all_cores_write_and_read_a_batch(spark, sf_dir, monkeypatch):
+    from placeflow.plans import queries
+
+    folder = queries.shared.folder(spark, "stream")
+    monkeypatch.setattr(queries.shared, "folder", lambda *_: folder)
+    queries.QUERIES["stream_state"](spark, sf_dir)
+    assert len(spark.read.parquet(f"{folder}/in").inputFiles()) == 3 * spark.sparkContext.defaultParallelism
+    assert spark.read.text(f"{folder}/checkpoint/commits/*").select(F.input_file_name()).distinct().count() == 3
